@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import token_ids
+from . import exact_dedup, lattice_lm, mixing, packing, token_ids, topk
 
 
 def queries() -> dict:
     return {
+        "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_lattice_score": lattice_lm.op3_lattice_score,
         "op5_token_ids": token_ids.op5_token_ids,
+        "op7_top_k": topk.op7_top_k,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op7_top_k": topk.SQL}
