@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lattice_lm, mixing, packing, token_ids, topk
+from . import exact_dedup, jaccard, lattice_lm, mixing, packing, token_ids, topk
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_lattice_score": lattice_lm.op3_lattice_score,
         "op5_token_ids": token_ids.op5_token_ids,
+        "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_top_k": topk.op7_top_k,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op7_top_k": topk.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op6_jaccard_join": jaccard.SQL, "op7_top_k": topk.SQL}
