@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from array import array
 
 #: Words whose ids a worker remembers before it starts afresh.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -20,55 +22,77 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for the letters from U+0100 on, in order.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, exactly as the library does.
 
     A text is cut at single spaces. Both pre-tokenizers in use end a token there, so the ids of a text
     are those of its chunks in order; chunks that come again are looked up. ``spaces`` says what the
     pre-tokenizer does with the space before a chunk: "join" (byte-level, it belongs to the chunk) or
-    "drop" (it vanishes). With "join" a text that has other white space next to a space is given to the
-    library whole.
+    "drop" (it vanishes, and letters are made lower case). With "join" a text that has other white space
+    next to a space is given to the library whole.
     """
 
+    #: Letters, then marks: two tokens to either pre-tokenizer, if it leaves or lowers the letters one by one.
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@^_|~-]*)")
+
     def __init__(self, path: str, spaces: str):
-        self.tokenizer, self.join, self.memo, self.first = load_tokenizer(path), spaces == "join", {}, {}
+        self.tokenizer, self.join = load_tokenizer(path), spaces == "join"
+        self.memo: dict[str, bytes | None] = {}
+        self.cores: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.letters, self.model = byte_letters(), self.tokenizer.model
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _core(self, core: str) -> bytes:
+        """Ids of letters (or of marks), straight from the library's model."""
+        found = self.cores.get(core)
+        if found is None:
+            whole = core if self.join else core.lower()
+            spelled = whole.encode().decode("latin-1").translate(self.letters)
+            found = self.cores[core] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
 
     def _learn(self, words: set[str]) -> None:
-        odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()} if self.join else set()
-        words = list(words - odd)
-        self.memo.update(zip(words, self._ids([f" {w}" for w in words] if self.join else words), strict=True))
-        self.memo.update(dict.fromkeys(odd))
+        hard = []
+        for w in words:
+            if simple := self.SIMPLE.fullmatch(w):
+                letters, marks = simple.groups()
+                ids = self._core(f" {letters}" if self.join else letters)
+                self.memo[w] = ids + self._core(marks) if marks else ids
+            elif self.join and (not w or w[0].isspace() or w[-1].isspace()):
+                self.memo[w] = None
+            else:
+                hard.append(w)
+        if hard:
+            self.memo.update(zip(hard, self._ids([f" {w}" for w in hard] if self.join else hard), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if max(len(self.memo), len(self.cores), len(self.first)) > MEMO_WORDS:
+            self.memo.clear(), self.cores.clear(), self.first.clear()
         cut = [(t.split(" ") if self.join else t.replace("\n", " ").split(" ")) for t in texts]
-        new = set()
-        for words in cut:
-            new |= set(words[1:] if self.join else words) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_WORDS and self.memo:
-            self.memo.clear()
-            return self.encode(texts) if len(texts) == 1 else [x for t in texts for x in self.encode([t])]
-        self._learn(new)
         out = []
         for text, words in zip(texts, cut, strict=True):
-            look = self.memo.__getitem__
+            head = words.pop(0) if self.join else ""
+            self._learn(set(words).difference(self.memo))
+            if head and head not in self.first:
+                self.first[head] = self._ids([head])[0]
             try:
-                if self.join:
-                    head = words[0]
-                    if head and head[-1].isspace():
-                        raise TypeError
-                    if head not in self.first:
-                        if len(self.first) >= MEMO_WORDS // 10:
-                            self.first.clear()
-                        self.first[head] = self._ids([head])[0]
-                    out.append(self.first[head] + b"".join(map(look, words[1:])))
-                else:
-                    out.append(b"".join(map(look, words)))
+                if head and head[-1].isspace():
+                    raise TypeError
+                out.append((self.first[head] if head else b"") + b"".join(map(self.memo.__getitem__, words)))
             except TypeError:  # a chunk beside other white space
                 out += self._ids([text])
         return out
