@@ -1,0 +1,163 @@
+"""Byte offsets, dialects, streams and publishing, on transcripts written here."""
+
+import base64
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from convlake.operators import attachments as A
+from convlake.operators import sessions as N
+from convlake.sources.dialects import claude_messages, codex_messages, codex_sessions, cursors
+from convlake.sources.jsonl import register
+from convlake.streaming.incremental import Progress, recovery
+from convlake.streaming.publish import MESSAGES, Store, assert_schema, collect
+
+META = {"timestamp": "2026-01-01T00:00:00Z", "type": "session_meta", "payload": {"id": "s1", "cwd": "/w", "timestamp": "2026-01-01T00:00:00Z", "source": "cli"}}
+
+
+def said(role, text, at="2026-01-01T00:00:01Z"):
+    return {"timestamp": at, "type": "response_item", "payload": {"type": "message", "role": role, "content": [{"type": "input_text", "text": text}]}}
+
+
+def lines_of(*events):
+    return "".join(json.dumps(e, ensure_ascii=False) + "\n" for e in events)
+
+
+def read(spark, path, **options):
+    register(spark)
+    return spark.read.format("jsonl_offsets").option("path", str(path)).options(**options).load()
+
+
+@pytest.mark.parametrize("size", [1, 7, 16, 1000])
+def test_offsets_are_exact_in_any_ranges(spark, tmp_path, size):
+    parts = [b'{"a":1}\n', b"\r\n", b"\n", '{"é":"\U0001f600"}\r\n'.encode(), b"x" * 40 + b"\n", b'{"partial":']
+    (tmp_path / "a.jsonl").write_bytes(b"".join(parts))
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    rows = sorted(read(spark, tmp_path, rangeBytes=size).collect(), key=lambda r: r.start_offset)
+    at, want = 0, []
+    for p in parts:
+        want.append((at, at + len(p), p.rstrip(b"\n").removesuffix(b"\r").decode(), p.endswith(b"\n")))
+        at += len(p)
+    assert [tuple(r)[1:] for r in rows] == want
+
+
+def test_codex(spark, tmp_path):
+    (tmp_path / "archived_sessions").mkdir()
+    path = tmp_path / "archived_sessions" / "r.jsonl"
+    call = {"timestamp": "bad", "type": "response_item", "payload": {"type": "function_call", "name": "f"}}
+    out = {"type": "response_item", "payload": {"type": "function_call_output", "output": "ok"}}
+    echo = {"type": "event_msg", "payload": {"type": "user_message", "message": "hi"}}
+    image = {"type": "event_msg", "payload": {"type": "image_generation_end", "result": ""}}
+    path.write_text(lines_of(META, said("user", "hi"), echo, call, out, image) + "not json\n\n" + '{"partial":', encoding="utf-8")
+    lines = read(spark, tmp_path)
+    rows = codex_messages(lines).orderBy("sequence_no").collect()
+    assert [(r.role, r.event_type) for r in rows] == [("user", "message"), ("assistant", "function_call"), ("tool", "function_call_output"), ("assistant", "image_generation_end"), ("unknown", "parse_error")]
+    assert {r.session_id for r in rows} == {"s1"} and rows[1].created_at is None
+    assert json.loads(rows[-1].content_json) == {"_parse_error": True, "raw_line": "not json"}
+    assert rows[0].content_json == json.dumps(said("user", "hi"))
+    meta = codex_sessions(lines).collect()
+    assert [(m.session_id, m.cwd, m.archived) for m in meta] == [("s1", "/w", True)]
+    assert cursors(lines).first().cursor_offset == len(path.read_bytes()) - len('{"partial":')
+
+
+def test_claude(spark, tmp_path):
+    path = tmp_path / "s9.jsonl"
+    events = [
+        {"type": "user", "sessionId": "s9", "uuid": "u1", "timestamp": 1767225600, "message": {"role": "user", "content": "hello"}},
+        {"type": "assistant", "sessionId": "other", "uuid": "u2", "message": {"role": "assistant", "content": "no"}},
+        {"type": "system", "sessionId": "s9"},
+        {"type": "system", "sessionId": "s9", "message": {"content": "x"}},
+        {"type": "summary", "summary": "s"},
+        {"type": "attachment", "timestamp": "2026-01-01T00:00:00Z"},
+    ]
+    path.write_text(lines_of(*events), encoding="utf-8")
+    rows = claude_messages(read(spark, path)).orderBy("sequence_no").collect()
+    assert [(r.role, r.event_type) for r in rows] == [("user", "user"), ("system", "system"), ("attachment", "attachment")]
+    again = claude_messages(read(spark, path, rangeBytes=10)).collect()
+    assert {r.message_id for r in rows} == {r.message_id for r in again}
+
+
+def test_id_list_and_index(spark):
+    docs = spark.createDataFrame([('{"projectless-thread-ids":["a","b"]}',), ('{"projectless-thread-ids":["a",7]}',), ('{"projectless-thread-ids":["a"," "]}',), ("broken",), ("{}",)], "json string")
+    assert [r.ids for r in N.id_list(docs).collect()] == [["a", "b"], None, None, None, None]
+    schema = "originalPath string, entries array<struct<sessionId:string,summary:string,firstPrompt:string,projectPath:string,created:string,modified:string>>"
+    index = spark.createDataFrame([("/o", [("1", " ", "first", None, "2026-01-01T00:00:00Z", "1767225600000"), ("2", "sum", "first", "/p", None, None), (" ", "x", None, None, None, None)])], schema)
+    assert [(r.session_id, r.title, r.cwd) for r in N.session_index(index).collect()] == [("1", "first", "/o"), ("2", "sum", "/p")]
+
+
+def test_fair_share(spark):
+    rows = [(s, p, o) for s, files in (("a", 3), ("b", 1)) for p in range(files) for o in range(10 if s == "a" else 2)]
+    got = N.fair_share(spark.createDataFrame(rows, "source string, path int, offset int"), 6).collect()
+    assert len(got) == 6 and sum(r.source == "b" for r in got) == 2
+    assert sorted({r.path for r in got if r.source == "a"}) == [0, 1, 2]
+    with_first = {(r.source, r.path): r.offset for r in sorted(got, key=lambda r: -r.offset)}
+    assert set(with_first.values()) == {0}
+
+
+def test_attachments_round_trip(spark):
+    png = bytes.fromhex("89504E470D0A1A0A") + b"data"
+    data = base64.b64encode(png).decode()
+    content = [{"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": data}}, {"type": "input_image", "image_url": "https://u:p@h.org:8/x?q=1#f"}, {"type": "text", "text": "## n.txt: /tmp/n.txt\n## gone: /tmp/gone"}]
+    before = json.dumps({"message": {"content": content}, "z": 1, "a": 2})
+    rows = spark.createDataFrame([("m", before), ("plain", '{"a": 1 }')], "message_id string, content_json string")
+    files = spark.createDataFrame([("file:/tmp/n.txt", bytearray(b"note"))], "path string, content binary")
+    out = {r.message_id: r for r in A.taken_out(rows, files).collect()}
+    m = out["m"]
+    assert [None if x is None else bytes(x) for x in m.attachments] == [png, None, b"note", None]
+    entries = json.loads(m.content_json)["_attachments"]
+    assert [e["status"] for e in entries] == ["stored", "remote_not_downloaded", "stored", "missing"]
+    assert entries[1]["source_reference"] == "https://h.org:8/x" and entries[0]["mime_type"] == "image/png" and entries[2]["file_name"] == "n.txt"
+    assert data not in m.content_json and m.content_json.startswith(before[:-1].replace(data, "blob:0"))
+    assert out["plain"].content_json == '{"a": 1 }' and out["plain"].attachments is None
+    small = {r.message_id: r for r in A.taken_out(rows, files, most=3).collect()}["m"]
+    assert [e["status"] for e in json.loads(small.content_json)["_attachments"]][::2] == ["too_large", "too_large"] and small.attachments[0] is None
+    stored = A.taken_out(rows, files)
+    assert [e["index"] for e in stored.select(A.stored_attachments(F.col("content_json")).alias("s")).first().s] == [0, 2]
+    assert bytes(A.lookup(stored.where("message_id = 'm'"), 2).first().data) == b"note"
+    assert [r.present for r in A.pending_detail(stored).orderBy("index").collect()] == [True, False, True, False]
+    back = A.put_back(stored.where("message_id = 'm'")).first().content_json
+    assert json.loads(back)["message"]["content"][0] == content[0]
+    moved = spark.range(1).select(A.rewritten_paths(F.lit('{"path":"/a/b","text":"/a/b"}'), "/a", "/c$1").alias("t")).first().t
+    assert moved == '{"path":"/c$1/b","text":"/a/b"}'
+
+
+def test_stream_and_replay(spark, tmp_path):
+    src, store = tmp_path / "in", Store(spark, str(tmp_path / "store"), "me")
+    src.mkdir()
+    path = src / "r.jsonl"
+    path.write_text(lines_of(META, said("user", "one")) + '{"part', encoding="utf-8")
+    progress = Progress()
+    spark.streams.addListener(progress)
+    run = lambda: collect(spark, store, str(src), "codex", str(tmp_path / "cp")).awaitTermination(120)
+    assert run()
+    assert [r.sequence_no for r in store.messages().collect()] == [len(lines_of(META))]
+    with path.open("a", encoding="utf-8") as f:
+        f.write('": 1}\n' + lines_of(said("assistant", "two")))
+    assert run()
+    rows = store.messages().orderBy("sequence_no").collect()
+    assert [r.role for r in rows] == ["user", "assistant"]
+    assert run() and store.messages().count() == 2
+    spark.streams.removeListener(progress)
+    with pytest.raises(PermissionError):
+        Store(spark, str(tmp_path / "store"), "you").claim()
+
+
+def test_publish_is_atomic_and_repeatable(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "me")
+    state = spark.createDataFrame([("codex", "a", "t", 10)], "source_type string, session_id string, title string, cursor_offset long")
+    rows = spark.createDataFrame([(f"m{i}", "codex", "a", i, "user", "message", "{}") for i in (1, 2, 2)], "message_id string, source_type string, session_id string, sequence_no long, role string, event_type string, content_json string")
+    store.publish(state, rows, 0)
+    assert store.messages().count() == 2
+    more = rows.withColumn("message_id", F.concat("message_id", F.lit("x")))
+    for stop in ("pending", "messages"):
+        store.publish(state.withColumn("title", F.lit("new")), more, 1, stop_after=stop)
+        assert store.messages().count() == 2 and store.sessions().first().pending_commit_id == 1 and store.next_commit() == 1
+    assert [tuple(r)[2:] for r in recovery(store.sessions(), state).collect()] == [(1, True)]
+    for _ in range(2):
+        store.publish(state.withColumn("title", F.lit("new")), more, 1)
+        assert store.messages().count() == 4 and store.sessions().first().title == "new" and store.next_commit() == 2
+    with pytest.raises(ValueError, match="unknown"):
+        assert_schema(rows.withColumn("other", F.lit(1)), MESSAGES)
+    with pytest.raises(ValueError, match="missing"):
+        assert_schema(rows.drop("message_id"), MESSAGES)
