@@ -100,6 +100,11 @@ def message_order(df: DataFrame, pending: str | None = None) -> DataFrame:
     return by_recency(df, ("created_at", "ingested_at"), (*SESSION_KEY, F.desc("sequence_no"), "message_id"), pending)
 
 
+def newest_first(files: DataFrame) -> DataFrame:
+    """Files (path, modified_at) with the latest first, ties by path."""
+    return files.orderBy(F.desc_nulls_last("modified_at"), "path")
+
+
 def page(ordered: DataFrame, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of sorted rows, with the total and whether more follow.
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -38,7 +39,7 @@ def found_files(options: dict) -> list[str]:
     recursive = str(options.get("recursive", "true")).lower() == "true"
     out: set[str] = set()
     for path in options["path"].split(","):
-        path = path.removeprefix("file://")
+        path = re.sub(r"^file:(?://)?(?=/)", "", path)
         if os.path.isdir(path):
             out.update(glob.glob(os.path.join(glob.escape(path), "**/*.jsonl" if recursive else "*.jsonl"), recursive=recursive))
         else:
