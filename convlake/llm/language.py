@@ -62,14 +62,16 @@ def machine(x, sign, c: float = 1.0, passes: int = 15):
     import numpy as np
 
     order, w = np.random.default_rng(7), np.zeros(x.shape[1] + 1)
-    alpha, size = np.zeros(len(x)), (x.astype("float64") ** 2).sum(axis=1) + 1
+    rows = [(at := np.flatnonzero(r), r[at].astype("float64")) for r in x]  # most features of a text are 0
+    alpha, size = np.zeros(len(x)), [float((v * v).sum()) + 1 for _, v in rows]
     for _ in range(passes):
         for i in order.permutation(len(x)):
-            slope = sign[i] * (x[i] @ w[:-1] + w[-1]) - 1
+            at, v = rows[i]
+            slope = sign[i] * (float((v * w[at]).sum()) + w[-1]) - 1
             new = min(max(alpha[i] - slope / size[i], 0.0), c)
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
-                w[:-1] += step * x[i]
+                w[at] += step * v
                 w[-1] += step
                 alpha[i] = new
     return w
