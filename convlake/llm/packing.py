@@ -137,24 +137,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keyed = pieces.withColumn("tie", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("salt", F.pmod("tie", F.lit(SALTS)).cast("int"))
     cells = keyed.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most capacity * SALTS rows
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity
-    runs = spark.sparkContext.broadcast(sorted(plan(counts, capacity)))
+    # as many rows as the plan has runs, which depends on the capacity and not on the table
+    runs = spark.createDataFrame(plan(counts, capacity), "length long, low long, high long, per long, sequence long, at long")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("tie", "doc_id", "piece"))
     ranked = keyed.withColumn("nth", nth).join(F.broadcast(firsts), ["length", "salt"]).select(*pieces.columns, (F.col("first") + F.col("nth") - 1).alias("rank"))
-
-    def places(batches):
-        import numpy as np
-
-        table = np.array(runs.value, dtype="int64").reshape(-1, 6)
-        key = (table[:, 0] << 44) | table[:, 1]
-        for pdf in batches:
-            length, rank = pdf["length"].to_numpy("int64"), pdf.pop("rank").to_numpy("int64")
-            _, low, _, per, sequence, offset = table[np.searchsorted(key, (length << 44) | rank, "right") - 1].T
-            yield pdf.assign(sequence_id=sequence + (rank - low) // per, offset=offset + (rank - low) % per * length)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(places, f"{schema}, sequence_id long, offset long")
+    within = F.col("rank") - F.col("low")
+    placed = ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return placed.select(*(ranked[c] for c in pieces.columns), (F.col("sequence") + F.floor(within / F.col("per"))).alias("sequence_id"), (F.col("at") + within % F.col("per") * ranked["length"]).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

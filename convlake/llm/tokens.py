@@ -8,7 +8,7 @@ import re
 from array import array
 
 #: Words whose ids a worker remembers before it starts afresh.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,51 +48,57 @@ class Encoder:
     def __init__(self, path: str, spaces: str):
         self.tokenizer, self.join = load_tokenizer(path), spaces == "join"
         self.memo: dict[str, bytes | None] = {}
-        self.cores: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}  # runs of marks, and first chunks of texts
         self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.space = self.letters[32] if self.join else ""
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _core(self, core: str) -> bytes:
-        """Ids of letters (or of marks), straight from the library's model."""
-        found = self.cores.get(core)
-        if found is None:
-            whole = core if self.join else core.lower()
-            spelled = whole.encode().decode("latin-1").translate(self.letters)
-            found = self.cores[core] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return found
+    def _spelled(self, text: str) -> str:
+        return text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+
+    def _model_ids(self, spelled: str) -> bytes:
+        """Ids of one pre-token, straight from the library's model."""
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        hard = []
+        memo, hard = self.memo, []
         for w in words:
-            if simple := self.SIMPLE.fullmatch(w):
+            if w.isascii() and w.isalpha():
+                memo[w] = self._model_ids(self.space + (w if self.join else w.lower()))
+            elif simple := self.SIMPLE.fullmatch(w):
                 letters, marks = simple.groups()
-                ids = self._core(f" {letters}" if self.join else letters)
-                self.memo[w] = ids + self._core(marks) if marks else ids
+                ids = memo.get(letters)
+                if ids is None:
+                    ids = memo[letters] = self._model_ids(self.space + self._spelled(letters if self.join else letters.lower()))
+                if marks:
+                    if marks not in self.others:
+                        self.others[marks] = self._model_ids(marks)
+                    memo[w] = ids + self.others[marks]
             elif self.join and (not w or w[0].isspace() or w[-1].isspace()):
-                self.memo[w] = None
+                memo[w] = None
             else:
                 hard.append(w)
         if hard:
-            self.memo.update(zip(hard, self._ids([f" {w}" for w in hard] if self.join else hard), strict=True))
+            memo.update(zip(hard, self._ids([f" {w}" for w in hard] if self.join else hard), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if max(len(self.memo), len(self.cores), len(self.first)) > MEMO_WORDS:
-            self.memo.clear(), self.cores.clear(), self.first.clear()
+        if len(self.memo) + len(self.others) > MEMO_WORDS:
+            self.memo.clear(), self.others.clear()
         cut = [(t.split(" ") if self.join else t.replace("\n", " ").split(" ")) for t in texts]
         out = []
         for text, words in zip(texts, cut, strict=True):
             head = words.pop(0) if self.join else ""
             self._learn(set(words).difference(self.memo))
-            if head and head not in self.first:
-                self.first[head] = self._ids([head])[0]
+            key = f" {head}"  # no run of marks looks like it
+            if head and key not in self.others:
+                self.others[key] = self._ids([head])[0]
             try:
                 if head and head[-1].isspace():
                     raise TypeError
-                out.append((self.first[head] if head else b"") + b"".join(map(self.memo.__getitem__, words)))
+                out.append((self.others[key] if head else b"") + b"".join(map(self.memo.__getitem__, words)))
             except TypeError:  # a chunk beside other white space
                 out += self._ids([text])
         return out
