@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most keys that a filter sends to every executor; beyond it the same filter is a shuffled join.
 BROADCAST_KEYS = 1_000_000
+#: Rows that a Python worker holds at once while a work table is written.
+BATCH_ROWS = 1024
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -20,12 +23,32 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-work/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Within this, Python workers get at most ``rows`` rows at once: texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` once and read back, which cuts its lineage."""
-    df.write.mode("overwrite").parquet(path)
+    """``df`` written to ``path`` once, in small batches, and read back, which cuts its lineage."""
+    with small_batches(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a work table that nothing will read again."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in ``text`` as long; null text has 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

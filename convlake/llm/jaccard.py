@@ -19,7 +19,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, drop_keys, staged, work_dir
+from .common import BROADCAST_KEYS, discard, drop_keys, staged, work_dir
 from .graph import components, forest
 
 WORDS = 3
@@ -29,6 +29,8 @@ COUNT_BITS = 18
 #: Prefix shingles of more sets than this are handled in blocks.
 SMALL = 24
 BLOCK = 512
+#: Components of candidate pairs that a task verifies.
+TOGETHER = 32
 SLICES = 8
 
 SQL = r"""
@@ -163,19 +165,61 @@ def _gap(a: Column, b: Column) -> Column:
     return functools.reduce(lambda x, y: x + y, [F.abs(byte(a, k) - byte(b, k)) for k in range(SLICES)])
 
 
-def _small_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of short lists: every candidate pair is verified once."""
-    a, b = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "slices"))) for x in "ab")
+def _near(percent: int) -> Column:
+    """Whether the filters on length, position and suffix leave a pair of rows with suffixes a and b."""
     need = _overlap(F.col("n_a"), F.col("n_b"), percent)
     follow = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    pairs = a.join(b, "token").where(F.col("node_a") < F.col("node_b"))
-    pairs = pairs.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (follow >= need) & (_gap(F.col("slices_a"), F.col("slices_b")) <= F.col("n_a") + F.col("n_b") - 2 * need))
-    pairs = pairs.select("node_a", "node_b").distinct()
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (follow >= need) & (_gap(F.col("slices_a"), F.col("slices_b")) <= F.col("n_a") + F.col("n_b") - 2 * need)
+
+
+def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+    return rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "slices", *more)))
+
+
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """node_a and node_b of the candidate pairs in short lists that no filter drops, each pair once."""
+    a, b = _side(lists, "a"), _side(lists, "b")
+    return a.join(b, (a["token"] == b["token"]) & (F.col("node_a") < F.col("node_b")) & _near(percent)).select("node_a", "node_b").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs``, by joining both whole sets to each."""
     whole = pairs.join(sets.select(F.col("node").alias("node_a"), F.col("set").alias("set_a")), "node_a").join(sets.select(F.col("node").alias("node_b"), F.col("set").alias("set_b")), "node_b")
     both = F.size(F.array_intersect("set_a", "set_b"))
     return whole.where(both * 100 >= F.lit(percent) * (F.size("set_a") + F.size("set_b") - both)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
 
 
+def _clusters(pairs: DataFrame, path: str) -> DataFrame:
+    """node, root and task of the nodes in small components of candidate pairs; task is null in large ones.
+
+    A task has about ``TOGETHER`` components of at most ``BLOCK`` nodes each.
+    """
+    roots = components(pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), f"{path}/candidates")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    tasks = max(1, sizes.count() // TOGETHER)
+    task = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("root"), F.lit(tasks)))
+    return staged(roots.join(sizes, "root").select("node", task.alias("task")), f"{path}/clusters")
+
+
+def _verified_together(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among ``pairs`` (with task), each set (with task) being sent to its task once."""
+
+    def verify(sets, pairs):
+        import numpy as np
+        import pandas as pd
+
+        by_node = dict(zip(sets["node"], sets["set"], strict=True))
+        links = []
+        for a, b in zip(pairs["node_a"], pairs["node_b"], strict=True):
+            x, y = by_node[a], by_node[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                links.append((a, b))
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+    return sets.groupBy("task").cogroup(pairs.groupBy("task")).applyInPandas(verify, "u long, v long")
+
+
 def block_links(nodes, sides, sets, percent: int, within: bool) -> list[tuple[int, int]]:
     """Links that join trees among the sets of one side (``within``), or between sides 0 and 1."""
     import numpy as np
@@ -232,24 +276,19 @@ def _large_first(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _block_links(tasks, sets, percent)
 
 
-def _large_rest(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links in long lists between sets that aren't joined yet.
+def _large_rest(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs in long lists between sets that aren't joined yet.
 
-    In a list, the sets outside its largest component are compared with all others of it.
+    In a list, the sets outside its largest component are compared with all others of it; what the filters
+    leave is verified like any other pair.
     """
-    member = lists.select("token", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = member.groupBy("token", "root").agg(F.count("*").alias("n"))
-    lead = parts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("lead"), F.sum("n").alias("size"), F.max("n").alias("most"))
-    mixed = member.join(lead.where("size > most"), "token").withColumn("few", (F.col("root") != F.col("lead")).cast("int"))
-    outer = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
-    rows = _dealt(mixed, F.col("size")).withColumn("outers", outer)
-    share = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outers")).cast("int")
-    few = rows.where("few = 1").withColumn("outer", share)
-    # outer sets against every block, and every set in its block against all outer sets
-    left = few.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "outer", "block", "node", F.lit(0).alias("side"))
-    right = rows.withColumn("outer", F.explode(F.sequence(F.lit(0), F.col("outers") - 1))).select("token", "outer", "block", "node", F.lit(1).alias("side"))
-    tasks = left.unionByName(right).select(F.struct("token", "outer", "block").alias("task"), "node", "side", F.lit(False).alias("within"))
-    return _block_links(tasks, sets, percent)
+    member = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = member.groupBy("token", "root").agg(F.count("*").alias("many"))
+    lead = parts.groupBy("token").agg(F.max_by("root", F.struct("many", "root")).alias("lead"), F.sum("many").alias("size"), F.max("many").alias("most"))
+    mixed = member.join(lead.where("size > most").select("token", "lead"), "token")
+    a, b = _side(mixed.where("root != lead"), "a", "root"), _side(mixed, "b", "root")
+    apart = (a["token"] == b["token"]) & (F.col("root_a") != F.col("root_b")) & _near(percent)
+    return a.join(b, apart).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -272,21 +311,28 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     seen = spark.sparkContext.broadcast(counts)
 
     prefixes = staged(_prefixes(docs, seen, width, percent), f"{folder}/prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low != high").select("token")
+    mark = F.xxhash64("sig")
+    shared = prefixes.groupBy("token").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("token")
     shared = staged(shared, f"{folder}/shared")
     few = shared.count() <= BROADCAST_KEYS
     # copies in different tasks meet here
-    lists = prefixes.join(F.broadcast(shared) if few else shared, "token", "left_semi").groupBy("token", "sig").agg(*(F.first(c).alias(c) for c in ("n", "place", "slices")))
+    lists = prefixes.join(F.broadcast(shared) if few else shared, "token", "left_semi").groupBy("token", "sig").agg(*(F.min(c).alias(c) for c in ("n", "place", "slices")))
     lists = staged(lists, f"{folder}/lists")
+    discard(spark, f"{folder}/prefixes")
 
-    # the sets that share a prefix shingle get numbers; their texts are read again
-    chosen = rows.join(lists.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"))
+    # the sets that share a prefix shingle get numbers
+    chosen = rows.join(lists.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
     nodes = staged(chosen.withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
     lists = staged(lists.join(nodes.select("sig", "node"), "sig").drop("sig"), f"{folder}/numbered")
-    ids = nodes.select(F.col("first_id").alias("_id")).distinct()
-    small = ids.count() <= BROADCAST_KEYS
-    again = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    discard(spark, f"{folder}/lists")
+    # lists of the same sets are one: that of the shingle that comes first has the true places
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.min(F.struct("node", "place")).alias("at"))
+    sizes = staged(sizes.groupBy("size", "same").agg(F.min_by("token", F.struct(F.col("at.place"), "token")).alias("token")).select("token", "size"), f"{folder}/sizes")
+    lists = lists.join(sizes, "token")
+    pairs = staged(_pairs(lists.where(F.col("size") <= SMALL), percent), f"{folder}/pairs")
+    large = staged(lists.where(F.col("size") > SMALL).drop("size"), f"{folder}/large")
 
+    # only the texts of sets in candidate pairs and long lists are read again
     def hashes(batches):
         import pandas as pd
 
@@ -294,20 +340,33 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
             found = [h for h in (shingle_hashes(t, width) for t in pdf["text"]) if len(h)]
             yield pd.DataFrame({"sig": [signature(h) for h in found], "set": [h.view("int64") for h in found]})
 
-    sets = again.select("text").mapInPandas(hashes, "sig binary, set array<long>").join(nodes.select("sig", "node"), "sig").dropDuplicates(["node"]).select("node", "set")
-    sets = staged(sets, f"{folder}/whole")
-
-    # lists of the same sets are one: that of the shingle that comes first has the true places
-    sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.min(F.struct("node", "place")).alias("at"))
-    sizes = staged(sizes.groupBy("size", "same").agg(F.min_by("token", F.struct(F.col("at.place"), "token")).alias("token")).select("token", "size"), f"{folder}/sizes")
-    lists = lists.join(sizes, "token")
-    links = staged(_small_links(lists.where(F.col("size") <= SMALL), sets, percent), f"{folder}/small")
-    large = lists.where(F.col("size") > SMALL).select("token", "node")
-    if not sizes.where(F.col("size") > SMALL).isEmpty():
-        large = staged(large, f"{folder}/large")
+    def whole(chosen: DataFrame) -> DataFrame:
+        """Sets of the nodes of ``chosen`` (node, sig, first_id and more), from the texts."""
+        ids = chosen.select(F.col("first_id").alias("_id")).distinct()
+        n, nodes_ = ids.count(), chosen.drop("first_id")
+        small = n <= BROADCAST_KEYS
+        again = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+        found = again.mapInPandas(hashes, "sig binary, set array<long>").join(F.broadcast(nodes_) if small else nodes_, "sig").drop("sig")
+        # only ids that several rows have can give a set twice
+        return found if again.count() == n else found.dropDuplicates(["node"])
+
+    clusters = _clusters(pairs, folder)
+    together = clusters.where("task is not null")
+    task = together.select(F.col("node").alias("node_a"), "task")
+    links = _verified_together(pairs.join(task, "node_a"), whole(nodes.join(together, "node")), percent)
+    apart = clusters.where("task is null").select("node")
+    long_lists = not large.isEmpty()
+    if long_lists or not apart.isEmpty():
+        chosen = nodes.join(apart.unionByName(large.select("node")).distinct(), "node", "left_semi")
+        sets = staged(whole(chosen), f"{folder}/whole")
+        links = links.unionByName(_verified(pairs.join(apart.select(F.col("node").alias("node_a")), "node_a", "left_semi"), sets, percent))
+    links = staged(links, f"{folder}/small")
+    if long_lists:
         links = staged(links.unionByName(_large_first(large, sets, percent)), f"{folder}/first")
         roots = components(links, f"{folder}/roots")
-        links = staged(links.unionByName(_large_rest(large, roots, sets, percent)), f"{folder}/rest")
+        rest = staged(_large_rest(large, roots, percent), f"{folder}/apart")
+        links = staged(links.unionByName(_verified(rest, sets, percent)), f"{folder}/rest")
+        discard(spark, f"{folder}/whole")
     roots = components(links, f"{folder}/end")
 
     named = nodes.join(roots, "node").select("root", "sig", "first_id")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import small_batches, work_dir
 from .tokens import encoder
 
 MAGIC = b"TIDZ"
@@ -150,7 +150,8 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
         if entries:
             yield done()
 
-    ordered.mapInPandas(blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        ordered.mapInPandas(blocks, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:
