@@ -3,7 +3,8 @@
 The pieces are those of an existing subword vocabulary. Their ranks there give the first scores, which
 expectation-maximisation over the lattices of the training words fits to the corpus; the vocabulary
 itself is never changed. A word, with its boundary mark, is a lattice of all its segmentations into
-pieces (any character may also be spelled in bytes), and a forward recursion in log space sums them. A
+pieces (a character that is no piece itself is spelled in bytes), and a forward recursion in log space
+sums them. A
 text is its words and one end, so its probability is the product of theirs.
 
 Word counts cover the whole corpus and stay in a table. Only scores by piece (as many as the vocabulary
@@ -31,8 +32,8 @@ END = "</s>"
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[str, int], list[int], frozenset, int]:
-    """Id by piece, ids of the 256 bytes, all beginnings of pieces, and the id of the end.
+def vocabulary(path: str) -> tuple[dict[str, int], list[int], int]:
+    """Id by piece, ids of the 256 bytes, and the id of the end.
 
     Pieces with a letter A-Z can't occur in normalised text and are left out.
     """
@@ -47,15 +48,14 @@ def vocabulary(path: str) -> tuple[dict[str, int], list[int], frozenset, int]:
             in_bytes[spelled[piece]] = k
         elif not (model.is_control(k) or model.is_unknown(k) or any("A" <= c <= "Z" for c in piece)):
             pieces[piece] = k
-    starts = frozenset(p[:n] for p in pieces for n in range(1, len(p) + 1))
-    return pieces, in_bytes, starts, model.piece_to_id(END)
+    return pieces, in_bytes, model.piece_to_id(END)
 
 
 def first_scores(path: str):
     """Log probabilities by id from the ranks of the vocabulary: the n-th piece weighs 1 / n."""
     import numpy as np
 
-    pieces, in_bytes, _, end = vocabulary(path)
+    pieces, in_bytes, end = vocabulary(path)
     known = sorted({*pieces.values(), *in_bytes, end})
     scores = np.full(known[-1] + 1, -np.inf)
     scores[known] = -np.log(np.arange(1, len(known) + 1))
@@ -63,60 +63,76 @@ def first_scores(path: str):
 
 
 class Lattice:
-    """Segmentations of words, weighted by ``scores`` (log probabilities by id)."""
+    """Segmentations of words, weighted by ``scores`` (log probabilities by id).
+
+    What ends within the beginning that a word shares with the one before it is kept, so words are best
+    given in order.
+    """
 
     def __init__(self, path: str, scores):
-        pieces, self.in_bytes, self.starts, self.end = vocabulary(path)
+        pieces, self.in_bytes, self.end = vocabulary(path)
         self.scores = scores.tolist()
         self.pieces = {p: (k, self.scores[k]) for p, k in pieces.items()}
+        #: a piece, or (None) just the end of one
+        self.tails: dict[str, tuple[int, float] | None] = dict.fromkeys(p[n:] for p in pieces for n in range(len(p)))
+        self.tails.update(self.pieces)
         self.spelled: dict[str, tuple[tuple[int, ...], float]] = {}
+        #: the last text, log probabilities up to each place of it, and by place the (start, ids, score) that end there
+        self.text, self.alpha, self.arcs = "", [0.0], [[]]
 
     def spell(self, char: str) -> tuple[tuple[int, ...], float]:
+        """Ids of the bytes of ``char``, and their score."""
         if char not in self.spelled:
             ids = tuple(self.in_bytes[b] for b in char.encode())
             self.spelled[char] = ids, sum(self.scores[k] for k in ids)
         return self.spelled[char]
 
-    def arcs(self, word: str):
-        """By start: (end, ids, score) of every piece that fits, and of the character in bytes."""
-        text = "▁" + word
-        for i, char in enumerate(text):
-            ids, score = self.spell(char)
-            found = [(i + 1, ids, score)]
-            for j in range(i + 1, len(text) + 1):
-                part = text[i:j]
-                if part not in self.starts:
-                    break
-                if part in self.pieces:
-                    k, score = self.pieces[part]
-                    found.append((j, (k,), score))
-            yield found
-
     def forward(self, word: str) -> float:
         """Log of the summed probability of all segmentations of ``word``."""
-        into: dict[int, list[float]] = {0: [0.0]}
-        for i, found in enumerate(self.arcs(word)):
-            at = log_sum(into.pop(i))
-            for j, _, score in found:
-                into.setdefault(j, []).append(at + score)
-        return log_sum(into[len(word) + 1])
+        text, last, tails = "▁" + word, self.text, self.tails
+        same, most = 0, min(len(text), len(last))
+        while same < most and text[same] == last[same]:
+            same += 1
+        alpha, arcs = self.alpha, self.arcs
+        del alpha[same + 1 :], arcs[same + 1 :]
+        for j in range(same + 1, len(text) + 1):
+            found, terms = [], []
+            for i in range(j - 1, -1, -1):
+                hit = tails.get(text[i:j], 0)
+                if hit == 0:
+                    break
+                if hit:
+                    k, score = hit
+                    found.append((i, k, score))
+                    terms.append(alpha[i] + score)
+            if not found or found[0][0] != j - 1:  # the character is no piece
+                ids, score = self.spell(text[j - 1])
+                found.append((j - 1, ids, score))
+                terms.append(alpha[j - 1] + score)
+            arcs.append(found)
+            alpha.append(log_sum(terms))
+        self.text = text
+        return alpha[-1]
 
     def expect(self, word: str, weight: float, counts) -> None:
-        """Add to ``counts`` how often each id is expected in ``weight`` times ``word``."""
-        all_arcs, n = list(self.arcs(word)), len(word) + 1
-        into: list[list[float]] = [[0.0]] + [[] for _ in range(n)]
-        alpha = []
-        for i, found in enumerate(all_arcs):
-            alpha.append(log_sum(into[i]))
-            for j, _, score in found:
-                into[j].append(alpha[i] + score)
-        total, beta = log_sum(into[n]), [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            beta[i] = log_sum([score + beta[j] for j, _, score in all_arcs[i]])
-            for j, ids, score in all_arcs[i]:
-                share = weight * math.exp(alpha[i] + score + beta[j] - total)
-                for k in ids:
+        """Add to ``counts`` how often each id is expected in ``weight`` times ``word``.
+
+        From the end backwards, each place passes what reaches it to the places where its pieces start.
+        """
+        self.forward(word)
+        alpha, arcs, exp = self.alpha, self.arcs, math.exp
+        reach = [0.0] * len(alpha)
+        reach[-1] = weight
+        for j in range(len(alpha) - 1, 0, -1):
+            here, total = reach[j], alpha[j]
+            for i, k, score in arcs[j]:
+                share = here * exp(alpha[i] + score - total)
+                reach[i] += share
+                if type(k) is int:
                     counts[k] += share
+                else:
+                    for one in k:
+                        counts[one] += share
 
 
 def log_sum(terms: list[float]) -> float:
@@ -158,7 +174,7 @@ def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS, prior: flo
 
     spark, scores = words.sparkSession, first_scores(path)
     known = np.isfinite(scores)
-    end = vocabulary(path)[3]
+    end = vocabulary(path)[2]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(scores)
 
@@ -174,7 +190,7 @@ def fit(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS, prior: flo
             ids = np.flatnonzero(found)
             yield pd.DataFrame({"id": ids, "expected": found[ids]})
 
-        sums = words.where("c > 0").select("word", "c").mapInPandas(expected, "id int, expected double").groupBy("id").agg(F.sum("expected").alias("expected"))
+        sums = words.where("c > 0").select("word", "c").sortWithinPartitions("word").mapInPandas(expected, "id int, expected double").groupBy("id").agg(F.sum("expected").alias("expected"))
         counts = np.zeros(len(scores))
         for row in sums.collect():  # one row per piece of the vocabulary
             counts[row["id"]] = row["expected"]
@@ -212,7 +228,7 @@ def score_texts(docs: DataFrame, path: str, rounds: int = ROUNDS, hot_words: int
             pdf["base"] = np.log10(pdf["c"].to_numpy("float64") + 0.5) - below
             yield pdf[["word", "c", "n", "base", "score"]]
 
-    words = staged(words.mapInPandas(weigh, "word binary, c long, n long, base double, score double"), f"{folder}/scored")
+    words = staged(words.sortWithinPartitions("word").mapInPandas(weigh, "word binary, c long, n long, base double, score double"), f"{folder}/scored")
 
     grade = F.floor(F.log2("n") * 8)
     room, least = hot_words, None
@@ -224,7 +240,7 @@ def score_texts(docs: DataFrame, path: str, rounds: int = ROUNDS, hot_words: int
     hot = words.where(grade >= least).collect() if least is not None else []  # hot_words at most
     by_word = {bytes(r["word"]): k for k, r in enumerate(hot)}
     table = np.array([(r["base"], r["score"], r["c"] > 0) for r in hot], dtype="float64").reshape(-1, 3)
-    hot, end = spark.sparkContext.broadcast((by_word, table)), vocabulary(path)[3]
+    hot, end = spark.sparkContext.broadcast((by_word, table)), vocabulary(path)[2]
     end_row = (math.log10(ends + 0.5) - below, scores[end] / math.log(10), int(ends > 0))
 
     def look(batches):

@@ -20,7 +20,7 @@ def every_segmentation(text, lattice):
     """Probabilities of all ways to cut ``text``."""
     if not text:
         return [1.0]
-    out = [math.exp(lattice.spell(text[0])[1]) * p for p in every_segmentation(text[1:], lattice)]
+    out = [] if text[0] in lattice.pieces else [math.exp(lattice.spell(text[0])[1]) * p for p in every_segmentation(text[1:], lattice)]
     for n in range(1, len(text) + 1):
         if text[:n] in lattice.pieces:
             out += [math.exp(lattice.pieces[text[:n]][1]) * p for p in every_segmentation(text[n:], lattice)]
