@@ -120,8 +120,12 @@ def search(q_ids, q, floors, ids, v, k: int):
         direction, t = q[at] / q_len[at], float(cosine[at])
         mask = v_len >= need[at]
         for f in np.argsort(-np.abs(direction))[:FOCUS]:
-            reach = np.sqrt(max(0.0, (1 - direction[f] ** 2) * (1 - t * t))) + 1e-9
-            mask &= np.abs(unit[:, f] - direction[f] * t) <= reach if direction[f] * t + reach <= 1 else unit[:, f] >= direction[f] * t - reach
+            # within the angle of t around the query, which can take in the axis itself
+            middle, reach = direction[f] * t, np.sqrt(max(0.0, (1 - direction[f] ** 2) * (1 - t * t))) + 1e-7
+            if direction[f] < t:
+                mask &= unit[:, f] <= middle + reach
+            if direction[f] > -t:
+                mask &= unit[:, f] >= middle - reach
         rows = np.flatnonzero(mask)
         best(at, rows, v[rows] @ q[at])
     return tuple(np.concatenate(x) if found else np.zeros(0) for x in zip(*found, strict=True)) if found else (np.zeros(0, "int64"),) * 3

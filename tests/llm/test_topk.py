@@ -58,3 +58,24 @@ def test_query_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
     assert {tuple(r) for r in op7_top_k(spark, SF).collect()} == set(con.sql(SQL).fetchall())
+
+
+def test_spiky_and_short(spark, monkeypatch):
+    """Vectors along one axis, and of one and two dimensions, over several blocks and buckets."""
+    from convlake.llm import topk
+
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    r = random.Random(4)
+    for dim in (1, 2, 12):
+        rows = []
+        for i in range(200):
+            v = [r.gauss(0, 0.3) for _ in range(dim)]
+            if i % 2:
+                v[r.randrange(dim)] = r.choice((-1, 1)) * r.uniform(2, 9)
+            if i % 5 == 0:
+                v = [0.9 * (1 + i % 3)] + [0.436 * (1 + i % 3)] * (dim > 1) + [0.0] * (dim - 2)
+            rows.append((i, [struct32(x) for x in v]))
+        table = vectors(spark, rows)
+        got = {tuple(x) for x in top_k(table, table.where("vec_id % 4 = 0"), 3).collect()}
+        assert got == plain(rows, set(range(0, 200, 4)), 3)
