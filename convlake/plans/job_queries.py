@@ -23,29 +23,40 @@ from .bindings import messages, read, sessions
 from .queries import MKEY, query
 
 CODEX = """'{"timestamp":"2026-01-01T00:00:00Z","type":"response_item","payload":{"type":"message","role":"' || role || '","content":[{"type":"input_text","text":"' || role || '"}]}}'"""
+#: The same with what was said in place of the role.
+CODEX_TEXT = """'{"timestamp":"2026-01-01T00:00:00Z","type":"response_item","payload":{"type":"message","role":"' || role || '","content":[{"type":"input_text","text":' || CAST(to_json(text) AS VARCHAR) || '}]}}'"""
 
 
-def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of every session's messages as codex events, every fifth one malformed."""
-    block = F.struct(F.lit("input_text").alias("type"), F.col("role").alias("text"))
+def transcripts(spark: SparkSession, d: str, said: str = "text") -> DataFrame:
+    """Lines of every session's messages as codex events with the column ``said``, every fifth one malformed."""
+    block = F.struct(F.lit("input_text").alias("type"), F.col(said).alias("text"))
     payload = F.struct(F.lit("message").alias("type"), "role", F.array(block).alias("content"))
     event = F.to_json(F.struct(F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.lit("response_item").alias("type"), payload.alias("payload")))
     broken = F.col("sequence_no") % 5 == 4
     return messages(spark, d).select("source_type", "session_id", F.col("sequence_no").alias("position"), F.lit(0).alias("ord"), F.when(broken, F.lit("{broken")).otherwise(event).alias("json"))
 
 
-def written(spark: SparkSession, d: str) -> DataFrame:
+def written(spark: SparkSession, d: str, said: str = "text") -> DataFrame:
     """The same, written as files by session and read with offsets; ``session_id`` comes from the folder."""
     path = f"{work_dir(spark)}/transcripts"
-    X.write_transcripts(transcripts(spark, d), path)
+    X.write_transcripts(transcripts(spark, d, said), path)
     register(spark)
     lines = spark.read.format("jsonl_offsets").option("path", f"{path}/*/*/*.txt").load()
     return lines.withColumn("session_id", F.regexp_extract("path", "session=([^/]+)/", 1))
 
 
+def scanned(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("session_id").agg(F.count_if("line_terminated").alias("lines"), F.max("end_offset").alias("bytes"))
+
+
 @query("s1_offset_scan", f"SELECT session_id, count(*) AS lines, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX} END) + 1) AS BIGINT) AS bytes FROM messages_v GROUP BY session_id")
 def _(spark, d):
-    return written(spark, d).groupBy("session_id").agg(F.count_if("line_terminated").alias("lines"), F.max("end_offset").alias("bytes"))
+    return scanned(written(spark, d, "role"))
+
+
+@query("s1_text_scan", f"SELECT session_id, count(*) AS lines, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX_TEXT} END) + 1) AS BIGINT) AS bytes FROM messages_v GROUP BY session_id")
+def _(spark, d):
+    return scanned(written(spark, d))
 
 
 @query("p1_codex_events", f"SELECT session_id, CASE WHEN sequence_no % 5 = 4 THEN 'unknown' ELSE role END AS role, CASE WHEN sequence_no % 5 = 4 THEN 'parse_error' ELSE 'message' END AS event_type, count(*) AS n FROM messages_v GROUP BY ALL")
@@ -55,9 +66,18 @@ def _(spark, d):
     return rows.groupBy(session.alias("session_id"), "role", "event_type").agg(F.count("*").alias("n"))
 
 
+def cursors(lines: DataFrame) -> DataFrame:
+    return D.cursors(lines).select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session_id"), "cursor_offset", "cursor_anchor")
+
+
 @query("p3_cursors", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX} END) + 1) AS BIGINT) AS cursor_offset, sha256(arg_max(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX} END, sequence_no)) AS cursor_anchor FROM messages_v GROUP BY session_id")
 def _(spark, d):
-    return D.cursors(written(spark, d)).select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session_id"), "cursor_offset", "cursor_anchor")
+    return cursors(written(spark, d, "role"))
+
+
+@query("p3_text_cursors", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX_TEXT} END) + 1) AS BIGINT) AS cursor_offset, sha256(arg_max(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX_TEXT} END, sequence_no)) AS cursor_anchor FROM messages_v GROUP BY session_id")
+def _(spark, d):
+    return cursors(written(spark, d))
 
 
 @query("p4_malformed", "SELECT session_id, '{\"_parse_error\":true,\"raw_line\":\"{broken\"}' AS content_json FROM messages_v WHERE sequence_no % 5 = 4")
@@ -70,7 +90,7 @@ def published(spark: SparkSession, d: str, stop_after: str = "") -> Store:
     """Messages in two commits, the second left where ``stop_after`` says."""
     store = Store(spark, f"{work_dir(spark)}/store", "bench")
     store.claim()
-    rows = messages(spark, d).withColumn("content_json", F.to_json(F.struct("role"))).select("message_id", "source_type", "session_id", "sequence_no", "role", "event_type", "content_json", "created_at")
+    rows = messages(spark, d).withColumn("content_json", F.to_json(F.struct("role", "text"))).select("message_id", "source_type", "session_id", "sequence_no", "role", "event_type", "content_json", "created_at")
     for commit, part in enumerate((rows.where("sequence_no < 2"), rows.where("sequence_no >= 2"))):
         state = part.groupBy("source_type", "session_id").agg(F.max("sequence_no").alias("cursor_offset"))
         store.publish(state, part, commit, stop_after if commit else "")
@@ -137,18 +157,27 @@ def _(spark, d):
     return rows.select("message_id", F.when(data == "blob:0", "too large").otherwise(F.sha2(F.unbase64(data), 256)).alias("sha256"))
 
 
-@query("j8_restore_boundaries", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{}}' ELSE {CODEX} END) + 1) AS BIGINT) + strlen(',\"_restore_boundary\":\"' || any_value(source_type) || ':' || session_id || ':' || CAST(any_value(conv_id) % 4 AS VARCHAR) || '\"') - CASE WHEN max(sequence_no) % 5 = 4 THEN 1 ELSE 0 END AS resume_offset FROM messages_v GROUP BY session_id")
-def _(spark, d):
+def boundaries(spark: SparkSession, d: str, said: str = "text") -> DataFrame:
     path, s = f"{work_dir(spark)}/marked", sessions(spark, d)
-    lines = transcripts(spark, d).withColumn("json", F.when(F.col("json") == "{broken", "{}").otherwise(F.col("json")))
+    lines = transcripts(spark, d, said).withColumn("json", F.when(F.col("json") == "{broken", "{}").otherwise(F.col("json")))
     X.write_transcripts(X.marked(lines, s), path)
     register(spark)
     return X.restore_boundaries(spark.read.format("jsonl_offsets").option("path", f"{path}/*/*/*.txt").load(), s).select("session_id", "resume_offset")
 
 
+@query("j8_restore_boundaries", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{}}' ELSE {CODEX} END) + 1) AS BIGINT) + strlen(',\"_restore_boundary\":\"' || any_value(source_type) || ':' || session_id || ':' || CAST(any_value(conv_id) % 4 AS VARCHAR) || '\"') - CASE WHEN max(sequence_no) % 5 = 4 THEN 1 ELSE 0 END AS resume_offset FROM messages_v GROUP BY session_id")
+def _(spark, d):
+    return boundaries(spark, d, "role")
+
+
+@query("j8_text_boundaries", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{}}' ELSE {CODEX_TEXT} END) + 1) AS BIGINT) + strlen(',\"_restore_boundary\":\"' || any_value(source_type) || ':' || session_id || ':' || CAST(any_value(conv_id) % 4 AS VARCHAR) || '\"') - CASE WHEN max(sequence_no) % 5 = 4 THEN 1 ELSE 0 END AS resume_offset FROM messages_v GROUP BY session_id")
+def _(spark, d):
+    return boundaries(spark, d)
+
+
 @query("r2_wrapped", "SELECT session_id, count(*) AS lines FROM (SELECT session_id, sequence_no FROM messages_v UNION ALL SELECT session_id, sequence_no FROM messages_v WHERE role IN ('user', 'assistant') UNION ALL SELECT session_id, sequence_no FROM messages_v m WHERE role = 'user' UNION ALL SELECT session_id, sequence_no FROM messages_v m WHERE role = 'user') GROUP BY session_id")
 def _(spark, d):
-    turned = T.turns(messages(spark, d).withColumn("content_json", F.to_json(F.struct("role"))))
+    turned = T.turns(messages(spark, d).withColumn("content_json", F.to_json(F.struct("role", "text"))))
     return T.wrapped(turned).groupBy("session_id").agg(F.count("*").alias("lines"))
 
 
