@@ -119,44 +119,85 @@ def _(spark, d):
     return published(spark, d).sessions().select("source_type", "session_id", F.col("last_commit_id").cast("int").alias("last_commit_id"), "cursor_offset")
 
 
-def with_attachments(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as a message with its text inline in base64, and a remote image."""
+def with_attachments(spark: SparkSession, d: str, most: int = A.MOST) -> DataFrame:
+    """Every document as a message with its text inline in base64, and a remote image; at most ``most`` bytes are stored."""
     data = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
     source = F.struct(F.lit("base64").alias("type"), F.lit("text/plain").alias("media_type"), data.alias("data"))
     none = F.lit(None).cast("struct<type:string,media_type:string,data:string>")
     content = F.array(F.struct(F.lit("document").alias("type"), F.lit(None).cast("string").alias("image_url"), source.alias("source")), F.struct(F.lit("input_image").alias("type"), F.lit("https://me:pw@h.org/i.png?k=1").alias("image_url"), none.alias("source")))
     docs = read(spark, d, "documents").where("length(text) > 0")
-    return A.taken_out(docs.select(F.col("doc_id").cast("string").alias("message_id"), F.to_json(F.struct(F.struct(content.alias("content")).alias("message"))).alias("content_json")), most=4000)
+    return A.taken_out(docs.select(F.col("doc_id").cast("string").alias("message_id"), F.to_json(F.struct(F.struct(content.alias("content")).alias("message"))).alias("content_json")), most=most)
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    rows = rows.select("message_id", F.explode(A.manifest(F.col("content_json"))).alias("e"))
+    return rows.select("message_id", *(F.col(f"e.{n}").alias(n) for n in ("index", "status", "size", "sha256", "source_reference")))
 
 
 @query("b4_manifest", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, CASE WHEN i = 1 THEN 'remote_not_downloaded' WHEN strlen(text) > 4000 THEN 'too_large' ELSE 'stored' END AS status, CASE WHEN i = 0 THEN strlen(text) END AS size, CASE WHEN i = 0 AND strlen(text) <= 4000 THEN sha256(text) END AS sha256, CASE WHEN i = 0 THEN 'inline:text/plain' ELSE 'https://h.org/i.png' END AS source_reference FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
 def _(spark, d):
-    rows = with_attachments(spark, d).select("message_id", F.explode(A.manifest(F.col("content_json"))).alias("e"))
-    return rows.select("message_id", *(F.col(f"e.{n}").alias(n) for n in ("index", "status", "size", "sha256", "source_reference")))
+    return entries(with_attachments(spark, d, 4000))
+
+
+@query("b4_whole_manifest", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, CASE WHEN i = 1 THEN 'remote_not_downloaded' ELSE 'stored' END AS status, CASE WHEN i = 0 THEN strlen(text) END AS size, CASE WHEN i = 0 THEN sha256(text) END AS sha256, CASE WHEN i = 0 THEN 'inline:text/plain' ELSE 'https://h.org/i.png' END AS source_reference FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
+def _(spark, d):
+    return entries(with_attachments(spark, d))
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    return rows.where(F.size(A.stored_attachments(F.col("content_json"))) == 1).select("message_id")
 
 
 @query("b6_stored", "SELECT CAST(doc_id AS VARCHAR) AS message_id FROM documents WHERE length(text) > 0 AND strlen(text) <= 4000", views=False)
 def _(spark, d):
-    return with_attachments(spark, d).where(F.size(A.stored_attachments(F.col("content_json"))) == 1).select("message_id")
+    return stored(with_attachments(spark, d, 4000))
+
+
+@query("b6_whole_stored", "SELECT CAST(doc_id AS VARCHAR) AS message_id FROM documents WHERE length(text) > 0", views=False)
+def _(spark, d):
+    return stored(with_attachments(spark, d))
+
+
+def looked_up(rows: DataFrame) -> DataFrame:
+    return A.lookup(rows, 0).select("message_id", F.sha2("data", 256).alias("sha256"), "mime_type", "file_name")
 
 
 @query("q5_attachment", "SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN strlen(text) <= 4000 THEN sha256(text) END AS sha256, 'text/plain' AS mime_type, 'attachment-0' AS file_name FROM documents WHERE length(text) > 0", views=False)
 def _(spark, d):
-    return A.lookup(with_attachments(spark, d), 0).select("message_id", F.sha2("data", 256).alias("sha256"), "mime_type", "file_name")
+    return looked_up(with_attachments(spark, d, 4000))
+
+
+@query("q5_whole_attachment", "SELECT CAST(doc_id AS VARCHAR) AS message_id, sha256(text) AS sha256, 'text/plain' AS mime_type, 'attachment-0' AS file_name FROM documents WHERE length(text) > 0", views=False)
+def _(spark, d):
+    return looked_up(with_attachments(spark, d))
 
 
 @query("b8_pending_detail", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, i = 0 AND strlen(text) <= 4000 AS present FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
 def _(spark, d):
-    return A.pending_detail(with_attachments(spark, d))
+    return A.pending_detail(with_attachments(spark, d, 4000))
 
 
-@query("b9_put_back", "SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN strlen(text) <= 4000 THEN sha256(text) ELSE 'too large' END AS sha256 FROM documents WHERE length(text) > 0", views=False)
+@query("b8_whole_pending", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, i = 0 AS present FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
 def _(spark, d):
-    rows = A.put_back(with_attachments(spark, d))
+    return A.pending_detail(with_attachments(spark, d))
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    rows = A.put_back(rows)
     data = F.get_json_object("content_json", "$.message.content[0].source.data")
     return rows.select("message_id", F.when(data == "blob:0", "too large").otherwise(F.sha2(F.unbase64(data), 256)).alias("sha256"))
 
 
+@query("b9_put_back", "SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN strlen(text) <= 4000 THEN sha256(text) ELSE 'too large' END AS sha256 FROM documents WHERE length(text) > 0", views=False)
+def _(spark, d):
+    return restored(with_attachments(spark, d, 4000))
+
+
+@query("b9_whole_put_back", "SELECT CAST(doc_id AS VARCHAR) AS message_id, sha256(text) AS sha256 FROM documents WHERE length(text) > 0", views=False)
+def _(spark, d):
+    return restored(with_attachments(spark, d))
+
+
 def boundaries(spark: SparkSession, d: str, said: str = "text") -> DataFrame:
     path, s = f"{work_dir(spark)}/marked", sessions(spark, d)
     lines = transcripts(spark, d, said).withColumn("json", F.when(F.col("json") == "{broken", "{}").otherwise(F.col("json")))

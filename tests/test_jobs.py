@@ -45,3 +45,18 @@ def test_texts_reach_the_reader(spark, sf):
 def test_texts_are_published(spark, sf):
     found = [json.loads(r.content_json)["text"] for r in J.published(spark, sf).messages().collect()]
     assert sorted(found) == sorted(t for c in (1, 2) for t in TEXTS[: 9 - c])
+
+
+def test_long_documents_are_stored_and_put_back(spark, tmp_path):
+    texts = ["short", "y" * 3_999 + "é", "z \U0001f600" * 60_000]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    sums = {str(i): hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    found = {name: queries()[name](spark, d).collect() for name in ("b4_whole_manifest", "b6_whole_stored", "q5_whole_attachment", "b8_whole_pending", "b9_whole_put_back", "b5_whole_policy")}
+    assert {r.message_id: (r.status, r.size, r.sha256) for r in found["b4_whole_manifest"] if r["index"] == 0} == {str(i): ("stored", len(t.encode()), sums[str(i)]) for i, t in enumerate(texts)}
+    assert {r.message_id for r in found["b6_whole_stored"]} == set(sums)
+    assert {r.message_id: r.sha256 for r in found["q5_whole_attachment"]} == {r.message_id: r.sha256 for r in found["b9_whole_put_back"]} == sums
+    assert {(r.message_id, r.present) for r in found["b8_whole_pending"] if r["index"] == 0} == {(i, True) for i in sums}
+    assert {(str(r.doc_id), r.status, r.sha256) for r in found["b5_whole_policy"]} == {(i, "stored", x) for i, x in sums.items()}
+    capped = J.with_attachments(spark, d, most=4000)
+    assert {(r.message_id, r.status) for r in J.entries(capped).collect() if r["index"] == 0} == {("0", "stored"), ("1", "too_large"), ("2", "too_large")}
