@@ -176,6 +176,11 @@ def same_boundary(a: Column, b: Column) -> Column:
     return F.when(known, a["anchor"].isNotNull() & a["anchor"].eqNullSafe(b["anchor"])).otherwise(a["offset"].eqNullSafe(b["offset"]))
 
 
+def bounded(text: Column, most: int = 2_000_000) -> tuple[Column, Column, Column]:
+    """How long ``text`` is, its first ``most`` characters, and whether that cuts it."""
+    return F.length(text).cast("long"), F.left(text, F.lit(most)), F.length(text) > most
+
+
 def attachment_at(attachments: Column, index: Column, most: int | None = None) -> Column:
     """Bytes at ``index``; null beyond the end; an error above ``most`` bytes."""
     found = F.get(attachments, index)

@@ -168,7 +168,14 @@ def _(spark, d):
 
 @query("f24_bounded", "SELECT doc_id, length(text) AS content_length, left(text, 500) AS detail, length(text) > 500 AS cut FROM documents", views=False)
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("content_length"), F.left("text", F.lit(500)).alias("detail"), (F.length("text") > 500).alias("cut"))
+    length, detail, cut = S.bounded(F.col("text"), 500)
+    return read(spark, d, "documents").select("doc_id", length.alias("content_length"), detail.alias("detail"), cut.alias("cut"))
+
+
+@query("f24_whole_bounded", "SELECT doc_id, length(text) AS content_length, left(text, 2000000) AS detail, length(text) > 2000000 AS cut FROM documents", views=False)
+def _(spark, d):
+    length, detail, cut = S.bounded(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", length.alias("content_length"), detail.alias("detail"), cut.alias("cut"))
 
 
 # ---- rendering ------------------------------------------------------------------------------------
@@ -211,10 +218,19 @@ def _(spark, d):
     return events_json(spark, d).select(*M, R.preview(F.col("content_json"), F.lit("x"), F.lit("y"), conversation=True).alias("preview"))
 
 
+def enveloped(rows):
+    wrapped = F.concat(F.lit("# Files mentioned by the user:\n\n## a.txt: /tmp/a.txt\n\n## My request for Codex:\n"), "text")
+    return rows.select(*M, R.without_envelope(wrapped).alias("text"))
+
+
 @query("t10_envelope", f"SELECT {MKEY}, text FROM messages_v WHERE NOT contains(text, chr(10))")
 def _(spark, d):
-    wrapped = F.concat(F.lit("# Files mentioned by the user:\n\n## a.txt: /tmp/a.txt\n\n## My request for Codex:\n"), "text")
-    return messages(spark, d).where(~F.contains("text", F.lit("\n"))).select(*M, R.without_envelope(wrapped).alias("text"))
+    return enveloped(messages(spark, d).where(~F.contains("text", F.lit("\n"))))
+
+
+@query("t10_whole_envelope", f"SELECT {MKEY}, text FROM messages_v")
+def _(spark, d):
+    return enveloped(messages(spark, d))
 
 
 @query("t12_human_text", f"SELECT {MKEY}, CASE WHEN sequence_no % 2 = 0 THEN role || chr(10) || 'b' ELSE '[x]' END AS text FROM messages_v")
@@ -223,11 +239,19 @@ def _(spark, d):
     return messages(spark, d).select(*M, R.human_text(json, F.lit("x")).alias("text"))
 
 
+def fenced(rows, code):
+    text = F.concat(F.lit("x\n```sql\n"), code, F.lit("\n```\ny\n```\n"), code, F.lit("\n```\n"))
+    return R.code_blocks(rows.withColumn("text", text), "text", "doc_id")
+
+
 @query("t13_code_blocks", "SELECT doc_id, CAST(b AS INTEGER) AS block, CASE WHEN b = 0 THEN 'sql' END AS language, split_part(text, chr(10), 1) || chr(10) AS code FROM documents, range(2) r(b)", views=False)
 def _(spark, d):
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    text = F.concat(F.lit("x\n```sql\n"), first, F.lit("\n```\ny\n```\n"), first, F.lit("\n```\n"))
-    return R.code_blocks(read(spark, d, "documents").withColumn("text", text), "text", "doc_id")
+    return fenced(read(spark, d, "documents"), F.split_part("text", F.lit("\n"), F.lit(1)))
+
+
+@query("t13_whole_blocks", "SELECT doc_id, CAST(b AS INTEGER) AS block, CASE WHEN b = 0 THEN 'sql' END AS language, text || chr(10) AS code FROM documents, range(2) r(b)", views=False)
+def _(spark, d):
+    return fenced(read(spark, d, "documents"), F.col("text"))
 
 
 @query("t14_pipe_lines", r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, list_transform(string_split(regexp_replace(trim(l, chr(32) || chr(9) || chr(10) || chr(13)), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE contains(l, '|')", views=False)

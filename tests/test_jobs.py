@@ -60,3 +60,16 @@ def test_long_documents_are_stored_and_put_back(spark, tmp_path):
     assert {(str(r.doc_id), r.status, r.sha256) for r in found["b5_whole_policy"]} == {(i, "stored", x) for i, x in sums.items()}
     capped = J.with_attachments(spark, d, most=4000)
     assert {(r.message_id, r.status) for r in J.entries(capped).collect() if r["index"] == 0} == {("0", "stored"), ("1", "too_large"), ("2", "too_large")}
+
+
+def test_whole_texts_are_cut_and_scanned(spark, sf, tmp_path):
+    texts = ["a\nb\n\nc", "m" * 2_000_001, "no line end", "é\n" * 900]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    cut = {r.doc_id: (r.content_length, r.detail, r.cut) for r in queries()["f24_whole_bounded"](spark, d).collect()}
+    assert cut == {i: (len(t), t[:2_000_000], len(t) > 2_000_000) for i, t in enumerate(texts)}
+    code = {(r.doc_id, r.block): (r.language, r.code) for r in queries()["t13_whole_blocks"](spark, d).where("doc_id <> 1").collect()}
+    assert code == {(i, b): (None if b else "sql", t + "\n") for i, t in enumerate(texts) for b in (0, 1) if i != 1}
+    said = {(r.session_id, r.sequence_no): r.text for r in queries()["t10_whole_envelope"](spark, sf).collect()}
+    assert {k: t for k, t in said.items() if TEXTS[k[1]].strip()} == {(str(c), t): x for c in (1, 2) for t, x in enumerate(TEXTS[: 9 - c]) if x.strip()}
+    assert len(said) == 15
