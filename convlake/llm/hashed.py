@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_KEYS
+
 BITS = 14
 
 
@@ -41,6 +43,19 @@ def grams(codes, sizes: tuple[int, ...], bits: int = BITS):
     return np.concatenate(out).astype("int64") if out else np.zeros(0, "int64")
 
 
+def first_by_hash(rows: DataFrame, label: str, sizes: DataFrame, keys: list[str], per_label: int) -> DataFrame:
+    """``label`` and the distinct ``keys`` that come first by their hash: at most ``per_label`` of each label.
+
+    ``sizes`` has label and ``_n``, about how many there are. By it only a few more than needed are ranked.
+    """
+    few = sizes.count() <= BROADCAST_KEYS
+    draw = F.xxhash64(*keys)
+    share = F.least(F.lit(1.0), (2.0 * per_label + 100) / F.col("_n"))
+    near = rows.join(F.broadcast(sizes) if few else sizes, label).where(draw.cast("double") <= (share - 0.5) * 2.0**64)
+    order = Window.partitionBy(label).orderBy(draw, *keys)
+    return near.select(*keys, label).distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_label).drop("_rank")
+
+
 def drawn(labels: DataFrame, label: str, per_label: int) -> DataFrame:
     """doc_id and ``label`` of at most ``per_label`` labelled documents of each label.
 

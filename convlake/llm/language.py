@@ -13,8 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder
-from .hashed import BITS, code_points, dense, grams, letters, sparse
+from .common import remainder, staged, work_dir
+from .hashed import BITS, code_points, dense, first_by_hash, grams, letters, sparse
 
 #: Documents to learn from, over all languages.
 SAMPLE = 2400
@@ -121,6 +121,16 @@ def decide(model: Model, margins) -> tuple[str, float]:
     return lang, sure * sure_too
 
 
+def sampled(known: DataFrame, sample: int) -> DataFrame:
+    """doc_id, text and lang of the rows to learn from: an equal share of each language, at least four.
+
+    All languages that occur are in it. Rows are drawn by hash; those that repeat count once.
+    """
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("_n"))
+    sizes = staged(sizes, f"{work_dir(known.sparkSession)}/languages")
+    return first_by_hash(known, "lang", sizes, ["doc_id", "text"], max(4, sample // max(1, sizes.count())))
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
 
@@ -133,14 +143,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     held = remainder(F.col("doc_id"), 3) == 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
     known = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    each = max(4, sample // max(1, len(counts)))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
-    chosen = known.limit(0)
-    if counts:
-        share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, each / n)))
-        chosen = known.where(draw < share[F.col("lang")]).limit(2 * sample)
-    model = train(*dense(sparse(chosen.select("text", "lang"), features, "lang")))
+    model = train(*dense(sparse(sampled(known, sample).select("text", "lang"), features, "lang")))
     weights = model.weights[: 1 << BITS].astype("float32"), model.weights[-1:]
     shared = spark.sparkContext.broadcast((model, *weights))
 

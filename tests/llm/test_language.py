@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from convlake.llm.language import decide, identify, machine, op9_language_id, train
+from convlake.llm.language import decide, identify, machine, op9_language_id, sampled, train
 
 from .data import SF, awkward, clashing, table
 
@@ -48,3 +48,12 @@ def test_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()}
     rows = [r for r in op9_language_id(spark, SF.replace("0.001", "0.01")).collect() if r.held_out]
     assert sum(lang[r.doc_id] == r.lang_pred for r in rows) > 0.97 * len(rows)
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(10 * k + i, f"text {i}", f"l{k:03}") for k in range(230) for i in range(3)] + [(5000, "again and again", "l000")] * 9000 + [(5001 + i, f"t{i}", "l001") for i in range(3000)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [tuple(r) for r in sampled(known, 2400).select("doc_id", "text", "lang").collect()]
+    assert len(found) == len(set(found)) and {lang for *_, lang in found} == {f"l{k:03}" for k in range(230)}
+    assert set(found) == {tuple(r) for r in sampled(known.repartition(7), 2400).select("doc_id", "text", "lang").collect()}
+    assert max(sum(r[2] == lang for r in found) for lang in ("l000", "l001")) == 2400 // 230
