@@ -59,15 +59,11 @@ def first_by_hash(rows: DataFrame, label: str, sizes: DataFrame, keys: list[str]
 def drawn(labels: DataFrame, label: str, per_label: int) -> DataFrame:
     """doc_id and ``label`` of at most ``per_label`` labelled documents of each label.
 
-    Labels are few and bounded by the task (grades, yes or no). Documents are drawn by hash; of several
-    labels for one document the largest counts.
+    All labels that occur are kept. Documents are drawn by hash; of several labels for one document the
+    largest counts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    found = None
-    for (value,) in sorted(known.select(label).distinct().limit(64).collect()):
-        part = known.where(F.col(label) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        found = part if found is None else found.unionByName(part)
-    return known.limit(0) if found is None else found
+    return first_by_hash(known, label, known.groupBy(label).agg(F.count("*").alias("_n")), ["doc_id"], per_label)
 
 
 def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:

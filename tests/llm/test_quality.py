@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from convlake.llm.hashed import drawn
 from convlake.llm.quality import features, fit, op8_ordinal_quality, rate
 
 from .data import SF, awkward, clashing, table
@@ -44,3 +45,9 @@ def test_held_out(spark):
     good, bad = [x for x in seen if x[0]], [x for x in seen if not x[0]]
     assert sum(x[1] for x in good) > 0.97 * len(good)
     assert sum(not x[1] for x in bad) > 0.8 * len(bad)
+
+
+def test_all_grades_are_drawn(spark):
+    labels = spark.createDataFrame([(i, i % 101 if i < 4000 else 50) for i in range(9000)], "doc_id long, grade int")
+    found = drawn(labels, "grade", 20).groupBy("grade").count().collect()
+    assert {r["grade"]: r["count"] for r in found} == dict.fromkeys(range(101), 20)
