@@ -19,7 +19,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, discard, drop_keys, staged, work_dir
+from .common import BROADCAST_KEYS, discard, staged, work_dir
 from .graph import components, forest
 
 WORDS = 3
@@ -87,7 +87,10 @@ def least_overlap(n_a, n_b, percent: int):
 
 
 def _sets(docs: DataFrame, width: int, counts_path: str) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n and sig of every row; how often shingles of each slot occur. One pass over the texts."""
+    """doc_id, n, sig and the columns ``h`` and ``g`` if there are any of every row; how often shingles of
+    each slot occur. One pass over the texts.
+    """
+    own = [c for c in ("h", "g") if c in docs.columns]
 
     def sets(batches):
         import numpy as np
@@ -101,12 +104,13 @@ def _sets(docs: DataFrame, width: int, counts_path: str) -> tuple[DataFrame, Dat
                 np.add.at(seen, (h >> np.uint64(64 - COUNT_BITS)).astype("int64"), 1)
                 n.append(len(h))
                 sig.append(signature(h) if len(h) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "sig": sig, "slot": pd.array([None] * len(n), "Int32"), "seen": pd.array([None] * len(n), "Int64")})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "sig": sig, "slot": pd.array([None] * len(n), "Int32"), "seen": pd.array([None] * len(n), "Int64"), **{c: pdf[c] for c in own}})
         slots = np.flatnonzero(seen)
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(slots), "Int64"), "n": pd.array([None] * len(slots), "Int32"), "sig": [None] * len(slots), "slot": slots, "seen": seen[slots]})
+        yield pd.DataFrame({"doc_id": pd.array([None] * len(slots), "Int64"), "n": pd.array([None] * len(slots), "Int32"), "sig": [None] * len(slots), "slot": slots, "seen": seen[slots], **{c: pd.array([None] * len(slots), "Int64") for c in own}})
 
-    rows = staged(docs.select("doc_id", "text").mapInPandas(sets, "doc_id long, n int, sig binary, slot int, seen long"), counts_path)
-    return rows.where("slot is null").select("doc_id", "n", "sig"), rows.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen"))
+    schema = ", ".join(["doc_id long, n int, sig binary, slot int, seen long", *(f"{c} long" for c in own)])
+    rows = staged(docs.select("doc_id", "text", *own).mapInPandas(sets, schema), counts_path)
+    return rows.where("slot is null").select("doc_id", "n", "sig", *own), rows.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen"))
 
 
 def _slices(h):
@@ -299,11 +303,18 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     are linked. A component's id is its smallest doc_id; null ids are passed over (and give null where a
     component has no other). Rows that repeat stay; other columns are ignored.
     """
+    return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """What jaccard_components() gives for ``docs`` (doc_id, text and maybe h and g), with h, g and ``part``.
+
+    ``part`` tells components apart also where they have one id; it is null where there are no shingles.
+    """
     import numpy as np
 
     spark = docs.sparkSession
     folder = work_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, slots = _sets(docs, width, f"{folder}/sets")
     counts = np.zeros(1 << COUNT_BITS, "int64")
     for r in slots.toLocalIterator():  # 2 ** COUNT_BITS numbers at most
@@ -370,18 +381,39 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     roots = components(links, f"{folder}/end")
 
     named = nodes.join(roots, "node").select("root", "sig", "first_id")
-    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("linked_id")), "root").select("sig", "linked_id")
+    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("linked_id")), "root").select("sig", "root", "linked_id")
     # equal sets outside the lists, too
     own = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("own_id"))
-    by_set = own.join(named, "sig", "left").select("sig", F.least("own_id", "linked_id").alias("set_id"))
-    return rows.join(by_set, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("set_id")).alias("component_id"))
+    by_set = own.join(named, "sig", "left").select("sig", "root", F.least("own_id", "linked_id").alias("set_id"))
+    part = F.coalesce(F.concat(F.lit("root "), F.col("root").cast("string")), F.hex("sig"))
+    return rows.join(by_set, "sig", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("set_id")).alias("component_id"),
+        part.alias("part"), *(c for c in ("h", "g") if c in rows.columns),
+    )
 
 
 def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; rows without an id stay."""
-    found = jaccard_components(docs, width, percent)
-    lost = staged(found.where("doc_id != component_id").select("doc_id").distinct(), f"{work_dir(docs.sparkSession)}/lost")
-    return drop_keys(docs, lost, "doc_id").select(*docs.columns)
+    """``docs`` with one row of each component, that of the smallest doc_id (null is above all others).
+
+    Rows are told apart by doc_id and two hashes of the text; of rows that agree in both, one stays. Rows
+    without shingles stay.
+    """
+    folder = work_dir(docs.sparkSession)
+    hashes = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    found = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", hashes[0].alias("h"), hashes[1].alias("g")), width, percent)
+    found = staged(found.where("part is not null").select("part", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g").alias("key")), f"{folder}/found")
+    best = found.groupBy("part").agg(F.min("key").alias("best"), F.count("*").alias("n")).where("n > 1").select("part", "best")
+    keys = found.join(best, "part").groupBy("key", "best").agg(F.count("*").alias("n")).withColumn("stays", F.col("key") == F.col("best"))
+    keys = keys.where("not stays or n > 1").select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_kh"), F.col("key.g").alias("_kg"), "stays")
+    keys = staged(keys, f"{folder}/keys")
+    listed = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    keyed = docs.withColumns({"_h": hashes[0], "_g": hashes[1]})
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kh")) & (F.col("_g") == F.col("_kg"))
+    rest = keyed.join(listed, on, "left_anti").select(*docs.columns)
+    if keys.where("stays").isEmpty():
+        return rest
+    repeats = keyed.join(listed.where("stays"), on, "left_semi").dropDuplicates(["doc_id", "_h", "_g"]).select(*docs.columns)
+    return rest.unionByName(repeats)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

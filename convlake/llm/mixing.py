@@ -124,16 +124,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns.
 
-    Rows that agree in doc_id, source and size all get the largest number of copies among them. The
-    decisions are one short row per document; their number is checked before they go to every executor.
+    Rows that agree in doc_id, source and size share what the mix gives them, the first by hash of their
+    text get one copy more. The decisions are one short row per document; their number is checked before
+    they go to every executor.
     """
     spark = docs.sparkSession
-    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = staged(taken, f"{work_dir(spark)}/copies")
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
+    taken = staged(taken.where("copies > 0 or more > 0"), f"{work_dir(spark)}/copies")
+    uneven = not taken.where("more > 0").isEmpty()
     small = taken.count() <= BROADCAST_KEYS
     taken = taken.select(*(F.col(c).alias(f"_{c}") for c in taken.columns))
     on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
     rows = docs.join(F.broadcast(taken) if small else taken, on)
+    if uneven:
+        rank = F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text")))
+        shared = rows.where("_more > 0").withColumn("_copies", F.col("_copies") + (rank <= F.col("_more")).cast("long"))
+        rows = rows.where("_more = 0").unionByName(shared).where("_copies > 0")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 

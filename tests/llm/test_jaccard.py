@@ -92,3 +92,17 @@ def test_long_chain(spark, tmp_path):
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(op6_jaccard_join(spark, SF)) == plain(docs)
+
+
+def test_one_of_each_row(spark):
+    """Ids that repeat, or are null, with other texts: components decide, not ids."""
+    r = random.Random(9)
+    long = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (long() for _ in range(5))
+    near = lambda t: t + " more"
+    docs = [(1, a), (5, near(a)), (5, b), (7, c), (7, near(c)), (None, d), (None, near(d)), (None, e), (9, e), (9, e), (3, "x"), (3, None), (1, long())]
+    out = [(x.doc_id, x.text) for x in one_of_each(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOCS)).collect()]
+    assert (1, a) in out and (5, near(a)) not in out and (5, b) in out and docs[-1] in out
+    assert len([x for x in out if x[0] == 7]) == 1 and len([x for x in out if x[0] is None]) == 1
+    assert out.count((9, e)) == 1 and (None, e) not in out and {(3, "x"), (3, None)} <= set(out)
+    assert len(out) == 8

@@ -89,3 +89,15 @@ def test_documents(spark):
 def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     check(op1_mix_sources(spark, SF).collect(), docs)
+
+
+def test_copies_of_rows_alike(spark):
+    """Rows without an id, of one source and size, are in the mix as often as it says, and no more."""
+    docs = table(spark, [(None, f"one two three{i}", "en", "abc"[i % 3], 1) for i in range(90)] + [(7, f"four five{i}", "en", "b", 1) for i in range(5)])
+    want = Counter()
+    for x in mix(docs).collect():
+        want[x.doc_id, x.source] += x.copies
+    rows = mixed_documents(docs).collect()
+    assert Counter((x.doc_id, x.source) for x in rows) == +want
+    least = {k: min(x.copies for x in mix(docs).collect() if (x.doc_id, x.source) == k) for k in want}
+    assert all(n - least[x[0], x[1]] in (0, 1) for x, n in Counter((x.doc_id, x.source, x.text) for x in rows).items())
