@@ -25,7 +25,8 @@ def references(content_json: Column) -> Column:
     """Attachments of an event of either client, in order: kind, reference, mime_type and inline data.
 
     Images as URLs or data URIs, image and document sources in base64, those inside tool results, and then
-    files that the text lists, unless an image wrapper names the same path.
+    files that the text lists, unless an image wrapper names the same path. A generated image is the file that
+    was saved, with the inline data that stands in for it where the file is missing.
     """
     raw = F.coalesce(F.get_json_object(content_json, "$.payload.content"), F.get_json_object(content_json, "$.message.content"))
     outer = F.coalesce(F.from_json(raw, SOURCE), F.array().cast(SOURCE))
@@ -39,7 +40,16 @@ def references(content_json: Column) -> Column:
     text = F.array_join(F.transform(F.coalesce(F.from_json(raw, "array<struct<text:string>>"), F.array().cast("array<struct<text:string>>")), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
     wrapped = F.regexp_extract_all(text, F.lit(r'<image\b[^>]*\bpath="([^"]+)"'), F.lit(1))
     files = F.transform(F.filter(S.mentioned_files(text), lambda f: ~F.array_contains(wrapped, f["path"])), lambda f: F.struct(F.lit("LOCAL_PATH").alias("kind"), f["path"].alias("reference"), F.lit(None).cast("string").alias("mime_type"), F.lit(None).cast("string").alias("data")))
-    return F.concat(inline, files)
+    return F.concat(inline, files, generated(content_json))
+
+
+def generated(content_json: Column) -> Column:
+    """The image of a codex image_generation_end event, as references() has it; empty for other events."""
+    at = lambda path: F.nullif(F.trim(F.get_json_object(content_json, path)), F.lit(""))
+    saved, result = at("$.payload.saved_path"), at("$.payload.result")
+    image = F.struct(F.when(saved.isNull(), "BASE64").otherwise("LOCAL_PATH").alias("kind"), saved.alias("reference"), F.lit("image/png").alias("mime_type"), result.alias("data"))
+    is_one = (at("$.type") == "event_msg") & (at("$.payload.type") == "image_generation_end") & F.coalesce(saved, result).isNotNull()
+    return F.filter(F.array(image), lambda x: F.coalesce(is_one, F.lit(False)))
 
 
 def taken_out(messages: DataFrame, files: DataFrame | None = None, most: int = MOST, key: str = "message_id") -> DataFrame:
@@ -51,19 +61,22 @@ def taken_out(messages: DataFrame, files: DataFrame | None = None, most: int = M
     """
     refs = messages.select(key, F.posexplode(references(F.col("content_json"))).alias("index", "r")).select(key, "index", "r.*")
     rows = resolved_inline(refs, "data", most)
-    local = F.col("kind") == "LOCAL_PATH"
     if files is not None:
         there = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("reference"), F.col("content").alias("_content"))
         rows = rows.join(there, "reference", "left")
     else:
         rows = rows.withColumn("_content", F.lit(None).cast("binary"))
+    # what was saved and isn't there any more may still be inline
+    instead = (F.col("kind") == "LOCAL_PATH") & F.col("_content").isNull() & F.col("data").isNotNull()
+    rows = rows.withColumns({"kind": F.when(instead, "BASE64").otherwise(F.col("kind")), "reference": F.when(~instead, F.col("reference"))})
+    local = F.col("kind") == "LOCAL_PATH"
     size = F.octet_length("_content")
     status = F.when(F.col("kind") == "REMOTE_URL", "remote_not_downloaded").when(local & F.col("_content").isNull(), "missing").when(local & (size > most), "too_large").when(local, "stored").otherwise(F.col("status"))
     payload = F.when(local & (size <= most), F.col("_content")).when(~local, F.col("payload"))
     rows = rows.withColumns({"status": status, "payload": payload, "size": F.when(local, size.cast("long")).when(F.col("kind") != "REMOTE_URL", F.col("size")), "file_name": F.when(local, F.regexp_extract("reference", r"([^/\\]+)$", 1))})
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "mime_type": F.coalesce("mime_type", S.sniffed_mime(F.col("payload")))})
     entry = F.struct("index", "file_name", "mime_type", F.col("kind").alias("source_kind"), S.safe_reference(F.col("kind"), F.col("reference"), F.col("mime_type")).alias("source_reference"), "status", "size", "sha256")
-    items = F.array_sort(F.collect_list(F.struct("index", entry.alias("entry"), "payload", F.when(~local, F.col("data")).alias("data"))))
+    items = F.array_sort(F.collect_list(F.struct("index", entry.alias("entry"), "payload", "data")))
     found = rows.groupBy(key).agg(items.alias("_items"))
     out = messages.join(found, key, "left")
     json = F.aggregate(F.coalesce("_items", F.array().cast(found.schema["_items"].dataType)), F.col("content_json"), lambda text, i: F.when(i["data"].isNotNull() & (i["data"] != ""), F.replace(text, i["data"], F.concat(F.lit("blob:"), i["index"].cast("string")))).otherwise(text))

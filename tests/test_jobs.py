@@ -73,3 +73,20 @@ def test_whole_texts_are_cut_and_scanned(spark, sf, tmp_path):
     said = {(r.session_id, r.sequence_no): r.text for r in queries()["t10_whole_envelope"](spark, sf).collect()}
     assert {k: t for k, t in said.items() if TEXTS[k[1]].strip()} == {(str(c), t): x for c in (1, 2) for t, x in enumerate(TEXTS[: 9 - c]) if x.strip()}
     assert len(said) == 15
+
+
+def test_generated_images_are_taken_out(spark):
+    import base64
+
+    from convlake.operators import attachments as A
+
+    inline = base64.b64encode(b"drawn here").decode()
+    image = lambda **more: json.dumps({"type": "event_msg", "payload": {"type": "image_generation_end", **more}})
+    rows = [("saved", image(saved_path="/i/a.png", result=inline)), ("lost", image(saved_path="/i/b.png", result=inline)), ("inline", image(result=inline)), ("gone", image(saved_path="/i/b.png")), ("none", image()), ("other", json.dumps({"type": "event_msg", "payload": {"type": "x", "result": inline}}))]
+    messages = spark.createDataFrame(rows, "message_id string, content_json string")
+    files = spark.createDataFrame([("file:/i/a.png", bytearray(b"on disk"))], "path string, content binary")
+    found = {r.message_id: r for r in A.taken_out(messages, files).collect()}
+    entries = {k: json.loads(r.content_json).get("_attachments") for k, r in found.items()}
+    assert {k: (e[0]["source_kind"], e[0]["status"], e[0]["mime_type"]) for k, e in entries.items() if e} == {"saved": ("LOCAL_PATH", "stored", "image/png"), "lost": ("BASE64", "stored", "image/png"), "inline": ("BASE64", "stored", "image/png"), "gone": ("LOCAL_PATH", "missing", "image/png")}
+    assert {k: bytes(r.attachments[0]) for k, r in found.items() if r.attachments and r.attachments[0]} == {"saved": b"on disk", "lost": b"drawn here", "inline": b"drawn here"}
+    assert {k for k, r in found.items() if inline in r.content_json} == {"other"}
