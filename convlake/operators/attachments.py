@@ -10,6 +10,7 @@ from convlake.functions import scalars as S
 ENTRY = "index int, file_name string, mime_type string, source_kind string, source_reference string, status string, size long, sha256 string"
 MANIFEST = f"array<struct<{', '.join(':'.join(x.split()) for x in ENTRY.split(', '))}>>"
 SOURCE = "array<struct<type:string,image_url:string,source:struct<type:string,media_type:string,data:string>,content:string>>"
+PATHS = "array<struct<type:string,filePath:string,path:string,file:string,content:string>>"
 MOST = 100 << 20
 
 
@@ -39,8 +40,24 @@ def references(content_json: Column) -> Column:
     ))
     text = F.array_join(F.transform(F.coalesce(F.from_json(raw, "array<struct<text:string>>"), F.array().cast("array<struct<text:string>>")), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
     wrapped = F.regexp_extract_all(text, F.lit(r'<image\b[^>]*\bpath="([^"]+)"'), F.lit(1))
-    files = F.transform(F.filter(S.mentioned_files(text), lambda f: ~F.array_contains(wrapped, f["path"])), lambda f: F.struct(F.lit("LOCAL_PATH").alias("kind"), f["path"].alias("reference"), F.lit(None).cast("string").alias("mime_type"), F.lit(None).cast("string").alias("data")))
-    return F.concat(inline, files, generated(content_json))
+    files = F.transform(F.filter(S.mentioned_files(text), lambda f: ~F.array_contains(F.concat(wrapped, named_paths(content_json)), f["path"])), lambda f: local_path(f["path"]))
+    return F.concat(inline, F.transform(named_paths(content_json), local_path), files, generated(content_json))
+
+
+def local_path(path: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit("LOCAL_PATH").alias("kind"), path.alias("reference"), none.alias("mime_type"), none.alias("data"))
+
+
+def named_paths(content_json: Column) -> Column:
+    """Different paths in ``file`` blocks, and in the file of image and document blocks, of a claude event."""
+    blank = F.array().cast(PATHS)
+    outer = F.coalesce(F.from_json(F.get_json_object(content_json, "$.message.content"), PATHS), blank)
+    inner = F.flatten(F.transform(F.filter(outer, lambda b: b["type"] == "tool_result"), lambda b: F.coalesce(F.from_json(b["content"], PATHS), blank)))
+    set_ = lambda x: F.when(F.trim(x) != "", x)
+    in_file = lambda b: F.when(b["file"].startswith("{"), F.coalesce(set_(F.get_json_object(b["file"], "$.filePath")), set_(F.get_json_object(b["file"], "$.path")))).otherwise(set_(b["file"]))
+    path = lambda b: F.when(b["type"] == "file", F.coalesce(set_(b["filePath"]), set_(b["path"]), in_file(b))).when(b["type"].isin("image", "document"), in_file(b))
+    return F.array_distinct(F.filter(F.transform(F.concat(outer, inner), path), lambda p: p.isNotNull()))
 
 
 def generated(content_json: Column) -> Column:

@@ -90,3 +90,13 @@ def test_generated_images_are_taken_out(spark):
     assert {k: (e[0]["source_kind"], e[0]["status"], e[0]["mime_type"]) for k, e in entries.items() if e} == {"saved": ("LOCAL_PATH", "stored", "image/png"), "lost": ("BASE64", "stored", "image/png"), "inline": ("BASE64", "stored", "image/png"), "gone": ("LOCAL_PATH", "missing", "image/png")}
     assert {k: bytes(r.attachments[0]) for k, r in found.items() if r.attachments and r.attachments[0]} == {"saved": b"on disk", "lost": b"drawn here", "inline": b"drawn here"}
     assert {k for k, r in found.items() if inline in r.content_json} == {"other"}
+
+
+def test_file_paths_are_attachments(spark):
+    from convlake.operators import attachments as A
+
+    blocks = [{"type": "file", "filePath": "/f/a"}, {"type": "file", "path": "/f/b"}, {"type": "file", "file": {"path": "/f/c"}}, {"type": "image", "file": {"filePath": "/f/d"}}, {"type": "document", "file": "/f/e"}, {"type": "file", "path": "/f/a"}, {"type": "text", "file": "/f/no"}, {"type": "tool_result", "content": [{"type": "file", "path": "/f/g"}]}]
+    rows = spark.createDataFrame([("m", json.dumps({"message": {"content": blocks}}))], "message_id string, content_json string")
+    found = A.taken_out(rows, spark.createDataFrame([("file:/f/a", bytearray(b"a"))], "path string, content binary")).first()
+    entries = json.loads(found.content_json)["_attachments"]
+    assert [(e["source_kind"], e["file_name"], e["status"]) for e in entries] == [("LOCAL_PATH", x, "stored" if x == "a" else "missing") for x in "abcdeg"]
