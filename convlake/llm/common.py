@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most keys that a filter sends to every executor; beyond it the same filter is a shuffled join.
-BROADCAST_KEYS = 1_000_000
+#: Most keys that a filter sends to every executor (keys have at most about 100 bytes, so 25 MB); beyond it
+#: the same filter is a shuffled join.
+BROADCAST_KEYS = 250_000
 #: Rows that a Python worker holds at once while a work table is written.
 BATCH_ROWS = 1024
 
@@ -49,6 +50,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def whole_rows(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of ``docs`` as one, so that no name of theirs meets a name that an operator uses.
+
+    ``select("row.*")`` gives them back.
+    """
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in ``text`` as long; null text has 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

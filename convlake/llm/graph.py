@@ -38,21 +38,3 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         edges = staged(_stars(_stars(edges, both=True), both=False), f"{path}/{k}")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
-
-def forest(pairs) -> list[tuple[int, int]]:
-    """The pairs that join two trees, in order: as many as the components need, and no more."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in pairs:
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            parent[rb] = ra
-            out.append((a, b))
-    return out

@@ -3,35 +3,37 @@
 Shingles are ordered by how common they are, then by hash. Two sets as similar as asked share one of
 the first ``n - ceil(share * n) + 1`` shingles of each, so sets are joined on those prefixes alone.
 Equal sets are one node from the start. A pair that shares a prefix shingle is dropped by the filters on
-length, position (what can still follow the shared one) and suffix (sets are cut into slices by hash, and
-their sizes differ by no more than the sets may); what is left is verified once, on the whole sets.
-
-How common a shingle is comes from counts by hash over the whole table, of bounded size. A prefix
-shingle that many sets share is handled in blocks: a task verifies two blocks of bounded size and passes
-on only links that join two trees, so large groups give no more rows than they have members. Sets that
-are joined already aren't compared again.
+length, position (what can still follow the shared one) and suffix (sets are cut into ``PARITY`` parts by
+hash; a part whose size is even in one and odd in the other holds a shingle that only one of them has);
+what is left is verified once, on the whole sets.
+
+How common a shingle is comes from counts by hash over the whole table, of bounded size. The sets that
+share a prefix shingle are first compared with the one among them that has it earliest, which is the
+likeliest to be what the others were copied from; then, of the sets that this hasn't joined, each with
+all others that it isn't joined with. So large groups of copies cost as many comparisons as they have
+members, and every link still counts.
 """
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, discard, staged, work_dir
-from .graph import components, forest
+from .common import BROADCAST_KEYS, discard, staged, whole_rows, work_dir
+from .graph import components
 
 WORDS = 3
 PERCENT = 90
-#: Slots of the counts by hash.
-COUNT_BITS = 18
-#: Prefix shingles of more sets than this are handled in blocks.
-SMALL = 24
-BLOCK = 512
-#: Components of candidate pairs that a task verifies.
-TOGETHER = 32
-SLICES = 8
+#: Slots of the counts by hash, and parts they are summed in.
+COUNT_BITS = 23
+COUNT_PARTS = 64
+#: Shingles that a worker holds before it counts them.
+HELD = 1 << 20
+#: Parts of a set whose parity the suffix filter compares.
+PARITY = 512
+MARKS = [f"p{k}" for k in range(PARITY // 64)]
 
 SQL = r"""
 WITH RECURSIVE w AS (
@@ -86,51 +88,124 @@ def least_overlap(n_a, n_b, percent: int):
     return -(-(percent * (n_a + n_b)) // (100 + percent))
 
 
-def _sets(docs: DataFrame, width: int, counts_path: str) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n, sig and the columns ``h`` and ``g`` if there are any of every row; how often shingles of
-    each slot occur. One pass over the texts.
+def _slot(hashes):
+    import numpy as np
+
+    return (hashes >> np.uint64(64 - COUNT_BITS)).astype("int32")
+
+
+def parities(hashes):
+    """Whether each of the PARITY parts of the set has an odd size, as longs."""
+    import numpy as np
+
+    odd = np.bincount((hashes >> np.uint64(20)).astype("int64") % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype("uint8")).view("<i8")
+
+
+def _sets(docs: DataFrame, width: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, sig, parities and the columns ``h`` and ``g`` if there are any of every row; and how often
+    shingles of each slot occur, one row for each task and range of slots. One pass over the texts.
     """
     own = [c for c in ("h", "g") if c in docs.columns]
 
     def sets(batches):
         import numpy as np
         import pandas as pd
+        import zstandard
+
+        seen, held, size = np.zeros(1 << COUNT_BITS, "<u4"), [], 0
+
+        def flush():
+            if held:
+                slots, many = np.unique(np.concatenate(held), return_counts=True)
+                seen[slots] += many.astype("<u4")
+                held.clear()
 
-        seen = np.zeros(1 << COUNT_BITS, "int64")
         for pdf in batches:
-            n, sig = [], []
+            n, sig, odd = [], [], []
             for text in pdf["text"]:
                 h = shingle_hashes(text, width)
-                np.add.at(seen, (h >> np.uint64(64 - COUNT_BITS)).astype("int64"), 1)
+                held.append(_slot(h))
+                size += len(h)
+                if size > HELD:
+                    flush()
+                    size = 0
                 n.append(len(h))
                 sig.append(signature(h) if len(h) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "sig": sig, "slot": pd.array([None] * len(n), "Int32"), "seen": pd.array([None] * len(n), "Int64"), **{c: pdf[c] for c in own}})
-        slots = np.flatnonzero(seen)
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(slots), "Int64"), "n": pd.array([None] * len(slots), "Int32"), "sig": [None] * len(slots), "slot": slots, "seen": seen[slots], **{c: pd.array([None] * len(slots), "Int64") for c in own}})
+                odd.append(parities(h))
+            odd = np.array(odd, "int64").reshape(len(n), len(MARKS))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "sig": sig, **{c: odd[:, k] for k, c in enumerate(MARKS)}, "part": pd.array([None] * len(n), "Int32"), "counts": None, **{c: pdf[c] for c in own}})
+        flush()
+        press = zstandard.ZstdCompressor(level=1).compress
+        parts = [(k, press(x.tobytes())) for k, x in enumerate(np.split(seen, COUNT_PARTS)) if x.any()]
+        nothing = lambda kind: pd.array([None] * len(parts), kind)
+        yield pd.DataFrame({"doc_id": nothing("Int64"), "n": nothing("Int32"), "sig": None, **{c: nothing("Int64") for c in MARKS}, "part": [k for k, _ in parts], "counts": [x for _, x in parts], **{c: nothing("Int64") for c in own}})
+
+    schema = ", ".join(["doc_id long, n int, sig binary", *(f"{c} long" for c in MARKS), "part int, counts binary", *(f"{c} long" for c in own)])
+    rows = staged(docs.select("doc_id", "text", *own).mapInPandas(sets, schema), path)
+    return rows.where("part is null").drop("part", "counts"), rows.where("part is not null").select("part", "counts")
+
+
+def _levels(counts: DataFrame):
+    """How common the shingles of each slot are, in eighths of powers of two: 2 ** COUNT_BITS bytes."""
+    import numpy as np
 
-    schema = ", ".join(["doc_id long, n int, sig binary, slot int, seen long", *(f"{c} long" for c in own)])
-    rows = staged(docs.select("doc_id", "text", *own).mapInPandas(sets, schema), counts_path)
-    return rows.where("slot is null").select("doc_id", "n", "sig", *own), rows.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen"))
+    def summed(batches):
+        import pandas as pd
+        import zstandard
 
+        sums: dict[int, np.ndarray] = {}
+        inflate = zstandard.ZstdDecompressor().decompress
+        for pdf in batches:
+            for part, raw in zip(pdf["part"], pdf["counts"], strict=True):
+                x = np.frombuffer(inflate(raw), "<u8" if part < 0 else "<u4").astype("<u8")
+                part = ~part if part < 0 else part
+                sums[part] = sums[part] + x if part in sums else x
+        press = zstandard.ZstdCompressor(level=1).compress
+        # sums are marked by a negative part: their numbers are longer
+        yield pd.DataFrame({"part": [~k for k in sums], "counts": [press(x.tobytes()) for x in sums.values()]}, columns=["part", "counts"]).astype({"part": "int32"})
+
+    # the first time in salted parts, so that what a task reads at last doesn't grow with the number of tasks before
+    salt = F.pmod(F.xxhash64("counts"), F.lit(16))
+    sums = counts.repartition(COUNT_PARTS, "part", salt).mapInPandas(summed, "part int, counts binary")
+    sums = sums.repartition(COUNT_PARTS, "part").mapInPandas(summed, "part int, counts binary")
+
+    def graded(batches):
+        import pandas as pd
+        import zstandard
 
-def _slices(h):
-    """Sizes of the set's slices by hash, a byte each; a size above 255 counts as 255."""
-    import numpy as np
+        for pdf in batches:
+            x = [np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u8") for raw in pdf["counts"]]
+            yield pd.DataFrame({"part": [~k for k in pdf["part"]], "level": [np.minimum(8 * np.log2(v + 1.0), 255).astype("uint8").tobytes() for v in x]})
 
-    sizes = np.minimum(np.bincount((h >> np.uint64(40)).astype("int64") % SLICES, minlength=SLICES), 255)
-    return int(sum(int(s) << (8 * k) for k, s in enumerate(sizes)) - (1 << 64 if sizes[-1] > 127 else 0))
+    levels = np.zeros((COUNT_PARTS, (1 << COUNT_BITS) // COUNT_PARTS), "uint8")
+    for r in sums.mapInPandas(graded, "part int, level binary").toLocalIterator():  # COUNT_PARTS rows
+        levels[r["part"]] = np.frombuffer(r["level"], "uint8")
+    return levels.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, seen, width: int, percent: int) -> DataFrame:
-    """token, sig, n, place and slices of the prefix shingles of every set, rarest first."""
+def _prefixes(docs: DataFrame, levels, width: int, percent: int) -> DataFrame:
+    """token, rid and place of the prefix shingles of every set, rarest first; and sig of each rid, in a row of
+    its own. A copy in another task has another rid.
+    """
 
     def prefixes(batches):
         import numpy as np
         import pandas as pd
+        from pyspark import TaskContext
+
+        common, done, rid = levels.value, set(), TaskContext.get().partitionId() << 33
+
+        def table(out, sigs):
+            each, n = [len(x) for x in out], len(sigs)
+            rids = np.arange(rid - n, rid)
+            return pd.DataFrame({
+                "token": pd.array(np.concatenate([*out, np.zeros(n, "int64")]), "Int64"), "rid": np.concatenate([np.repeat(rids, each), rids]),
+                "place": np.concatenate([*(np.arange(k) for k in each), np.full(n, -1)]), "sig": pd.Series([None] * sum(each) + sigs, dtype=object),
+            })
 
-        common, done = seen.value, set()
         for pdf in batches:
-            out = []
+            out, sigs, size = [], [], 0
             for text in pdf["text"]:
                 h = shingle_hashes(text, width)
                 if not len(h):
@@ -141,158 +216,77 @@ def _prefixes(docs: DataFrame, seen, width: int, percent: int) -> DataFrame:
                 if len(done) < 100_000:
                     done.add(sig)
                 first = len(h) - -(-percent * len(h) // 100) + 1
-                order = np.lexsort((h, common[(h >> np.uint64(64 - COUNT_BITS)).astype("int64")]))[:first]
-                out.append((h[order].view("int64"), [sig] * first, len(h), np.arange(first), _slices(h)))
-                if len(out) >= 1000:
-                    yield table(out)
-                    out = []
+                order = np.argsort(common[_slot(h)], kind="stable")[:first]  # h is sorted, so ties go by hash
+                out.append(h[order].view("int64"))
+                sigs.append(sig)
+                rid += 1
+                size += first
+                if size >= 50_000:
+                    yield table(out, sigs)
+                    out, sigs, size = [], [], 0
             if out:
-                yield table(out)
-
-    def table(out):
-        import numpy as np
-        import pandas as pd
-
-        each = [len(x[0]) for x in out]
-        return pd.DataFrame({"token": np.concatenate([x[0] for x in out]), "sig": [s for x in out for s in x[1]], "n": np.repeat([x[2] for x in out], each), "place": np.concatenate([x[3] for x in out]), "slices": np.repeat(np.array([x[4] for x in out], "int64"), each)})
+                yield table(out, sigs)
 
-    return docs.select("text").mapInPandas(prefixes, "token long, sig binary, n int, place int, slices long")
-
-
-def _overlap(n_a: Column, n_b: Column, percent: int) -> Column:
-    return F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100 + percent))
-
-
-def _gap(a: Column, b: Column) -> Column:
-    """Least symmetric difference of two sets by their slices."""
-    byte = lambda x, k: F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255))
-    return functools.reduce(lambda x, y: x + y, [F.abs(byte(a, k) - byte(b, k)) for k in range(SLICES)])
+    return docs.select("text").mapInPandas(prefixes, "token long, rid long, place int, sig binary")
 
 
 def _near(percent: int) -> Column:
     """Whether the filters on length, position and suffix leave a pair of rows with suffixes a and b."""
-    need = _overlap(F.col("n_a"), F.col("n_b"), percent)
-    follow = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (follow >= need) & (_gap(F.col("slices_a"), F.col("slices_b")) <= F.col("n_a") + F.col("n_b") - 2 * need)
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    need = F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100 + percent))
+    follow = F.least(n_a - F.col("place_a"), n_b - F.col("place_b"))
+    apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in MARKS])
+    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & (follow >= need) & (apart <= n_a + n_b - 2 * need)
 
 
 def _side(rows: DataFrame, x: str, *more: str) -> DataFrame:
-    return rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "slices", *more)))
+    return rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", *MARKS, *more)))
 
 
-def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """node_a and node_b of the candidate pairs in short lists that no filter drops, each pair once."""
-    a, b = _side(lists, "a"), _side(lists, "b")
-    return a.join(b, (a["token"] == b["token"]) & (F.col("node_a") < F.col("node_b")) & _near(percent)).select("node_a", "node_b").distinct()
+def _pair() -> list[Column]:
+    return [F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among ``pairs``, by joining both whole sets to each."""
-    whole = pairs.join(sets.select(F.col("node").alias("node_a"), F.col("set").alias("set_a")), "node_a").join(sets.select(F.col("node").alias("node_b"), F.col("set").alias("set_b")), "node_b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return whole.where(both * 100 >= F.lit(percent) * (F.size("set_a") + F.size("set_b") - both)).select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+def _apart(lists: DataFrame, heads: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (u, v) of sets that share a list and aren't joined yet.
 
-
-def _clusters(pairs: DataFrame, path: str) -> DataFrame:
-    """node, root and task of the nodes in small components of candidate pairs; task is null in large ones.
-
-    A task has about ``TOGETHER`` components of at most ``BLOCK`` nodes each.
+    In a list, the sets outside its largest component are compared with all others of it; its head was
+    compared with everyone already.
     """
-    roots = components(pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")), f"{path}/candidates")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    tasks = max(1, sizes.count() // TOGETHER)
-    task = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("root"), F.lit(tasks)))
-    return staged(roots.join(sizes, "root").select("node", task.alias("task")), f"{path}/clusters")
-
-
-def _verified_together(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among ``pairs`` (with task), each set (with task) being sent to its task once."""
-
-    def verify(sets, pairs):
-        import numpy as np
-        import pandas as pd
-
-        by_node = dict(zip(sets["node"], sets["set"], strict=True))
-        links = []
-        for a, b in zip(pairs["node_a"], pairs["node_b"], strict=True):
-            x, y = by_node[a], by_node[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                links.append((a, b))
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
-
-    return sets.groupBy("task").cogroup(pairs.groupBy("task")).applyInPandas(verify, "u long, v long")
+    member = lists.join(heads.where("size > 2").select("token", F.col("node").alias("head")), "token").where("node != head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = member.groupBy("token", "root").agg(F.count("*").alias("many"))
+    largest = parts.groupBy("token").agg(F.max_by("root", F.struct("many", "root")).alias("largest"), F.count("*").alias("parts"))
+    mixed = member.join(largest.where("parts > 1").select("token", "largest"), "token")
+    a, b = _side(mixed.where("root != largest"), "a", "root"), _side(mixed, "b", "root")
+    return a.join(b, (a["token"] == b["token"]) & (F.col("root_a") != F.col("root_b")) & _near(percent)).select(*_pair()).distinct()
 
 
-def block_links(nodes, sides, sets, percent: int, within: bool) -> list[tuple[int, int]]:
-    """Links that join trees among the sets of one side (``within``), or between sides 0 and 1."""
-    import numpy as np
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
+    """The links among ``pairs`` (u, v), written to ``path``. Only the texts of their sets are read again."""
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    chosen = staged(nodes.join(asked, "node", "left_semi").select("node", "sig", "first_id"), f"{path}/asked")
+    ids = chosen.select(F.col("first_id").alias("_id")).distinct()
+    n = ids.count()
+    few = n <= BROADCAST_KEYS
+    again = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
-    n = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
-    _, column, many = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = many[column] > 1  # a shingle of one set is in no intersection
-    _, column = np.unique(column[keep], return_inverse=True)
-    owner = owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    both = np.zeros((len(sets), len(sets)), "float32")
-    width = 4096
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        part = slice(*np.searchsorted(column, (low, low + width)))
-        m = np.zeros((len(sets), width), "float32")
-        m[owner[part], column[part] - low] = 1
-        both += m @ m.T
-    union = n[:, None] + n[None, :] - both
-    linked = np.triu(100 * both >= percent * union, 1)
-    if not within:
-        linked &= sides[:, None] != sides[None, :]
-    return forest((int(nodes[i]), int(nodes[j])) for i, j in zip(*np.nonzero(linked), strict=True))
-
-
-def _block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links in ``groups``: task (any key), node, side (0 or 1), within (one side against itself)."""
-
-    def verify(pdf):
+    def hashes(batches):
         import pandas as pd
 
-        links = block_links(pdf["node"].to_numpy(), pdf["side"].to_numpy(), list(pdf["set"]), percent, bool(pdf["within"].iloc[0]))
-        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
-
-    return groups.join(sets, "node").groupBy("task").applyInPandas(verify, "u long, v long")
-
-
-def _dealt(rows: DataFrame, size: Column) -> DataFrame:
-    """``rows`` with ``blocks`` (how many their list needs) and ``block``."""
-    return rows.withColumn("blocks", F.ceil(size / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-
-def _large_first(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within the first long list of every set: each pair of blocks is a task."""
-    first = lists.groupBy("node").agg(F.min("token").alias("token"))
-    sizes = first.groupBy("token").agg(F.count("*").alias("size"))
-    rows = _dealt(first.join(sizes, "token"), F.col("size"))
-    # a row goes to the task of its block with every block
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    tasks = rows.select(F.struct("token", low.alias("low"), high.alias("high")).alias("task"), "node", (F.col("block") != low).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("within"))
-    return _block_links(tasks, sets, percent)
-
-
-def _large_rest(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs in long lists between sets that aren't joined yet.
+        for pdf in batches:
+            found = [h for h in (shingle_hashes(t, width) for t in pdf["text"]) if len(h)]
+            yield pd.DataFrame({"sig": [signature(h) for h in found], "set": [h.view("int64") for h in found]})
 
-    In a list, the sets outside its largest component are compared with all others of it; what the filters
-    leave is verified like any other pair.
-    """
-    member = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = member.groupBy("token", "root").agg(F.count("*").alias("many"))
-    lead = parts.groupBy("token").agg(F.max_by("root", F.struct("many", "root")).alias("lead"), F.sum("many").alias("size"), F.max("many").alias("most"))
-    mixed = member.join(lead.where("size > most").select("token", "lead"), "token")
-    a, b = _side(mixed.where("root != lead"), "a", "root"), _side(mixed, "b", "root")
-    apart = (a["token"] == b["token"]) & (F.col("root_a") != F.col("root_b")) & _near(percent)
-    return a.join(b, apart).select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
+    by_sig = chosen.select("sig", "node")
+    sets = again.mapInPandas(hashes, "sig binary, set array<long>").join(F.broadcast(by_sig) if few else by_sig, "sig").select("node", "set")
+    if again.count() != n:  # only an id of several rows can give a set twice
+        sets = sets.dropDuplicates(["node"])
+    sets = staged(sets, f"{path}/sets")
+    whole = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    links = staged(whole.where(both * (100 + percent) >= F.lit(percent) * (F.size("set_u") + F.size("set_v"))).select("u", "v"), f"{path}/links")
+    discard(docs.sparkSession, f"{path}/sets")
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -311,80 +305,52 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     ``part`` tells components apart also where they have one id; it is null where there are no shingles.
     """
-    import numpy as np
-
     spark = docs.sparkSession
     folder = work_dir(spark)
-    rows, slots = _sets(docs, width, f"{folder}/sets")
-    counts = np.zeros(1 << COUNT_BITS, "int64")
-    for r in slots.toLocalIterator():  # 2 ** COUNT_BITS numbers at most
-        counts[r["slot"]] = r["seen"]
-    seen = spark.sparkContext.broadcast(counts)
-
-    prefixes = staged(_prefixes(docs, seen, width, percent), f"{folder}/prefixes")
-    mark = F.xxhash64("sig")
-    shared = prefixes.groupBy("token").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low != high").select("token")
-    shared = staged(shared, f"{folder}/shared")
-    few = shared.count() <= BROADCAST_KEYS
-    # copies in different tasks meet here
-    lists = prefixes.join(F.broadcast(shared) if few else shared, "token", "left_semi").groupBy("token", "sig").agg(*(F.min(c).alias(c) for c in ("n", "place", "slices")))
+    rows, counts = _sets(docs, width, f"{folder}/sets")
+    levels = spark.sparkContext.broadcast(_levels(counts))
+    prefixes = staged(_prefixes(docs, levels, width, percent), f"{folder}/prefixes")
+    levels.destroy()
+
+    # what two rows share may be of copies alone; such lists are dropped where copies meet
+    tokens, ids = prefixes.where("place >= 0").select("token", "rid", "place"), prefixes.where("place < 0").select("rid", "sig")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    lists = tokens.join(shared, "token", "left_semi").join(ids, "rid").groupBy("token", "sig").agg(F.min("place").alias("place"))
     lists = staged(lists, f"{folder}/lists")
     discard(spark, f"{folder}/prefixes")
 
     # the sets that share a prefix shingle get numbers
-    chosen = rows.join(lists.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
+    chosen = rows.join(lists.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in ("n", *MARKS)))
     nodes = staged(chosen.withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
-    lists = staged(lists.join(nodes.select("sig", "node"), "sig").drop("sig"), f"{folder}/numbered")
+    numbered = staged(lists.join(nodes.drop("first_id"), "sig").drop("sig"), f"{folder}/numbered")
     discard(spark, f"{folder}/lists")
     # lists of the same sets are one: that of the shingle that comes first has the true places
-    sizes = lists.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.min(F.struct("node", "place")).alias("at"))
-    sizes = staged(sizes.groupBy("size", "same").agg(F.min_by("token", F.struct(F.col("at.place"), "token")).alias("token")).select("token", "size"), f"{folder}/sizes")
-    lists = lists.join(sizes, "token")
-    pairs = staged(_pairs(lists.where(F.col("size") <= SMALL), percent), f"{folder}/pairs")
-    large = staged(lists.where(F.col("size") > SMALL).drop("size"), f"{folder}/large")
-
-    # only the texts of sets in candidate pairs and long lists are read again
-    def hashes(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            found = [h for h in (shingle_hashes(t, width) for t in pdf["text"]) if len(h)]
-            yield pd.DataFrame({"sig": [signature(h) for h in found], "set": [h.view("int64") for h in found]})
-
-    def whole(chosen: DataFrame) -> DataFrame:
-        """Sets of the nodes of ``chosen`` (node, sig, first_id and more), from the texts."""
-        ids = chosen.select(F.col("first_id").alias("_id")).distinct()
-        n, nodes_ = ids.count(), chosen.drop("first_id")
-        small = n <= BROADCAST_KEYS
-        again = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-        found = again.mapInPandas(hashes, "sig binary, set array<long>").join(F.broadcast(nodes_) if small else nodes_, "sig").drop("sig")
-        # only ids that several rows have can give a set twice
-        return found if again.count() == n else found.dropDuplicates(["node"])
-
-    clusters = _clusters(pairs, folder)
-    together = clusters.where("task is not null")
-    task = together.select(F.col("node").alias("node_a"), "task")
-    links = _verified_together(pairs.join(task, "node_a"), whole(nodes.join(together, "node")), percent)
-    apart = clusters.where("task is null").select("node")
-    long_lists = not large.isEmpty()
-    if long_lists or not apart.isEmpty():
-        chosen = nodes.join(apart.unionByName(large.select("node")).distinct(), "node", "left_semi")
-        sets = staged(whole(chosen), f"{folder}/whole")
-        links = links.unionByName(_verified(pairs.join(apart.select(F.col("node").alias("node_a")), "node_a", "left_semi"), sets, percent))
-    links = staged(links, f"{folder}/small")
-    if long_lists:
-        links = staged(links.unionByName(_large_first(large, sets, percent)), f"{folder}/first")
-        roots = components(links, f"{folder}/roots")
-        rest = staged(_large_rest(large, roots, percent), f"{folder}/apart")
-        links = staged(links.unionByName(_verified(rest, sets, percent)), f"{folder}/rest")
-        discard(spark, f"{folder}/whole")
-    roots = components(links, f"{folder}/end")
-
-    named = nodes.join(roots, "node").select("root", "sig", "first_id")
+    heads = numbered.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.min(F.struct("place", "node")).alias("head")).where("size > 1")
+    heads = heads.groupBy("size", "same").agg(F.min_by(F.struct("token", "head"), F.struct("head.place", "token")).alias("h")).select("h.token", "h.head.place", "h.head.node", "size")
+    heads = staged(heads, f"{folder}/heads")
+    few = heads.count() <= BROADCAST_KEYS
+    tokens = heads.select("token")
+    lists = staged(numbered.join(F.broadcast(tokens) if few else tokens, "token", "left_semi"), f"{folder}/kept")
+    discard(spark, f"{folder}/numbered")
+
+    first = _side(heads.join(nodes.select("node", "n", *MARKS), "node"), "b")
+    stars = _side(lists, "a").join(first, "token").where((F.col("node_a") != F.col("node_b")) & _near(percent)).select(*_pair()).distinct()
+    stars = staged(stars, f"{folder}/stars")
+    links = _verified(stars, nodes, docs, width, percent, f"{folder}/first")
+    roots = components(links, f"{folder}/joined")
+    rest = staged(_apart(lists, heads, roots, percent).join(stars, ["u", "v"], "left_anti"), f"{folder}/apart")
+    if not rest.isEmpty():
+        links = links.unionByName(_verified(rest, nodes, docs, width, percent, f"{folder}/second"))
+        roots = components(links, f"{folder}/all")
+
+    named = nodes.select("node", "sig", "first_id").join(roots, "node").select("root", "sig", "first_id")
     named = named.join(named.groupBy("root").agg(F.min("first_id").alias("linked_id")), "root").select("sig", "root", "linked_id")
     # equal sets outside the lists, too
     own = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("own_id"))
     by_set = own.join(named, "sig", "left").select("sig", "root", F.least("own_id", "linked_id").alias("set_id"))
+    by_set = staged(by_set, f"{folder}/by_set")
+    for name in ("kept", "heads", "stars", "apart", "nodes", "first", "second", "joined", "all"):
+        discard(spark, f"{folder}/{name}")
     part = F.coalesce(F.concat(F.lit("root "), F.col("root").cast("string")), F.hex("sig"))
     return rows.join(by_set, "sig", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("set_id")).alias("component_id"),
@@ -396,7 +362,7 @@ def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     """``docs`` with one row of each component, that of the smallest doc_id (null is above all others).
 
     Rows are told apart by doc_id and two hashes of the text; of rows that agree in both, one stays. Rows
-    without shingles stay.
+    without shingles stay. Columns of any name are passed through.
     """
     folder = work_dir(docs.sparkSession)
     hashes = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
@@ -404,15 +370,16 @@ def one_of_each(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) ->
     found = staged(found.where("part is not null").select("part", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g").alias("key")), f"{folder}/found")
     best = found.groupBy("part").agg(F.min("key").alias("best"), F.count("*").alias("n")).where("n > 1").select("part", "best")
     keys = found.join(best, "part").groupBy("key", "best").agg(F.count("*").alias("n")).withColumn("stays", F.col("key") == F.col("best"))
-    keys = keys.where("not stays or n > 1").select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_kh"), F.col("key.g").alias("_kg"), "stays")
+    keys = keys.where("not stays or n > 1").select(F.col("key.doc_id").alias("id"), F.col("key.h").alias("kh"), F.col("key.g").alias("kg"), "stays")
     keys = staged(keys, f"{folder}/keys")
+    discard(docs.sparkSession, f"{folder}/found")
     listed = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    keyed = docs.withColumns({"_h": hashes[0], "_g": hashes[1]})
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kh")) & (F.col("_g") == F.col("_kg"))
-    rest = keyed.join(listed, on, "left_anti").select(*docs.columns)
+    keyed = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("d"), hashes[0].alias("h"), hashes[1].alias("g"))
+    on = F.col("d").eqNullSafe(F.col("id")) & (F.col("h") == F.col("kh")) & (F.col("g") == F.col("kg"))
+    rest = keyed.join(listed, on, "left_anti").select("row.*")
     if keys.where("stays").isEmpty():
         return rest
-    repeats = keyed.join(listed.where("stays"), on, "left_semi").dropDuplicates(["doc_id", "_h", "_g"]).select(*docs.columns)
+    repeats = keyed.join(listed.where("stays"), on, "left_semi").dropDuplicates(["d", "h", "g"]).select("row.*")
     return rest.unionByName(repeats)
 
 

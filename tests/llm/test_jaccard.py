@@ -60,10 +60,10 @@ def near_copies(seed=4):
     return [(1000 + i, " ".join(w)) for i, w in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("small", "block"), [(24, 512), (2, 8), (10, 16)])
-def test_components(spark, monkeypatch, small, block):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize("few", [250_000, 0])
+def test_components(spark, monkeypatch, few):
+    """Also with every filter by key as a shuffled join."""
+    monkeypatch.setattr(jaccard, "BROADCAST_KEYS", few)
     docs = [(d, t) for d, t, *_ in awkward()] + near_copies()
     df = clashing(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], DOCS))
     assert got(jaccard_components(df.repartition(3))) == plain(docs)
