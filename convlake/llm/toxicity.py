@@ -5,21 +5,24 @@ of contexts within their class and from there to counts of contexts that both sh
 that is rare in either weighs the same in both. The discount of a class grows with its size, so that the
 larger sample doesn't look richer. A text's evidence is its log-likelihood ratio, divided by length, over
 the whole text and over the passage where it is highest; a logistic curve through documents that the
-models haven't seen turns both into a probability and picks discount, order and length of passage. The models are fitted on a bounded sample of labelled documents; every text is scored whole.
+models haven't seen turns both into a probability and picks discount, order and length of passage. The
+models are fitted on a bounded sample of labelled documents; every text is scored whole.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, staged, work_dir
+from .common import discard, remainder, staged, word_count, work_dir
 from .hashed import drawn, texts_of
 
 #: Labelled documents of each class to learn from; a third of them only sets the curve.
 PER_CLASS = 3000
+#: Words of each class to learn from, so that long documents are bounded too.
+CLASS_WORDS = 4_000_000
 DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0)
 ORDERS = (1, 2)
 #: Words of a passage.
@@ -50,8 +53,13 @@ class Counts(NamedTuple):
 
 
 def count(sample: DataFrame) -> Counts:
-    """Counts of ``sample`` (text, toxic), a table of a stated bound."""
+    """Counts of ``sample`` (text, toxic), a table of a stated bound.
+
+    They come to the driver as columns of Arrow tables, never as one object for each bigram.
+    """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
     def bigrams(batches):
         import pandas as pd
@@ -67,25 +75,30 @@ def count(sample: DataFrame) -> Counts:
     folder = work_dir(sample.sparkSession)
     pairs = sample.mapInPandas(bigrams, "toxic int, a binary, b binary, n long").groupBy("toxic", "a", "b").agg(F.sum("n").alias("n"))
     pairs = staged(pairs, f"{folder}/bigrams")
-    often = pairs.where("n > 1").collect()
-    seen = pairs.groupBy("b").agg(*(F.count_if(F.col("toxic") == c).alias(f"k{c}") for c in (0, 1)), F.max("n").alias("most")).where("k0 + k1 > 1 or most > 1").collect()
-    firsts = pairs.join(F.broadcast(pairs.where("n > 1").select("toxic", "a").distinct()), ["toxic", "a"]).groupBy("toxic", "a").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
+    often = pairs.where("n > 1").select("toxic", "a", "b", "n").toArrow()
+    seen = pairs.groupBy("b").agg(*(F.count_if(F.col("toxic") == c).alias(f"k{c}") for c in (0, 1)), F.max("n").alias("most")).where("k0 + k1 > 1 or most > 1").drop("most").toArrow()
+    firsts = pairs.join(F.broadcast(pairs.where("n > 1").select("toxic", "a").distinct()), ["toxic", "a"]).groupBy("toxic", "a").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toArrow()
     kinds = {r["toxic"]: r["count"] for r in pairs.groupBy("toxic").count().collect()}
-    words = {w: k for k, w in enumerate(sorted({START} | {bytes(r["b"]) for r in seen} | {bytes(r[x]) for r in often for x in "ab"}))}
-    v = len(words)
-    before = [np.zeros(v + 1) for _ in (0, 1)]
-    for r in seen:
-        for c in (0, 1):
-            before[c][words[bytes(r["b"])]] = r[f"k{c}"]
-    after, after_kinds = ([np.zeros(v + 1) for _ in (0, 1)] for _ in (0, 1))
-    for r in firsts:
-        after[r["toxic"]][words[bytes(r["a"])]], after_kinds[r["toxic"]][words[bytes(r["a"])]] = r["n"], r["k"]
+    discard(sample.sparkSession, folder)
+
+    binary = lambda table, name: table[name].combine_chunks().cast(pa.binary())
+    known = pc.unique(pa.concat_arrays([pa.array([START], pa.binary()), binary(seen, "b"), binary(often, "a"), binary(often, "b")]))
+    known = known.take(pc.sort_indices(known))
+    place = lambda table, name: pc.index_in(binary(table, name), known).to_numpy(zero_copy_only=False).astype("int64")
+    v = len(known)
+    before, after, after_kinds = ([np.zeros(v + 1) for _ in (0, 1)] for _ in range(3))
+    at = place(seen, "b")
+    first, toxic = place(firsts, "a"), firsts["toxic"].to_numpy()
+    key, of, many = place(often, "a") * (v + 1) + place(often, "b"), often["toxic"].to_numpy(), often["n"].to_numpy()
     keys, ns = [], []
     for c in (0, 1):
-        rows = sorted((words[bytes(r["a"])] * (v + 1) + words[bytes(r["b"])], r["n"]) for r in often if r["toxic"] == c)
-        keys.append(np.array([k for k, _ in rows], "int64"))
-        ns.append(np.array([n for _, n in rows], "float64"))
-    return Counts(words, keys, ns, after, after_kinds, before, [kinds.get(0, 0), kinds.get(1, 0)])
+        before[c][at] = seen[f"k{c}"].to_numpy()
+        after[c][first[toxic == c]] = firsts["n"].to_numpy()[toxic == c]
+        after_kinds[c][first[toxic == c]] = firsts["k"].to_numpy()[toxic == c]
+        order = np.argsort(key[of == c])
+        keys.append(key[of == c][order])
+        ns.append(many[of == c][order].astype("float64"))
+    return Counts({w: k for k, w in enumerate(known.to_pylist())}, keys, ns, after, after_kinds, before, [kinds.get(0, 0), kinds.get(1, 0)])
 
 
 class Ratio:
@@ -173,46 +186,61 @@ class Model(NamedTuple):
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] * mean + self.weights[1] * passage + self.weights[2]))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5) -> Model | None:
-    """A model from the labelled rows whose id doesn't have remainder 0; None without both classes."""
+def bounded(rows: DataFrame, words: int) -> DataFrame:
+    """Of ``rows`` (doc_id, text, toxic), by class the first by hash until they have ``words`` words."""
+    sizes = rows.select("doc_id", "toxic", word_count(F.col("text")).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = sizes.withColumn("before", before).where(F.col("before") < words).select("doc_id")
+    return rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5, words: int = CLASS_WORDS) -> Model | None:
+    """A model from the labelled rows whose id doesn't have remainder 0; None without both classes.
+
+    Of one document with both labels, and of equal texts with both, the toxic one counts.
+    """
     import numpy as np
 
+    spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
     known = labels.where((remainder(F.col("doc_id"), modulus) != 0) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    rows = texts_of(docs, drawn(known, "toxic", per_class)).select("doc_id", "text", "toxic").dropDuplicates(["text"])
-    rows = staged(rows.withColumn("curve", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0), f"{work_dir(docs.sparkSession)}/sample")
+    rows = staged(texts_of(docs, drawn(known, "toxic", per_class)).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), f"{folder}/texts")
+    rows = staged(bounded(rows, words).withColumn("curve", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0), f"{folder}/sample")
     counts = count(rows.where("not curve").select("text", "toxic"))
     if not all(counts.kinds):
+        discard(spark, folder)
         return None
-    ratios = [Ratio(counts, d, order) for d in DISCOUNTS for order in ORDERS]
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    tried = [(d, order) for d in DISCOUNTS for order in ORDERS]
+    shared = spark.sparkContext.broadcast(counts)
 
     def measure(batches):
         import pandas as pd
 
+        ratios = [Ratio(shared.value, d, order) for d, order in tried]
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"].astype("int32"), "x": [[v for r in shared.value for v in r.evidence(t, PASSAGES)] for t in pdf["text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"].astype("int32"), "x": [[v for r in ratios for v in r.evidence(t, PASSAGES)] for t in pdf["text"]]})
 
-    seen = rows.where("curve").select("text", "toxic").mapInPandas(measure, "toxic int, x array<double>").collect()
+    seen = rows.where("curve").select("text", "toxic").mapInPandas(measure, "toxic int, x array<double>").collect()  # per_class rows at most
+    shared.destroy()
+    discard(spark, folder)
     y = np.array([r["toxic"] for r in seen], "float64")
     if not 0 < y.sum() < len(y):
-        return Model(ratios[0], PASSAGES[0], np.array([1.0, 1.0, -1.0]))
-    x = np.array([r["x"] for r in seen]).reshape(len(seen), len(ratios), 1 + len(PASSAGES))
-    tried = [(*curve(x[:, k][:, [0, 1 + n]], y)[::-1], k, n) for k in range(len(ratios)) for n in range(len(PASSAGES))]
-    _, weights, k, n = min(tried, key=lambda t: t[0])
+        return Model(Ratio(counts, *tried[0]), PASSAGES[0], np.array([1.0, 1.0, -1.0]))
+    x = np.array([r["x"] for r in seen]).reshape(len(seen), len(tried), 1 + len(PASSAGES))
+    curves = [(*curve(x[:, k][:, [0, 1 + n]], y)[::-1], k, n) for k in range(len(tried)) for n in range(len(PASSAGES))]
+    _, weights, k, n = min(curves, key=lambda t: t[0])
     # as often as among all labelled rows, not as in the sample
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     weights[2] += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(ratios[k], PASSAGES[n], weights)
+    return Model(Ratio(counts, *tried[k]), PASSAGES[n], weights)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """``docs`` with score (0 to 1) in a column ``toxic_score``; the other columns are passed through.
+def toxic_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[DataFrame, Column]:
+    """``docs`` as it is, and its score (0 to 1) as a column over ``text``.
 
     Null and empty texts have no evidence and get what the curve gives for none. Without labels of both
-    classes every score is 0.
+    classes every score is 0. Rows that repeat are scored one by one; an id may be null.
     """
-    model = learn(docs, labels, per_class)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))
 
     @F.pandas_udf("double")
     def score(texts):
@@ -221,12 +249,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
         model = shared.value
         return pd.Series([0.0 if model is None else model.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("toxic_score", score("text"))
+    return docs, score(F.col("text"))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+    """``docs`` with a column ``toxic_score`` (a column of that name gives way)."""
+    docs, score = toxic_scores(docs, labels, per_class)
+    return docs.withColumn("toxic_score", score)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic."""
-    return score_toxicity(docs, labels).where("toxic_score < 0.5").select(*docs.columns)
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns as they are."""
+    docs, score = toxic_scores(docs, labels)
+    return docs.where(score < 0.5)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
