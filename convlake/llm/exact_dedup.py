@@ -1,23 +1,26 @@
 """Op 2. Exact dedup through an extendible-hash index on shared files, in DataFrame operations only.
 
-A row's key is the 64-bit hash of its normalised text. The directory has a slot for every leading
-``MAX_DEPTH`` bits of the hash; a bucket owns the slots that agree in its first ``depth`` bits. Depth
-starts at ``START_DEPTH`` and grows by one bit, doubling the slots in use, wherever a bucket would hold
-more than ``capacity`` keys. Tasks own ranges of buckets: each writes the keys of its range, in order,
-to one file, with the texts that share a hash chained by their SHA-256. Texts that come more than once
-are compared byte for byte.
+A row's key is the 64-bit hash of its normalised text. The directory has a slot for each run of leading
+bits of the hash; a bucket owns the slots that agree in its first ``depth`` bits. Depth starts at
+``START_DEPTH`` and grows by one bit, doubling the slots in use, wherever a bucket would hold more than
+``capacity`` keys; where that takes more bits than the directory has, the slots of overfull buckets alone
+get more, up to all 64. Tasks own ranges of buckets: each writes the chains of its range, in order, to
+one file. A chain holds the different texts of one hash: texts that come more than once are compared byte
+for byte, and their number is the length of the chain. A row finds what it belongs to by hash, slot,
+bucket and chain, and nothing else says what is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, lower_ascii, staged, work_dir
+from .common import BROADCAST_KEYS, discard, lower_ascii, staged, whole_rows, work_dir
 
 CAPACITY = 8192
 START_DEPTH = 2
-MAX_DEPTH = 16
+#: Bits that overfull slots get at once.
+MORE_BITS = 8
 NO_ID = -(1 << 63)
 
 SQL = """
@@ -38,52 +41,94 @@ def normal(text):
     return F.when(others, lower_ascii(text)).otherwise(F.lower(text))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, h and sha of every row."""
-    return docs.select("doc_id", normal(F.col("text")).alias("t")).select("doc_id", F.xxhash64("t").alias("h"), F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"))
-
+    return docs.select("doc_id", normal(F.col("text")).alias("t")).select("doc_id", text_hash(F.col("t")).alias("h"), F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"))
 
-def directory(keys: DataFrame, capacity: int = CAPACITY, start: int = START_DEPTH, deepest: int = MAX_DEPTH) -> DataFrame:
-    """slot, bucket and depth for every slot that has keys (``h``): at most 2 ** ``deepest`` rows.
 
-    A bucket is the first slot it owns. Every depth is counted at once; a slot belongs to the shallowest
-    bucket that isn't overfull, which is where splitting bucket after bucket would have ended. A bucket
-    at ``deepest`` may be longer than ``capacity``; its task then reads a longer run of its file.
-    """
-    slots = keys.groupBy(F.shiftrightunsigned("h", 64 - deepest).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.withColumn("depth", F.explode(F.sequence(F.lit(start), F.lit(deepest))))
-    levels = levels.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {deepest} - depth), {deepest} - depth)"))
-    loads = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("load"))
-    fits = (F.col("load") <= capacity) | (F.col("depth") == deepest)
-    return levels.join(loads, ["depth", "bucket"]).where(fits).groupBy("slot").agg(F.min("depth").alias("depth")).withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {deepest} - depth), {deepest} - depth)"))
+def leading(h: str, bits: int) -> Column:
+    """The first ``bits`` bits of a hash, as a number."""
+    return F.shiftrightunsigned(h, 64 - bits)
 
 
-def build_index(docs: DataFrame, entries: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Write the index of ``entries`` (hashed rows with ``rid``) to ``path`` and return it.
+def directory(keys: DataFrame, path: str, capacity: int = CAPACITY, start: int = START_DEPTH) -> list[tuple[int, DataFrame]]:
+    """The directory of different keys ``h``: (bits, table of slot, bucket and depth), one for each width of slots.
 
-    One row per different text: bucket, depth, h, link (its place in the chain of its hash), sha,
-    keep_id, keep_rid, group_size. ``docs`` is read again for the texts that come more than once; should
-    two of one SHA-256 differ, the job fails.
+    A slot is the first ``bits`` bits of a hash; its bucket is the first hash that the bucket can own. A
+    null bucket means that the slot was split again and its keys have slots in the next table. Every depth
+    up to ``bits`` is counted at once; a slot belongs to the shallowest bucket that isn't overfull, which
+    is where splitting bucket after bucket would have ended.
     """
-    order = F.coalesce("doc_id", F.lit(NO_ID))
-    keys = entries.groupBy("h", "sha").agg(F.max("doc_id").alias("keep_id"), F.max_by("rid", order).alias("keep_rid"), F.count("*").alias("group_size"))
-    keys = staged(keys, f"{path}/keys")
-    slots = F.broadcast(directory(keys, capacity))  # at most 2 ** MAX_DEPTH rows
-
-    again = keys.where("group_size > 1").select("h", "sha")
+    found, low, wide, of = [], start, max(1, keys.count() // capacity).bit_length() + 2, keys
+    while True:
+        bits = min(64, max(wide, low))
+        slots = of.groupBy(leading("h", bits).alias("slot")).agg(F.count("*").alias("n"))
+        levels = slots.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(bits))))
+        levels = levels.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {bits} - depth)"))
+        loads = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("load"))
+        shallowest = F.min(F.when(F.col("load") <= capacity, F.col("depth")))
+        depths = levels.join(loads, ["depth", "prefix"]).groupBy("slot").agg(shallowest.alias("depth"))
+        table = staged(depths.select("slot", F.expr(f"shiftleft(shiftrightunsigned(slot, {bits} - depth), 64 - depth)").alias("bucket"), "depth"), f"{path}/directory{bits}")
+        found.append((bits, table))
+        over = table.where("bucket is null")
+        if over.isEmpty():
+            return found
+        of = staged(of.withColumn("slot", leading("h", bits)).join(over.select("slot"), "slot", "left_semi").select("h"), f"{path}/over{bits}")
+        low, wide = bits + 1, bits + MORE_BITS
+
+
+def in_buckets(rows: DataFrame, slots: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``rows`` (with h) and the bucket and depth that the directory gives for each."""
+    out, left = None, rows
+    for k, (bits, table) in enumerate(slots):
+        few = table.count() <= BROADCAST_KEYS
+        found = left.withColumn("slot", leading("h", bits)).join(F.broadcast(table) if few else table, "slot").drop("slot")
+        last = k == len(slots) - 1
+        done = found if last else found.where("bucket is not null")
+        out = done if out is None else out.unionByName(done)
+        left = found.where("bucket is null").drop("bucket", "depth")
+    return out
+
+
+def chains(docs: DataFrame, entries: DataFrame, keys: DataFrame, path: str) -> DataFrame:
+    """h, link, links, sha, keep_id, keep_rid and group_size of every different text.
+
+    ``docs`` is read again for the texts whose hash comes more than once, and their bytes are compared. One
+    text makes a chain of one link, which every row of the hash belongs to. Where a hash has several texts,
+    each is a link, and its SHA-256 marks its rows; should two texts agree in both hashes, the job fails.
+    """
+    again = keys.where("group_size > 1").select("h")
     few = again.count() <= BROADCAST_KEYS
-    texts = docs.select(normal(F.col("text")).alias("t")).withColumn("h", F.xxhash64("t"))
-    texts = texts.join(F.broadcast(again.select("h")) if few else again.select("h").distinct(), "h", "left_semi")
+    texts = docs.select(normal(F.col("text")).alias("t")).withColumn("h", text_hash(F.col("t")))
+    texts = texts.join(F.broadcast(again) if few else again, "h", "left_semi")
     # a text is its own key here: Spark compares the bytes, first within each task
-    texts = texts.groupBy("h", "t").agg(F.count("*").alias("n")).select("h", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), "n")
-    equal = texts.groupBy("h", "sha").agg(F.count("*").alias("texts"))
+    texts = staged(texts.groupBy("h", "t").agg(F.count("*").alias("n")).select("h", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), "n"), f"{path}/texts")
+    several = texts.groupBy("h").agg(F.count("*").alias("links")).where("links > 1")
+    alone = keys.withColumns({"link": F.lit(1), "links": F.lit(1).cast("long")})
+    if several.isEmpty():
+        return alone
+    several = staged(several, f"{path}/several")
+    order = F.coalesce("doc_id", F.lit(NO_ID))
+    groups = entries.join(several, "h", "left_semi").groupBy("h", "sha").agg(F.max("doc_id").alias("keep_id"), F.max_by("rid", order).alias("keep_rid"))
+    link = F.row_number().over(Window.partitionBy("h").orderBy("sha"))
+    linked = texts.join(several, "h").groupBy("h", "sha", "links").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).withColumn("link", link)
+    sound = F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("different texts with one hash and one SHA-256")).cast("long"))
+    linked = linked.withColumn("group_size", sound).join(groups, ["h", "sha"]).select(*alone.columns)
+    return alone.join(several, "h", "left_anti").select(*alone.columns).unionByName(linked)
 
-    checked = keys.join(equal, ["h", "sha"], "left").withColumn("group_size", F.when(F.coalesce("texts", F.lit(1)) == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("different texts with one SHA-256")).cast("long")))
-    owned = checked.withColumn("slot", F.shiftrightunsigned("h", 64 - MAX_DEPTH)).join(slots, "slot")
-    owned = owned.repartitionByRange(F.col("bucket"))
-    link = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha"))
-    index = owned.withColumn("link", link).select("bucket", "depth", "h", "link", "sha", "keep_id", "keep_rid", "group_size")
-    return staged(index.sortWithinPartitions("bucket", "h", "link"), f"{path}/index")
+
+def build_index(docs: DataFrame, entries: DataFrame, path: str, capacity: int = CAPACITY) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """Write the index of ``entries`` (hashed rows with ``rid``) under ``path``: its bucket files and directory."""
+    order = F.coalesce("doc_id", F.lit(NO_ID))
+    keys = entries.groupBy("h").agg(F.min("sha").alias("sha"), F.max("doc_id").alias("keep_id"), F.max_by("rid", order).alias("keep_rid"), F.count("*").alias("group_size"))
+    keys = staged(keys, f"{path}/keys")
+    slots = directory(keys.select("h"), path, capacity)
+    owned = in_buckets(chains(docs, entries, keys, path), slots).repartitionByRange(F.col("bucket"))
+    return staged(owned.sortWithinPartitions("bucket", "h", "link"), f"{path}/buckets"), slots
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -92,30 +137,33 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Null texts count as empty; rows that repeat count one by one and exactly one row of a group is kept,
     that of the largest doc_id (a null doc_id is below all others). Other columns are ignored.
     """
-    path = work_dir(docs.sparkSession)
+    spark, path = docs.sparkSession, work_dir(docs.sparkSession)
     entries = staged(hashed(docs).withColumn("rid", F.monotonically_increasing_id()), f"{path}/entries")
-    index = build_index(docs, entries, path, capacity)
-    found = entries.join(index, ["h", "sha"])
+    index, slots = build_index(docs, entries, path, capacity)
+    for name in ("keys", "texts", "several"):
+        discard(spark, f"{path}/{name}")
+    links = index.select("bucket", "h", "links", F.col("sha").alias("link_sha"), "keep_id", "keep_rid", "group_size")
+    found = in_buckets(entries, slots).join(links, ["bucket", "h"]).where("links = 1 or sha = link_sha")
     return found.select("doc_id", "h", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``docs`` with one row of each group of equal texts.
+    """``docs`` with one row of each group of equal texts; columns of any name are passed through.
 
     Rows that go are few or many: their keys are counted before they are sent to every executor. Rows
     that repeat the id and text of the one that stays are told apart only here, among themselves.
     """
     groups = exact_groups(docs, capacity)
-    lost = groups.where("not kept").groupBy("doc_id", "h").agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"))
-    lost = staged(lost.select(F.col("doc_id").alias("_id"), F.col("h").alias("_lost"), "stays"), f"{work_dir(docs.sparkSession)}/lost")
+    lost = groups.where("not kept").groupBy("doc_id", "text_sha256").agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"))
+    lost = staged(lost.select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("lost"), "stays"), f"{work_dir(docs.sparkSession)}/lost")
     few = lost.count() <= BROADCAST_KEYS
     keys = F.broadcast(lost) if few else lost
-    keyed = docs.withColumn("_h", F.xxhash64(normal(F.col("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_lost"))
-    rest = keyed.join(keys, on, "left_anti").select(*docs.columns)
+    keyed = docs.select(whole_rows(docs), F.col("doc_id").alias("d"), F.unhex(F.sha2(normal(F.col("text")).cast("binary"), 256)).alias("s"))
+    on = F.col("d").eqNullSafe(F.col("id")) & (F.col("s") == F.col("lost"))
+    rest = keyed.join(keys, on, "left_anti").select("row.*")
     if lost.where("stays").isEmpty():
         return rest
-    repeats = keyed.join(keys.where("stays"), on, "left_semi").dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    repeats = keyed.join(keys.where("stays"), on, "left_semi").dropDuplicates(["d", "s"]).select("row.*")
     return rest.unionByName(repeats)
 
 

@@ -3,7 +3,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from convlake.llm.exact_dedup import deduplicated, directory, exact_groups, normal, op2_exact_dedup
+from convlake.llm import exact_dedup
+from convlake.llm.exact_dedup import deduplicated, directory, exact_groups, in_buckets, normal, op2_exact_dedup
 
 from .data import SF, awkward, clashing, table
 
@@ -40,21 +41,31 @@ def test_normal(spark):
     assert all(r.t == plain_normal(r.text) for r in rows)
 
 
-def test_directory_splits_overfull_buckets(spark):
-    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    slots = directory(keys, capacity=100, start=1, deepest=10).collect()
-    load = defaultdict(int)
-    by_slot = {r.slot: r for r in slots}
-    for r in keys.collect():
-        load[by_slot[(r.h % 2**64) >> 54].bucket] += 1
-    depth = {r.bucket: r.depth for r in slots}
-    assert max(load.values()) <= 100 and sum(load.values()) == 3000
-    for bucket, d in depth.items():
-        assert bucket % 2 ** (10 - d) == 0
-        other = bucket ^ (1 << (10 - d))  # its parent would have been overfull
-        if d > 1:
-            both = sum(n for b, n in load.items() if b >> (11 - d) == bucket >> (11 - d))
-            assert both > 100, (bucket, other)
+def test_directory_splits_overfull_buckets(spark, tmp_path):
+    for k, keys in enumerate((spark.range(3000).select(F.xxhash64("id").alias("h")), spark.range(2000).select((F.col("id") * 5).alias("h")))):  # the second one agrees in 50 bits
+        levels = directory(keys, str(tmp_path / str(k)), capacity=100, start=1)
+        assert (len(levels) > 1) == (k == 1)
+        load, depth = defaultdict(int), {}
+        for r in in_buckets(keys, levels).collect():
+            h, bucket = r.h % 2**64, r.bucket % 2**64
+            assert h >> (64 - r.depth) == bucket >> (64 - r.depth) and bucket % (1 << (64 - r.depth)) == 0
+            load[bucket] += 1
+            depth[bucket] = r.depth
+        assert max(load.values()) <= 100 and sum(load.values()) == keys.count()
+        for bucket, d in depth.items():
+            if d > 1:  # its parent would have been overfull
+                assert sum(n for b, n in load.items() if b >> (65 - d) == bucket >> (65 - d)) > 100
+
+
+def test_chains_decide_by_bytes(spark, monkeypatch):
+    """With a hash of three values nearly all texts collide, and lie in chains."""
+    monkeypatch.setattr(exact_dedup, "text_hash", lambda t: F.pmod(F.length(t), F.lit(3)).cast("long"))
+    check(exact_groups(table(spark), capacity=1).collect(), [(d, t) for d, t, *_ in awkward()])
+
+
+def test_rows_are_found_by_the_directory(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "directory", lambda keys, path, capacity: [(b, t.withColumn("slot", -1 - F.col("slot"))) for b, t in directory(keys, path, capacity)])
+    assert exact_groups(table(spark)).count() == 0
 
 
 def test_one_row_of_each_group_stays(spark):
