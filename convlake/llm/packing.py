@@ -25,6 +25,8 @@ CAPACITY = 2048
 #: A length's items are ranked in so many parts, so that a common length isn't one task's work.
 SALTS = 64
 SLICE = 64
+#: Words that a worker remembers.
+MEMO_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -110,7 +112,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = C
         import numpy as np
         import pandas as pd
 
-        enc, end = encoder(tokenizer_path, "drop"), np.array([end_id], dtype="<u4").tobytes()
+        enc, end = encoder(tokenizer_path, "drop", MEMO_WORDS), np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             ids = pdf["doc_id"].astype("Int64")
             texts = ["" if t is None else t for t in pdf["text"]]
@@ -122,6 +124,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = C
                         part = raw[at : at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pieces, PIECES)
 
@@ -149,7 +152,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Cut every document and pack the pieces; the pieces are written once to a work table."""
+    """Cut every document and pack the pieces; the pieces are written once to a work table.
+
+    A null or empty text is a piece of one token, its end. A null id is kept, rows that repeat are packed as
+    often as they come, and other columns are ignored. An empty table gives no pieces.
+    """
     pieces = staged(cut(docs, tokenizer_path, end_id, capacity), f"{work_dir(docs.sparkSession)}/pieces")
     return pack(pieces, capacity)
 

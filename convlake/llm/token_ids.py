@@ -8,6 +8,8 @@ Layout under a folder, written by Spark so that any store Spark reaches will do:
 A block's ``payload`` is magic ``TIDZ``, the dictionary's SHA-256, the number of documents, an offset
 index with a fixed-size entry per document, and the frames. A frame is one document's ids (unsigned
 32-bit, little-endian) compressed by itself, so a short document is read by inflating its frame alone.
+A block also says how many ids its shard has before it, so readers add up one row per shard and move no
+payload.
 """
 
 from __future__ import annotations
@@ -20,17 +22,20 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, work_dir
-from .tokens import encoder
+from .common import BROADCAST_KEYS, small_batches, work_dir
+from .tokens import KEPT_WORDS, encoder
 
 MAGIC = b"TIDZ"
 BLOCK_BYTES = 1 << 20
+#: Bytes of text in a shard, about; tables too small for it are dealt to all cores in parts of LEAST_BYTES.
+SHARD_BYTES = 32 << 20
+LEAST_BYTES = 1 << 20
 DICTIONARY_BYTES = 65_536
 DICTIONARY_DOCS = 2_000
 LEVEL = 3
 SLICE = 64
 
-BLOCKS = "shard int, block int, first_id long, last_id long, n_docs int, n_ids long, dict_hash string, payload binary"
+BLOCKS = "shard int, block int, first_id long, last_id long, n_docs int, in_shard long, n_ids long, dict_hash string, payload binary"
 
 
 def _index_type():
@@ -47,17 +52,18 @@ def _encoded(texts, path: str, end_id: int) -> Iterator[bytes]:
     for i in range(0, len(texts), SLICE):
         for ids in enc.encode(texts[i : i + SLICE]):
             yield ids + end
+    enc.forget(4 * KEPT_WORDS)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int = DICTIONARY_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most 2 * ``sample_docs`` documents.
+def train_dictionary(docs: DataFrame, n_docs: int, tokenizer_path: str, end_id: int, sample_docs: int = DICTIONARY_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary from the serialized ids of at most 2 * ``sample_docs`` of the ``n_docs`` documents.
 
     The sample is drawn by hash over the whole table; every document is encoded with the result. When
     there is too little to train on, the sample's bytes themselves serve as the dictionary.
     """
     import zstandard
 
-    share = min(1.0, sample_docs / max(1, docs.count()))
+    share = min(1.0, sample_docs / max(1, n_docs))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text").limit(2 * sample_docs)
 
     def ids(batches):
@@ -121,23 +127,24 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = train_dictionary(docs, tokenizer_path, end_id)
+    there = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    dictionary = train_dictionary(docs, there["n"], tokenizer_path, end_id)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or max(1, -(-there["size"] // SHARD_BYTES), min(spark.sparkContext.defaultParallelism, there["size"] // LEAST_BYTES))
     ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def blocks(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        shard, block, entries, held = TaskContext.get().partitionId(), 0, [], 0
+        shard, block, entries, held, before = TaskContext.get().partitionId(), 0, [], 0, 0
         press = _codec(shared.value)[0].compress
 
         def done():
             ids = [e[0] for e in entries if e[0] is not None]
-            return pd.DataFrame([(shard, block, min(ids, default=None), max(ids, default=None), len(entries), sum(e[1] for e in entries), digest.hex(), pack_block(entries, digest))], columns=["shard", "block", "first_id", "last_id", "n_docs", "n_ids", "dict_hash", "payload"]).astype({"first_id": "Int64", "last_id": "Int64"})
+            return pd.DataFrame([(shard, block, min(ids, default=None), max(ids, default=None), len(entries), before, sum(e[1] for e in entries), digest.hex(), pack_block(entries, digest))], columns=["shard", "block", "first_id", "last_id", "n_docs", "in_shard", "n_ids", "dict_hash", "payload"]).astype({"first_id": "Int64", "last_id": "Int64"})
 
         for pdf in batches:
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
@@ -146,7 +153,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
                 held += len(entries[-1][2]) + 32
                 if held >= BLOCK_BYTES:
                     yield done()
-                    block, entries, held = block + 1, [], 0
+                    block, before, entries, held = block + 1, before + sum(e[1] for e in entries), [], 0
         if entries:
             yield done()
 
@@ -165,8 +172,8 @@ def _dictionary(spark: SparkSession, path: str) -> bytes:
 def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ``ids``) of every document, from the files alone.
 
-    Starts are sums over the ids of earlier shards (one row per shard) and of earlier blocks in the
-    shard, so no payload is read twice and nothing of the size of the data meets in one task.
+    A start is what earlier shards hold (sums over one row per shard) and what its own shard holds before
+    it, so no payload is read twice or moved.
     """
     dictionary = _dictionary(spark, path)
     digest, shared = hashlib.sha256(dictionary).digest(), spark.sparkContext.broadcast(dictionary)
@@ -174,9 +181,8 @@ def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     sizes = table.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("shard_start"))
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = table.select("shard", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("in_shard")).join(shards, "shard")
-    rows = table.select("shard", "block", "payload").join(starts, ["shard", "block"]).select((F.col("shard_start") + F.col("in_shard")).alias("start"), "payload")
+    few = sizes.count() <= BROADCAST_KEYS
+    rows = table.select("shard", "in_shard", "payload").join(F.broadcast(shards) if few else shards, "shard").select((F.col("shard_start") + F.col("in_shard")).alias("start"), "payload")
 
     def documents(batches):
         import numpy as np

@@ -7,19 +7,18 @@ import os
 import re
 from array import array
 
-#: Words whose ids a worker remembers before it starts afresh.
-MEMO_WORDS = 200_000
+#: Words whose ids a worker remembers before it starts afresh, and how many of them stay for its next task.
+MEMO_WORDS = 500_000
+KEPT_WORDS = 100_000
 
 
 @functools.lru_cache(maxsize=4)
 def load_tokenizer(path: str):
-    """The tokenizer in ``path``; strings of its special tokens in a text are ordinary text."""
+    """The tokenizer in ``path``, as the library gives it: the name of a special token in a text is that token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,17 +38,19 @@ class Encoder:
     are those of its chunks in order; chunks that come again are looked up. ``spaces`` says what the
     pre-tokenizer does with the space before a chunk: "join" (byte-level, it belongs to the chunk) or
     "drop" (it vanishes, and letters are made lower case). With "join" a text that has other white space
-    next to a space is given to the library whole.
+    next to a space is given to the library whole, and so is one that names a special token.
     """
 
     #: Letters, then marks: two tokens to either pre-tokenizer, if it leaves or lowers the letters one by one.
     SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@^_|~-]*)")
 
-    def __init__(self, path: str, spaces: str):
+    def __init__(self, path: str, spaces: str, words: int = MEMO_WORDS):
+        self.words = words
         self.tokenizer, self.join = load_tokenizer(path), spaces == "join"
         self.memo: dict[str, bytes | None] = {}
         self.others: dict[str, bytes] = {}  # runs of marks, and first chunks of texts
         self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         self.space = self.letters[32] if self.join else ""
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -83,13 +84,20 @@ class Encoder:
         if hard:
             memo.update(zip(hard, self._ids([f" {w}" for w in hard] if self.join else hard), strict=True))
 
+    def forget(self, most: int = KEPT_WORDS) -> None:
+        """Start afresh if more than ``most`` words are remembered."""
+        if len(self.memo) + len(self.others) > most:
+            self.memo.clear(), self.others.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.memo) + len(self.others) > MEMO_WORDS:
-            self.memo.clear(), self.others.clear()
-        cut = [(t.split(" ") if self.join else t.replace("\n", " ").split(" ")) for t in texts]
+        self.forget(self.words)
         out = []
-        for text, words in zip(texts, cut, strict=True):
+        for text in texts:
+            if "<" in text and self.special.search(text):
+                out += self._ids([text])
+                continue
+            words = (text if self.join else text.replace("\n", " ")).split(" ")
             head = words.pop(0) if self.join else ""
             self._learn(set(words).difference(self.memo))
             key = f" {head}"  # no run of marks looks like it
@@ -105,6 +113,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, spaces: str) -> Encoder:
+def encoder(path: str, spaces: str, words: int = MEMO_WORDS) -> Encoder:
     """This worker's encoder for a file."""
-    return Encoder(path, spaces)
+    return Encoder(path, spaces, words)

@@ -1,28 +1,35 @@
+import functools
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from convlake.llm.token_ids import op5_token_ids, read_document, read_token_ids, write_token_ids
-from convlake.llm.tokens import Encoder, load_tokenizer
+from convlake.llm.tokens import Encoder
 
 from .data import SF, awkward, clashing, table
 
 PATH = P.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache
+def untouched(path):
+    return Tokenizer.from_file(path)
+
+
 def plain(text, end=2, path=PATH):
-    return load_tokenizer(path).encode(text or "", add_special_tokens=False).ids + [end]
+    return untouched(path).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_encoder_is_the_library():
-    texts = [t or "" for _, t, *_ in awkward()] + [" lead", "trail ", "a\n b", "x \ny", "a\tb c", "it's 'n' 12 3", "\x1c x y", " ", "  ", "a  b"]
+    texts = [t or "" for _, t, *_ in awkward()] + [" lead", "trail ", "a\n b", "x \ny", "a\tb c", "it's 'n' 12 3", "\x1c x y", " ", "  ", "a  b", "x<|endoftext|>y", "<|EndOfText|>", "a <|startoftext|> b", "<unk> <s> </s> [UNK]", "a < b"]
     for name, spaces in (("byte_bpe_50k.json", "join"), ("word_bpe_49k.json", "drop")):
         enc = Encoder(P.path(name), spaces)
         for _ in range(2):
             got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
-            assert got == [load_tokenizer(P.path(name)).encode(t, add_special_tokens=False).ids for t in texts]
+            assert got == [untouched(P.path(name)).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_round_trip(spark, tmp_path):
