@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, staged, word_count, work_dir
+from .common import BROADCAST_KEYS, staged, whole_rows, word_count, work_dir
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -122,25 +122,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns.
+    """The rows of ``docs`` as often as the mix takes them, with their columns, whatever these are called.
 
     Rows that agree in doc_id, source and size share what the mix gives them, the first by hash of their
-    text get one copy more. The decisions are one short row per document; their number is checked before
-    they go to every executor.
+    text get one copy more: no more words than the mix decided. The decisions are one short row per
+    document; their number is checked before they go to every executor.
     """
     spark = docs.sparkSession
     taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("copies"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
     taken = staged(taken.where("copies > 0 or more > 0"), f"{work_dir(spark)}/copies")
     uneven = not taken.where("more > 0").isEmpty()
     small = taken.count() <= BROADCAST_KEYS
-    taken = taken.select(*(F.col(c).alias(f"_{c}") for c in taken.columns))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    rows = docs.join(F.broadcast(taken) if small else taken, on)
+    keyed = docs.select(whole_rows(docs), F.col("doc_id").alias("d"), F.col("source").alias("s"), word_count(F.col("text")).alias("n"), F.xxhash64("text").alias("tie"))
+    on = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    rows = keyed.join(F.broadcast(taken) if small else taken, on).select("row", "d", "s", "n", "tie", "copies", "more")
     if uneven:
-        rank = F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.xxhash64("text")))
-        shared = rows.where("_more > 0").withColumn("_copies", F.col("_copies") + (rank <= F.col("_more")).cast("long"))
-        rows = rows.where("_more = 0").unionByName(shared).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+        rank = F.row_number().over(Window.partitionBy("d", "s", "n").orderBy("tie"))
+        shared = rows.where("more > 0").withColumn("copies", F.col("copies") + (rank <= F.col("more")).cast("long"))
+        rows = rows.where("more = 0").unionByName(shared).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

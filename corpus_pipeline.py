@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last keep the columns of documents.
+as the next one's docs. All but the last keep the columns of documents, whatever these are called. Rows
+whose doc_id or text is null, empty texts, repeated rows and empty tables go through every stage; what each
+stage makes of them is said there.
 """
 
 from __future__ import annotations
@@ -18,27 +20,41 @@ from convlake.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic, by models of the labelled ones among them."""
+    """Documents that aren't predicted toxic, by models of the labelled ones among them.
+
+    Null and empty texts have no evidence and stay unless most labelled documents are toxic; rows that repeat
+    are judged alike. Without labels of both classes all stay.
+    """
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal texts, that of the largest doc_id."""
+    """One of each group of equal texts, that of the largest doc_id.
+
+    A null text is an empty one, so one row stays for all of both; a null doc_id is below all others.
+    """
     return deduplicated(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each component of near copies, that of the smallest doc_id."""
+    """One of each component of near copies, that of the smallest doc_id; a null doc_id is above all others.
+
+    Texts without words all stay.
+    """
     return one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Texts without words are never taken; a null source is a source; of rows with one id the decisions are
+    by row.
+    """
     return mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all token pieces in sequences of 2048."""
+    """The places of all token pieces in sequences of 2048; rows that repeat are packed as often as they come."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
