@@ -61,7 +61,7 @@ def plain_ratio(counts_of, text, cut_of, order):
     """Sum of log ratios of a text by the definition, from counters of bigrams by class."""
     kinds = [len(c) for c in counts_of]
     before = [Counter(b for _, b in c) for c in counts_of]
-    total = sum(kinds)
+    total = sum(kinds) + 1  # one for the words outside, of which there are none here
     out, w = 0.0, tokens(text)
     for a, b in zip([b"<s>", *w], w, strict=False):
         logs = []
