@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What Java's trim() strips: all characters up to the space.
 EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+# Formats that the clients write and their files must match.
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?Z$"
 MENTION = r"(?m)^##[ \t]+(.+):[ \t]+(.+?)[ \t]*$"
 WORKSPACE = r"(?:^|/)Documents/Codex/\d{4}-\d{2}-\d{2}/[^/]+$"
@@ -71,9 +72,12 @@ def json_text(document: Column, path: str) -> Column:
 
 
 def deep_find(document: Column, name: str) -> Column:
-    """The first non-blank scalar field called ``name``, at any depth."""
-    found = F.regexp_extract(document, rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)+)"', 1)
-    return F.nullif(found, F.lit(""))
+    """The first non-blank text, number or boolean called ``name``: at the top, else in the order of the text."""
+    top = F.try_variant_get(F.try_parse_json(document), f"$.{name}", "variant")
+    own = F.when(~F.schema_of_variant(top).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(F.try_parse_json(document), f"$.{name}", "string"))
+    values = F.regexp_extract_all(document, F.lit(rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d[-+.\deE]*|true|false)'), F.lit(1))
+    texts = F.transform(values, lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
+    return F.coalesce(F.when(~is_blank(own), own), F.try_element_at(F.filter(texts, lambda t: ~is_blank(t)), F.lit(1)))
 
 
 def subagent_source(source: Column, thread_source: Column) -> Column:

@@ -69,6 +69,13 @@ def generated(content_json: Column) -> Column:
     return F.filter(F.array(image), lambda x: F.coalesce(is_one, F.lit(False)))
 
 
+def once(text: Column, data: Column, instead: Column) -> Column:
+    """``text`` (JSON) with ``instead`` for the first value that is ``data``, or a data URI of it."""
+    plain, uri = F.instr(text, F.concat(F.lit('"'), data, F.lit('"'))), F.instr(text, F.concat(F.lit(","), data, F.lit('"')))
+    at = F.when(plain > 0, plain).otherwise(uri)
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at), instead, F.substring(text, at + 1 + F.length(data), F.length(text)))).otherwise(text)
+
+
 def taken_out(messages: DataFrame, files: DataFrame | None = None, most: int = MOST, key: str = "message_id") -> DataFrame:
     """``messages`` with ``attachments`` (bytes or null, by index) and a manifest at the end of content_json.
 
@@ -96,7 +103,7 @@ def taken_out(messages: DataFrame, files: DataFrame | None = None, most: int = M
     items = F.array_sort(F.collect_list(F.struct("index", entry.alias("entry"), "payload", "data")))
     found = rows.groupBy(key).agg(items.alias("_items"))
     out = messages.join(found, key, "left")
-    json = F.aggregate(F.coalesce("_items", F.array().cast(found.schema["_items"].dataType)), F.col("content_json"), lambda text, i: F.when(i["data"].isNotNull() & (i["data"] != ""), F.replace(text, i["data"], F.concat(F.lit("blob:"), i["index"].cast("string")))).otherwise(text))
+    json = F.aggregate(F.coalesce("_items", F.array().cast(found.schema["_items"].dataType)), F.col("content_json"), lambda text, i: F.when(i["data"].isNotNull() & (i["data"] != ""), once(text, i["data"], F.concat(F.lit("blob:"), i["index"].cast("string")))).otherwise(text))
     manifest = F.to_json(F.transform("_items", lambda i: i["entry"]))
     spliced = F.concat(F.regexp_replace(json, r"\s*\}\s*$", ""), F.lit(',"_attachments":'), manifest, F.lit("}"))
     return out.withColumns({"content_json": F.when(F.col("_items").isNull(), F.col("content_json")).otherwise(spliced), "attachments": F.transform("_items", lambda i: i["payload"])}).drop("_items")
@@ -130,15 +137,24 @@ def pending_detail(messages: DataFrame) -> DataFrame:
 
 
 def put_back(messages: DataFrame) -> DataFrame:
-    """``messages`` with inline data in content_json again, and without the manifest."""
-    bare = F.regexp_replace("content_json", r'(?s),"_attachments":\[.*\]\}\s*$', "}")
-    size = F.greatest(F.array_size("attachments"), F.lit(0))
-    return messages.withColumn("content_json", F.when(size > 0, F.aggregate(F.reverse(F.sequence(F.lit(0), size - 1)), bare, lambda text, i: F.coalesce(F.replace(text, F.concat(F.lit("blob:"), i.cast("string")), F.regexp_replace(F.base64(F.get("attachments", i)), r"\s", "")), text))).otherwise(bare))
+    """``messages`` with inline data in content_json again, and without the manifest.
+
+    Only fields that hold data are looked at: words that look like a placeholder stay as they are.
+    """
+    bare = F.regexp_replace("content_json", r'(?s)^(.*),"_attachments":\[.*\]\}\s*$', "$1}")
+    size = F.coalesce(F.array_size("attachments"), F.lit(0))
+
+    def one(text: Column, i: Column) -> Column:
+        data = F.regexp_replace(F.base64(F.get("attachments", i)), r"\s", "")
+        field = F.concat(F.lit(r'("(?:data|image_url|result)"\s*:\s*"(?:data:[^",]*,)?)blob:'), i.cast("string"), F.lit('"'))
+        return F.coalesce(F.regexp_replace(text, field, F.concat(F.lit("$1"), data, F.lit('"'))), text)
+
+    return messages.withColumn("content_json", F.when(size > 0, F.aggregate(F.sequence(F.lit(0), size - 1), bare, one)).otherwise(bare))
 
 
 def rewritten_paths(text: Column, old: str, new: str) -> Column:
-    """``new`` for the path ``old`` in path fields and image wrappers of JSON text, and nowhere else."""
-    quoted = F.lit(rf'("(?:path|saved_path|file_path|cwd)"\s*:\s*"|<image\b[^>]*\bpath=\\?"){_escaped(old)}')
+    """``new`` for the path ``old``, whole or as a folder, in path fields and image wrappers of JSON text, and nowhere else."""
+    quoted = F.lit(rf'("(?:path|filePath|saved_path|file_path|cwd)"\s*:\s*"|<image\b[^>]*\bpath=\\?"){_escaped(old)}(?=["/\\])')
     return F.regexp_replace(text, quoted, F.lit("$1" + new.replace("\\", "\\\\").replace("$", "\\$")))
 
 

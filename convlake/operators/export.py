@@ -72,18 +72,23 @@ def framed(lines: DataFrame, sessions: DataFrame) -> DataFrame:
     return lines.select(*KEY, "position", "ord", "json").unionByName(head).unionByName(tail)
 
 
+def boundary_mark(sessions: DataFrame) -> Column:
+    """What marks the end of a restored session: its owner, its last commit and a digest of its cursor, if it has one."""
+    digest = F.sha2(F.concat_ws(":", F.col("cursor_offset").cast("string"), "cursor_anchor"), 256) if {"cursor_offset", "cursor_anchor"} <= set(sessions.columns) else F.lit(None).cast("string")
+    return F.concat_ws(":", *KEY, F.col("last_commit_id").cast("string"), digest)
+
+
 def marked(lines: DataFrame, sessions: DataFrame) -> DataFrame:
     """``lines`` with a restore marker in each session's last one: a later scan goes on behind it."""
     last = Window.partitionBy(*KEY).orderBy(F.desc("position"), F.desc("ord"))
-    rows = lines.withColumn("_last", F.row_number().over(last) == 1).join(sessions.select(*KEY, F.col("last_commit_id").cast("string").alias("_commit")), KEY, "left")
-    mark = F.concat_ws(":", *KEY, "_commit")
-    return rows.withColumn("json", F.when(F.col("_last"), with_field(F.col("json"), "_restore_boundary", mark)).otherwise(F.col("json"))).drop("_last", "_commit")
+    rows = lines.withColumn("_last", F.row_number().over(last) == 1).join(sessions.select(*KEY, boundary_mark(sessions).alias("_mark")), KEY, "left")
+    return rows.withColumn("json", F.when(F.col("_last") & F.col("_mark").isNotNull(), with_field(F.col("json"), "_restore_boundary", F.col("_mark"))).otherwise(F.col("json"))).drop("_last", "_mark")
 
 
 def restore_boundaries(lines: DataFrame, sessions: DataFrame) -> DataFrame:
     """Where the last line with a session's own marker ends (``lines``: line, end_offset)."""
     found = lines.withColumn("_mark", F.get_json_object("line", "$._restore_boundary")).where(F.col("_mark").isNotNull())
-    wanted = sessions.select(*KEY, F.concat_ws(":", *KEY, F.col("last_commit_id").cast("string")).alias("_mark"))
+    wanted = sessions.select(*KEY, boundary_mark(sessions).alias("_mark"))
     return found.select("_mark", "end_offset").join(wanted, "_mark").groupBy(*KEY).agg(F.max("end_offset").alias("resume_offset"))
 
 

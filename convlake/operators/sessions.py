@@ -174,7 +174,11 @@ def fair_share(waiting: DataFrame, most: int, turn: int = 0) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    start = lambda c: F.pmod(F.xxhash64(c) + turn, F.lit(1 << 20))
+    files = waiting.select("source", "path").distinct().withColumn("_nth", F.row_number().over(Window.partitionBy("source").orderBy("path")))
+    sources = files.groupBy("source").agg(F.count("*").alias("_files"))
+    sources = sources.withColumns({"_source_turn": F.pmod(F.row_number().over(Window.orderBy("source")) - 1 - turn, F.count("*").over(Window.partitionBy()))})  # a row per source
+    turns = files.join(F.broadcast(sources), "source").select("source", "path", "_source_turn", F.pmod(F.col("_nth") - 1 - turn, F.col("_files")).alias("_file_turn"))
+    # what lies behind the bound is dropped by each task before it is sent anywhere
     in_file = waiting.withColumn("_round", F.row_number().over(Window.partitionBy("source", "path").orderBy("offset"))).where(F.col("_round") <= most)
-    in_source = in_file.withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy("_round", start("path"), "path"))).where(F.col("_place") <= most)
-    return in_source.orderBy("_place", start("source"), "source").limit(most).drop("_round", "_place")
+    in_source = in_file.join(turns, ["source", "path"]).withColumn("_place", F.row_number().over(Window.partitionBy("source").orderBy("_round", "_file_turn"))).where(F.col("_place") <= most)
+    return in_source.orderBy("_place", "_source_turn").limit(most).drop("_round", "_place", "_source_turn", "_file_turn")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 KEY = ["source_type", "session_id"]
 #: Texts that carry context and aren't asked by anybody.
-CONTEXT = r"^\s*(<environment_context>|# AGENTS\.md)"
+CONTEXT = r"^[\x00-\x20]*(<environment_context>|# AGENTS\.md instructions\n\n<INSTRUCTIONS>)"
 
 
 def basic_turns(messages: DataFrame) -> DataFrame:
@@ -21,27 +21,34 @@ def is_context(text: Column) -> Column:
 
 
 def turns(messages: DataFrame) -> DataFrame:
-    """``turn_no``, ``turn_id`` and ``cancelled`` of every message (role, text, created_at, phase).
+    """``turn_no``, ``turn_id`` and ``cancelled`` of every message (role, text, created_at and maybe phase).
 
-    A user message opens a turn if an answer came since the last one opened or a final answer closed it;
-    users in a row of one time merge into one turn, and so does context with what follows it; a user who got
-    no answer before the next one asked has a turn of their own, which counts as cancelled. Everything is
-    sums and neighbours over the session in order.
+    A user message opens a turn if an answer came since the last one. Where none came yet, context belongs to
+    the turn that is open, and so does what follows context alone or has the time of the prompt before; any
+    other user message leaves a cancelled turn behind. An answer of phase ``final_answer`` closes its turn: what
+    follows belongs to the next one. Messages of no turn have number 0. Everything is sums and neighbours over
+    the session in order.
     """
     order = Window.partitionBy(*KEY).orderBy("sequence_no")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    user = F.col("role") == "user"
-    real = user & ~is_context(F.col("text"))
-    rows = messages.withColumns({"_user": user, "_real": real})
-    rows = rows.withColumns({"_before": F.last(F.when(F.col("_user"), F.struct("created_at", "_real", "sequence_no")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_answered": F.last(F.when(F.col("role") == "assistant", F.col("sequence_no")), ignorenulls=True).over(so_far)})
-    after_answer = F.coalesce(F.col("_answered") > F.col("_before.sequence_no"), F.lit(False))
-    merges = ~after_answer & (F.col("_before.created_at").eqNullSafe(F.col("created_at")) | ~F.col("_before._real"))
-    opens = F.col("_user") & (F.col("_before").isNull() | ~F.coalesce(merges, F.lit(False)))
-    rows = rows.withColumn("turn_no", F.sum(opens.cast("long")).over(so_far))
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("sequence_no")
+    last = lambda test, value=at: F.last(F.when(test, value), ignorenulls=True).over(before)
+    phase = F.col("phase") if "phase" in messages.columns else F.lit(None).cast("string")
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    after = lambda a, b: F.coalesce(F.col(a) > F.col(b), F.col(a).isNotNull())
+    rows = messages.withColumns({"_user": F.coalesce(user, F.lit(False)), "_real": F.coalesce(user & ~is_context(F.col("text")), F.lit(False)), "_final": F.coalesce(assistant & (phase == "final_answer"), F.lit(False))})
+    rows = rows.withColumns({"_asked": last(F.col("_user")), "_prompt": last(F.col("_real")), "_time": last(F.col("_real"), F.struct("created_at"))["created_at"], "_answer": last(assistant), "_before": last(F.col("_final"))})
+    rows = rows.withColumn("_closes", F.col("_final") & after("_asked", "_before"))
+    rows = rows.withColumns({"_closed": last(F.col("_closes")), "_follows": F.coalesce(F.lag("_closes").over(order), F.lit(False))})
+    new_time = ~F.coalesce(F.col("_time") == F.col("created_at"), F.lit(False))
+    opens = F.col("_user") & after("_asked", "_closed") & (F.coalesce(F.col("_answer") > F.col("_asked"), F.lit(False)) | F.col("_real") & after("_prompt", "_answer") & new_time)
+    starts = opens | F.col("_follows") | (F.col("_user") & F.col("_asked").isNull())
+    rows = rows.withColumn("turn_no", F.sum(starts.cast("long")).over(so_far))
     turn = Window.partitionBy(*KEY, "turn_no")
-    answered = F.max((F.col("role") == "assistant").cast("int")).over(turn) == 1
+    rows = rows.withColumns({"_has_user": F.max("_user").over(turn), "_answered": F.max(F.coalesce(assistant, F.lit(False))).over(turn)})
+    rows = rows.withColumns({"turn_no": F.when(F.col("_has_user"), F.col("turn_no")).otherwise(0), "cancelled": F.col("_has_user") & ~F.col("_answered")})
     turn_id = name_based(F.concat_ws("\n", *KEY, F.col("turn_no").cast("string")))
-    return rows.withColumns({"turn_id": turn_id, "cancelled": (F.col("turn_no") > 0) & ~answered}).drop("_user", "_real", "_before", "_answered")
+    return rows.withColumn("turn_id", turn_id).drop("_user", "_real", "_final", "_asked", "_prompt", "_time", "_answer", "_before", "_closes", "_closed", "_follows", "_has_user", "_answered")
 
 
 def name_based(text: Column) -> Column:

@@ -45,13 +45,27 @@ def codex_class(line: Column) -> tuple[Column, Column]:
     return role, F.when(role.isNotNull(), inner)
 
 
-def codex_messages(lines: DataFrame) -> DataFrame:
+def session_ids(lines: DataFrame, source: str, known: DataFrame | None = None) -> DataFrame:
+    """path and session_id of every transcript in ``lines``.
+
+    Codex sessions are called by what is ``known`` of their path (path, session_id) from earlier reads, else by
+    their session_meta, else by the file; claude sessions by the file.
+    """
+    paths = lines.select("path").distinct()
+    if source == "claude":
+        return paths.withColumn("session_id", file_stem(F.col("path")))
+    found = paths.join(codex_sessions(lines).select("path", F.col("session_id").alias("_meta")), "path", "left")
+    known = found.select("path", F.lit(None).cast("string").alias("_known")).limit(0) if known is None else known.select("path", F.col("session_id").alias("_known"))
+    return found.join(known, "path", "left").select("path", F.coalesce("_known", "_meta", file_stem(F.col("path"))).alias("session_id"))
+
+
+def codex_messages(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Messages of codex transcripts; duplicate projections and other events are dropped."""
     rows, line = parsed(lines), F.col("line")
     role, kind = codex_class(line)
     kept = rows.where("not malformed").select("path", "start_offset", "end_offset", role.alias("role"), kind.alias("event_type"), line.alias("content_json"), S.instant(text_at(line, "$.timestamp")).alias("created_at"), F.lit(None).cast("string").alias("identity"))
-    found = kept.where(F.col("role").isNotNull()).unionByName(parse_errors(rows)).join(codex_sessions(lines).select("path", "session_id"), "path", "left")
-    return identified(found.withColumn("session_id", F.coalesce("session_id", file_stem(F.col("path")))), "codex")
+    found = kept.where(F.col("role").isNotNull()).unionByName(parse_errors(rows)).join(session_ids(lines, "codex", known), "path")
+    return identified(found, "codex")
 
 
 def codex_sessions(lines: DataFrame) -> DataFrame:
@@ -72,7 +86,16 @@ def of_session(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(S.is_blank(F.col(column)) | (F.col(column) == F.col("session_id")))
 
 
-def claude_messages(lines: DataFrame) -> DataFrame:
+def claude_titles(lines: DataFrame) -> DataFrame:
+    """The last title event of every claude transcript that has one: session_id and title."""
+    line = F.col("line")
+    kind = text_at(line, "$.type")
+    text = F.when(kind == "custom-title", F.coalesce(text_at(line, "$.customTitle"), F.lit(""))).when(kind == "ai-title", S.first_non_blank(text_at(line, "$.aiTitle")))
+    found = terminated(lines).select("path", "start_offset", text.alias("title")).where(F.col("title").isNotNull())
+    return found.groupBy(file_stem(F.col("path")).alias("session_id")).agg(F.max_by("title", "start_offset").alias("title"))
+
+
+def claude_messages(lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Messages of claude transcripts; the session is the file's stem."""
     rows, line = parsed(lines).withColumn("session_id", file_stem(F.col("path"))), F.col("line")
     kind = text_at(line, "$.type")

@@ -3,11 +3,13 @@
 Rows are path, start_offset, end_offset, line (one carriage return at its end stripped) and
 line_terminated. A file is cut into byte ranges; a range owns the lines that begin in it, so large files
 are read by many tasks. The stream's offset is how far each file was read, up to its last newline; lines
-that are appended while a batch runs belong to the next one.
+that are appended while a batch runs belong to the next one. A file that is shorter than what was read of
+it gives nothing: it is never read again from its start.
 
-Options: ``path`` (a folder, a file or a glob; several by commas), ``recursive`` (default true),
-``rangeBytes``, and for streams ``maxBytesPerFile`` (none by default). The paths have to be readable
-from driver and executors alike.
+Options: ``path`` (a folder, a file or a glob; several by commas), ``recursive`` (default true), ``layout``
+("projects": only ``<path>/<folder>/*.jsonl``), ``rangeBytes``, and for streams ``maxBytesPerFile`` (none by
+default), ``positions`` (JSON, where to begin by path; -1 leaves a file alone) and ``until`` (JSON, where to
+end by path). The paths have to be readable from driver and executors alike.
 """
 
 from __future__ import annotations
@@ -37,14 +39,34 @@ class Range(InputPartition):
 def found_files(options: dict) -> list[str]:
     """Paths of the JSON lines files that the options name."""
     recursive = str(options.get("recursive", "true")).lower() == "true"
+    below = "*/*.jsonl" if options.get("layout") == "projects" else "**/*.jsonl" if recursive else "*.jsonl"
     out: set[str] = set()
     for path in options["path"].split(","):
         path = re.sub(r"^file:(?://)?(?=/)", "", path)
         if os.path.isdir(path):
-            out.update(glob.glob(os.path.join(glob.escape(path), "**/*.jsonl" if recursive else "*.jsonl"), recursive=recursive))
+            out.update(glob.glob(os.path.join(glob.escape(path), below), recursive=True))
         else:
             out.update(glob.glob(path, recursive=True))
-    return sorted(p for p in out if os.path.isfile(p))
+    return sorted(p for p in out if os.path.isfile(p) and os.path.basename(p) != "sessions-index.jsonl")
+
+
+def file_key(path: str) -> str:
+    """What a file is, whatever it is called."""
+    found = os.stat(path)
+    return f"{found.st_dev}:{found.st_ino}"
+
+
+def line_before(path: str, end: int) -> str | None:
+    """The line that ends at ``end``, without its line end; None if none ends there."""
+    with open(path, "rb") as f:
+        raw, low = b"", end
+        while low and b"\n" not in raw[:-1]:
+            start = max(0, low - BLOCK)
+            f.seek(start)
+            raw, low = f.read(low - start) + raw, start
+    if len(raw) < end - low or not raw.endswith(b"\n"):
+        return None
+    return raw[:-1].rpartition(b"\n")[2].removesuffix(b"\r").decode("utf-8", "replace")
 
 
 def ranges(path: str, low: int, end: int, size: int) -> list[Range]:
@@ -69,9 +91,26 @@ def lines(part: Range) -> Iterator[tuple]:
             at += len(raw)
 
 
-def last_newline(path: str, low: int) -> int:
-    """The offset behind the last newline at or after ``low``; ``low`` if there is none."""
-    end = os.path.getsize(path)
+def batches(part: Range) -> Iterator:
+    """The same as Arrow batches of bounded size."""
+    import pyarrow as pa
+
+    names, rows, size = ("path", "start_offset", "end_offset", "line", "line_terminated"), [], 0
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+    table = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    for row in lines(part):
+        rows.append(row)
+        size += row[2] - row[1]
+        if len(rows) >= 4096 or size >= 4 << 20:
+            yield table()
+            rows, size = [], 0
+    if rows:
+        yield table()
+
+
+def last_newline(path: str, low: int, high: int | None = None) -> int:
+    """The offset behind the last newline between ``low`` and ``high``; ``low`` if there is none."""
+    end = os.path.getsize(path) if high is None else high
     with open(path, "rb") as f:
         while end > low:
             start = max(low, end - BLOCK)
@@ -91,30 +130,34 @@ class BatchReader(DataSourceReader):
         size = int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
         return [r for p in found_files(self.options) for r in ranges(p, 0, os.path.getsize(p), size)]
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return lines(partition)
+    def read(self, partition: Range) -> Iterator:
+        return batches(partition)
 
 
 class StreamReader(DataSourceStreamReader):
-    """A shortened file is read from its start again: it is another file now."""
-
     def __init__(self, options: dict):
-        self.options, self.seen = options, {}
+        self.options, self.seen, self.given = options, {}, set()
+        self.positions = json.loads(options.get("positions", "{}"))
+        self.until = json.loads(options["until"]) if "until" in options else None
 
     def initialOffset(self) -> dict:
-        return {"files": "{}"}
+        return {"files": "{}", "from": "{}"}
 
     def latestOffset(self) -> dict:
         most = self.options.get("maxbytesperfile", self.options.get("maxBytesPerFile"))
         for path in found_files(self.options):
-            low = self.seen.get(path, 0)
-            if os.path.getsize(path) < low:
-                low = 0
-            end = last_newline(path, low)
+            low = self.seen.get(path, self.positions.get(path, 0))
+            high = os.path.getsize(path) if self.until is None else self.until.get(path, 0)
+            if low < 0 or high <= low:
+                continue
+            end = last_newline(path, low, high)
             if most and end > low + int(most):
                 end = max(self._bounded(path, low, low + int(most)), low)
             self.seen[path] = end
-        return {"files": json.dumps(self.seen, sort_keys=True)}
+        self.given |= set(self.seen.items())
+        # a rewritten file may end where it ended before, and still be new
+        ahead = {p: low for p, low in self.positions.items() if 0 <= low < self.seen.get(p, low)}
+        return {"files": json.dumps(self.seen, sort_keys=True), "from": json.dumps(ahead, sort_keys=True)}
 
     @staticmethod
     def _bounded(path: str, low: int, high: int) -> int:
@@ -130,15 +173,18 @@ class StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Range]:
         size = int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        self.seen = {**before, **self.seen}
+        self.seen = {**before, **self.seen} if not self.positions else self.seen
         out = []
         for path, high in now.items():
             low = before.get(path, 0)
-            out += ranges(path, 0 if high < low else low, high, size)
+            if path in self.positions and (path, low) not in self.given:  # it isn't where this stream has read to
+                low = self.positions[path]
+            if 0 <= low < high:
+                out += ranges(path, low, high, size)
         return out
 
-    def read(self, partition: Range) -> Iterator[tuple]:
-        return lines(partition)
+    def read(self, partition: Range) -> Iterator:
+        return batches(partition)
 
 
 class JsonlOffsets(DataSource):

@@ -7,6 +7,10 @@ its own partition. Readers take messages up to their session's last commit.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +21,7 @@ KEY = ["source_type", "session_id"]
 
 SESSIONS = T.StructType([
     T.StructField("source_type", T.StringType(), False), T.StructField("session_id", T.StringType(), False), T.StructField("title", T.StringType()), T.StructField("cwd", T.StringType()),
-    T.StructField("archived", T.BooleanType()), T.StructField("source_path", T.StringType()), T.StructField("cursor_offset", T.LongType()), T.StructField("cursor_anchor", T.StringType()),
+    T.StructField("archived", T.BooleanType()), T.StructField("source_path", T.StringType()), T.StructField("file_key", T.StringType()), T.StructField("cursor_offset", T.LongType()), T.StructField("cursor_anchor", T.StringType()),
     T.StructField("last_commit_id", T.LongType()), T.StructField("pending_commit_id", T.LongType()), T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
     T.StructField("subagent_source_json", T.StringType()), T.StructField("projectless", T.BooleanType()), T.StructField("version", T.LongType()),
 ])
@@ -29,6 +33,9 @@ MESSAGES = T.StructType([
 ])
 
 
+COMMITS = T.StructType([T.StructField("query", T.StringType(), False), T.StructField("batch", T.LongType(), False), T.StructField("commit_id", T.LongType(), False)])
+
+
 def assert_schema(df: DataFrame, wanted: T.StructType) -> DataFrame:
     """``df`` in the order of ``wanted``; columns that only allow nulls may be missing, others may not differ."""
     have = {f.name: f.dataType for f in df.schema}
@@ -57,7 +64,7 @@ class Store:
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = jvm_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.names) if there else self.spark.createDataFrame([], schema)
 
     def claim(self) -> None:
         """Become the writer of the tables, or fail if another one is."""
@@ -108,31 +115,143 @@ class Store:
 
         return next_commit(self.sessions()).first()["commit_id"]
 
+    def commit_of(self, query: str, batch: int) -> int:
+        """The commit of a batch of a query: the one it got before, or the next of all that write here."""
+        known = self._read("commits", COMMITS)
+        own = known.where((F.col("query") == query) & (F.col("batch") == batch)).agg(F.max("commit_id")).first()[0]
+        if own is not None:
+            return own
+        used = [known.agg(F.max("commit_id")).first()[0], *self.states().agg(F.max("last_commit_id"), F.max("pending_commit_id")).first()]
+        commit = max((x for x in used if x is not None), default=-1) + 1
+        self._append("commits", self.spark.createDataFrame([(query, batch, commit)], COMMITS).coalesce(1), commit)
+        return commit
+
     def compact(self) -> DataFrame:
         """The latest states alone, to be written elsewhere."""
         return self.sessions()
 
 
-def collect(spark: SparkSession, store: Store, path: str, source: str, checkpoint: str, roll_up: Callable[[DataFrame], DataFrame] | None = None, **options: str):
-    """Stream transcripts into ``store``; every micro-batch is one commit, and its id is that of the batch.
+def resume_positions(spark: SparkSession, store: Store, source: str, found: list[str]) -> tuple[dict[str, int], dict[str, str]]:
+    """Where to go on in each of the ``found`` files, and the session of those that lie elsewhere than before.
+
+    A file goes on at its session's cursor if it is the same file and still has the cursor's line there. One
+    that was replaced, shortened, rewritten or moved goes on behind the last restore marker of its session, else
+    behind the nearest line with the cursor's anchor; without either it is left alone (-1), as reading it
+    from the start would write its messages twice.
+    """
+    from convlake.functions import scalars as S
+    from convlake.operators.export import restore_boundaries
+    from convlake.operators.sessions import remapped_anchors
+    from convlake.sources.jsonl import file_key, line_before
+
+    keys = {p: file_key(p) for p in found}
+    by_key = {k: p for p, k in keys.items()}
+    stems = {os.path.basename(p): p for p in found}
+    states = store.sessions().where((F.col("source_type") == source) & F.col("source_path").isNotNull() & F.col("cursor_offset").isNotNull())
+    places, moved, doubtful = {}, {}, []
+    for r in states.select(*KEY, "source_path", "file_key", "cursor_offset", "cursor_anchor").toLocalIterator():  # one row per session
+        path = r["source_path"] if r["source_path"] in keys else by_key.get(r["file_key"]) or stems.get(os.path.basename(r["source_path"]))
+        if path is None:
+            continue
+        if path != r["source_path"]:
+            moved[path] = r["session_id"]
+        same = r["file_key"] in (None, keys[path]) and os.path.getsize(path) >= r["cursor_offset"]
+        if same and r["cursor_offset"]:
+            line = line_before(path, r["cursor_offset"])
+            same = line is not None and (r["cursor_anchor"] is None or hashlib.sha256(line.encode()).hexdigest() == r["cursor_anchor"])
+        places[path] = r["cursor_offset"] if same else -1
+        if not same:
+            doubtful.append((path, r["session_id"], r["cursor_anchor"], r["cursor_offset"]))
+    if doubtful:
+        lines = spark.read.format("jsonl_offsets").option("path", ",".join(d[0] for d in doubtful)).load().where("line_terminated")
+        asked = spark.createDataFrame(doubtful, "path string, session_id string, anchor string, offset long")
+        near = remapped_anchors(lines.select("path", "end_offset", S.line_anchor(F.col("line")).alias("anchor")), asked)
+        marks = restore_boundaries(lines, store.sessions()).join(asked.select("session_id", "path"), "session_id").select("path", "resume_offset")
+        for r in near.join(marks, "path", "left").select("path", F.coalesce("resume_offset", "end_offset").alias("at")).collect():  # doubtful files only
+            places[r["path"]] = -1 if r["at"] is None else r["at"]
+    return places, moved
+
 
-    Returns the query, which reads what there is and ends.
+def session_states(store: Store, lines: DataFrame, messages: DataFrame, source: str, known: DataFrame, keys: DataFrame, roll_up: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The new state of every session in ``lines``: what these say, and what only earlier batches said.
+
+    The cursor is behind the last complete line, message or not. Title and creation time stay once there are any,
+    but for title events; ``keys`` has the file_key of each path.
     """
-    from convlake.operators.sessions import rolled_up
-    from convlake.sources.dialects import DIALECTS
-    from convlake.sources.jsonl import register
+    from convlake.operators.sessions import merged, rolled_up
+    from convlake.sources import dialects as D
+
+    text = F.coalesce(F.get_json_object("content_json", "$.payload.content[0].text"), F.get_json_object("content_json", "$.message.content[0].text"), F.get_json_object("content_json", "$.message.content"))
+    events = messages.select(*KEY, F.col("sequence_no").alias("start_offset"), "end_offset", "role", text.alias("text"), F.get_json_object("content_json", "$.cwd").alias("cwd"), F.col("created_at").alias("event_time"), F.lit(None).cast("string").alias("anchor"))
+    said = (roll_up or rolled_up)(events).drop("read_count", "cursor_offset", "cursor_anchor", "source_type")
+    files = D.cursors(lines).join(D.session_ids(lines, source, known), "path").join(keys, "path", "left")
+    if source == "codex":
+        own = D.codex_sessions(lines).select("path", F.col("cwd").alias("_cwd"), F.col("created_at").alias("_created"))
+        files = files.join(own, "path", "left").withColumns({"archived": F.col("path").contains("/archived_sessions/"), "_title": F.lit(None).cast("string")})
+    else:
+        own = D.claude_titles(lines).withColumnRenamed("title", "_title")
+        files = files.join(own, "session_id", "left").withColumns({"archived": F.lit(None).cast("boolean"), "_cwd": F.lit(None).cast("string"), "_created": F.lit(None).cast("timestamp")})
+    rest = ("path", "file_key", "cursor_offset", "cursor_anchor", "archived", "_title", "_cwd", "_created")
+    one = files.groupBy("session_id").agg(F.max_by(F.struct(*rest), "path").alias("f")).select("session_id", "f.*").join(said, "session_id", "left")
+    now = one.select(
+        F.lit(source).alias("source_type"), "session_id", "title", F.coalesce("cwd", "_cwd").alias("cwd"), "archived", F.col("path").alias("source_path"), "file_key", "cursor_offset", "cursor_anchor",
+        F.coalesce("_created", "created_at").alias("created_at"), "updated_at",
+    )
+    before = store.sessions().where(F.col("source_type") == source)
+    titles = one.select("session_id", F.nullif(F.col("_title"), F.lit("")).alias("_title"))
+    state = merged(before.drop("version", "last_commit_id", "pending_commit_id"), assert_schema(now.withColumn("subagent_source_json", F.lit(None).cast("string")), T.StructType([f for f in SESSIONS if f.name not in ("version", "last_commit_id", "pending_commit_id")])))
+    return state.join(titles, "session_id").withColumn("title", F.coalesce("_title", "title")).drop("_title")
+
+
+def collect(spark: SparkSession, store: Store, path: str, source: str, checkpoint: str, roll_up: Callable[[DataFrame], DataFrame] | None = None, files: DataFrame | None = None, metadata: DataFrame | None = None, **options: str):
+    """Stream transcripts into ``store`` until everything that was there at the start is read.
+
+    Every micro-batch is one commit; commits are numbered over all sources of the store. Attachments are taken
+    out on the way (local ones from ``files``). ``metadata`` (KEY and some of title, cwd, archived) also changes
+    sessions without new messages. Returns the last query, which has ended.
+    """
+    from convlake.operators.attachments import taken_out
+    from convlake.operators.catalog import changed
+    from convlake.sources import dialects as D
+    from convlake.sources.jsonl import file_key, found_files, last_newline, register
 
     register(spark)
     store.claim()
+    frozen = {p: last_newline(p, 0) for p in found_files({"path": path, **options})}
+    reached: dict[str, int] = {}
+    moved: dict[str, str] = {}
 
     def batch(lines: DataFrame, batch_id: int) -> None:
         lines = lines.persist()
-        rows = DIALECTS[source](lines)
-        text = F.coalesce(F.get_json_object("content_json", "$.payload.content[0].text"), F.get_json_object("content_json", "$.message.content"))
-        events = rows.select(*KEY, F.col("sequence_no").alias("start_offset"), "end_offset", "role", text.alias("text"), F.get_json_object("content_json", "$.cwd").alias("cwd"), F.col("created_at").alias("event_time"), F.sha2("content_json", 256).alias("anchor"))
-        state = (roll_up or rolled_up)(events).drop("read_count")
-        store.publish(state, rows.drop("path", "end_offset"), batch_id)
-        lines.unpersist()
-
-    stream = spark.readStream.format("jsonl_offsets").option("path", path).options(**options).load()
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            ends = {r["path"]: r["cursor_offset"] for r in D.cursors(lines).collect()}  # files of one batch
+            if ends:
+                query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+                keys = spark.createDataFrame([(p, file_key(p)) for p in ends], "path string, file_key string")
+                names = store.sessions().where(F.col("source_type") == source).select(F.col("source_path").alias("path"), "session_id")
+                if moved:
+                    names = names.join(F.broadcast(again := spark.createDataFrame(list(moved.items()), "path string, session_id string")), "path", "left_anti").unionByName(again)
+                rows = D.DIALECTS[source](lines, names).dropDuplicates(["message_id"])
+                state = session_states(store, lines, rows, source, names, keys, roll_up)
+                store.publish(state, taken_out(rows.drop("path", "end_offset"), files), store.commit_of(query, batch_id))
+            reached.update(ends)
+        finally:
+            lines.unpersist()
+
+    while True:
+        places, found = resume_positions(spark, store, source, list(frozen))
+        moved.update(found)
+        reached.clear()
+        stream = spark.readStream.format("jsonl_offsets").option("path", path).options(positions=json.dumps(places), until=json.dumps(frozen), **options).load()
+        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not any(end < frozen.get(p, 0) for p, end in reached.items()):
+            break
+    if metadata is not None:
+        before = store.sessions().where(F.col("source_type") == source).drop("version", "last_commit_id", "pending_commit_id")
+        names = [c for c in metadata.columns if c not in KEY]
+        now = before.join(metadata.select(*KEY, *(F.col(c).alias(f"_{c}") for c in names)), KEY).withColumns({c: F.coalesce(f"_{c}", c) for c in names}).select(*before.columns)
+        differ = changed(before, now, names)
+        if not differ.isEmpty():
+            store.publish(differ, store.messages(pending=True).limit(0), store.commit_of(f"metadata {uuid.uuid4()}", 0))
+    return query

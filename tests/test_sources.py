@@ -6,8 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from convlake.functions import scalars
 from convlake.operators import attachments as A
 from convlake.operators import sessions as N
+from convlake.operators.turns import turns
 from convlake.sources.dialects import claude_messages, codex_messages, codex_sessions, cursors
 from convlake.sources.jsonl import register
 from convlake.streaming.incremental import Progress, recovery
@@ -136,7 +138,10 @@ def test_stream_and_replay(spark, tmp_path):
         f.write('": 1}\n' + lines_of(said("assistant", "two")))
     assert run()
     rows = store.messages().orderBy("sequence_no").collect()
-    assert [r.role for r in rows] == ["user", "assistant"]
+    assert [(r.role, r.session_id) for r in rows] == [("user", "s1"), ("assistant", "s1")]
+    assert {r.message_id for r in rows} == {r.message_id for r in codex_messages(read(spark, src)).collect()}
+    s = store.sessions().first()
+    assert (s.title, s.cwd, s.cursor_offset, s.last_commit_id) == ("one", "/w", len(path.read_bytes()), 1)
     assert run() and store.messages().count() == 2
     spark.streams.removeListener(progress)
     with pytest.raises(PermissionError):
@@ -161,3 +166,100 @@ def test_publish_is_atomic_and_repeatable(spark, tmp_path):
         assert_schema(rows.withColumn("other", F.lit(1)), MESSAGES)
     with pytest.raises(ValueError, match="missing"):
         assert_schema(rows.drop("message_id"), MESSAGES)
+
+
+def claude_said(session, k, text):
+    return {"type": "user", "sessionId": session, "uuid": f"{session}-{k}", "timestamp": 1767225600 + k, "message": {"role": "user", "content": text}}
+
+
+def test_two_sources_share_a_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), "me")
+    for name, text in (("codex/r.jsonl", lines_of(META, said("user", "one"))), ("claude/c1.jsonl", lines_of(claude_said("c1", 0, "two")))):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    run = lambda source, cp: collect(spark, store, str(tmp_path / source), source, str(tmp_path / cp))
+    run("codex", "a"), run("claude", "b")
+    with (tmp_path / "codex/r.jsonl").open("a", encoding="utf-8") as f:
+        f.write(lines_of(said("assistant", "three")))
+    run("codex", "another folder")  # a lost checkpoint reads nothing twice
+    rows = store.messages().collect()
+    assert sorted((r.source_type, r.session_id, r.commit_id) for r in rows) == [("claude", "c1", 1), ("codex", "s1", 0), ("codex", "s1", 2)]
+    meta = spark.createDataFrame([("claude", "c1", "renamed")], "source_type string, session_id string, title string")
+    for _ in range(2):
+        collect(spark, store, str(tmp_path / "claude"), "claude", str(tmp_path / "b"), metadata=meta)
+    assert [(r.title, r.last_commit_id) for r in store.sessions().where("session_id = 'c1'").collect()] == [("renamed", 3)]
+    assert store.messages().count() == 3
+
+
+def test_bounded_batches_are_drained(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), "me")
+    (tmp_path / "in").mkdir()
+    events = [claude_said("c", k, f"text {k}") for k in range(5)]
+    (tmp_path / "in" / "c.jsonl").write_text(lines_of(*events, {"type": "ai-title", "aiTitle": "A title"}), encoding="utf-8")
+    collect(spark, store, str(tmp_path / "in"), "claude", str(tmp_path / "cp"), maxBytesPerFile="300")
+    assert store.messages().count() == 5 and store.messages().select("commit_id").distinct().count() > 1
+    s = store.sessions().first()
+    assert s.title == "A title" and s.cursor_offset == (tmp_path / "in" / "c.jsonl").stat().st_size
+    assert s.created_at.timestamp() == 1767225600 and s.updated_at.timestamp() == 1767225604
+
+
+def test_rewritten_files_are_never_replayed(spark, tmp_path):
+    from convlake.operators.export import marked
+
+    store, src = Store(spark, str(tmp_path / "store"), "me"), tmp_path / "in"
+    src.mkdir()
+    first = {n: lines_of(*(claude_said(n, k, f"text {k}") for k in range(3))) for n in ("short", "shifted", "moved", "restored", "plain")}
+    for n, text in first.items():
+        (src / f"{n}.jsonl").write_text(text, encoding="utf-8")
+    run = lambda: collect(spark, store, str(src), "claude", str(tmp_path / "cp"))
+    run()
+    more = {n: lines_of(claude_said(n, 9, "more")) for n in first}
+    (src / "short.jsonl").write_text(lines_of(claude_said("short", 5, "other")), encoding="utf-8")  # the anchor is gone
+    (src / "shifted.jsonl").write_text(lines_of({"type": "summary", "summary": "new line"}) + first["shifted"] + more["shifted"], encoding="utf-8")
+    (src / "moved.jsonl").rename(src / "sub" / "moved.jsonl" if (src / "sub").mkdir() else src / "sub" / "moved.jsonl")
+    with (src / "sub" / "moved.jsonl").open("a", encoding="utf-8") as f:
+        f.write(more["moved"])
+    last = spark.createDataFrame([("claude", "restored", 0, 0, '{"type":"custom-title"}')], "source_type string, session_id string, position long, ord int, json string")
+    (src / "restored.jsonl").write_text(lines_of(claude_said("restored", 0, "as restored")) + marked(last, store.sessions()).first().json + "\n" + more["restored"], encoding="utf-8")
+    with (src / "plain.jsonl").open("a", encoding="utf-8") as f:
+        f.write(more["plain"])
+    for _ in range(2):
+        run()
+        rows = store.messages().collect()
+        count = {n: sum(r.session_id == n for r in rows) for n in first}
+        assert count == {"short": 3, "shifted": 4, "moved": 4, "restored": 4, "plain": 4}
+        assert len({r.message_id for r in rows}) == len(rows)
+
+
+def test_turn_rules(spark):
+    rows = [
+        ("user", "<environment_context>", 1, None), ("user", "ask", 2, None), ("user", "# AGENTS.md instructions\n\n<INSTRUCTIONS>x", 3, None), ("assistant", "a", 4, None),
+        ("user", "cancelled", 5, None), ("user", "again", 6, None), ("user", "same time", 6, None), ("assistant", "final", 7, "final_answer"), ("assistant", "stray", 8, None),
+        ("user", "next", 9, None), ("user", "no time", None, None), ("user", "no time either", None, None), ("user", "# AGENTS.md is a file", 10, None), ("assistant", "b", 11, "final_answer"), ("assistant", "after all", 12, None),
+    ]
+    df = spark.createDataFrame([("codex", "s", i, *r) for i, r in enumerate(rows)], "source_type string, session_id string, sequence_no long, role string, text string, created_at long, phase string")
+    got = turns(df).orderBy("sequence_no").collect()
+    assert [r.turn_no for r in got] == [1, 1, 1, 1, 2, 3, 3, 3, 4, 4, 5, 6, 7, 7, 0]
+    assert {r.turn_no for r in got if r.cancelled} == {2, 5, 6}
+
+
+def test_fair_share_rotates(spark):
+    rows = [(s, p, o) for s in "abc" for p in range(3) for o in range(5)]
+    df = spark.createDataFrame(rows, "source string, path int, offset int")
+    first = [[(r.source, r.path) for r in N.fair_share(df, 1, turn).collect()] for turn in range(3)]
+    assert [x[0] for x in first] == [("a", 0), ("b", 1), ("c", 2)]
+    assert sorted(r.source for r in N.fair_share(df, 6, 4).collect()) == list("aabbcc")
+
+
+def test_small_rules(spark):
+    docs = [('{"a":{"k":7}}', "7"), ('{"b":[{"k":"  "},{"k":"x\\n"}]}', "x\n"), ('{"a":{"k":"in"},"k":"top"}', "top"), ('{"k":{"k":true}}', "true"), ("{}", None)]
+    got = spark.createDataFrame(docs, "d string, want string").select(scalars.deep_find(F.col("d"), "k").alias("k"), "want").collect()
+    assert all(r.k == r.want for r in got), got
+    text = '{"cwd":"/ab","path":"/a","file_path":"/a/c"}'
+    assert spark.range(1).select(A.rewritten_paths(F.lit(text), "/a", "/z").alias("t")).first().t == '{"cwd":"/ab","path":"/z","file_path":"/z/c"}'
+    data = base64.b64encode(b"some bytes").decode()
+    before = json.dumps({"message": {"content": [{"type": "text", "text": f"blob:0 and {data}"}, {"type": "text", "text": "blob:0"}, {"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": data}}, {"type": "input_image", "image_url": "data:image/png;base64," + data}]}})
+    rows = spark.createDataFrame([("m", before)], "message_id string, content_json string")
+    out = A.taken_out(rows)
+    assert json.loads(out.first().content_json)["message"]["content"][0]["text"] == f"blob:0 and {data}"
+    assert A.put_back(out).first().content_json == before
