@@ -229,7 +229,7 @@ def _(spark, d):
     return X.restored_threads(s, previews).select("id", "rollout_path", "title", "created_at", "archived")
 
 
-@query("w4_fair_share")
+@query("w4_fair_share", 'SELECT source, path, "offset" FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round, path) AS place FROM (SELECT source_type AS source, session_id AS path, sequence_no AS "offset", row_number() OVER (PARTITION BY source_type, session_id ORDER BY sequence_no) AS round FROM messages_v)) ORDER BY place, source LIMIT 40')
 def _(spark, d):
     waiting = messages(spark, d).select(F.col("source_type").alias("source"), F.col("session_id").alias("path"), F.col("sequence_no").alias("offset"))
     return N.fair_share(waiting, 40)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import queries as _queries
 from . import job_queries as _jobs  # noqa: F401  registers itself
+from . import more_queries as _rest  # noqa: F401  registers itself
 from . import text_queries as _more  # noqa: F401  registers itself
 
 
