@@ -36,9 +36,9 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(name, before)
 
 
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` once, in small batches, and read back, which cuts its lineage."""
-    with small_batches(df.sparkSession):
+def staged(df: DataFrame, path: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df`` written to ``path`` once, in batches of ``rows``, and read back, which cuts its lineage."""
+    with small_batches(df.sparkSession, rows):
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -84,3 +84,69 @@ def test_query(spark):
     rows = op3_lattice_score(spark, SF).collect()
     check(rows, [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
     assert all(r.score < 0 for r in rows)
+
+
+def plain_round(words, scores, prior, ends):
+    """One round of expectation-maximisation, by listing every segmentation of every word."""
+    lattice = Lattice(PATH, scores)
+    counts = dict.fromkeys({*vocabulary(PATH)[0].values(), *lattice.in_bytes, lattice.end}, prior)
+    counts[lattice.end] += ends
+
+    def cuts(text):
+        if not text:
+            return [(1.0, ())]
+        out = [] if text[0] in lattice.pieces else [(math.exp(lattice.spell(text[0])[1]) * p, (*lattice.spell(text[0])[0], *ids)) for p, ids in cuts(text[1:])]
+        for n in range(1, len(text) + 1):
+            if text[:n] in lattice.pieces:
+                k, score = lattice.pieces[text[:n]]
+                out += [(math.exp(score) * p, (k, *ids)) for p, ids in cuts(text[n:])]
+        return out
+
+    for word, c in words:
+        ways = cuts("▁" + word)
+        whole = sum(p for p, _ in ways)
+        for p, ids in ways:
+            for k in ids:
+                counts[k] += c * p / whole
+    total = sum(counts.values())
+    return {k: math.log(c / total) for k, c in counts.items()}
+
+
+def test_fit_by_definition(spark):
+    """Words laid out in rows give the scores that listing all segmentations gives."""
+    import numpy as np
+
+    words = [("the", 50), ("thetion", 7), ("stst", 4), ("é", 2), ("x\U0001f600y", 3), ("\U0001f600\U0001f601", 1), ("a", 9)]
+    table_ = spark.createDataFrame([(bytearray(w.encode()), c, c) for w, c in words], "word binary, c long, n long")
+    want = first_scores(PATH)
+    for _ in range(2):
+        found = plain_round(words, want, 0.1, 5)
+        want = np.array([found.get(k, -np.inf) for k in range(len(want))])
+    got = fit(table_, 5, PATH, 2)
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_rows_of_lattices_are_the_lattices_of_their_words(spark, monkeypatch):
+    """Small rows, words with count 0 and words beyond LONG change nothing."""
+    import random
+
+    from convlake.llm import lattice_lm
+
+    r = random.Random(8)
+    words = sorted({"".join(r.choice("thesionaréß\U0001f600") for _ in range(r.randint(1, 90))) for _ in range(300)})
+    table_ = spark.createDataFrame([(bytearray(w.encode()), k % 4, k) for k, w in enumerate(words)], "word binary, c long, n long")
+    seen = []
+    for chunk, long in ((4096, 64), (7, 64), (50, 10), (50, 1000)):
+        monkeypatch.setattr(lattice_lm, "CHUNK_WORDS", chunk)
+        monkeypatch.setattr(lattice_lm, "LONG", long)
+        laid = lattice_lm.lattices(table_, PATH).cache()
+        assert sorted(bytes(w).decode() for row in laid.collect() for w in row.words) == words
+        scores, likely = lattice_lm.fit_lattices(laid, 3, PATH, 3)
+        assert likely == sorted(likely)
+        seen.append(scores)
+        lattice = Lattice(PATH, scores)
+        for row in laid.toPandas().itertuples():
+            if row.sizes is not None:
+                assert lattice_lm.Lattices(row, lattice).forward() == pytest.approx([lattice.forward(bytes(w).decode()) for w in row.words])
+    for scores in seen[1:]:
+        assert scores == pytest.approx(seen[0], abs=1e-9)
