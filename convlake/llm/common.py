@@ -36,10 +36,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(name, before)
 
 
-def staged(df: DataFrame, path: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """``df`` written to ``path`` once, in batches of ``rows``, and read back, which cuts its lineage."""
+def staged(df: DataFrame, path: str, rows: int = BATCH_ROWS, row_group: int | None = None) -> DataFrame:
+    """``df`` written to ``path`` once, in batches of ``rows``, and read back, which cuts its lineage.
+
+    Writer and reader hold one row group at once; ``row_group`` bounds it in bytes where rows are large.
+    """
     with small_batches(df.sparkSession, rows):
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer if row_group is None else writer.option("parquet.block.size", row_group)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -33,11 +33,12 @@ HOT_WORDS = 150_000
 FLUSH = 300_000
 END = "</s>"
 #: Words and arcs that one row of lattices holds; words of more characters than LONG are walked one by one.
-CHUNK_WORDS = 4096
-CHUNK_ARCS = 200_000
+CHUNK_WORDS = 2048
+CHUNK_ARCS = 100_000
 LONG = 64
-#: Rows of lattices that a Python worker holds at once.
-CHUNKS = 16
+#: Rows of lattices that a Python worker holds at once, and bytes of them in a row group.
+CHUNKS = 4
+ROW_GROUP = 8 << 20
 LATTICES = "words array<binary>, c array<long>, n array<long>, sizes binary, arcs binary, spans binary, ids binary"
 
 
@@ -388,7 +389,7 @@ def score_texts(docs: DataFrame, path: str, rounds: int = ROUNDS, hot_words: int
     ends = docs.where("train").count()
     sums = words.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens, types = (sums["c"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    laid = staged(lattices(words, path), f"{folder}/lattices")
+    laid = staged(lattices(words, path), f"{folder}/lattices", row_group=ROW_GROUP)
     scores = fit_lattices(laid, ends, path, rounds)[0] if ends else first_scores(path)
     shared = spark.sparkContext.broadcast(scores)
     below = math.log10(tokens + 0.5 * (types + 1))
