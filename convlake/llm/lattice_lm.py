@@ -351,7 +351,8 @@ def fit_lattices(laid: DataFrame, ends: int, path: str, rounds: int = ROUNDS, pr
             ids = np.flatnonzero(counts)
             yield pd.DataFrame({"id": [-2, -1, *ids], "expected": [weight, total, *counts[ids]]})
 
-        sums = laid.select("words", "c", "sizes", "arcs", "spans", "ids").mapInPandas(expected, "id int, expected double").groupBy("id").agg(F.sum("expected").alias("expected"))
+        far = F.when(F.col("sizes").isNull(), F.col("words")).alias("words")  # only they are read as text
+        sums = laid.select(far, "c", "sizes", "arcs", "spans", "ids").mapInPandas(expected, "id int, expected double").groupBy("id").agg(F.sum("expected").alias("expected"))
         counts, total, weight = np.zeros(len(scores)), 0.0, 0.0
         with small_batches(spark, CHUNKS):
             found = sums.collect()  # one row per piece of the vocabulary
