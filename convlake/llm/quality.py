@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import remainder
 from .hashed import BITS, code_points, dense, drawn, grams, sparse, texts_of
 
-#: Rated documents of each grade to learn from.
+#: Rated documents of each grade to learn from at most, over all grades about, and of each grade at least.
 PER_GRADE = 1000
+SAMPLE = 4000
+LEAST = 20
 ROUNDS = 300
 RIDGE = 1e-3
 
@@ -94,6 +96,8 @@ def learn(docs: DataFrame, ratings: DataFrame, column: str, per_grade: int = PER
     import numpy as np
 
     known = ratings.where(remainder(F.col("doc_id"), modulus) != 0).select("doc_id", F.col(column).cast("int").alias("grade"))
+    grades = known.where("grade is not null").agg(F.count_distinct("grade")).first()[0]
+    per_grade = min(per_grade, max(LEAST, SAMPLE // max(1, grades)))
     x, grades = dense(sparse(texts_of(docs, drawn(known, "grade", per_grade)).select("text", "grade"), features, "grade"))
     y = np.array([int(float(g)) for g in grades], "int64")
     if not len(y):
@@ -110,7 +114,9 @@ def learn(docs: DataFrame, ratings: DataFrame, column: str, per_grade: int = PER
 def rate(docs: DataFrame, ratings: DataFrame, column: str = "quality", per_grade: int = PER_GRADE) -> DataFrame:
     """doc_id, held_out, expected_grade, top_prob (of the highest grade) and tails of every row.
 
-    Null texts are empty texts. Without ratings the three are null; with one grade it is expected.
+    Null texts are empty texts. Without ratings the three are null; with one grade it is expected. Any
+    number of grades is learned. A document with several ratings has the largest; a repeated row is answered
+    as often as it comes. Other columns are not looked at.
     """
     model = learn(docs, ratings, column, per_grade)
     shared = docs.sparkSession.sparkContext.broadcast(model)
