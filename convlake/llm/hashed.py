@@ -73,7 +73,7 @@ def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
 
 
 def sparse(docs: DataFrame, features, label: str):
-    """Features and labels of a bounded table, in driver memory: rows (label, ids, values)."""
+    """Features and labels of a bounded table, in driver memory: rows of label, ids and v (bytes of int32 and float32)."""
 
     def rows(batches):
         import numpy as np
@@ -85,11 +85,11 @@ def sparse(docs: DataFrame, features, label: str):
                 k, v = features("" if text is None else text)
                 both = np.bincount(k, v)
                 at = np.flatnonzero(both)
-                ids.append(at.astype("int32"))
-                values.append(both[at].astype("float32"))
+                ids.append(at.astype("<i4").tobytes())
+                values.append(both[at].astype("<f4").tobytes())
             yield pd.DataFrame({"label": pdf[label].astype(str), "ids": ids, "v": values})
 
-    return docs.mapInPandas(rows, "label string, ids array<int>, v array<float>").collect()
+    return docs.mapInPandas(rows, "label string, ids binary, v binary").collect()
 
 
 def dense(rows, bits: int = BITS):
@@ -98,5 +98,5 @@ def dense(rows, bits: int = BITS):
 
     x = np.zeros((len(rows), 1 << bits), "float32")
     for k, r in enumerate(rows):
-        x[k, r["ids"]] = r["v"]
+        x[k, np.frombuffer(r["ids"], "<i4")] = np.frombuffer(r["v"], "<f4")
     return x, [r["label"] for r in rows]

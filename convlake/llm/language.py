@@ -2,7 +2,7 @@
 
 A text is the mean of its hashed runs of two and three letters. Linear support vector machines, one for
 each pair, tell families apart, and another one for each pair the languages of a family. They are fitted
-on a bounded sample of documents with a known language; every text is read whole.
+on a bounded sample of documents with a known language, one task for each; every text is read whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, staged, work_dir
-from .hashed import BITS, code_points, dense, first_by_hash, grams, letters, sparse
+from .hashed import BITS, code_points, first_by_hash, grams, letters, sparse
 
 #: Documents to learn from, over all languages.
 SAMPLE = 2400
@@ -57,15 +57,17 @@ def features(text: str):
     return k, np.full(len(k), 100.0 / max(1, len(k)))
 
 
-def machine(x, sign, c: float = 1.0, passes: int = 15):
-    """Weights (the last is the offset) of a linear support vector machine, by dual coordinate descent."""
+def machine(rows, sign, width: int, c: float = 1.0, passes: int = 15):
+    """Weights (the last is the offset) of a linear support vector machine, by dual coordinate descent.
+
+    ``rows`` has the ids below ``width`` and the values of each example.
+    """
     import numpy as np
 
-    order, w = np.random.default_rng(7), np.zeros(x.shape[1] + 1)
-    rows = [(at := np.flatnonzero(r), r[at].astype("float64")) for r in x]  # most features of a text are 0
-    alpha, size = np.zeros(len(x)), [float((v * v).sum()) + 1 for _, v in rows]
+    order, w = np.random.default_rng(7), np.zeros(width + 1)
+    alpha, size = np.zeros(len(rows)), [float((v * v).sum()) + 1 for _, v in rows]
     for _ in range(passes):
-        for i in order.permutation(len(x)):
+        for i in order.permutation(len(rows)):
             at, v = rows[i]
             slope = sign[i] * (float((v * w[at]).sum()) + w[-1]) - 1
             new = min(max(alpha[i] - slope / size[i], 0.0), c)
@@ -78,27 +80,49 @@ def machine(x, sign, c: float = 1.0, passes: int = 15):
 
 
 class Model(NamedTuple):
-    """``duels``: (level, first, second) of each column of ``weights``."""
+    """``duels``: (level, first, second) of each column of ``weights``, whose last row is the offset."""
 
     languages: list[str]
     duels: list[tuple[str, str, str]]
     weights: object
 
 
-def train(x, labels: list[str]) -> Model:
-    """Machines for all pairs of families and all pairs within a family."""
+def pairs(languages: list[str]) -> list[tuple[str, str, str]]:
+    """All pairs of families (level "") and all pairs of languages within a family."""
+    kin = sorted({family(a) for a in languages})
+    levels = [("", kin)] + [(f, [a for a in languages if family(a) == f]) for f in kin]
+    return [(level, a, b) for level, names in levels for a, b in combinations(names, 2)]
+
+
+def train(spark: SparkSession, sample, width: int = 1 << BITS) -> Model:
+    """Machines for all pairs, each fitted in a task that has the sample (rows of sparse(), of a stated bound)."""
     import numpy as np
 
-    languages = sorted(set(labels))
-    labels, duels, weights = np.array(labels), [], []
-    kin = np.array([family(lang) for lang in labels]) if len(labels) else labels
-    levels = [("", sorted(set(kin)), kin)] + [(f, [a for a in languages if family(a) == f], labels) for f in sorted(set(kin))]
-    for level, names, of in levels:
-        for a, b in combinations(names, 2):
-            rows = np.flatnonzero((of == a) | (of == b))
-            duels.append((level, a, b))
-            weights.append(machine(x[rows], np.where(of[rows] == a, 1, -1)))
-    return Model(languages, duels, np.array(weights).reshape(len(duels), x.shape[1] + 1).T)
+    languages = sorted({r["label"] for r in sample})
+    duels = pairs(languages)
+    weights = np.zeros((width + 1, len(duels)), "float32")
+    if not duels:
+        return Model(languages, duels, weights)
+    shared = spark.sparkContext.broadcast([tuple(r[c] for c in ("label", "ids", "v")) for r in sample])
+
+    def fit(batches):
+        import pandas as pd
+
+        x = [(np.frombuffer(ids, "<i4"), np.frombuffer(v, "<f4").astype("float64")) for _, ids, v in shared.value]
+        labels = [label for label, *_ in shared.value]
+        for pdf in batches:
+            for k in pdf["id"]:
+                level, a, b = duels[k]
+                of = labels if level else [family(label) for label in labels]
+                at = [i for i, name in enumerate(of) if name in (a, b)]
+                w = machine([x[i] for i in at], [1 if of[i] == a else -1 for i in at], width)
+                yield pd.DataFrame({"id": [k], "w": [w.astype("<f4").tobytes()]})
+
+    parts = min(len(duels), 4 * spark.sparkContext.defaultParallelism)
+    for row in spark.range(0, len(duels), 1, parts).mapInPandas(fit, "id long, w binary").toLocalIterator():
+        weights[:, row["id"]] = np.frombuffer(row["w"], "<f4")
+    shared.destroy()
+    return Model(languages, duels, weights)
 
 
 def decide(model: Model, margins) -> tuple[str, float]:
@@ -135,7 +159,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
 
     Rows whose id has remainder 1 by 3 are held out of learning. Null texts, texts without a letter and
-    all texts where there is nothing to learn from are ``und`` with score 0.
+    all texts where there is nothing to learn from are ``und`` with score 0. A repeated row counts once in
+    learning and is answered as often as it comes. Other columns are not looked at.
     """
     import numpy as np
 
@@ -143,14 +168,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     held = remainder(F.col("doc_id"), 3) == 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
     known = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = train(*dense(sparse(sampled(known, sample).select("text", "lang"), features, "lang")))
-    weights = model.weights[: 1 << BITS].astype("float32"), model.weights[-1:]
-    shared = spark.sparkContext.broadcast((model, *weights))
+    shared = spark.sparkContext.broadcast(train(spark, sparse(sampled(known, sample).select("text", "lang"), features, "lang")))
 
     def predict(batches):
         import pandas as pd
 
-        model, weights, offset = shared.value
+        model = shared.value
+        weights, offset = model.weights[: 1 << BITS], model.weights[-1].astype("float64")
         for pdf in batches:
             out = []
             for text in pdf["text"]:
@@ -158,7 +182,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     out.append((UNKNOWN, 0.0))
                     continue
                 k = runs(text)
-                out.append(decide(model, np.bincount(k, minlength=1 << BITS) @ weights * (100.0 / len(k)) + offset[0]))
+                out.append(decide(model, np.bincount(k, minlength=1 << BITS) @ weights * (100.0 / len(k)) + offset))
             found = pd.DataFrame(out, columns=["lang_pred", "score"])
             found.insert(0, "held_out", pdf["held_out"].to_numpy(bool))
             found.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
