@@ -192,6 +192,23 @@ def repeated_keys(df: DataFrame, key: tuple[str, ...] = MESSAGE_KEY) -> DataFram
 
 
 def one(df: DataFrame) -> DataFrame:
-    """``df`` if it has at most one row; else reading it fails."""
-    n = df.agg(F.count("*").alias("_n"))
-    return df.join(F.broadcast(n)).where(F.when(F.col("_n") <= 1, True).otherwise(F.raise_error(F.lit("more than one row for a key")).cast("boolean"))).drop("_n")
+    """``df`` if it has at most one row; else reading it fails. Two rows are looked at, and ``df`` is read once."""
+    two = df.limit(2).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    return two.where(F.when(F.col("_n") <= 1, True).otherwise(F.raise_error(F.lit("more than one row for a key")).cast("boolean"))).drop("_n")
+
+
+def list_messages(messages: DataFrame, number: int = 1, size: int = 25, conversation: bool = True, query: str | None = None, among: tuple[str, ...] = ("message_id", "content_json"), **wanted: object) -> DataFrame:
+    """A page of messages, latest first, with ``preview`` and ``stored_attachments``; see page() for the rest.
+
+    ``conversation`` leaves what people and assistant said to each other, without rows that show nothing.
+    Otherwise previews are made for the rows of the page alone.
+    """
+    from convlake.operators.attachments import stored_attachments
+    from convlake.operators.render import preview
+
+    content = F.col("content_json")
+    shown = {"preview": preview(content, F.col("role"), F.col("event_type"), conversation), "stored_attachments": stored_attachments(content)}
+    rows = search(matching(messages, **wanted), query, *among)
+    if conversation:
+        return page(message_order(visible(conversation_only(rows).withColumns(shown))), number, size)
+    return page(message_order(rows), number, size).withColumns(shown)

@@ -83,8 +83,12 @@ def preview(content_json: Column, role: Column, event_type: Column, conversation
 
 def human_text(detail_json: Column, event_type: Column, most: int = 3) -> Column:
     """Texts found anywhere in a detail document, else names of tools, else its type."""
-    texts = F.array_distinct(F.regexp_extract_all(detail_json, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)))
-    names = F.array_distinct(F.regexp_extract_all(detail_json, F.lit(r'"name"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)))
+
+    def values(name: str) -> Column:
+        raw = F.regexp_extract_all(detail_json, F.lit(rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+        return F.array_distinct(F.filter(F.transform(raw, lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")), lambda v: v.isNotNull()))
+
+    texts, names = values("text"), values("name")
     return F.when(F.size(texts) > 0, F.array_join(F.slice(texts, 1, most), "\n")).when(F.size(names) > 0, F.array_join(F.slice(names, 1, most), ", ")).otherwise(F.concat(F.lit("["), event_type, F.lit("]")))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convlake.functions import scalars as S
 from convlake.operators import attachments as A
+from convlake.operators import catalog as C
 from convlake.operators import export as X
 from convlake.operators import render as R
 from convlake.operators import sessions as N
@@ -165,15 +167,20 @@ def _(spark, d):
     return messages(spark, d).select(*M, F.explode(A.stored_attachments(json)).alias("e")).select(*M, "e.index", "e.file_name")
 
 
-def collected(spark: SparkSession, d: str) -> Store:
-    """All conversations written as codex transcripts and collected in batches of at most 4 KB a file."""
+def collected(spark: SparkSession, d: str, sources: int = 1) -> Store:
+    """All conversations written as codex transcripts and collected in batches of at most 4 KB a file.
+
+    They are dealt to so many folders, each collected by a query of its own into the same store.
+    """
     path = work_dir(spark)
     payload = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(F.lit("input_text").alias("type"), "text")).alias("content"))
     event = F.to_json(F.struct(F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.lit("response_item").alias("type"), payload.alias("payload")))
-    lines = messages(spark, d).select(F.lit("codex").alias("source_type"), "session_id", F.col("sequence_no").alias("position"), F.lit(0).alias("ord"), event.alias("json"))
-    X.write_transcripts(X.framed(lines, sessions(spark, d).withColumn("source_type", F.lit("codex"))), f"{path}/transcripts")
     store = Store(spark, f"{path}/store", "bench")
-    collect(spark, store, f"{path}/transcripts/*/*/*.txt", "codex", f"{path}/checkpoint", maxBytesPerFile="4096")
+    for k in range(sources):
+        own = F.col("conv_id") % sources == k
+        lines = messages(spark, d).where(own).select(F.lit("codex").alias("source_type"), "session_id", F.col("sequence_no").alias("position"), F.lit(0).alias("ord"), event.alias("json"))
+        X.write_transcripts(X.framed(lines, sessions(spark, d).where(own).withColumn("source_type", F.lit("codex"))), f"{path}/transcripts{k}")
+        collect(spark, store, f"{path}/transcripts{k}/*/*/*.txt", "codex", f"{path}/checkpoint{k}", maxBytesPerFile="4096")
     return store
 
 
@@ -185,3 +192,68 @@ def _(spark, d):
 @query("a5_stream_merge", "SELECT session_id, title, cwd FROM sessions_v")
 def _(spark, d):
     return collected(spark, d).sessions().select("session_id", "title", "cwd")
+
+
+@query("s11_two_sources", "SELECT session_id, role, text FROM messages_v")
+def _(spark, d):
+    return collected(spark, d, 2).messages().select("session_id", "role", F.get_json_object("content_json", "$.payload.content[0].text").alias("text"))
+
+
+# ---- whole texts, where another query has a role or a few fixed words --------------------------------
+
+@query("f12_whole_percent", "SELECT conv_id, turn, 'a+b ' || text AS found FROM conversations", views=False)
+def _(spark, d):
+    coded = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
+    return read(spark, d, "conversations").select("conv_id", "turn", S.percent_decoded(F.concat(F.lit("a+b%20"), coded)).cast("string").alias("found"))
+
+
+@query("f15_whole_sniffed", "SELECT doc_id, ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/avif', NULL, NULL, 'image/gif'][doc_id % 8 + 1] AS mime FROM documents", views=False)
+def _(spark, d):
+    heads = ("89504E470D0A1A0A00", "FFD8FFE0", "474946383961", "524946460000000057454250", "000000206674797061766966", "524946460000000057415645", "", "474946383761")
+    head = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 8 + 1).cast("int")))
+    return read(spark, d, "documents").select("doc_id", S.sniffed_mime(F.concat(head, F.coalesce("text", F.lit("")).cast("binary"))).alias("mime"))
+
+
+@query("f23_whole_attachment", "SELECT conv_id, turn, CASE turn WHEN 0 THEN role WHEN 1 THEN text END AS found FROM conversations", views=False)
+def _(spark, d):
+    stored = F.array(F.col("role").cast("binary"), F.col("text").cast("binary"))
+    return read(spark, d, "conversations").select("conv_id", "turn", S.attachment_at(stored, F.col("turn").cast("int"), None).cast("string").alias("found"))
+
+
+@query("t12_whole_text", f"SELECT {MKEY}, CASE WHEN sequence_no % 2 = 0 THEN text || chr(10) || 'b' ELSE text END AS text FROM messages_v")
+def _(spark, d):
+    said = F.to_json(F.struct(F.array(F.struct("text"), F.struct(F.lit("b").alias("text")), F.struct(F.lit("b").alias("text"))).alias("a"), F.lit("tool").alias("name")))
+    named = F.to_json(F.struct(F.struct(F.col("text").alias("name")).alias("call")))
+    return messages(spark, d).select(*M, R.human_text(F.when(F.col("sequence_no") % 2 == 0, said).otherwise(named), F.lit("x")).alias("text"))
+
+
+@query("t14_whole_tables", "SELECT conv_id, turn, CAST(0 AS INTEGER) AS table_no, CAST(r AS INTEGER) AS row_no, CASE WHEN r = 0 THEN ['h', 'k'] ELSE [trim(regexp_replace(text, '[^A-Za-z0-9 ]', 'x', 'g')), CAST(turn AS VARCHAR)] END AS cells, ['left', 'right'] AS alignments FROM conversations, range(2) b(r)", views=False)
+def _(spark, d):
+    cell = F.regexp_replace("text", "[^A-Za-z0-9 ]", "x")
+    table = F.concat(F.col("text"), F.lit("\n\n| h | k |\n|:--|--:|\n| "), cell, F.lit(" | "), F.col("turn").cast("string"), F.lit(" |\n"))
+    return R.pipe_tables(read(spark, d, "conversations").withColumn("text", table), "text", "conv_id", "turn")
+
+
+@query("a4_whole_fold", """
+SELECT source_type, session_id,
+  CASE WHEN n IS NULL THEN left(trim(regexp_replace(first_text, '\\s+', ' ', 'g')), 120) WHEN n % 3 = 1 THEN 'ai ' || CAST(n AS VARCHAR) WHEN conv_id % 3 > 0 THEN 'custom ' || CAST(n AS VARCHAR) END AS title
+FROM (SELECT source_type, session_id, conv_id, max(sequence_no) FILTER (WHERE sequence_no % 3 <> 0) AS n, arg_min(text, sequence_no) FILTER (WHERE sequence_no % 3 = 0) AS first_text FROM messages_v GROUP BY ALL)""")
+def _(spark, d):
+    n = F.col("sequence_no")
+    number, third = n.cast("string"), n % 3
+    rows = messages(spark, d).select(
+        "source_type", "session_id", n.alias("start_offset"), F.when(third == 0, "user").when(third == 1, "ai-title").otherwise("custom-title").alias("event_type"),
+        F.when(third == 0, F.col("text")).when(third == 1, F.concat(F.lit(" ai "), number)).when(F.col("conv_id") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit("custom "), number)).alias("title_text"),
+    )
+    return N.titles_in_order(rows)
+
+
+@query("q3_message_previews", f"""
+SELECT {MKEY}, message_id, CASE WHEN length(t) <= 4096 THEN t ELSE left(t, 4095) || '…' END AS preview, CAST(CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END AS INTEGER) AS stored, count(*) OVER () AS total
+FROM (SELECT *, CASE WHEN sequence_no % 3 = 0 THEN '' ELSE {NORMAL} END AS t FROM messages_v)
+WHERE source_type = 'codex' AND role IN ('user', 'assistant') AND (t <> '' OR conv_id % 4 = 0) ORDER BY created_at DESC, session_id, sequence_no DESC LIMIT 25""")
+def _(spark, d):
+    block = F.struct(F.lit("input_text").alias("type"), F.when(F.col("sequence_no") % 3 == 0, " ").otherwise(F.col("text")).alias("text"))
+    entries = F.when(F.col("conv_id") % 4 == 0, F.array(F.struct(F.lit(0).alias("index"), F.lit("stored").alias("status"))))
+    rows = messages(spark, d).withColumn("content_json", F.to_json(F.struct(F.struct(F.array(block).alias("content")).alias("payload"), entries.alias("_attachments"))))
+    return C.list_messages(rows, source_type="codex").select(*M, "message_id", "preview", F.size("stored_attachments").alias("stored"), "total")
