@@ -2,7 +2,7 @@
 
 Rows are path, start_offset, end_offset, line (one carriage return at its end stripped) and
 line_terminated. A file is cut into byte ranges; a range owns the lines that begin in it, so large files
-are read by many tasks. The stream's offset is how far each file was read, up to its last newline; lines
+are read by many tasks, and small ones share a task. The stream's offset is how far each file was read, up to its last newline; lines
 that are appended while a batch runs belong to the next one. A file that is shorter than what was read of
 it gives nothing: it is never read again from its start.
 
@@ -19,6 +19,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -28,12 +30,39 @@ RANGE_BYTES = 32 << 20
 BLOCK = 1 << 16
 
 
-class Range(InputPartition):
+#: What a file costs besides its bytes: small ones share a task.
+OPEN_BYTES = 256 << 10
+
+
+class Range(NamedTuple):
     """Lines of ``path`` that begin in [``low``, ``high``); nothing at or after ``end`` is read."""
 
-    def __init__(self, path: str, low: int, high: int, end: int):
-        super().__init__((path, low, high, end))
-        self.path, self.low, self.high, self.end = path, low, high, end
+    path: str
+    low: int
+    high: int
+    end: int
+
+
+class Share(InputPartition):
+    """The ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        super().__init__(ranges)
+        self.ranges = ranges
+
+
+def shares(found: list[Range], size: int) -> list[Share]:
+    """``found`` in shares of about ``size`` bytes, in order; each range counts OPEN_BYTES more than it has."""
+    out: list[list[Range]] = []
+    room = 0
+    for r in found:
+        cost = r.high - r.low + OPEN_BYTES
+        if not out or cost > room:
+            out.append([])
+            room = size
+        out[-1].append(r)
+        room -= cost
+    return [Share(x) for x in out]
 
 
 def found_files(options: dict) -> list[str]:
@@ -91,14 +120,14 @@ def lines(part: Range) -> Iterator[tuple]:
             at += len(raw)
 
 
-def batches(part: Range) -> Iterator:
+def batches(part: Share) -> Iterator:
     """The same as Arrow batches of bounded size."""
     import pyarrow as pa
 
     names, rows, size = ("path", "start_offset", "end_offset", "line", "line_terminated"), [], 0
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
     table = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-    for row in lines(part):
+    for row in chain.from_iterable(map(lines, part.ranges)):
         rows.append(row)
         size += row[2] - row[1]
         if len(rows) >= 4096 or size >= 4 << 20:
@@ -126,11 +155,11 @@ class BatchReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Share]:
         size = int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
-        return [r for p in found_files(self.options) for r in ranges(p, 0, os.path.getsize(p), size)]
+        return shares([r for p in found_files(self.options) for r in ranges(p, 0, os.path.getsize(p), size)], size)
 
-    def read(self, partition: Range) -> Iterator:
+    def read(self, partition: Share) -> Iterator:
         return batches(partition)
 
 
@@ -170,7 +199,7 @@ class StreamReader(DataSourceStreamReader):
             f.seek(low)
             return low + len(f.readline())
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Share]:
         size = int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
         before, now = json.loads(start["files"]), json.loads(end["files"])
         self.seen = {**before, **self.seen} if not self.positions else self.seen
@@ -181,9 +210,9 @@ class StreamReader(DataSourceStreamReader):
                 low = self.positions[path]
             if 0 <= low < high:
                 out += ranges(path, low, high, size)
-        return out
+        return shares(out, size)
 
-    def read(self, partition: Range) -> Iterator:
+    def read(self, partition: Share) -> Iterator:
         return batches(partition)
 
 

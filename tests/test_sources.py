@@ -263,3 +263,13 @@ def test_small_rules(spark):
     out = A.taken_out(rows)
     assert json.loads(out.first().content_json)["message"]["content"][0]["text"] == f"blob:0 and {data}"
     assert A.put_back(out).first().content_json == before
+
+
+def test_small_files_share_a_task():
+    from convlake.sources.jsonl import OPEN_BYTES, Range, shares
+
+    found = [Range(str(k), 0, 10, 10) for k in range(7)] + [Range("large", 0, 5 * OPEN_BYTES, 5 * OPEN_BYTES)]
+    parts = shares(found, 4 * OPEN_BYTES)
+    assert [r for p in parts for r in p.ranges] == found
+    assert [len(p.ranges) for p in parts] == [3, 3, 1, 1]
+    assert shares([], 10) == [] and [len(p.ranges) for p in shares(found, 1)] == [1] * 8
