@@ -13,7 +13,9 @@ from convlake.operators import render as R
 from convlake.operators import sessions as N
 from convlake.sources import dialects as D
 from convlake.sources.jsonl import register
-from convlake.streaming.publish import Store, collect
+from convlake.sources.files import listed
+from convlake.streaming.publish import Store
+from convlake.streaming.tail import collect
 from convlake.work import work_dir
 
 from .bindings import messages, read, sessions
@@ -168,7 +170,7 @@ def _(spark, d):
 
 
 def collected(spark: SparkSession, d: str, sources: int = 1) -> Store:
-    """All conversations written as codex transcripts and collected in batches of at most 4 KB a file.
+    """All conversations written as codex transcripts and collected in commits of a third of the bytes at most.
 
     They are dealt to so many folders, each collected by a query of its own into the same store.
     """
@@ -180,7 +182,9 @@ def collected(spark: SparkSession, d: str, sources: int = 1) -> Store:
         own = F.col("conv_id") % sources == k
         lines = messages(spark, d).where(own).select(F.lit("codex").alias("source_type"), "session_id", F.col("sequence_no").alias("position"), F.lit(0).alias("ord"), event.alias("json"))
         X.write_transcripts(X.framed(lines, sessions(spark, d).where(own).withColumn("source_type", F.lit("codex"))), f"{path}/transcripts{k}")
-        collect(spark, store, f"{path}/transcripts{k}/*/*/*.txt", "codex", f"{path}/checkpoint{k}", maxBytesPerFile="4096")
+        files = f"{path}/transcripts{k}/*/*/*.txt"
+        most = listed(spark, files).agg(F.sum("size")).first()[0] // 3
+        collect(spark, store, files, "codex", f"{path}/checkpoint{k}", most_bytes=most)
     return store
 
 

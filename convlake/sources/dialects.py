@@ -78,7 +78,8 @@ def codex_sessions(lines: DataFrame) -> DataFrame:
 
 
 def file_stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)\.jsonl$", 1)
+    """The file's name without what follows its last dot."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
 def of_session(rows: DataFrame, column: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """The ``jsonl_offsets`` data source: lines of growing files with exact byte offsets, batch and stream.
 
 Rows are path, start_offset, end_offset, line (one carriage return at its end stripped) and
-line_terminated. A file is cut into byte ranges; a range owns the lines that begin in it, so large files
-are read by many tasks, and small ones share a task. The stream's offset is how far each file was read, up to its last newline; lines
-that are appended while a batch runs belong to the next one. A file that is shorter than what was read of
-it gives nothing: it is never read again from its start.
+line_terminated. A file is cut into byte ranges, and small files share a task. In a batch a range owns the
+lines that begin in it. In a stream it owns those that end in it: where a line begins is looked for backwards
+in the task, so the driver lists files and their sizes and opens none. An unfinished line belongs to the
+batch in which its end comes.
 
 Options: ``path`` (a folder, a file or a glob; several by commas), ``recursive`` (default true), ``layout``
-("projects": only ``<path>/<folder>/*.jsonl``), ``rangeBytes``, and for streams ``maxBytesPerFile`` (none by
-default), ``positions`` (JSON, where to begin by path; -1 leaves a file alone) and ``until`` (JSON, where to
-end by path). The paths have to be readable from driver and executors alike.
+("projects": only ``<path>/<folder>/*.jsonl``), ``rangeBytes``, and for streams ``maxBytesPerTrigger``: no
+batch reads more, and files take turns, so every file gets on within one round. The stream's offset has how
+far each file was read, and whose turn is next.
+
+``range_lines`` reads the same rows from a table of ranges, which tasks make and read; ``spark_lines`` reads
+them with Spark's own text reader, from any store that only Spark opens.
 """
 
 from __future__ import annotations
@@ -17,14 +20,16 @@ from __future__ import annotations
 import glob
 import json
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from convlake.sources.files import file_key, is_open_to_tasks, opened, plain, plain_path, scheme, size_of
+
 SCHEMA = "path string, start_offset long, end_offset long, line string, line_terminated boolean"
 RANGE_BYTES = 32 << 20
 BLOCK = 1 << 16
@@ -32,6 +37,8 @@ BLOCK = 1 << 16
 
 #: What a file costs besides its bytes: small ones share a task.
 OPEN_BYTES = 256 << 10
+#: The least that a file gets of a bounded batch, unless the batch is smaller.
+LEAST_SHARE = 64 << 10
 
 
 class Range(NamedTuple):
@@ -70,24 +77,34 @@ def found_files(options: dict) -> list[str]:
     recursive = str(options.get("recursive", "true")).lower() == "true"
     below = "*/*.jsonl" if options.get("layout") == "projects" else "**/*.jsonl" if recursive else "*.jsonl"
     out: set[str] = set()
-    for path in options["path"].split(","):
-        path = re.sub(r"^file:(?://)?(?=/)", "", path)
-        if os.path.isdir(path):
+    for path in map(plain, options["path"].split(",")):
+        if scheme(path) != "file":
+            out.update(_remote(path, below))
+        elif os.path.isdir(path):
             out.update(glob.glob(os.path.join(glob.escape(path), below), recursive=True))
         else:
             out.update(glob.glob(path, recursive=True))
-    return sorted(p for p in out if os.path.isfile(p) and os.path.basename(p) != "sessions-index.jsonl")
+    return sorted(p for p in out if os.path.basename(p) != "sessions-index.jsonl" and (scheme(p) != "file" or os.path.isfile(p)))
+
 
+def _remote(path: str, below: str) -> Iterator[str]:
+    """The same below a folder, or at a file, of a store that Arrow opens."""
+    from pyarrow import fs
 
-def file_key(path: str) -> str:
-    """What a file is, whatever it is called."""
-    found = os.stat(path)
-    return f"{found.st_dev}:{found.st_ino}"
+    store, inner = fs.FileSystem.from_uri(path)
+    if store.get_file_info(inner).type == fs.FileType.File:
+        yield path
+        return
+    inner = inner.rstrip("/")
+    for f in store.get_file_info(fs.FileSelector(inner, recursive=below != "*.jsonl", allow_not_found=True)):
+        deep = f.path[len(inner) :].count("/")
+        if f.type == fs.FileType.File and f.path.endswith(".jsonl") and (below == "**/*.jsonl" or deep == below.count("/") + 1):
+            yield path.rstrip("/") + f.path[len(inner) :]
 
 
 def line_before(path: str, end: int) -> str | None:
     """The line that ends at ``end``, without its line end; None if none ends there."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         raw, low = b"", end
         while low and b"\n" not in raw[:-1]:
             start = max(0, low - BLOCK)
@@ -104,7 +121,7 @@ def ranges(path: str, low: int, end: int, size: int) -> list[Range]:
 
 def lines(part: Range) -> Iterator[tuple]:
     """The lines that begin in the range, with their offsets."""
-    with open(part.path, "rb") as f:
+    with opened(part.path) as f:
         at = part.low
         if at:  # a line begins here only after a newline
             f.seek(at - 1)
@@ -120,14 +137,39 @@ def lines(part: Range) -> Iterator[tuple]:
             at += len(raw)
 
 
-def batches(part: Share) -> Iterator:
-    """The same as Arrow batches of bounded size."""
+def line_start(f, at: int) -> int:
+    """Where the line that ``at`` lies in begins."""
+    while at:
+        start = max(0, at - BLOCK)
+        f.seek(start)
+        found = f.read(at - start).rfind(b"\n")
+        if found >= 0:
+            return start + found + 1
+        at = start
+    return 0
+
+
+def ended(part: Range) -> Iterator[tuple]:
+    """The lines whose end lies behind ``low`` and not behind ``high``, with their offsets."""
+    with opened(part.path) as f:
+        at = line_start(f, part.low)
+        f.seek(at)
+        while at < part.high:
+            raw = f.readline(part.high - at)
+            if not raw.endswith(b"\n"):
+                return
+            yield part.path, at, at + len(raw), raw[:-1].removesuffix(b"\r").decode("utf-8", "replace"), True
+            at += len(raw)
+
+
+def batches(part: Share, of=None) -> Iterator:
+    """Lines (by ``of``: lines or ended) as Arrow batches of bounded size."""
     import pyarrow as pa
 
     names, rows, size = ("path", "start_offset", "end_offset", "line", "line_terminated"), [], 0
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
     table = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-    for row in chain.from_iterable(map(lines, part.ranges)):
+    for row in chain.from_iterable(map(of or lines, part.ranges)):
         rows.append(row)
         size += row[2] - row[1]
         if len(rows) >= 4096 or size >= 4 << 20:
@@ -137,27 +179,13 @@ def batches(part: Share) -> Iterator:
         yield table()
 
 
-def last_newline(path: str, low: int, high: int | None = None) -> int:
-    """The offset behind the last newline between ``low`` and ``high``; ``low`` if there is none."""
-    end = os.path.getsize(path) if high is None else high
-    with open(path, "rb") as f:
-        while end > low:
-            start = max(low, end - BLOCK)
-            f.seek(start)
-            at = f.read(end - start).rfind(b"\n")
-            if at >= 0:
-                return start + at + 1
-            end = start
-    return low
-
-
 class BatchReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[Share]:
         size = int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
-        return shares([r for p in found_files(self.options) for r in ranges(p, 0, os.path.getsize(p), size)], size)
+        return shares([r for p in found_files(self.options) for r in ranges(p, 0, size_of(p) or 0, size)], size)
 
     def read(self, partition: Share) -> Iterator:
         return batches(partition)
@@ -165,55 +193,37 @@ class BatchReader(DataSourceReader):
 
 class StreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.options, self.seen, self.given = options, {}, set()
-        self.positions = json.loads(options.get("positions", "{}"))
-        self.until = json.loads(options["until"]) if "until" in options else None
+        self.options, self.at = options, {"files": "{}", "turn": "0"}
 
     def initialOffset(self) -> dict:
-        return {"files": "{}", "from": "{}"}
+        return {"files": "{}", "turn": "0"}
 
     def latestOffset(self) -> dict:
-        most = self.options.get("maxbytesperfile", self.options.get("maxBytesPerFile"))
-        for path in found_files(self.options):
-            low = self.seen.get(path, self.positions.get(path, 0))
-            high = os.path.getsize(path) if self.until is None else self.until.get(path, 0)
-            if low < 0 or high <= low:
-                continue
-            end = last_newline(path, low, high)
-            if most and end > low + int(most):
-                end = max(self._bounded(path, low, low + int(most)), low)
-            self.seen[path] = end
-        self.given |= set(self.seen.items())
-        # a rewritten file may end where it ended before, and still be new
-        ahead = {p: low for p, low in self.positions.items() if 0 <= low < self.seen.get(p, low)}
-        return {"files": json.dumps(self.seen, sort_keys=True), "from": json.dumps(ahead, sort_keys=True)}
-
-    @staticmethod
-    def _bounded(path: str, low: int, high: int) -> int:
-        """The end of the last line that ends by ``high``, or of the first one."""
-        with open(path, "rb") as f:
-            f.seek(low)
-            at = f.read(high - low).rfind(b"\n")
-            if at >= 0:
-                return low + at + 1
-            f.seek(low)
-            return low + len(f.readline())
+        seen, turn = json.loads(self.at["files"]), int(self.at["turn"])
+        most = self.options.get("maxbytespertrigger", self.options.get("maxBytesPerTrigger"))
+        sizes = {p: size_of(p) or 0 for p in found_files(self.options)}
+        behind = [p for p, size in sizes.items() if size > seen.get(p, 0)]
+        if most is None or not behind:
+            seen |= {p: sizes[p] for p in behind}
+        else:
+            turn %= len(behind)
+            many = max(1, min(len(behind), int(most) // LEAST_SHARE))
+            for p in (behind[turn:] + behind[:turn])[:many]:
+                seen[p] = min(sizes[p], seen.get(p, 0) + int(most) // many)
+            turn += many
+        self.at = {"files": json.dumps(seen, sort_keys=True), "turn": str(turn)}
+        return self.at
 
     def partitions(self, start: dict, end: dict) -> list[Share]:
         size = int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES)))
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        self.seen = {**before, **self.seen} if not self.positions else self.seen
-        out = []
-        for path, high in now.items():
-            low = before.get(path, 0)
-            if path in self.positions and (path, low) not in self.given:  # it isn't where this stream has read to
-                low = self.positions[path]
-            if 0 <= low < high:
-                out += ranges(path, low, high, size)
-        return shares(out, size)
+        known = json.loads(self.at["files"])
+        if any(known.get(p, 0) < at for p, at in now.items()):  # a restarted stream goes on from its log
+            self.at = end
+        return shares([r for p, high in now.items() for r in ranges(p, before.get(p, 0), high, size)], size)
 
     def read(self, partition: Share) -> Iterator:
-        return batches(partition)
+        return batches(partition, ended)
 
 
 class JsonlOffsets(DataSource):
@@ -234,3 +244,64 @@ class JsonlOffsets(DataSource):
 def register(spark: SparkSession) -> None:
     """Make ``spark.read.format("jsonl_offsets")`` and its stream known to the session."""
     spark.dataSource.register(JsonlOffsets)
+
+
+def range_lines(table: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
+    """Lines that end in the ranges of ``table`` (path, low, high and maybe file_key), read by tasks.
+
+    A file that is shorter than its range, or another one than ``file_key`` says, gives nothing.
+    """
+    spark = table.sparkSession
+    key = F.col("file_key") if "file_key" in table.columns else F.lit(None).cast("string")
+    table = table.select("path", "low", "high", key.alias("file_key")).where("low < high")
+    cut = table.withColumn("at", F.explode(F.expr(f"sequence(low, high - 1, {size}L)")))
+    cut = cut.select("path", F.col("at").alias("low"), F.least(F.col("at") + size, "high").alias("high"), F.col("high").alias("end"), "file_key")
+    own, others = cut.where(is_open_to_tasks(F.col("path"))), table.where(~is_open_to_tasks(F.col("path")))
+    cost = own.agg(F.sum(F.col("high") - F.col("low") + OPEN_BYTES).alias("n")).first()["n"] or 0
+
+    def read(batches_):
+        for batch in batches_:
+            for r in batch.to_pylist():
+                if (size_of(r["path"]) or 0) >= r["end"] and r["file_key"] in (None, file_key(r["path"])):
+                    yield from batches(Share([Range(r["path"], r["low"], r["high"], r["end"])]), ended)
+
+    found = own.repartition(max(1, -(-cost // size)), "path", "low").mapInArrow(read, SCHEMA)
+    if not (paths := [r["path"] for r in others.select("path").distinct().toLocalIterator()]):  # of stores that only Spark opens
+        return found
+    slow = spark_lines(spark, paths).join(others.select("path", "low", "high"), "path").where("line_terminated and end_offset > low and end_offset <= high").drop("low", "high")
+    return found.unionByName(slow)
+
+
+def spark_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of ``paths`` by Spark's text reader, which opens any of Spark's file systems.
+
+    It says which block of its file a line is from, and gives a block's lines in order. Tasks add up lengths
+    within blocks; how long the blocks before are is a sum over the few blocks of a file.
+    """
+    path = plain_path(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    rows = spark.read.option("lineSep", "\n").text(paths).select(path.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+
+    def place(batches_):
+        import pyarrow as pa
+
+        last, at = None, 0
+        for batch in batches_:
+            path, block, places, lines, longs = batch.column("path").to_pylist(), batch.column("block").to_pylist(), [], [], []
+            for p, b, v in zip(path, block, batch.column("value").to_pylist(), strict=True):
+                if (p, b) != last:
+                    last, at = (p, b), 0
+                places.append(at)
+                longs.append(len(v) + 1)
+                at += len(v) + 1
+                lines.append(v.decode("utf-8", "replace"))
+            columns = [pa.array(path, pa.string()), batch.column("size"), batch.column("block"), pa.array(places, pa.int64()), pa.array(longs, pa.int64()), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "size", "block", "at", "length", "line"])
+
+    placed = rows.mapInArrow(place, "path string, size long, block long, at long, length long, line string")
+    blocks = rows.groupBy("path", "block").agg(F.sum(F.octet_length("value") + 1).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = placed.join(blocks, ["path", "block"]).withColumn("start_offset", F.col("before") + F.col("at"))
+    end, done = F.col("start_offset") + F.col("length"), F.col("start_offset") + F.col("length") <= F.col("size")
+    line = F.when(done & F.col("line").endswith("\r"), F.expr("left(line, length(line) - 1)")).otherwise(F.col("line"))
+    return rows.select("path", "start_offset", F.when(done, end).otherwise(F.col("size")).alias("end_offset"), line.alias("line"), done.alias("line_terminated"))

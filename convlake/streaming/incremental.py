@@ -15,9 +15,11 @@ def not_replayed(rows: DataFrame, written: DataFrame) -> DataFrame:
 
 
 def recovery(sessions: DataFrame, read: DataFrame) -> DataFrame:
-    """Pending sessions and whether what was ``read`` again (KEY, cursor_offset) ends where their commit did."""
-    got = read.select(*KEY, F.col("cursor_offset").alias("_read"))
-    return sessions.where("pending_commit_id is not null").join(got, KEY, "left").select(*KEY, "pending_commit_id", F.col("_read").eqNullSafe(F.col("cursor_offset")).alias("complete"))
+    """Pending sessions and whether what was ``read`` again (KEY, cursor_offset and maybe cursor_anchor) ends where their commit did."""
+    anchor = F.col("cursor_anchor") if "cursor_anchor" in read.columns else F.lit(None).cast("string")
+    got = read.select(*KEY, F.col("cursor_offset").alias("_read"), anchor.alias("_anchor"))
+    ends = F.col("_read").eqNullSafe(F.col("pending_cursor.offset")) & F.coalesce(F.col("_anchor") == F.col("pending_cursor.anchor"), F.lit(True))
+    return sessions.where("pending_commit_id is not null").join(got, KEY, "left").select(*KEY, "pending_commit_id", ends.alias("complete"))
 
 
 class Progress(StreamingQueryListener):

@@ -1,29 +1,36 @@
-"""Publishing sessions and messages together, so that a batch that runs again changes nothing.
-
-A session row is a state with a ``version``: 2c while commit c is under way, 2c + 1 once it is done.
-Messages are written under their commit id, one partition each, and a commit that runs again replaces
-its own partition. Readers take messages up to their session's last commit.
+"""Sessions and messages that are published together, so that whatever runs again changes nothing.
+
+A session row is a state with a ``version``: 2c while commit c is under way, 2c + 1 once it is done. The
+first keeps the cursor of the last finished commit, and says in ``pending_cursor`` where c will end; so a
+cursor never stands behind something that readers don't have. Before that, c's intent says which bytes of
+which files it takes. Messages are written under their commit id, one partition each, and a commit that runs
+again replaces its own partition. Readers take messages up to their session's last commit.
+
+Intents and states are logs of one folder a commit, which count once Spark has marked them as complete. Every
+``COMPACT_EVERY`` commits their latest rows are written as a snapshot, which counts once it is complete in
+the same way; readers take the newest one and the folders after it. What a snapshot stands for is deleted
+when the next one is there, so that readers in flight still find it.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convlake.work import children, discard, exists
+
 KEY = ["source_type", "session_id"]
+CURSOR = T.StructType([T.StructField("offset", T.LongType()), T.StructField("anchor", T.StringType())])
+COMPACT_EVERY = 50
 
 SESSIONS = T.StructType([
     T.StructField("source_type", T.StringType(), False), T.StructField("session_id", T.StringType(), False), T.StructField("title", T.StringType()), T.StructField("cwd", T.StringType()),
     T.StructField("archived", T.BooleanType()), T.StructField("source_path", T.StringType()), T.StructField("file_key", T.StringType()), T.StructField("cursor_offset", T.LongType()), T.StructField("cursor_anchor", T.StringType()),
     T.StructField("last_commit_id", T.LongType()), T.StructField("pending_commit_id", T.LongType()), T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
-    T.StructField("subagent_source_json", T.StringType()), T.StructField("projectless", T.BooleanType()), T.StructField("version", T.LongType()),
+    T.StructField("subagent_source_json", T.StringType()), T.StructField("projectless", T.BooleanType()), T.StructField("pending_cursor", CURSOR), T.StructField("version", T.LongType()),
 ])
 
 MESSAGES = T.StructType([
@@ -32,8 +39,19 @@ MESSAGES = T.StructType([
     T.StructField("created_at", T.TimestampType()), T.StructField("commit_id", T.LongType()),
 ])
 
+#: What publishing adds to a session.
+COMMIT = ("version", "last_commit_id", "pending_commit_id", "pending_cursor")
+
+#: Which bytes of which files a commit takes; ``session_id`` where the file's session is known from before.
+INTENTS = T.StructType([
+    T.StructField("source_type", T.StringType(), False), T.StructField("path", T.StringType(), False), T.StructField("session_id", T.StringType()), T.StructField("file_key", T.StringType()),
+    T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("version", T.LongType()),
+])
+
+CONTRACT = T.StructType([T.StructField("owner", T.StringType()), T.StructField("layout", T.IntegerType())])
 
-COMMITS = T.StructType([T.StructField("query", T.StringType(), False), T.StructField("batch", T.LongType(), False), T.StructField("commit_id", T.LongType(), False)])
+#: What earlier layouts of the sessions table didn't have yet, the newest last; readers get nulls there.
+LAYOUTS = (("subagent_source_json", "projectless", "pending_cursor"), ("projectless", "pending_cursor"), ("pending_cursor",), ())
 
 
 def assert_schema(df: DataFrame, wanted: T.StructType) -> DataFrame:
@@ -49,127 +67,178 @@ def assert_schema(df: DataFrame, wanted: T.StructType) -> DataFrame:
     return df.select(*(F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
 
+def layout_of(schema: T.StructType) -> int:
+    """Which of the known layouts of the sessions table ``schema`` is, from 1; another one is refused."""
+    have = {f.name: f.dataType for f in schema if f.name != "part"}
+    for k, missing in enumerate(LAYOUTS):
+        if have == {f.name: f.dataType for f in SESSIONS if f.name not in missing}:
+            return k + 1
+    raise ValueError(f"no known layout of sessions: {schema.simpleString()}")
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the greatest version of every key."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("s")).select(*keys, "s.*").select(*rows.columns)
+
+
 def latest_sessions(states: DataFrame) -> DataFrame:
     """The state of the greatest version of every session."""
-    rest = [c for c in states.columns if c not in KEY]
-    return states.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "version").alias("s")).select(*KEY, "s.*")
+    return latest(states, KEY)
 
 
 class Store:
-    """A pair of tables under one folder; ``owner`` names who may write them."""
+    """Tables under one folder; ``owner`` names who may write them."""
 
     def __init__(self, spark: SparkSession, path: str, owner: str | None = None):
         self.spark, self.path, self.owner = spark, path.rstrip("/"), owner
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = jvm_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").select(*schema.names) if there else self.spark.createDataFrame([], schema)
+    # ---- contract ----
+
+    def contract(self) -> tuple[str | None, int] | None:
+        """Owner and layout of the tables; None before anybody has claimed them."""
+        names = [n for n in children(self.spark, f"{self.path}/contract") if exists(self.spark, f"{self.path}/contract/{n}/_SUCCESS")]
+        if not names:
+            return None
+        found = self.spark.read.schema(CONTRACT).parquet(f"{self.path}/contract/{max(names)}").first()  # one row
+        return found["owner"], found["layout"]
 
     def claim(self) -> None:
-        """Become the writer of the tables, or fail if another one is."""
-        known = [r["owner"] for r in self._read("owner", T.StructType([T.StructField("owner", T.StringType())])).distinct().collect()]
-        if known and known != [self.owner]:
-            raise PermissionError(f"the tables belong to {known}")
-        if not known:
-            self.spark.createDataFrame([(self.owner,)], "owner string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/owner")
+        """Become the writer of the tables, or fail if another one is, or if they aren't of a known layout.
+
+        Tables of an earlier layout are read with nulls for what it lacks; from now on they are written in
+        the present one.
+        """
+        known = self.contract()
+        if known and known[0] != self.owner:
+            raise PermissionError(f"the tables belong to {known[0]!r}")
+        if known and known[1] > len(LAYOUTS):
+            raise ValueError(f"the tables have layout {known[1]}, which is newer than {len(LAYOUTS)}")
+        if known == (self.owner, len(LAYOUTS)):
+            return
+        for part in self._parts("sessions"):
+            layout_of(self.spark.read.parquet(f"{self.path}/sessions/part={part}").schema)
+        names = children(self.spark, f"{self.path}/contract")
+        self.spark.createDataFrame([(self.owner, len(LAYOUTS))], CONTRACT).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/contract/{len(names):08d}")
+
+    # ---- logs ----
+
+    def _parts(self, name: str) -> list[int]:
+        """Folders of a table that were written to their end."""
+        found = sorted(int(n.removeprefix("part=")) for n in children(self.spark, f"{self.path}/{name}") if n.startswith("part="))
+        return [p for p in found if exists(self.spark, f"{self.path}/{name}/part={p}/_SUCCESS")]
+
+    def _snapshots(self, name: str) -> list[int]:
+        return self._parts(f"snapshots/{name}")
+
+    def _log(self, name: str, schema: T.StructType) -> DataFrame:
+        """Rows of a log: the newest snapshot, and the folders after it."""
+        at = max(self._snapshots(name), default=-1)
+        paths = [f"{self.path}/{name}/part={p}" for p in self._parts(name) if p > at] + [f"{self.path}/snapshots/{name}/part={at}"] * (at >= 0)
+        return self.spark.read.schema(schema).parquet(*paths).select(*schema.names) if paths else self.spark.createDataFrame([], schema)
+
+    def _append(self, name: str, rows: DataFrame, part: int) -> None:
+        """Replace folder ``part`` of a table: what a commit wrote before goes."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/part={part}")
+
+    def compact(self) -> None:
+        """Write snapshots of both logs, and delete what the snapshots before them stood for."""
+        for name, schema, keys in (("sessions", SESSIONS, KEY), ("intents", INTENTS, ["source_type", "path"])):
+            before, now = max(self._snapshots(name), default=-1), max(self._parts(name), default=-1)
+            pending = self.pending_commit()
+            if pending is not None:  # what isn't finished stays as it is
+                now = max((p for p in self._parts(name) if p < pending * (2 if name == "sessions" else 1)), default=-1)
+            if now <= before:
+                continue
+            rows = latest(self._log(name, schema).where(F.col("version") <= now), keys)
+            rows.write.mode("overwrite").parquet(f"{self.path}/snapshots/{name}/part={now}")
+            for old in [p for p in self._parts(name) if p <= before]:
+                discard(self.spark, f"{self.path}/{name}/part={old}")
+            for old in [p for p in self._snapshots(name) if p < before]:
+                discard(self.spark, f"{self.path}/snapshots/{name}/part={old}")
+
+    # ---- tables ----
 
     def states(self) -> DataFrame:
-        return self._read("sessions", SESSIONS)
+        return self._log("sessions", SESSIONS)
 
     def sessions(self) -> DataFrame:
         return latest_sessions(self.states())
 
+    def positions(self) -> DataFrame:
+        """How far each file was read by finished and unfinished commits, and by which one last (``version``)."""
+        return latest(self._log("intents", INTENTS), ["source_type", "path"])
+
     def messages(self, pending: bool = False) -> DataFrame:
         """Messages of published commits; with ``pending`` all that are written."""
-        rows = self._read("messages", MESSAGES)
+        there = exists(self.spark, f"{self.path}/messages")
+        rows = self.spark.read.schema(MESSAGES).parquet(f"{self.path}/messages").select(*MESSAGES.names) if there else self.spark.createDataFrame([], MESSAGES)
         if pending:
             return rows
         return rows.join(self.sessions().select(*KEY, "last_commit_id"), KEY).where("commit_id <= last_commit_id").drop("last_commit_id")
 
+    # ---- commits ----
+
+    def last_part(self, name: str) -> int:
+        return max([*self._parts(name), *self._snapshots(name)], default=-1)
+
+    def pending_commit(self) -> int | None:
+        """The commit that was begun and isn't done; there is one at most."""
+        intent, state = self.last_part("intents"), self.last_part("sessions")
+        begun = max(intent, state // 2)
+        return begun if begun >= 0 and state < 2 * begun + 1 else None
+
+    def next_commit(self) -> int:
+        """The commit to publish next: the one that is pending, or the one after the last."""
+        pending = self.pending_commit()
+        return max(self.last_part("intents"), self.last_part("sessions") // 2) + 1 if pending is None else pending
+
+    def intend(self, ranges: DataFrame, commit_id: int) -> DataFrame:
+        """Write which bytes commit ``commit_id`` takes, and read that back."""
+        self._append("intents", assert_schema(ranges.withColumn("version", F.lit(commit_id).cast("long")), INTENTS), commit_id)
+        return self.intent(commit_id)
+
+    def intent(self, commit_id: int) -> DataFrame:
+        """What commit ``commit_id`` takes; no rows for one that isn't from files."""
+        there = commit_id in self._parts("intents")
+        return self.spark.read.schema(INTENTS).parquet(f"{self.path}/intents/part={commit_id}").select(*INTENTS.names) if there else self.spark.createDataFrame([], INTENTS)
+
     def publish(self, sessions: DataFrame, messages: DataFrame, commit_id: int, stop_after: str = "") -> None:
         """Write one commit: sessions as pending, messages, sessions as done. Running it again is safe.
 
         ``stop_after`` ("pending" or "messages") leaves it unfinished, as a lost driver would.
         """
-        sessions = sessions.drop("version", "last_commit_id", "pending_commit_id")
+        sessions = sessions.drop(*COMMIT)
+        sessions = sessions.withColumns({c: F.lit(None).cast(t) for c, t in (("cursor_offset", "long"), ("cursor_anchor", "string")) if c not in sessions.columns})
         messages = assert_schema(messages.drop("commit_id").dropDuplicates(["message_id"]).withColumn("commit_id", F.lit(commit_id).cast("long")), MESSAGES)
-        old = self.sessions().select(*KEY, F.col("last_commit_id").alias("_last"))
-        state = sessions.join(old, KEY, "left")
-        pending = state.withColumns({"last_commit_id": F.coalesce("_last", F.lit(-1).cast("long")), "pending_commit_id": F.lit(commit_id).cast("long"), "version": F.lit(2 * commit_id).cast("long")})
-        self._append("sessions", assert_schema(pending.drop("_last"), SESSIONS), 2 * commit_id)
+        old = self.sessions().select(*KEY, F.col("last_commit_id").alias("_last"), F.col("cursor_offset").alias("_offset"), F.col("cursor_anchor").alias("_anchor"))
+        state = sessions.withColumn("pending_cursor", F.struct(F.col("cursor_offset").cast("long").alias("offset"), F.col("cursor_anchor").alias("anchor"))).join(old, KEY, "left")
+        pending = state.withColumns({
+            "last_commit_id": F.coalesce("_last", F.lit(-1).cast("long")), "cursor_offset": F.col("_offset"), "cursor_anchor": F.col("_anchor"),
+            "pending_commit_id": F.lit(commit_id).cast("long"), "version": F.lit(2 * commit_id).cast("long"),
+        })
+        self._append("sessions", assert_schema(pending.drop("_last", "_offset", "_anchor"), SESSIONS), 2 * commit_id)
         if stop_after == "pending":
             return
         self._append("messages", messages, commit_id)
         if stop_after == "messages":
             return
-        done = sessions.withColumns({"last_commit_id": F.lit(commit_id).cast("long"), "pending_commit_id": F.lit(None).cast("long"), "version": F.lit(2 * commit_id + 1).cast("long")})
+        self.promote(commit_id)
+
+    def promote(self, commit_id: int) -> None:
+        """Finish a commit whose pending states and messages are written: cursors go on to where it ends."""
+        rows = self.spark.read.schema(SESSIONS).parquet(f"{self.path}/sessions/part={2 * commit_id}").select(*SESSIONS.names)
+        done = rows.withColumns({
+            "last_commit_id": F.lit(commit_id).cast("long"), "pending_commit_id": F.lit(None).cast("long"), "cursor_offset": F.col("pending_cursor.offset"), "cursor_anchor": F.col("pending_cursor.anchor"),
+            "pending_cursor": F.lit(None).cast(CURSOR), "version": F.lit(2 * commit_id + 1).cast("long"),
+        })
         self._append("sessions", assert_schema(done, SESSIONS), 2 * commit_id + 1)
+        if (commit_id + 1) % COMPACT_EVERY == 0:
+            self.compact()
 
-    def _append(self, name: str, rows: DataFrame, part: int) -> None:
-        """Replace partition ``part`` of a table: what a commit wrote before goes."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/part={part}")
-
-    def next_commit(self) -> int:
-        from convlake.operators.sessions import next_commit
-
-        return next_commit(self.sessions()).first()["commit_id"]
-
-    def commit_of(self, query: str, batch: int) -> int:
-        """The commit of a batch of a query: the one it got before, or the next of all that write here."""
-        known = self._read("commits", COMMITS)
-        own = known.where((F.col("query") == query) & (F.col("batch") == batch)).agg(F.max("commit_id")).first()[0]
-        if own is not None:
-            return own
-        used = [known.agg(F.max("commit_id")).first()[0], *self.states().agg(F.max("last_commit_id"), F.max("pending_commit_id")).first()]
-        commit = max((x for x in used if x is not None), default=-1) + 1
-        self._append("commits", self.spark.createDataFrame([(query, batch, commit)], COMMITS).coalesce(1), commit)
-        return commit
-
-    def compact(self) -> DataFrame:
-        """The latest states alone, to be written elsewhere."""
-        return self.sessions()
-
-
-def resume_positions(spark: SparkSession, store: Store, source: str, found: list[str]) -> tuple[dict[str, int], dict[str, str]]:
-    """Where to go on in each of the ``found`` files, and the session of those that lie elsewhere than before.
-
-    A file goes on at its session's cursor if it is the same file and still has the cursor's line there. One
-    that was replaced, shortened, rewritten or moved goes on behind the last restore marker of its session, else
-    behind the nearest line with the cursor's anchor; without either it is left alone (-1), as reading it
-    from the start would write its messages twice.
-    """
-    from convlake.functions import scalars as S
-    from convlake.operators.export import restore_boundaries
-    from convlake.operators.sessions import remapped_anchors
-    from convlake.sources.jsonl import file_key, line_before
-
-    keys = {p: file_key(p) for p in found}
-    by_key = {k: p for p, k in keys.items()}
-    stems = {os.path.basename(p): p for p in found}
-    states = store.sessions().where((F.col("source_type") == source) & F.col("source_path").isNotNull() & F.col("cursor_offset").isNotNull())
-    places, moved, doubtful = {}, {}, []
-    for r in states.select(*KEY, "source_path", "file_key", "cursor_offset", "cursor_anchor").toLocalIterator():  # one row per session
-        path = r["source_path"] if r["source_path"] in keys else by_key.get(r["file_key"]) or stems.get(os.path.basename(r["source_path"]))
-        if path is None:
-            continue
-        if path != r["source_path"]:
-            moved[path] = r["session_id"]
-        same = r["file_key"] in (None, keys[path]) and os.path.getsize(path) >= r["cursor_offset"]
-        if same and r["cursor_offset"]:
-            line = line_before(path, r["cursor_offset"])
-            same = line is not None and (r["cursor_anchor"] is None or hashlib.sha256(line.encode()).hexdigest() == r["cursor_anchor"])
-        places[path] = r["cursor_offset"] if same else -1
-        if not same:
-            doubtful.append((path, r["session_id"], r["cursor_anchor"], r["cursor_offset"]))
-    if doubtful:
-        lines = spark.read.format("jsonl_offsets").option("path", ",".join(d[0] for d in doubtful)).load().where("line_terminated")
-        asked = spark.createDataFrame(doubtful, "path string, session_id string, anchor string, offset long")
-        near = remapped_anchors(lines.select("path", "end_offset", S.line_anchor(F.col("line")).alias("anchor")), asked)
-        marks = restore_boundaries(lines, store.sessions()).join(asked.select("session_id", "path"), "session_id").select("path", "resume_offset")
-        for r in near.join(marks, "path", "left").select("path", F.coalesce("resume_offset", "end_offset").alias("at")).collect():  # doubtful files only
-            places[r["path"]] = -1 if r["at"] is None else r["at"]
-    return places, moved
+    def is_written(self, commit_id: int) -> bool:
+        """Whether a pending commit has all its messages, and all its states as pending."""
+        return commit_id in self._parts("messages") and 2 * commit_id in self._parts("sessions")
 
 
 def session_states(store: Store, lines: DataFrame, messages: DataFrame, source: str, known: DataFrame, keys: DataFrame, roll_up: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -199,59 +268,6 @@ def session_states(store: Store, lines: DataFrame, messages: DataFrame, source:
     )
     before = store.sessions().where(F.col("source_type") == source)
     titles = one.select("session_id", F.nullif(F.col("_title"), F.lit("")).alias("_title"))
-    state = merged(before.drop("version", "last_commit_id", "pending_commit_id"), assert_schema(now.withColumn("subagent_source_json", F.lit(None).cast("string")), T.StructType([f for f in SESSIONS if f.name not in ("version", "last_commit_id", "pending_commit_id")])))
+    own = T.StructType([f for f in SESSIONS if f.name not in COMMIT])
+    state = merged(before.drop(*COMMIT), assert_schema(now.withColumn("subagent_source_json", F.lit(None).cast("string")), own))
     return state.join(titles, "session_id").withColumn("title", F.coalesce("_title", "title")).drop("_title")
-
-
-def collect(spark: SparkSession, store: Store, path: str, source: str, checkpoint: str, roll_up: Callable[[DataFrame], DataFrame] | None = None, files: DataFrame | None = None, metadata: DataFrame | None = None, **options: str):
-    """Stream transcripts into ``store`` until everything that was there at the start is read.
-
-    Every micro-batch is one commit; commits are numbered over all sources of the store. Attachments are taken
-    out on the way (local ones from ``files``). ``metadata`` (KEY and some of title, cwd, archived) also changes
-    sessions without new messages. Returns the last query, which has ended.
-    """
-    from convlake.operators.attachments import taken_out
-    from convlake.operators.catalog import changed
-    from convlake.sources import dialects as D
-    from convlake.sources.jsonl import file_key, found_files, last_newline, register
-
-    register(spark)
-    store.claim()
-    frozen = {p: last_newline(p, 0) for p in found_files({"path": path, **options})}
-    reached: dict[str, int] = {}
-    moved: dict[str, str] = {}
-
-    def batch(lines: DataFrame, batch_id: int) -> None:
-        lines = lines.persist()
-        try:
-            ends = {r["path"]: r["cursor_offset"] for r in D.cursors(lines).collect()}  # files of one batch
-            if ends:
-                query = json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
-                keys = spark.createDataFrame([(p, file_key(p)) for p in ends], "path string, file_key string")
-                names = store.sessions().where(F.col("source_type") == source).select(F.col("source_path").alias("path"), "session_id")
-                if moved:
-                    names = names.join(F.broadcast(again := spark.createDataFrame(list(moved.items()), "path string, session_id string")), "path", "left_anti").unionByName(again)
-                rows = D.DIALECTS[source](lines, names).dropDuplicates(["message_id"])
-                state = session_states(store, lines, rows, source, names, keys, roll_up)
-                store.publish(state, taken_out(rows.drop("path", "end_offset"), files), store.commit_of(query, batch_id))
-            reached.update(ends)
-        finally:
-            lines.unpersist()
-
-    while True:
-        places, found = resume_positions(spark, store, source, list(frozen))
-        moved.update(found)
-        reached.clear()
-        stream = spark.readStream.format("jsonl_offsets").option("path", path).options(positions=json.dumps(places), until=json.dumps(frozen), **options).load()
-        query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-        if not any(end < frozen.get(p, 0) for p, end in reached.items()):
-            break
-    if metadata is not None:
-        before = store.sessions().where(F.col("source_type") == source).drop("version", "last_commit_id", "pending_commit_id")
-        names = [c for c in metadata.columns if c not in KEY]
-        now = before.join(metadata.select(*KEY, *(F.col(c).alias(f"_{c}") for c in names)), KEY).withColumns({c: F.coalesce(f"_{c}", c) for c in names}).select(*before.columns)
-        differ = changed(before, now, names)
-        if not differ.isEmpty():
-            store.publish(differ, store.messages(pending=True).limit(0), store.commit_of(f"metadata {uuid.uuid4()}", 0))
-    return query

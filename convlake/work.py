@@ -1,4 +1,4 @@
-"""Work tables in the folder that driver and executors share."""
+"""Work tables in the folder that driver and executors share, and paths of any of Spark's file systems."""
 
 from __future__ import annotations
 
@@ -17,3 +17,26 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     """``df`` written once and read back, which cuts its lineage."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path as it takes it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names right below ``path``; none if it isn't there."""
+    fs, where = hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = hadoop(spark, path)
+    return fs.exists(where)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what nothing reads any more."""
+    fs, where = hadoop(spark, path)
+    fs.delete(where, True)

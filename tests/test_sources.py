@@ -13,7 +13,8 @@ from convlake.operators.turns import turns
 from convlake.sources.dialects import claude_messages, codex_messages, codex_sessions, cursors
 from convlake.sources.jsonl import register
 from convlake.streaming.incremental import Progress, recovery
-from convlake.streaming.publish import MESSAGES, Store, assert_schema, collect
+from convlake.streaming.publish import MESSAGES, Store, assert_schema
+from convlake.streaming.tail import collect
 
 META = {"timestamp": "2026-01-01T00:00:00Z", "type": "session_meta", "payload": {"id": "s1", "cwd": "/w", "timestamp": "2026-01-01T00:00:00Z", "source": "cli"}}
 
@@ -196,7 +197,7 @@ def test_bounded_batches_are_drained(spark, tmp_path):
     (tmp_path / "in").mkdir()
     events = [claude_said("c", k, f"text {k}") for k in range(5)]
     (tmp_path / "in" / "c.jsonl").write_text(lines_of(*events, {"type": "ai-title", "aiTitle": "A title"}), encoding="utf-8")
-    collect(spark, store, str(tmp_path / "in"), "claude", str(tmp_path / "cp"), maxBytesPerFile="300")
+    collect(spark, store, str(tmp_path / "in"), "claude", str(tmp_path / "cp"), most_bytes=300)
     assert store.messages().count() == 5 and store.messages().select("commit_id").distinct().count() > 1
     s = store.sessions().first()
     assert s.title == "A title" and s.cursor_offset == (tmp_path / "in" / "c.jsonl").stat().st_size
