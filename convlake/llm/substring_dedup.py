@@ -23,7 +23,7 @@ from .fm_index import NONE, FMIndex
 WIDTH = 50
 GRAM = 8
 #: Words of a shard, about; with an anchor's bound no shard is much larger.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 HOT = 4096
 #: Windows that are looked at together; a place within them fits in the low bits of a hash.
 CHUNK = 1 << 20
@@ -115,18 +115,20 @@ def segments(data: bytes, width: int = WIDTH, gram: int = GRAM):
 
 
 def _read(docs: DataFrame, width: int, path: str) -> DataFrame:
-    """rid, doc_id, ord, n_words, whole (SHA-256 of the words), text (the words) and the segments of every row."""
+    """rid, doc_id, ord, n_words, whole (SHA-256 of the words), text (the words, compressed) and the segments of every row."""
 
     def read(batches):
         import hashlib
 
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             texts = [b" ".join((x or b"").split()) for x in batch.column("text").to_pylist()]
             found = [segments(x, width) for x in texts]
             columns = [
-                batch.column("rid"), batch.column("doc_id"), pa.array([x.count(b" ") + 1 if x else 0 for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()), pa.array(texts, pa.binary()),
+                batch.column("rid"), batch.column("doc_id"), pa.array([x.count(b" ") + 1 if x else 0 for x in texts], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()), pa.array(map(press, texts), pa.binary()),
                 *(pa.array([f[k] for f in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "n_words", "whole", "text", "firsts", "numbers", "anchors"])
@@ -141,10 +143,13 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
 
     def cut(batches):
         import pyarrow as pa
+        import zstandard
 
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rid, lo, first, key, out, size = [], [], [], [], [], 0
             for r, own, text, chosen in zip(*(batch.column(c).to_pylist() for c in ("rid", "lo", "text", "chosen")), strict=True):
+                text = plain(text)
                 begin, end = word_bounds(text)
                 for c in chosen:
                     rid.append(r)
@@ -236,10 +241,12 @@ def _kept(rows: DataFrame, width: int) -> DataFrame:
 
         import numpy as np
         import pandas as pd
+        import zstandard
 
+        plain = zstandard.ZstdDecompressor().decompress
         for pdf in batches:
             n, sums = [], []
-            for text, spans in zip(pdf["text"], pdf["spans"], strict=True):
+            for text, spans in zip(map(plain, pdf["text"]), pdf["spans"], strict=True):
                 begin, end = word_bounds(text)
                 change = np.zeros(len(begin) + 1, "int64")
                 for s in spans:
@@ -265,9 +272,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = _read(docs, width, f"{path}/rows")
     # one row for each sequence of words: the smallest document that has it, and the largest
     texts = staged(rows.where(F.col("n_words") >= width).groupBy("whole").agg(F.min(F.struct("ord", "rid")).alias("m"), F.max("ord").alias("hi")).select("whole", F.col("m.rid").alias("rid"), F.col("m.ord").alias("lo"), "hi"), f"{path}/texts")
-    own = rows.select("rid", F.explode(F.arrays_zip("firsts", "numbers", "anchors")).alias("s")).join(texts.select("rid", "lo", "hi"), "rid").select("rid", "lo", "hi", F.col("s.firsts").alias("first"), F.col("s.numbers").alias("number"), F.col("s.anchors").alias("key"))
-    shared = staged(own.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key"), f"{path}/shared")
-    chosen = own.join(shared, "key").groupBy("rid", "lo").agg(F.collect_list(F.struct("first", "number", "key")).alias("chosen"))
+    # joined before it is exploded: one row for each text is sent, not one for each segment
+    listed = rows.select("rid", "firsts", "numbers", "anchors").join(texts.select("rid", "lo", "hi"), "rid")
+    keys = listed.select("lo", "hi", F.explode("anchors").alias("key"))
+    shared = staged(keys.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key"), f"{path}/shared")
+    own = listed.select("rid", F.explode(F.arrays_zip("firsts", "numbers", "anchors")).alias("s")).select("rid", F.col("s.firsts").alias("first"), F.col("s.numbers").alias("number"), F.col("s.anchors").alias("key"))
+    chosen = own.join(shared, "key").groupBy("rid").agg(F.collect_list(F.struct("first", "number", "key")).alias("chosen")).join(texts.select("rid", "lo"), "rid")
     cut = _cut(rows.select("rid", "text").join(chosen, "rid"), width)
     cut = staged(cut.withColumn("mark", mark()), f"{path}/segments", ROWS, ROW_GROUP)
     # Spark compares the words themselves, first within each task
