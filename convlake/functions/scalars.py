@@ -72,12 +72,10 @@ def json_text(document: Column, path: str) -> Column:
 
 
 def deep_find(document: Column, name: str) -> Column:
-    """The first non-blank text, number or boolean called ``name``: at the top, else in the order of the text."""
-    top = F.try_variant_get(F.try_parse_json(document), f"$.{name}", "variant")
-    own = F.when(~F.schema_of_variant(top).rlike("^(OBJECT|ARRAY)"), F.try_variant_get(F.try_parse_json(document), f"$.{name}", "string"))
-    values = F.regexp_extract_all(document, F.lit(rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*"|-?\d[-+.\deE]*|true|false)'), F.lit(1))
-    texts = F.transform(values, lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v"))
-    return F.coalesce(F.when(~is_blank(own), own), F.try_element_at(F.filter(texts, lambda t: ~is_blank(t)), F.lit(1)))
+    """The first non-blank text, number or boolean called ``name``: of each object before what is within it, in the order of the text."""
+    from .json_tree import first_scalar
+
+    return first_scalar(document, name)
 
 
 def subagent_source(source: Column, thread_source: Column) -> Column:
@@ -155,6 +153,13 @@ def safe_component(name: Column) -> Column:
     return F.concat(F.regexp_replace(name, "[^A-Za-z0-9._-]", "_"), F.lit("-"), F.sha2(name, 256))
 
 
+def safe_file_name(name: Column, most: int = 150) -> Column:
+    """``name`` if every file system takes it, else what is left of it and a hash of the whole."""
+    kept = F.regexp_replace(name, "[^A-Za-z0-9._-]", "_")
+    fits = (kept == name) & (F.length(name) <= most) & ~name.startswith(".")
+    return F.when(fits, name).otherwise(F.concat(F.left(kept, F.lit(most)), F.lit("-"), F.left(F.sha2(name, 256), F.lit(12))))
+
+
 def name_uuid(name: Column) -> Column:
     """Name-based UUID of version 3: the MD5 of ``name`` with the version and variant bits set."""
     h = F.md5(name)

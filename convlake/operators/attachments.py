@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.functions import scalars as S
+from convlake.functions.json_tree import PLACED, placeholders, references, spliced
+from convlake.sources.files import plain_path
 
 ENTRY = "index int, file_name string, mime_type string, source_kind string, source_reference string, status string, size long, sha256 string"
 MANIFEST = f"array<struct<{', '.join(':'.join(x.split()) for x in ENTRY.split(', '))}>>"
-SOURCE = "array<struct<type:string,image_url:string,source:struct<type:string,media_type:string,data:string>,content:string>>"
-PATHS = "array<struct<type:string,filePath:string,path:string,file:string,content:string>>"
 MOST = 100 << 20
+FILES = "map<string,struct<size:long,content:binary>>"
 
 
 def resolved_inline(rows: DataFrame, data: str, most: int = MOST) -> DataFrame:
@@ -22,91 +23,83 @@ def resolved_inline(rows: DataFrame, data: str, most: int = MOST) -> DataFrame:
     return rows.withColumns({"payload": bytes_, "status": status}).withColumns({"size": F.when(F.col("status") != "read_error", size), "sha256": F.sha2("payload", 256)})
 
 
-def references(content_json: Column) -> Column:
-    """Attachments of an event of either client, in order: kind, reference, mime_type and inline data.
+def settled(value: Column) -> Column:
+    """``value``, worked out where it stands: Spark doesn't merge it into what is made of it.
 
-    Images as URLs or data URIs, image and document sources in base64, those inside tool results, and then
-    files that the text lists, unless an image wrapper names the same path. A generated image is the file that
-    was saved, with the inline data that stands in for it where the file is missing.
+    It can't take lambdas that end up among the arguments of a Python function.
     """
-    raw = F.coalesce(F.get_json_object(content_json, "$.payload.content"), F.get_json_object(content_json, "$.message.content"))
-    outer = F.coalesce(F.from_json(raw, SOURCE), F.array().cast(SOURCE))
-    inner = F.flatten(F.transform(F.filter(outer, lambda b: b["type"] == "tool_result"), lambda b: F.coalesce(F.from_json(b["content"], SOURCE), F.array().cast(SOURCE))))
-    found = F.filter(F.concat(outer, inner), lambda b: b["image_url"].isNotNull() | b["source"]["data"].isNotNull())
-    inline = F.transform(found, lambda b: F.struct(
-        F.when(b["image_url"].isNull(), F.lit("BASE64")).otherwise(S.attachment_kind(b["image_url"])).alias("kind"), b["image_url"].alias("reference"),
-        F.coalesce(b["source"]["media_type"], S.data_uri_mime(b["image_url"])).alias("mime_type"),
-        F.coalesce(b["source"]["data"], F.when(b["image_url"].startswith("data:"), F.regexp_extract(b["image_url"], r"(?s)^data:[^,]*;base64,(.*)$", 1))).alias("data"),
-    ))
-    text = F.array_join(F.transform(F.coalesce(F.from_json(raw, "array<struct<text:string>>"), F.array().cast("array<struct<text:string>>")), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    wrapped = F.regexp_extract_all(text, F.lit(r'<image\b[^>]*\bpath="([^"]+)"'), F.lit(1))
-    files = F.transform(F.filter(S.mentioned_files(text), lambda f: ~F.array_contains(F.concat(wrapped, named_paths(content_json)), f["path"])), lambda f: local_path(f["path"]))
-    return F.concat(inline, F.transform(named_paths(content_json), local_path), files, generated(content_json))
-
-
-def local_path(path: Column) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(F.lit("LOCAL_PATH").alias("kind"), path.alias("reference"), none.alias("mime_type"), none.alias("data"))
-
-
-def named_paths(content_json: Column) -> Column:
-    """Different paths in ``file`` blocks, and in the file of image and document blocks, of a claude event."""
-    blank = F.array().cast(PATHS)
-    outer = F.coalesce(F.from_json(F.get_json_object(content_json, "$.message.content"), PATHS), blank)
-    inner = F.flatten(F.transform(F.filter(outer, lambda b: b["type"] == "tool_result"), lambda b: F.coalesce(F.from_json(b["content"], PATHS), blank)))
-    set_ = lambda x: F.when(F.trim(x) != "", x)
-    in_file = lambda b: F.when(b["file"].startswith("{"), F.coalesce(set_(F.get_json_object(b["file"], "$.filePath")), set_(F.get_json_object(b["file"], "$.path")))).otherwise(set_(b["file"]))
-    path = lambda b: F.when(b["type"] == "file", F.coalesce(set_(b["filePath"]), set_(b["path"]), in_file(b))).when(b["type"].isin("image", "document"), in_file(b))
-    return F.array_distinct(F.filter(F.transform(F.concat(outer, inner), path), lambda p: p.isNotNull()))
-
-
-def generated(content_json: Column) -> Column:
-    """The image of a codex image_generation_end event, as references() has it; empty for other events."""
-    at = lambda path: F.nullif(F.trim(F.get_json_object(content_json, path)), F.lit(""))
-    saved, result = at("$.payload.saved_path"), at("$.payload.result")
-    image = F.struct(F.when(saved.isNull(), "BASE64").otherwise("LOCAL_PATH").alias("kind"), saved.alias("reference"), F.lit("image/png").alias("mime_type"), result.alias("data"))
-    is_one = (at("$.type") == "event_msg") & (at("$.payload.type") == "image_generation_end") & F.coalesce(saved, result).isNotNull()
-    return F.filter(F.array(image), lambda x: F.coalesce(is_one, F.lit(False)))
-
-
-def once(text: Column, data: Column, instead: Column) -> Column:
-    """``text`` (JSON) with ``instead`` for the first value that is ``data``, or a data URI of it."""
-    plain, uri = F.instr(text, F.concat(F.lit('"'), data, F.lit('"'))), F.instr(text, F.concat(F.lit(","), data, F.lit('"')))
-    at = F.when(plain > 0, plain).otherwise(uri)
-    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at), instead, F.substring(text, at + 1 + F.length(data), F.length(text)))).otherwise(text)
-
-
-def taken_out(messages: DataFrame, files: DataFrame | None = None, most: int = MOST, key: str = "message_id") -> DataFrame:
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def read_files(refs: Column, most: int = MOST) -> Column:
+    """What the paths of ``refs`` hold, as FILES, read by the tasks that have the rows; what is larger than ``most`` isn't read."""
+    import pandas as pd
+
+    from convlake.sources.files import opened, size_of
+
+    def one(path):
+        try:
+            size = size_of(path)
+            if size is None:
+                return None
+            if size > most:
+                return {"size": size, "content": None}
+            with opened(path) as f:
+                return {"size": size, "content": f.read(most + 1)}
+        except OSError:
+            return None
+
+    def read(rows: pd.Series) -> pd.Series:
+        return pd.Series([{r["path"]: found for r in ([] if own is None else own) if r["path"] and (found := one(r["path"]))} for own in rows], dtype=object)
+
+    read.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    return F.pandas_udf(read, FILES)(refs)
+
+
+def taken_out(messages: DataFrame, files: DataFrame | None = None, most: int = MOST, key: str = "message_id", base: Column | None = None, home: str | None = None, roots: list[str] | None = None, read: bool = False) -> DataFrame:
     """``messages`` with ``attachments`` (bytes or null, by index) and a manifest at the end of content_json.
 
-    Inline data becomes ``blob:<index>`` in the text of content_json, the rest of which stays byte for byte.
-    Local paths are looked up in ``files`` (path, content), the table that Spark's binaryFile reader gives;
-    remote ones are never fetched.
+    Inline data becomes ``blob:<index>`` where it stands in content_json, the rest of which stays byte for
+    byte, equal strings elsewhere too. Local paths (``~`` below ``home``, relative ones below ``base``) are looked
+    up in ``files`` (path, content), the table that Spark's binaryFile reader gives, or with ``read`` the tasks
+    read those that are named, and no others. Files that a text only lists have to lie in one of ``roots``, if
+    these are given. Remote ones are never fetched. Rows that repeat ``key`` stay as they are.
     """
-    refs = messages.select(key, F.posexplode(references(F.col("content_json"))).alias("index", "r")).select(key, "index", "r.*")
-    rows = resolved_inline(refs, "data", most)
+    rows = messages.withColumn("_refs", references(F.col("content_json"), base, home, roots))
+    paths = F.array_distinct(F.transform(F.filter("_refs", lambda r: r["path"].isNotNull()), lambda r: r["path"]))
     if files is not None:
-        there = files.select(F.regexp_replace("path", "^file:(//)?", "").alias("reference"), F.col("content").alias("_content"))
-        rows = rows.join(there, "reference", "left")
+        there = files.select(plain_path(F.col("path")).alias("_path"), F.struct(F.octet_length("content").cast("long").alias("size"), "content").alias("_file"))
+        found = rows.select(key, F.explode(paths).alias("_path")).distinct().join(there, "_path")
+        rows = rows.join(found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_path", "_file"))).alias("_files")), key, "left")
     else:
-        rows = rows.withColumn("_content", F.lit(None).cast("binary"))
-    # what was saved and isn't there any more may still be inline
-    instead = (F.col("kind") == "LOCAL_PATH") & F.col("_content").isNull() & F.col("data").isNotNull()
-    rows = rows.withColumns({"kind": F.when(instead, "BASE64").otherwise(F.col("kind")), "reference": F.when(~instead, F.col("reference"))})
-    local = F.col("kind") == "LOCAL_PATH"
-    size = F.octet_length("_content")
-    status = F.when(F.col("kind") == "REMOTE_URL", "remote_not_downloaded").when(local & F.col("_content").isNull(), "missing").when(local & (size > most), "too_large").when(local, "stored").otherwise(F.col("status"))
-    payload = F.when(local & (size <= most), F.col("_content")).when(~local, F.col("payload"))
-    rows = rows.withColumns({"status": status, "payload": payload, "size": F.when(local, size.cast("long")).when(F.col("kind") != "REMOTE_URL", F.col("size")), "file_name": F.when(local, F.regexp_extract("reference", r"([^/\\]+)$", 1))})
-    rows = rows.withColumns({"sha256": F.sha2("payload", 256), "mime_type": F.coalesce("mime_type", S.sniffed_mime(F.col("payload")))})
-    entry = F.struct("index", "file_name", "mime_type", F.col("kind").alias("source_kind"), S.safe_reference(F.col("kind"), F.col("reference"), F.col("mime_type")).alias("source_reference"), "status", "size", "sha256")
-    items = F.array_sort(F.collect_list(F.struct("index", entry.alias("entry"), "payload", "data")))
-    found = rows.groupBy(key).agg(items.alias("_items"))
-    out = messages.join(found, key, "left")
-    json = F.aggregate(F.coalesce("_items", F.array().cast(found.schema["_items"].dataType)), F.col("content_json"), lambda text, i: F.when(i["data"].isNotNull() & (i["data"] != ""), once(text, i["data"], F.concat(F.lit("blob:"), i["index"].cast("string")))).otherwise(text))
-    manifest = F.to_json(F.transform("_items", lambda i: i["entry"]))
-    spliced = F.concat(F.regexp_replace(json, r"\s*\}\s*$", ""), F.lit(',"_attachments":'), manifest, F.lit("}"))
-    return out.withColumns({"content_json": F.when(F.col("_items").isNull(), F.col("content_json")).otherwise(spliced), "attachments": F.transform("_items", lambda i: i["payload"])}).drop("_items")
+        rows = rows.withColumn("_files", read_files(F.col("_refs"), most) if read else F.lit(None).cast(FILES))
+
+    def looked_up(r: Column, i: Column) -> Column:
+        file = F.when(r["path"].isNotNull(), F.get(F.map_values(F.map_filter("_files", lambda k, _: k == r["path"])), F.lit(0)))
+        # what was saved and isn't there any more may still be inline
+        instead = (r["kind"] == "LOCAL_PATH") & file.isNull() & r["data"].isNotNull()
+        return F.struct(
+            i.alias("index"), F.when(instead, "BASE64").otherwise(r["kind"]).alias("kind"), F.when(~instead, r["reference"]).alias("reference"), F.when(~instead | (r["kind"] != "LOCAL_PATH"), r["file_name"]).alias("file_name"),
+            r["mime_type"].alias("mime_type"), r["data"].alias("data"), file.alias("file"), r["start"].alias("start"), r["end"].alias("end"),
+        )
+
+    def stored(r: Column) -> Column:
+        local, remote, size = r["kind"] == "LOCAL_PATH", r["kind"] == "REMOTE_URL", S.decoded_size(r["data"])
+        payload = F.when(local, F.when(r["file"]["size"] <= most, r["file"]["content"])).when(~remote & (size <= most), S.strict_base64(r["data"]))
+        status = F.when(remote, "remote_not_downloaded").when(local & r["file"].isNull(), "missing").when(F.when(local, r["file"]["size"]).otherwise(size) > most, "too_large").when(payload.isNull(), "read_error").otherwise("stored")
+        return F.struct(r.alias("r"), payload.alias("payload"), status.alias("status"), F.when(local, r["file"]["size"]).when(~remote & (status != "read_error"), size).alias("size"))
+
+    def entry(i: Column) -> Column:
+        r, mime = i["r"], F.coalesce(i["r"]["mime_type"], S.sniffed_mime(i["payload"]))
+        return F.struct(r["index"].alias("index"), r["file_name"].alias("file_name"), mime.alias("mime_type"), r["kind"].alias("source_kind"), S.safe_reference(r["kind"], r["reference"], mime).alias("source_reference"), i["status"].alias("status"), i["size"].alias("size"), F.sha2(i["payload"], 256).alias("sha256"))
+
+    rows = rows.withColumn("_refs", F.transform("_refs", looked_up)).withColumn("_items", F.transform("_refs", stored))
+    edits = F.array_sort(F.transform(F.filter("_refs", lambda r: r["start"].isNotNull()), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["index"].alias("index"))))
+    text = spliced(F.col("content_json"), edits, lambda e: F.concat(F.lit("blob:"), e["index"].cast("string")))
+    comma = F.when(F.col("content_json").rlike(r"^\s*\{\s*\}\s*$"), "").otherwise(",")
+    told = F.concat(F.regexp_replace(text, r"\s*\}\s*$", ""), comma, F.lit('"_attachments":'), F.to_json(F.transform("_items", entry)), F.lit("}"))
+    none = F.coalesce(F.size("_items"), F.lit(0)) <= 0
+    return rows.withColumns({"content_json": F.when(none, F.col("content_json")).otherwise(told), "attachments": F.when(~none, F.transform("_items", lambda i: i["payload"]))}).drop("_items", "_refs", "_files")
 
 
 def manifest(content_json: Column) -> Column:
@@ -136,20 +129,40 @@ def pending_detail(messages: DataFrame) -> DataFrame:
     return rows.select("message_id", "index", F.get("attachments", F.col("index")).isNotNull().alias("present"))
 
 
-def put_back(messages: DataFrame) -> DataFrame:
+def put_back(messages: DataFrame, folder: str | None = None) -> DataFrame:
     """``messages`` with inline data in content_json again, and without the manifest.
 
-    Only fields that hold data are looked at: words that look like a placeholder stay as they are.
+    Only fields that hold data are looked at, by position: words that look like a placeholder stay as they
+    are. Data URIs come back as base64. With ``folder``, stored local files are named by the path that they get
+    there in fields of paths, and ``restored_files`` (name and index) says what is to be written. What was to
+    be stored and isn't is listed in ``_missing_attachments``.
     """
     bare = F.regexp_replace("content_json", r'(?s)^(.*),"_attachments":\[.*\]\}\s*$', "$1}")
-    size = F.coalesce(F.array_size("attachments"), F.lit(0))
-
-    def one(text: Column, i: Column) -> Column:
-        data = F.regexp_replace(F.base64(F.get("attachments", i)), r"\s", "")
-        field = F.concat(F.lit(r'("(?:data|image_url|result)"\s*:\s*"(?:data:[^",]*,)?)blob:'), i.cast("string"), F.lit('"'))
-        return F.coalesce(F.regexp_replace(text, field, F.concat(F.lit("$1"), data, F.lit('"'))), text)
-
-    return messages.withColumn("content_json", F.when(size > 0, F.aggregate(F.sequence(F.lit(0), size - 1), bare, one)).otherwise(bare))
+    bare = F.regexp_replace(bare, r'(?s)^(\s*\{)"_attachments":\[.*\]\}\s*$', "$1}")
+    rows = messages.withColumns({"_manifest": F.coalesce(manifest(F.col("content_json")), F.array().cast(MANIFEST)), "_bare": settled(bare)})
+    rows = rows.withColumn("_places", placeholders(F.col("_bare"))).withColumn("_places", F.when(F.size("_manifest") > 0, F.col("_places")).otherwise(F.array().cast(f"array<{PLACED}>")))
+    bytes_ = lambda i: F.get("attachments", i)
+    place = F.col("sequence_no").cast("string") if "sequence_no" in messages.columns else F.lit("0")
+    file_name = lambda e: S.attachment_file_name(place, e["index"], F.sha2(bytes_(e["index"]), 256), e["file_name"])
+    local = F.filter("_manifest", lambda e: (e["source_kind"] == "LOCAL_PATH") & bytes_(e["index"]).isNotNull() & F.lit(folder is not None))
+    rows = rows.withColumn("_local", F.transform(local, lambda e: F.struct(e["source_reference"].alias("reference"), file_name(e).alias("name"), e["index"].alias("index"))))
+    named = lambda p: F.get(F.filter("_local", lambda e: e["reference"] == p["path"]), F.lit(0))
+    edits = F.filter("_places", lambda p: F.when(p["index"].isNotNull(), bytes_(p["index"]).isNotNull()).otherwise(named(p).isNotNull()))
+
+    def instead(p: Column) -> Column:
+        data = F.regexp_replace(F.base64(bytes_(p["index"])), r"\s", "")
+        header = F.when(p["header"].isNull(), "").when(F.lower(p["header"]).endswith(";base64"), F.concat(p["header"], F.lit(","))).otherwise(F.concat(p["header"], F.lit(";base64,")))
+        return F.when(p["index"].isNotNull(), F.concat(header, data)).otherwise(F.concat(F.lit(f"{(folder or '').rstrip('/')}/"), named(p)["name"]))
+
+    rows = rows.withColumn("_edits", edits).withColumn("_text", F.when(F.size("_edits") > 0, spliced(F.col("_bare"), F.col("_edits"), instead)).otherwise(F.col("_bare")))
+    lost = F.filter("_manifest", lambda e: (e["source_kind"] != "REMOTE_URL") & bytes_(e["index"]).isNull())
+    listed = F.to_json(F.transform(lost, lambda e: F.struct(e["index"].alias("index"), e["file_name"].alias("file_name"), e["mime_type"].alias("mime_type"), e["source_kind"].alias("source_kind"), e["status"].alias("status"))))
+    comma = F.when(F.col("_text").rlike(r"^\s*\{\s*\}\s*$"), "").otherwise(",")
+    text = F.when(F.size(lost) > 0, F.concat(F.regexp_replace("_text", r"\s*\}\s*$", ""), comma, F.lit('"_missing_attachments":'), listed, F.lit("}"))).otherwise(F.col("_text"))
+    rows = rows.withColumn("content_json", text)
+    if folder is not None:
+        rows = rows.withColumn("restored_files", F.transform("_local", lambda e: F.struct(e["name"].alias("name"), e["index"].alias("index"))))
+    return rows.drop("_manifest", "_bare", "_places", "_local", "_edits", "_text")
 
 
 def rewritten_paths(text: Column, old: str, new: str) -> Column:

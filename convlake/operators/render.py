@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlake.functions.json_tree import human_text  # noqa: F401  a rendering like the others
 from convlake.functions.scalars import strip
 
 BLOCK = "type string, text string, refusal string, content string, output string, name string, arguments string, input string"
@@ -81,17 +82,6 @@ def preview(content_json: Column, role: Column, event_type: Column, conversation
     return F.when(broken, truncated(normalised(content_json), limit)).otherwise(F.coalesce(joined(parts, limit), own))
 
 
-def human_text(detail_json: Column, event_type: Column, most: int = 3) -> Column:
-    """Texts found anywhere in a detail document, else names of tools, else its type."""
-
-    def values(name: str) -> Column:
-        raw = F.regexp_extract_all(detail_json, F.lit(rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
-        return F.array_distinct(F.filter(F.transform(raw, lambda v: F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")), lambda v: v.isNotNull()))
-
-    texts, names = values("text"), values("name")
-    return F.when(F.size(texts) > 0, F.array_join(F.slice(texts, 1, most), "\n")).when(F.size(names) > 0, F.array_join(F.slice(names, 1, most), ", ")).otherwise(F.concat(F.lit("["), event_type, F.lit("]")))
-
-
 def code_blocks(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """One row per fenced block: keys, block (from 0), language and code."""
     fence = r"(?ms)^```[ \t]*([^\n`]*)\n(.*?)^```[ \t]*$"

@@ -49,11 +49,6 @@ def scanned(lines: DataFrame) -> DataFrame:
     return lines.groupBy("session_id").agg(F.count_if("line_terminated").alias("lines"), F.max("end_offset").alias("bytes"))
 
 
-@query("s1_offset_scan", f"SELECT session_id, count(*) AS lines, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX} END) + 1) AS BIGINT) AS bytes FROM messages_v GROUP BY session_id")
-def _(spark, d):
-    return scanned(written(spark, d, "role"))
-
-
 @query("s1_text_scan", f"SELECT session_id, count(*) AS lines, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX_TEXT} END) + 1) AS BIGINT) AS bytes FROM messages_v GROUP BY session_id")
 def _(spark, d):
     return scanned(written(spark, d))
@@ -70,11 +65,6 @@ def cursors(lines: DataFrame) -> DataFrame:
     return D.cursors(lines).select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session_id"), "cursor_offset", "cursor_anchor")
 
 
-@query("p3_cursors", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX} END) + 1) AS BIGINT) AS cursor_offset, sha256(arg_max(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX} END, sequence_no)) AS cursor_anchor FROM messages_v GROUP BY session_id")
-def _(spark, d):
-    return cursors(written(spark, d, "role"))
-
-
 @query("p3_text_cursors", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX_TEXT} END) + 1) AS BIGINT) AS cursor_offset, sha256(arg_max(CASE WHEN sequence_no % 5 = 4 THEN '{{broken' ELSE {CODEX_TEXT} END, sequence_no)) AS cursor_anchor FROM messages_v GROUP BY session_id")
 def _(spark, d):
     return cursors(written(spark, d))
@@ -134,11 +124,6 @@ def entries(rows: DataFrame) -> DataFrame:
     return rows.select("message_id", *(F.col(f"e.{n}").alias(n) for n in ("index", "status", "size", "sha256", "source_reference")))
 
 
-@query("b4_manifest", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, CASE WHEN i = 1 THEN 'remote_not_downloaded' WHEN strlen(text) > 4000 THEN 'too_large' ELSE 'stored' END AS status, CASE WHEN i = 0 THEN strlen(text) END AS size, CASE WHEN i = 0 AND strlen(text) <= 4000 THEN sha256(text) END AS sha256, CASE WHEN i = 0 THEN 'inline:text/plain' ELSE 'https://h.org/i.png' END AS source_reference FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
-def _(spark, d):
-    return entries(with_attachments(spark, d, 4000))
-
-
 @query("b4_whole_manifest", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, CASE WHEN i = 1 THEN 'remote_not_downloaded' ELSE 'stored' END AS status, CASE WHEN i = 0 THEN strlen(text) END AS size, CASE WHEN i = 0 THEN sha256(text) END AS sha256, CASE WHEN i = 0 THEN 'inline:text/plain' ELSE 'https://h.org/i.png' END AS source_reference FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
 def _(spark, d):
     return entries(with_attachments(spark, d))
@@ -148,11 +133,6 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.where(F.size(A.stored_attachments(F.col("content_json"))) == 1).select("message_id")
 
 
-@query("b6_stored", "SELECT CAST(doc_id AS VARCHAR) AS message_id FROM documents WHERE length(text) > 0 AND strlen(text) <= 4000", views=False)
-def _(spark, d):
-    return stored(with_attachments(spark, d, 4000))
-
-
 @query("b6_whole_stored", "SELECT CAST(doc_id AS VARCHAR) AS message_id FROM documents WHERE length(text) > 0", views=False)
 def _(spark, d):
     return stored(with_attachments(spark, d))
@@ -162,21 +142,11 @@ def looked_up(rows: DataFrame) -> DataFrame:
     return A.lookup(rows, 0).select("message_id", F.sha2("data", 256).alias("sha256"), "mime_type", "file_name")
 
 
-@query("q5_attachment", "SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN strlen(text) <= 4000 THEN sha256(text) END AS sha256, 'text/plain' AS mime_type, 'attachment-0' AS file_name FROM documents WHERE length(text) > 0", views=False)
-def _(spark, d):
-    return looked_up(with_attachments(spark, d, 4000))
-
-
 @query("q5_whole_attachment", "SELECT CAST(doc_id AS VARCHAR) AS message_id, sha256(text) AS sha256, 'text/plain' AS mime_type, 'attachment-0' AS file_name FROM documents WHERE length(text) > 0", views=False)
 def _(spark, d):
     return looked_up(with_attachments(spark, d))
 
 
-@query("b8_pending_detail", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, i = 0 AND strlen(text) <= 4000 AS present FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
-def _(spark, d):
-    return A.pending_detail(with_attachments(spark, d, 4000))
-
-
 @query("b8_whole_pending", "SELECT CAST(doc_id AS VARCHAR) AS message_id, i AS index, i = 0 AS present FROM documents, (SELECT unnest([CAST(0 AS INTEGER), 1]) AS i) WHERE length(text) > 0", views=False)
 def _(spark, d):
     return A.pending_detail(with_attachments(spark, d))
@@ -188,11 +158,6 @@ def restored(rows: DataFrame) -> DataFrame:
     return rows.select("message_id", F.when(data == "blob:0", "too large").otherwise(F.sha2(F.unbase64(data), 256)).alias("sha256"))
 
 
-@query("b9_put_back", "SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN strlen(text) <= 4000 THEN sha256(text) ELSE 'too large' END AS sha256 FROM documents WHERE length(text) > 0", views=False)
-def _(spark, d):
-    return restored(with_attachments(spark, d, 4000))
-
-
 @query("b9_whole_put_back", "SELECT CAST(doc_id AS VARCHAR) AS message_id, sha256(text) AS sha256 FROM documents WHERE length(text) > 0", views=False)
 def _(spark, d):
     return restored(with_attachments(spark, d))
@@ -206,11 +171,6 @@ def boundaries(spark: SparkSession, d: str, said: str = "text") -> DataFrame:
     return X.restore_boundaries(spark.read.format("jsonl_offsets").option("path", f"{path}/*/*/*.txt").load(), s).select("session_id", "resume_offset")
 
 
-@query("j8_restore_boundaries", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{}}' ELSE {CODEX} END) + 1) AS BIGINT) + strlen(',\"_restore_boundary\":\"' || any_value(source_type) || ':' || session_id || ':' || CAST(any_value(conv_id) % 4 AS VARCHAR) || '\"') - CASE WHEN max(sequence_no) % 5 = 4 THEN 1 ELSE 0 END AS resume_offset FROM messages_v GROUP BY session_id")
-def _(spark, d):
-    return boundaries(spark, d, "role")
-
-
 @query("j8_text_boundaries", f"SELECT session_id, CAST(sum(strlen(CASE WHEN sequence_no % 5 = 4 THEN '{{}}' ELSE {CODEX_TEXT} END) + 1) AS BIGINT) + strlen(',\"_restore_boundary\":\"' || any_value(source_type) || ':' || session_id || ':' || CAST(any_value(conv_id) % 4 AS VARCHAR) || '\"') - CASE WHEN max(sequence_no) % 5 = 4 THEN 1 ELSE 0 END AS resume_offset FROM messages_v GROUP BY session_id")
 def _(spark, d):
     return boundaries(spark, d)

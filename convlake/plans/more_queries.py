@@ -224,10 +224,10 @@ def _(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", S.attachment_at(stored, F.col("turn").cast("int"), None).cast("string").alias("found"))
 
 
-@query("t12_whole_text", f"SELECT {MKEY}, CASE WHEN sequence_no % 2 = 0 THEN text || chr(10) || 'b' ELSE text END AS text FROM messages_v")
+@query("t12_whole_text", f"SELECT {MKEY}, CASE WHEN sequence_no % 2 = 0 THEN text || chr(10) || chr(10) || 'b' ELSE text END AS text FROM messages_v")
 def _(spark, d):
     said = F.to_json(F.struct(F.array(F.struct("text"), F.struct(F.lit("b").alias("text")), F.struct(F.lit("b").alias("text"))).alias("a"), F.lit("tool").alias("name")))
-    named = F.to_json(F.struct(F.struct(F.col("text").alias("name")).alias("call")))
+    named = F.to_json(F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), F.col("text").alias("name"))).alias("content")))
     return messages(spark, d).select(*M, R.human_text(F.when(F.col("sequence_no") % 2 == 0, said).otherwise(named), F.lit("x")).alias("text"))
 
 

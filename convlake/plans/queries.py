@@ -88,11 +88,11 @@ def _(spark, d):
     return N.title_index(lines).select("session_id", "title", *seconds("updated_at"))
 
 
-@query("s9_sessions_read", "SELECT source_type, session_id, max(sequence_no) AS version, arg_max(role, sequence_no) AS state FROM messages_v GROUP BY ALL")
+@query("s9_sessions_read", "SELECT source_type, session_id, max(sequence_no) AS version, arg_max(text, sequence_no) AS state FROM messages_v GROUP BY ALL")
 def _(spark, d):
     from convlake.streaming.publish import latest_sessions
 
-    return latest_sessions(messages(spark, d).select("source_type", "session_id", F.col("sequence_no").alias("version"), F.col("role").alias("state"))).select("source_type", "session_id", "version", "state")
+    return latest_sessions(messages(spark, d).select("source_type", "session_id", F.col("sequence_no").alias("version"), F.col("text").alias("state"))).select("source_type", "session_id", "version", "state")
 
 
 @query("s10_messages_read", f"SELECT {MKEY}, message_id FROM messages_v WHERE source_type = 'codex' AND session_id IN (SELECT session_id FROM sessions_v WHERE archived)")
@@ -315,21 +315,6 @@ def _(spark, d):
     return N.rolled_up(events(spark, d)).select("source_type", "session_id", "title", "cwd", *seconds("created_at", "updated_at"))
 
 
-@query("a4_title_fold", """
-SELECT source_type, session_id,
-  CASE WHEN count(*) FILTER (WHERE sequence_no = 2) > 0 THEN CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'custom ' || session_id END
-       WHEN count(*) FILTER (WHERE sequence_no = 1) > 0 THEN 'ai ' || session_id
-       ELSE left(trim(regexp_replace(min(text), '\\s+', ' ', 'g')), 120) END AS title
-FROM messages_v WHERE sequence_no <= 2 GROUP BY source_type, session_id, conv_id""")
-def _(spark, d):
-    n = F.col("sequence_no")
-    rows = messages(spark, d).where(n <= 2).select(
-        "source_type", "session_id", n.alias("start_offset"), F.when(n == 0, "user").when(n == 1, "ai-title").otherwise("custom-title").alias("event_type"),
-        F.when(n == 0, F.col("text")).when(n == 1, F.concat(F.lit(" ai "), "session_id")).when(F.col("conv_id") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit("custom "), "session_id")).alias("title_text"),
-    )
-    return N.titles_in_order(rows)
-
-
 @query("a5_merge_with_previous", f"""{EVENTS}, now AS (SELECT source_type, session_id, arg_max(cwd, start_offset) FILTER (WHERE cwd IS NOT NULL) AS cwd, max(end_offset) AS cursor_offset FROM events GROUP BY ALL)
 SELECT source_type, session_id, CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN 'before' ELSE 'now' END AS title, coalesce(cwd, CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN '/before' END) AS cwd, cursor_offset FROM now""")
 def _(spark, d):
@@ -348,7 +333,7 @@ def _(spark, d):
     return N.next_commit(sessions(spark, d))
 
 
-@query("a8_batch_merge", "SELECT source_type, session_id, arg_max(role, sequence_no) AS state, min(sequence_no) * 10 AS starting_cursor, CAST(sum(sequence_no + 1) AS BIGINT) AS read_count, count(*) AS chunks FROM messages_v GROUP BY ALL")
+@query("a8_batch_merge", "SELECT source_type, session_id, arg_max(text, sequence_no) AS state, min(sequence_no) * 10 AS starting_cursor, CAST(sum(sequence_no + 1) AS BIGINT) AS read_count, count(*) AS chunks FROM messages_v GROUP BY ALL")
 def _(spark, d):
     n = F.col("sequence_no")
     return N.merged_batches(messages(spark, d).select("source_type", "session_id", n.alias("chunk"), F.col("role").alias("state"), (n * 10).alias("starting_cursor"), (n + 1).alias("read_count")))
@@ -359,9 +344,9 @@ def _(spark, d):
     return N.commit_counts(messages(spark, d))
 
 
-@query("a10_duplicate_audit", "SELECT source_type, session_id, count(*) AS copies, count(DISTINCT role) AS contents, CASE WHEN count(DISTINCT role) > 1 THEN 'conflict' ELSE 'ignored' END AS verdict FROM messages_v GROUP BY ALL HAVING count(*) > 1")
+@query("a10_duplicate_audit", "SELECT source_type, session_id, count(*) AS copies, count(DISTINCT text) AS contents, CASE WHEN count(DISTINCT text) > 1 THEN 'conflict' ELSE 'ignored' END AS verdict FROM messages_v GROUP BY ALL HAVING count(*) > 1")
 def _(spark, d):
-    return N.duplicate_audit(messages(spark, d), ["source_type", "session_id"], "role")
+    return N.duplicate_audit(messages(spark, d), ["source_type", "session_id"], "text")
 
 
 @query("a11_repeated_keys", "SELECT source_type, role, count(*) AS n FROM messages_v GROUP BY ALL HAVING count(*) > 1")

@@ -42,7 +42,8 @@ def _(spark, d):
 
 @query("f5_generated_workspace", "SELECT conv_id, turn, turn % 4 IN (0, 1) AS generated FROM conversations", views=False)
 def _(spark, d):
-    paths = F.array(*map(F.lit, ("/home/x/Documents/Codex/2026-01-02/new/", "C:\\x\\Documents\\Codex\\2026-01-02\\new", "/home/Documents/Codex/2026-01-02", "/MyDocuments/Codex/2026-01-02/a")))
+    clean = F.regexp_replace("text", "[^A-Za-z0-9]", "-")
+    paths = F.array(*(F.concat(F.lit(a), clean, F.lit(b)) for a, b in (("/home/x/Documents/Codex/2026-01-02/n", "/"), ("C:\\x\\Documents\\Codex\\2026-01-02\\n", ""), ("/n", "/Documents/Codex/2026-01-02"), ("/MyDocuments/Codex/2026-01-02/n", ""))))
     return read(spark, d, "conversations").select("conv_id", "turn", S.is_generated_workspace(F.element_at(paths, (F.col("turn") % 4 + 1).cast("int"))).alias("generated"))
 
 
@@ -90,11 +91,6 @@ def _(spark, d):
     return docs.select("doc_id", F.sha2(S.strict_base64(F.regexp_replace(text, r"\s", "")), 256).alias("digest"), S.strict_base64(F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(spoiled, r"\s", "")).otherwise(spoiled)).isNotNull().alias("ok"))
 
 
-@query("f12_percent", "SELECT conv_id, turn, 'a+b ' || role AS found FROM conversations", views=False)
-def _(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", S.percent_decoded(F.concat(F.lit("a+b%20"), "role")).cast("string").alias("found"))
-
-
 @query("f13_decoded_size", "SELECT doc_id, strlen(text) AS size FROM documents", views=False)
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", S.decoded_size(F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")).alias("size"))
@@ -106,13 +102,6 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size"))
 
 
-@query("f15_sniffed", "SELECT conv_id, turn, ['image/png', 'image/jpeg', 'image/gif', 'image/webp', 'image/avif', NULL, NULL, 'image/gif'][turn % 8 + 1] AS mime FROM conversations", views=False)
-def _(spark, d):
-    heads = ("89504E470D0A1A0A00", "FFD8FFE0", "474946383961", "524946460000000057454250", "000000206674797061766966", "524946460000000057415645", "", "474946383761")
-    data = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("turn") % 8 + 1).cast("int")))
-    return read(spark, d, "conversations").select("conv_id", "turn", S.sniffed_mime(data).alias("mime"))
-
-
 @query("f16_redacted_url", "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '://[^/]*@', '://') AS url FROM pages", views=False)
 def _(spark, d):
     return read(spark, d, "pages").select("page_id", S.redacted_url(F.regexp_replace("url", "://", "://user:pw@")).alias("url"))
@@ -125,9 +114,10 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", S.attachment_kind(reference).alias("kind"), S.data_uri_mime(reference).alias("mime"))
 
 
-@query("f18_mentioned", "SELECT conv_id, turn, role AS name, '/tmp/' || role AS path, '/b.png' AS wrapped FROM conversations", views=False)
+@query("f18_mentioned", "SELECT conv_id, turn, 'n' || regexp_replace(text, '[^A-Za-z0-9]', '-', 'g') AS name, '/tmp/n' || regexp_replace(text, '[^A-Za-z0-9]', '-', 'g') AS path, '/b.png' AS wrapped FROM conversations", views=False)
 def _(spark, d):
-    text = F.concat(F.lit("# Files mentioned by the user:\n\n## "), "role", F.lit(": /tmp/"), "role", F.lit('  \n<image a="1" path="/a.png"> <image path="/b.png">'))
+    clean = F.concat(F.lit("n"), F.regexp_replace("text", "[^A-Za-z0-9]", "-"))
+    text = F.concat("text", F.lit("\n# Files mentioned by the user:\n\n## "), clean, F.lit(": /tmp/"), clean, F.lit('  \n<image a="1" path="/a.png"> <image path="/b.png">'))
     rows = read(spark, d, "conversations").select("conv_id", "turn", F.explode(S.mentioned_files(text)).alias("f"), S.wrapped_image_path(text).alias("wrapped"))
     return rows.select("conv_id", "turn", "f.name", "f.path", "wrapped")
 
@@ -144,34 +134,22 @@ def _(spark, d):
     return sessions(spark, d).select("source_type", "session_id", S.name_uuid(F.concat("source_type", "session_id")).alias("uuid"))
 
 
-@query("f21_file_names", "SELECT conv_id, turn, lpad(CAST(conv_id AS VARCHAR), 20, '0') || '-' || lpad(CAST(turn AS VARCHAR), 2, '0') || '-' || sha256(role) || '-' || CASE WHEN turn % 2 = 0 THEN 'a_b_' || role ELSE 'attachment-' || CAST(turn AS VARCHAR) END AS name FROM conversations", views=False)
+@query("f21_file_names", "SELECT conv_id, turn, lpad(CAST(conv_id AS VARCHAR), 20, '0') || '-' || lpad(CAST(turn AS VARCHAR), 2, '0') || '-' || sha256(text) || '-' || CASE WHEN turn % 2 = 0 THEN left('a_b_' || regexp_replace(text, '[^A-Za-z0-9]', '-', 'g'), 100) ELSE 'attachment-' || CAST(turn AS VARCHAR) END AS name FROM conversations", views=False)
 def _(spark, d):
-    given = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("a/b:"), "role"))
-    return read(spark, d, "conversations").select("conv_id", "turn", S.attachment_file_name(F.col("conv_id"), F.col("turn"), F.sha2("role", 256), given).alias("name"))
+    given = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("a/b:"), F.regexp_replace("text", "[^A-Za-z0-9]", "-")))
+    return read(spark, d, "conversations").select("conv_id", "turn", S.attachment_file_name(F.col("conv_id"), F.col("turn"), F.sha2("text", 256), given).alias("name"))
 
 
 @query("f22_cursors", "SELECT conv_id, turn, turn % 4 = 0 AS same_position, turn % 4 IN (0, 1, 3) AS same_boundary FROM conversations", views=False)
 def _(spark, d):
     n = F.col("turn") % 4
     cursor = lambda offset, key, anchor: F.struct(offset.alias("offset"), key.alias("file_key"), anchor.alias("anchor"))
-    a = cursor(F.col("conv_id"), F.lit("k"), F.lit("x"))
+    a = cursor(F.col("conv_id"), F.lit("k"), F.col("text"))
     # the same; another file and the same anchor; another file and anchor; an unknown file
-    b = cursor(F.when(n == 1, F.col("conv_id") + 5).otherwise(F.col("conv_id")), F.when(n.isin(1, 2), "other").when(n == 0, "k"), F.when(n == 2, "y").otherwise("x"))
+    b = cursor(F.when(n == 1, F.col("conv_id") + 5).otherwise(F.col("conv_id")), F.when(n.isin(1, 2), "other").when(n == 0, "k"), F.when(n == 2, F.concat("text", F.lit("y"))).otherwise(F.col("text")))
     return read(spark, d, "conversations").select("conv_id", "turn", S.same_position(a, b).alias("same_position"), S.same_boundary(a, b).alias("same_boundary"))
 
 
-@query("f23_attachment_at", "SELECT conv_id, turn, CASE WHEN turn < 2 THEN role END AS found FROM conversations", views=False)
-def _(spark, d):
-    data = F.col("role").cast("binary")
-    return read(spark, d, "conversations").select("conv_id", "turn", S.attachment_at(F.array(data, data), F.col("turn").cast("int"), 100).cast("string").alias("found"))
-
-
-@query("f24_bounded", "SELECT doc_id, length(text) AS content_length, left(text, 500) AS detail, length(text) > 500 AS cut FROM documents", views=False)
-def _(spark, d):
-    length, detail, cut = S.bounded(F.col("text"), 500)
-    return read(spark, d, "documents").select("doc_id", length.alias("content_length"), detail.alias("detail"), cut.alias("cut"))
-
-
 @query("f24_whole_bounded", "SELECT doc_id, length(text) AS content_length, left(text, 2000000) AS detail, length(text) > 2000000 AS cut FROM documents", views=False)
 def _(spark, d):
     length, detail, cut = S.bounded(F.col("text"))
@@ -223,32 +201,16 @@ def enveloped(rows):
     return rows.select(*M, R.without_envelope(wrapped).alias("text"))
 
 
-@query("t10_envelope", f"SELECT {MKEY}, text FROM messages_v WHERE NOT contains(text, chr(10))")
-def _(spark, d):
-    return enveloped(messages(spark, d).where(~F.contains("text", F.lit("\n"))))
-
-
 @query("t10_whole_envelope", f"SELECT {MKEY}, text FROM messages_v")
 def _(spark, d):
     return enveloped(messages(spark, d))
 
 
-@query("t12_human_text", f"SELECT {MKEY}, CASE WHEN sequence_no % 2 = 0 THEN role || chr(10) || 'b' ELSE '[x]' END AS text FROM messages_v")
-def _(spark, d):
-    json = F.when(F.col("sequence_no") % 2 == 0, F.concat(F.lit('{"a":[{"text":"'), "role", F.lit('"},{"text":"b"},{"text":"b"}]}'))).otherwise(F.lit("{}"))
-    return messages(spark, d).select(*M, R.human_text(json, F.lit("x")).alias("text"))
-
-
 def fenced(rows, code):
     text = F.concat(F.lit("x\n```sql\n"), code, F.lit("\n```\ny\n```\n"), code, F.lit("\n```\n"))
     return R.code_blocks(rows.withColumn("text", text), "text", "doc_id")
 
 
-@query("t13_code_blocks", "SELECT doc_id, CAST(b AS INTEGER) AS block, CASE WHEN b = 0 THEN 'sql' END AS language, split_part(text, chr(10), 1) || chr(10) AS code FROM documents, range(2) r(b)", views=False)
-def _(spark, d):
-    return fenced(read(spark, d, "documents"), F.split_part("text", F.lit("\n"), F.lit(1)))
-
-
 @query("t13_whole_blocks", "SELECT doc_id, CAST(b AS INTEGER) AS block, CASE WHEN b = 0 THEN 'sql' END AS language, text || chr(10) AS code FROM documents, range(2) r(b)", views=False)
 def _(spark, d):
     return fenced(read(spark, d, "documents"), F.col("text"))
@@ -259,12 +221,6 @@ def _(spark, d):
     return R.pipe_lines(read(spark, d, "documents"), "text", "doc_id")
 
 
-@query("t14_pipe_tables", f"SELECT conv_id, turn, CAST(t AS INTEGER) AS table_no, CAST(r AS INTEGER) AS row_no, CASE WHEN r = 0 THEN ['h', 'k'] ELSE [role, CAST(turn AS VARCHAR)] END AS cells, ['left', 'right'] AS alignments FROM conversations, range(2) a(t), range(2) b(r)", views=False)
-def _(spark, d):
-    one = F.concat(F.lit("words\n| h | k |\n|:--|--:|\n| "), "role", F.lit(" | "), F.col("turn").cast("string"), F.lit(" |\n"))
-    return R.pipe_tables(read(spark, d, "conversations").withColumn("text", F.concat(one, one)), "text", "conv_id", "turn")
-
-
 # ---- attachments, replays, live views, exports -----------------------------------------------------
 
 def sized(spark, d, **options):
@@ -274,11 +230,6 @@ def sized(spark, d, **options):
     return resolved_inline(rows, "data", **options).select("doc_id", "status", "size", "sha256")
 
 
-@query("b5_size_policy", "SELECT doc_id, CASE WHEN strlen(text) > 1000 THEN 'too_large' ELSE 'stored' END AS status, strlen(text) AS size, CASE WHEN strlen(text) <= 1000 THEN sha256(text) END AS sha256 FROM documents", views=False)
-def _(spark, d):
-    return sized(spark, d, most=1000)
-
-
 @query("b5_whole_policy", "SELECT doc_id, 'stored' AS status, strlen(text) AS size, sha256(text) AS sha256 FROM documents", views=False)
 def _(spark, d):
     return sized(spark, d)
@@ -357,12 +308,6 @@ def _(spark, d):
     return C.page(C.session_order(rows), 1, 25).select("source_type", "session_id", "title", "cwd", *seconds("last_message_at"))
 
 
-@query("q3_list_messages", f"SELECT {MKEY}, message_id, role, {seconds_sql('created_at')}, count(*) OVER () AS total FROM messages_v WHERE source_type = 'codex' AND role IN ('user', 'assistant') AND contains(lower(text), 'the') ORDER BY messages_v.created_at DESC, session_id, sequence_no DESC LIMIT 25")
-def _(spark, d):
-    rows = C.search(C.conversation_only(C.matching(messages(spark, d), source_type="codex")), "the", "message_id", "text")
-    return C.page(C.message_order(rows), 1, 25).select(*M, "message_id", "role", *seconds("created_at"), "total")
-
-
 @query("q4_message_detail", f"SELECT {MKEY}, message_id, left(text, 2000000) AS detail, length(text) AS content_length FROM messages_v WHERE source_type = 'codex' AND session_id = '4' AND sequence_no = 1")
 def _(spark, d):
     rows = C.one(C.matching(messages(spark, d), source_type="codex", session_id="4", sequence_no=1))

@@ -236,9 +236,13 @@ class Store:
         if (commit_id + 1) % COMPACT_EVERY == 0:
             self.compact()
 
+    def has_pending(self, commit_id: int) -> bool:
+        """Whether the sessions of a commit are marked as pending."""
+        return 2 * commit_id in self._parts("sessions")
+
     def is_written(self, commit_id: int) -> bool:
         """Whether a pending commit has all its messages, and all its states as pending."""
-        return commit_id in self._parts("messages") and 2 * commit_id in self._parts("sessions")
+        return commit_id in self._parts("messages") and self.has_pending(commit_id)
 
 
 def session_states(store: Store, lines: DataFrame, messages: DataFrame, source: str, known: DataFrame, keys: DataFrame, roll_up: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

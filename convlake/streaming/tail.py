@@ -74,12 +74,13 @@ def backlog(store: Store, source: str, files: DataFrame, folder: str) -> DataFra
 
     files = staged(_looked_at(files), f"{folder}/files-{source}")
     sessions = store.sessions().where((F.col("source_type") == source) & F.col("source_path").isNotNull() & F.col("cursor_offset").isNotNull())
-    known = staged(sessions.select("session_id", F.col("source_path").alias("was"), F.col("file_key").alias("known_key"), F.col("cursor_offset").alias("cursor"), F.col("cursor_anchor").alias("anchor"), F.regexp_extract("source_path", "([^/]+)$", 1).alias("old_name")), f"{folder}/known-{source}")
-    at_path = files.join(known, files["path"] == known["was"])
-    lost = known.join(files.select(F.col("path").alias("was")), "was", "left_anti")
-    as_file = files.join(lost, files["file_key"] == lost["known_key"])
-    by_name = files.join(lost.join(as_file.select("session_id"), "session_id", "left_anti"), F.col("name") == F.col("old_name"))
-    pairs = at_path.withColumn("way", F.lit(0)).unionByName(as_file.withColumn("way", F.lit(1))).unionByName(by_name.withColumn("way", F.lit(2)))
+    known = sessions.select("session_id", "source_path", F.col("file_key").alias("known_key"), F.col("cursor_offset").alias("cursor"), F.col("cursor_anchor").alias("anchor"))
+    # by path, as the same file, by name: of each session and of each file the first way that leads anywhere counts
+    ways = lambda rows, *values: rows.select("*", F.posexplode(F.array(*values)).alias("way", "value")).where("value is not null")
+    sides = ways(files, F.col("path"), F.col("file_key"), F.col("name")), ways(known, F.col("source_path"), F.col("known_key"), F.regexp_extract("source_path", "([^/]+)$", 1))
+    pairs = sides[0].join(sides[1], ["way", "value"]).drop("value")
+    rest = [c for c in pairs.columns if c != "session_id"]
+    pairs = pairs.groupBy("session_id").agg(F.min_by(F.struct(*rest), F.struct("way", "path")).alias("s")).select("session_id", "s.*")
     rest = [c for c in pairs.columns if c != "path"]
     pairs = pairs.groupBy("path").agg(F.min_by(F.struct(*rest), F.struct("way", "session_id")).alias("s")).select("path", "s.*")
     checked = staged(_checked(pairs), f"{folder}/checked-{source}")
@@ -143,13 +144,14 @@ def finish(store: Store, commit: int, options: dict, stop_after: str = "") -> bo
         names = names.join(told, "path", "left_anti").unionByName(told)
         rows = D.DIALECTS[source](lines, names).dropDuplicates(["message_id"])
         state = session_states(store, lines, rows, source, names, own.select("path", "file_key"), options.get("roll_up"))
-        rows = taken_out(rows.drop("path", "end_offset"), options.get("files"))
+        base = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+        rows = taken_out(rows, options.get("files"), base=base, **options.get("attachments", {})).drop("path", "end_offset")
         states, messages = (state, rows) if states is None else (states.unionByName(state), messages.unionByName(rows))
     try:
         if states is None:  # a commit of metadata alone, begun by somebody who is gone
             pending = store.sessions().where(F.col("pending_commit_id") == commit)
             states, messages = pending.withColumns({"cursor_offset": F.col("pending_cursor.offset"), "cursor_anchor": F.col("pending_cursor.anchor")}), store.messages(pending=True).limit(0)
-        elif not recovery(store.sessions().where(F.col("pending_commit_id") == commit), states).where("not complete").isEmpty():
+        elif store.has_pending(commit) and not recovery(store.sessions().where(F.col("pending_commit_id") == commit), states).where("not complete").isEmpty():
             return False
         store.publish(states, messages, commit, stop_after)
     finally:
@@ -158,11 +160,12 @@ def finish(store: Store, commit: int, options: dict, stop_after: str = "") -> bo
     return True
 
 
-def drain(spark: SparkSession, store: Store, paths: dict[str, str], most_bytes: int | None = None, recursive: bool = True, layout: str | None = None, stop_after: str = "", **options) -> str:
+def drain(spark: SparkSession, store: Store, paths: dict[str, str], most_bytes: int | None = None, recursive: bool = True, layout: str | None = None, stop_after: str = "", listing: dict[str, DataFrame] | None = None, **options) -> str:
     """One wake-up over ``paths`` (by source): finish what was begun, then read to the ends that files have now.
 
     Gives "done", or "waiting" if a commit that was begun can't be finished, as its files changed meanwhile;
-    nothing else is read then. ``stop_after`` ("intent", "pending" or "messages") leaves the first new commit
+    nothing else is read then. ``listing`` (path, size; by source) says what is read, and up to where, in place of
+    what is there. ``stop_after`` ("intent", "pending" or "messages") leaves the first new commit
     unfinished, as a lost driver would.
     """
     store.claim()
@@ -172,7 +175,8 @@ def drain(spark: SparkSession, store: Store, paths: dict[str, str], most_bytes:
     folder = work_dir(spark)
     left = None
     for source, path in paths.items():
-        own = backlog(store, source, listed(spark, path, recursive, layout), folder)
+        files = listing[source] if listing and source in listing else listed(spark, path, recursive, layout)
+        own = backlog(store, source, files, folder)
         left = own if left is None else left.unionByName(own)
     left = staged(left, f"{folder}/left")
     while not left.isEmpty():
