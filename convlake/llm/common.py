@@ -62,7 +62,7 @@ def whole_rows(docs: DataFrame, name: str = "row") -> Column:
 
     ``select("row.*")`` gives them back.
     """
-    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias(name)
 
 
 def word_count(text: Column) -> Column:

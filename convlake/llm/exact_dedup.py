@@ -4,10 +4,10 @@ A row's key is the 64-bit hash of its normalised text. The directory has a slot
 bits of the hash; a bucket owns the slots that agree in its first ``depth`` bits. Depth starts at
 ``START_DEPTH`` and grows by one bit, doubling the slots in use, wherever a bucket would hold more than
 ``capacity`` keys; where that takes more bits than the directory has, the slots of overfull buckets alone
-get more, up to all 64. Tasks own ranges of buckets: each writes the chains of its range, in order, to
-one file. A chain holds the different texts of one hash: texts that come more than once are compared byte
-for byte, and their number is the length of the chain. A row finds what it belongs to by hash, slot,
-bucket and chain, and nothing else says what is kept.
+get more, up to all 64. The directory comes first, and says which owner task gets a row: in its range of
+buckets the owner puts the rows of a hash together, compares the bytes of those that aren't alone, makes the
+chain of their different texts, and picks the row that stays. It writes its chains, in order, to one file. A
+row finds what it belongs to by hash, slot, bucket and chain, and nothing else says what is kept.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def leading(h: str, bits: int) -> Column:
 
 
 def directory(keys: DataFrame, path: str, capacity: int = CAPACITY, start: int = START_DEPTH) -> list[tuple[int, DataFrame]]:
-    """The directory of different keys ``h``: (bits, table of slot, bucket and depth), one for each width of slots.
+    """The directory of keys ``h``, each counted once: (bits, table of slot, bucket and depth), one for each width of slots.
 
     A slot is the first ``bits`` bits of a hash; its bucket is the first hash that the bucket can own. A
     null bucket means that the slot was split again and its keys have slots in the next table. Every depth
@@ -66,7 +66,7 @@ def directory(keys: DataFrame, path: str, capacity: int = CAPACITY, start: int =
     found, low, wide, of = [], start, max(1, keys.count() // capacity).bit_length() + 2, keys
     while True:
         bits = min(64, max(wide, low))
-        slots = of.groupBy(leading("h", bits).alias("slot")).agg(F.count("*").alias("n"))
+        slots = of.groupBy(leading("h", bits).alias("slot")).agg(F.count_distinct("h").alias("n"))
         levels = slots.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(bits))))
         levels = levels.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {bits} - depth)"))
         loads = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("load"))
@@ -94,40 +94,41 @@ def in_buckets(rows: DataFrame, slots: list[tuple[int, DataFrame]]) -> DataFrame
     return out
 
 
-def chains(docs: DataFrame, entries: DataFrame, keys: DataFrame, path: str) -> DataFrame:
-    """h, link, links, sha, keep_id, keep_rid and group_size of every different text.
+def chains(docs: DataFrame, placed: DataFrame, slots: list[tuple[int, DataFrame]], path: str) -> DataFrame:
+    """bucket, depth, h, link, links, sha, keep_id, keep_rid and group_size of every different text.
 
-    ``docs`` is read again for the texts whose hash comes more than once, and their bytes are compared. One
-    text makes a chain of one link, which every row of the hash belongs to. Where a hash has several texts,
-    each is a link, and its SHA-256 marks its rows; should two texts agree in both hashes, the job fails.
+    ``placed`` are the rows in their buckets. ``docs`` is read again for the texts whose hash comes more than
+    once; they go to the same buckets, and there their bytes are compared. One text makes a chain of one link,
+    which every row of the hash belongs to. Where a hash has several texts, each is a link, and its SHA-256
+    marks its rows; should two texts agree in both hashes, the job fails.
     """
+    order = F.coalesce("doc_id", F.lit(NO_ID))
+    keys = placed.groupBy("bucket", "depth", "h").agg(F.min("sha").alias("sha"), F.max("doc_id").alias("keep_id"), F.max_by("rid", order).alias("keep_rid"), F.count("*").alias("group_size"))
+    keys = staged(keys, f"{path}/keys")
     again = keys.where("group_size > 1").select("h")
     few = again.count() <= BROADCAST_KEYS
     texts = docs.select(normal(F.col("text")).alias("t")).withColumn("h", text_hash(F.col("t")))
-    texts = texts.join(F.broadcast(again) if few else again, "h", "left_semi")
-    # a text is its own key here: Spark compares the bytes, first within each task
-    texts = staged(texts.groupBy("h", "t").agg(F.count("*").alias("n")).select("h", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), "n"), f"{path}/texts")
-    several = texts.groupBy("h").agg(F.count("*").alias("links")).where("links > 1")
+    texts = in_buckets(texts.join(F.broadcast(again) if few else again, "h", "left_semi"), slots)
+    # a text is its own key within its bucket: Spark compares the bytes, first within each task
+    texts = staged(texts.groupBy("bucket", "h", "t").agg(F.count("*").alias("n")).select("bucket", "h", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), "n"), f"{path}/texts")
+    several = texts.groupBy("bucket", "h").agg(F.count("*").alias("links")).where("links > 1")
     alone = keys.withColumns({"link": F.lit(1), "links": F.lit(1).cast("long")})
     if several.isEmpty():
         return alone
     several = staged(several, f"{path}/several")
-    order = F.coalesce("doc_id", F.lit(NO_ID))
-    groups = entries.join(several, "h", "left_semi").groupBy("h", "sha").agg(F.max("doc_id").alias("keep_id"), F.max_by("rid", order).alias("keep_rid"))
-    link = F.row_number().over(Window.partitionBy("h").orderBy("sha"))
-    linked = texts.join(several, "h").groupBy("h", "sha", "links").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).withColumn("link", link)
+    own = ["bucket", "h"]
+    groups = placed.join(several, own, "left_semi").groupBy("bucket", "depth", "h", "sha").agg(F.max("doc_id").alias("keep_id"), F.max_by("rid", order).alias("keep_rid"))
+    link = F.row_number().over(Window.partitionBy(*own).orderBy("sha"))
+    linked = texts.join(several, own).groupBy(*own, "sha", "links").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).withColumn("link", link)
     sound = F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("different texts with one hash and one SHA-256")).cast("long"))
-    linked = linked.withColumn("group_size", sound).join(groups, ["h", "sha"]).select(*alone.columns)
-    return alone.join(several, "h", "left_anti").select(*alone.columns).unionByName(linked)
+    linked = linked.withColumn("group_size", sound).join(groups, [*own, "sha"]).select(*alone.columns)
+    return alone.join(several, own, "left_anti").select(*alone.columns).unionByName(linked)
 
 
 def build_index(docs: DataFrame, entries: DataFrame, path: str, capacity: int = CAPACITY) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
     """Write the index of ``entries`` (hashed rows with ``rid``) under ``path``: its bucket files and directory."""
-    order = F.coalesce("doc_id", F.lit(NO_ID))
-    keys = entries.groupBy("h").agg(F.min("sha").alias("sha"), F.max("doc_id").alias("keep_id"), F.max_by("rid", order).alias("keep_rid"), F.count("*").alias("group_size"))
-    keys = staged(keys, f"{path}/keys")
-    slots = directory(keys.select("h"), path, capacity)
-    owned = in_buckets(chains(docs, entries, keys, path), slots).repartitionByRange(F.col("bucket"))
+    slots = directory(entries.select("h"), path, capacity)
+    owned = chains(docs, in_buckets(entries, slots), slots, path).repartitionByRange(F.col("bucket"))
     return staged(owned.sortWithinPartitions("bucket", "h", "link"), f"{path}/buckets"), slots
 
 

@@ -37,6 +37,6 @@ def clashing(df):
     """``df`` with more columns, under names that operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("size", "length", "score", "h", "bucket", "token", "node", "copies", "rid", "tie", "toxic_score", "_h", "_g", "_id", "_lost", "_copy", "_copies", "_doc_id", "_source", "_size", "row", "d", "s", "id", "lost", "key", "more"):
+    for name in ("size", "length", "score", "h", "bucket", "token", "node", "copies", "rid", "tie", "toxic_score", "_h", "_g", "_id", "_lost", "_copy", "_copies", "_doc_id", "_source", "_size", "row", "d", "s", "id", "lost", "key", "more", "x`y"):
         df = df.withColumn(name, F.lit("x"))
     return df
