@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["source_type", "session_id"]
-#: Texts that carry context and aren't asked by anybody.
+#: Fixed value of the client's format: texts that carry context and aren't asked by anybody.
 CONTEXT = r"^[\x00-\x20]*(<environment_context>|# AGENTS\.md instructions\n\n<INSTRUCTIONS>)"
 
 
@@ -58,23 +58,41 @@ def name_based(text: Column) -> Column:
 
 
 def wrapped(turned: DataFrame) -> DataFrame:
-    """Events around the messages of each turn (what turns() gave): position, ord and json.
+    """The client's own events around the messages of each turn (what turns() gave): position, ord and json.
 
-    A turn starts before its first message and is complete after its last; user and assistant messages are
-    followed by a short event of their own.
+    A turn starts before its first message; the first one takes in what came before anybody asked. Its prompt is
+    the last user message that isn't context, or else the last one, and is followed by a user_message with the
+    pictures that came with it. The last assistant message after a user's is the answer: an agent_message and a
+    task_complete follow it. A turn without one is complete behind its prompt, with no answer. ``content_json`` may
+    have the event's timestamp and phase; without a timestamp it is that of created_at.
     """
-    turn = Window.partitionBy(*KEY, "turn_no").orderBy("sequence_no")
-    rows = turned.withColumns({"_first": F.row_number().over(turn) == 1, "_last": F.lead("sequence_no").over(turn).isNull()})
-    event = lambda kind, *more: F.to_json(F.struct(F.lit("event_msg").alias("type"), F.struct(F.lit(kind).alias("type"), *more).alias("payload")))
+    at, user = F.col("sequence_no"), F.coalesce(F.col("role") == "user", F.lit(False))
+    turn, session = Window.partitionBy(*KEY, "turn_no"), Window.partitionBy(*KEY)
+    in_turn = F.col("turn_no") > 0
+    rows = turned.withColumns({
+        "_start": F.when(F.col("turn_no") == 1, F.min(at).over(session)).when(in_turn, F.min(at).over(turn)), "_asked": F.min(F.when(user, at)).over(turn),
+        "_prompt": F.coalesce(F.max(F.when(user & ~is_context(F.col("text")), at)).over(turn), F.max(F.when(user, at)).over(turn)),
+    })
+    rows = rows.withColumn("_answer", F.max(F.when((F.col("role") == "assistant") & (at > F.col("_asked")), at)).over(turn))
+    # one row says where the first turn starts, which may be before its own messages
+    rows = rows.withColumn("_opens", F.when(at == F.min(at).over(session), F.min(F.when(F.col("turn_no") == 1, F.struct("_start", "turn_id"))).over(session)).when(in_turn & (F.col("turn_no") > 1) & (at == F.col("_start")), F.struct("_start", "turn_id")))
+    when = F.coalesce(F.get_json_object("content_json", "$.timestamp"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    event = lambda kind, *more: F.to_json(F.struct(when.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit(kind).alias("type"), *more).alias("payload")), {"ignoreNullFields": "false"})
+    none, said = F.lit(None).cast("string"), F.coalesce("text", F.lit(""))
+    pictures = F.transform(F.filter(F.coalesce(F.from_json(F.get_json_object("content_json", "$.payload.content"), "array<struct<type:string,image_url:string>>"), F.array().cast("array<struct<type:string,image_url:string>>")), lambda c: (c["type"] == "input_image") & (F.trim(c["image_url"]) != "")), lambda c: c["image_url"])
+    remote = lambda url: url.rlike("^(data:|https?://)")
     own = F.col("turn_id").alias("turn_id")
-    said = F.col("text").alias("message")
+    asked = event("user_message", said.alias("message"), F.filter(pictures, remote).alias("images"), F.filter(pictures, lambda u: ~remote(u)).alias("local_images"), F.array().cast("array<string>").alias("text_elements"))
+    phase = F.coalesce(F.nullif(F.trim(F.get_json_object("content_json", "$.payload.phase")), F.lit("")), F.lit("final_answer"))
+    answered = event("agent_message", said.alias("message"), phase.alias("phase"), none.alias("memory_citation"))
+    is_prompt, is_answer = in_turn & (at == F.col("_prompt")), in_turn & (at == F.col("_answer"))
     items = F.array(
-        F.struct(F.lit(0).alias("ord"), F.when(F.col("_first") & (F.col("turn_no") > 0), event("task_started", own)).alias("json")),
+        F.struct(F.lit(0).alias("ord"), F.when(F.col("_opens").isNotNull(), event("task_started", F.col("_opens.turn_id").alias("turn_id"), none.alias("model_context_window"), F.lit("default").alias("collaboration_mode_kind"))).alias("json")),
         F.struct(F.lit(1).alias("ord"), F.col("content_json").alias("json")),
-        F.struct(F.lit(2).alias("ord"), F.when(F.col("role") == "user", event("user_message", said)).when(F.col("role") == "assistant", event("agent_message", said)).alias("json")),
-        F.struct(F.lit(3).alias("ord"), F.when(F.col("_last") & (F.col("turn_no") > 0), F.when(F.col("cancelled"), event("turn_aborted", own)).otherwise(event("task_complete", own))).alias("json")),
+        F.struct(F.lit(2).alias("ord"), F.when(is_prompt, asked).when(is_answer, answered).alias("json")),
+        F.struct(F.lit(3).alias("ord"), F.when(is_answer, event("task_complete", own, said.alias("last_agent_message"))).when(is_prompt & F.col("_answer").isNull(), event("task_complete", own, none.alias("last_agent_message"))).alias("json")),
     )
-    return rows.select(*KEY, F.col("sequence_no").alias("position"), F.explode(items).alias("i")).select(*KEY, "position", "i.ord", "i.json").where(F.col("json").isNotNull())
+    return rows.select(*KEY, at.alias("position"), F.explode(items).alias("i")).select(*KEY, "position", "i.ord", "i.json").where(F.col("json").isNotNull())
 
 
 def first_prompt(turned: DataFrame, sessions: DataFrame, otherwise: str = "Untitled", most: int = 2000) -> DataFrame:

@@ -176,10 +176,22 @@ def _(spark, d):
     return boundaries(spark, d)
 
 
-@query("r2_wrapped", "SELECT session_id, count(*) AS lines FROM (SELECT session_id, sequence_no FROM messages_v UNION ALL SELECT session_id, sequence_no FROM messages_v WHERE role IN ('user', 'assistant') UNION ALL SELECT session_id, sequence_no FROM messages_v m WHERE role = 'user' UNION ALL SELECT session_id, sequence_no FROM messages_v m WHERE role = 'user') GROUP BY session_id")
+@query("r2_wrapped", """
+t AS MATERIALIZED (SELECT *, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY source_type, session_id ORDER BY sequence_no) AS turn FROM messages_v),
+u AS MATERIALIZED (
+  SELECT source_type, session_id, turn, CASE WHEN turn = 1 THEN (SELECT min(sequence_no) FROM messages_v m WHERE m.source_type = t.source_type AND m.session_id = t.session_id) ELSE min(sequence_no) END AS start,
+         max(sequence_no) FILTER (WHERE role = 'user') AS prompt, max(sequence_no) FILTER (WHERE role = 'assistant') AS answer
+  FROM t WHERE turn > 0 GROUP BY source_type, session_id, turn
+)
+SELECT session_id, sequence_no AS position, CAST(1 AS INTEGER) AS ord, 'message' AS kind, text AS said FROM t
+UNION ALL SELECT session_id, start, 0, 'task_started', NULL FROM u
+UNION ALL SELECT u.session_id, prompt, 2, 'user_message', text FROM u JOIN t ON t.source_type = u.source_type AND t.session_id = u.session_id AND t.sequence_no = prompt
+UNION ALL SELECT session_id, prompt, 3, 'task_complete', NULL FROM u WHERE answer IS NULL
+UNION ALL SELECT u.session_id, answer, o, CASE o WHEN 2 THEN 'agent_message' ELSE 'task_complete' END, text FROM u JOIN t ON t.source_type = u.source_type AND t.session_id = u.session_id AND t.sequence_no = answer CROSS JOIN (SELECT unnest([2, 3]) AS o)""")
 def _(spark, d):
     turned = T.turns(messages(spark, d).withColumn("content_json", F.to_json(F.struct("role", "text"))))
-    return T.wrapped(turned).groupBy("session_id").agg(F.count("*").alias("lines"))
+    at = lambda *paths: F.coalesce(*(F.get_json_object("json", p) for p in paths))
+    return T.wrapped(turned).select("session_id", "position", "ord", F.coalesce(at("$.payload.type"), F.lit("message")).alias("kind"), at("$.payload.message", "$.payload.last_agent_message", "$.text").alias("said"))
 
 
 @query("r8_restored_threads", "SELECT session_id AS id, 'sessions/' || session_id || '.jsonl' AS rollout_path, title, CAST(epoch(created_at) AS BIGINT) AS created_at, archived FROM sessions_v")

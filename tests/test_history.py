@@ -24,8 +24,24 @@ def test_turns(spark):
     found = T.turns(rows).orderBy("sequence_no").collect()
     assert [r.turn_no for r in found] == [1, 1, 1, 1, 1, 2, 3, 3]
     assert [r.cancelled for r in found] == [False] * 5 + [True, False, False]
-    kinds = [json.loads(r.json).get("payload", {}).get("type") for r in T.wrapped(T.turns(rows)).orderBy("position", "ord").collect()]
-    assert kinds.count("task_started") == 3 and kinds.count("task_complete") == 2 and kinds.count("turn_aborted") == 1
+    lines = [json.loads(r.json) for r in T.wrapped(T.turns(rows)).orderBy("position", "ord").collect()]
+    ids = {r.turn_no: r.turn_id for r in found}
+    own = lambda x: x["n"] if "n" in x else (x["payload"].get("turn_id"), x["payload"]["type"], x["payload"].get("message", x["payload"].get("last_agent_message")))
+    start, done, said = (lambda k: (ids[k], "task_started", None)), (lambda k, text: (ids[k], "task_complete", text)), (lambda kind, text: (None, kind, text))
+    assert [own(x) for x in lines] == [start(1), 0, 1, said("user_message", "a"), 2, 3, 4, said("agent_message", "d"), done(1, "d"), start(2), 5, said("user_message", "never answered"), done(2, None), start(3), 6, said("user_message", "e"), 7, said("agent_message", "f"), done(3, "f")]
+
+
+def test_wrapped_lines_are_whole(spark):
+    picture = {"timestamp": "2026-01-01T00:00:05Z", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "look"}, {"type": "input_image", "image_url": "data:,x"}, {"type": "input_image", "image_url": "/l.png"}, {"type": "input_image", "image_url": " "}]}}
+    rows = spark.createDataFrame([("codex", "s", 0, "system", "before", None, "{}"), ("codex", "s", 1, "user", "look", None, json.dumps(picture)), ("codex", "s", 2, "assistant", "ok", None, '{"payload":{"phase":"commentary"}}'), ("codex", "t", 0, "assistant", "alone", None, "{}")], M).withColumn("created_at", F.timestamp_seconds(F.col("sequence_no") + 1))
+    turned = T.turns(rows)
+    turn = turned.where("turn_no = 1").first().turn_id
+    event = lambda at, **payload: {"timestamp": at, "type": "event_msg", "payload": payload}
+    got = [json.loads(r.json) for r in T.wrapped(turned).where("session_id = 's'").orderBy("position", "ord").collect()]
+    assert got[0] == event("1970-01-01T00:00:01.000Z", type="task_started", turn_id=turn, model_context_window=None, collaboration_mode_kind="default") and got[1] == {}
+    assert got[3] == event("2026-01-01T00:00:05Z", type="user_message", message="look", images=["data:,x"], local_images=["/l.png"], text_elements=[])
+    assert got[5:] == [event("1970-01-01T00:00:03.000Z", type="agent_message", message="ok", phase="commentary", memory_citation=None), event("1970-01-01T00:00:03.000Z", type="task_complete", turn_id=turn, last_agent_message="ok")]
+    assert [r.json for r in T.wrapped(turned).where("session_id = 't'").collect()] == ["{}"]
 
 
 def test_lineage(spark):
