@@ -197,6 +197,16 @@ def one(df: DataFrame) -> DataFrame:
     return two.where(F.when(F.col("_n") <= 1, True).otherwise(F.raise_error(F.lit("more than one row for a key")).cast("boolean"))).drop("_n")
 
 
+def message_detail(messages: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """KEY, message_id and what a detail view shows: length, at most ``most`` characters, whether that cuts them,
+    and the manifest without the bytes. ``messages`` has one row, or reading it fails."""
+    from convlake.functions.scalars import bounded
+    from convlake.operators.attachments import manifest
+
+    length, detail, cut = bounded(F.col("content_json"), most)
+    return one(messages).select(*MESSAGE_KEY, length.alias("content_length"), detail.alias("detail"), cut.alias("cut"), manifest(F.col("content_json")).alias("manifest"))
+
+
 def list_messages(messages: DataFrame, number: int = 1, size: int = 25, conversation: bool = True, query: str | None = None, among: tuple[str, ...] = ("message_id", "content_json"), **wanted: object) -> DataFrame:
     """A page of messages, latest first, with ``preview`` and ``stored_attachments``; see page() for the rest.
 

@@ -24,8 +24,8 @@ from .queries import MKEY, query
 M = ["source_type", "session_id", "sequence_no"]
 
 
-def native(spark: SparkSession, d: str, path: str) -> None:
-    """All conversations as transcripts of their clients, in the clients' folders below ``path``."""
+def native(spark: SparkSession, d: str, path: str, more: DataFrame | None = None) -> None:
+    """All conversations, and the lines of ``more``, as transcripts of their clients, in the clients' folders below ``path``."""
     text, at = F.col("text"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     codex = F.to_json(F.struct(at.alias("timestamp"), F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(F.lit("input_text").alias("type"), text.alias("text"))).alias("content")).alias("payload")))
     # only messages that Claude keeps as they are
@@ -33,7 +33,8 @@ def native(spark: SparkSession, d: str, path: str) -> None:
     claude = F.to_json(F.struct(kind.alias("type"), F.col("session_id").alias("sessionId"), F.concat_ws("-", "session_id", "sequence_no").alias("uuid"), at.alias("timestamp"), F.struct("role", text.alias("content")).alias("message")))
     lines = messages(spark, d).select("source_type", "session_id", F.col("sequence_no").alias("position"), F.lit(0).alias("ord"), F.when(F.col("source_type") == "codex", codex).otherwise(claude).alias("json"))
     own = sessions(spark, d)
-    write_native(X.framed(lines, own), own, path)
+    framed = X.framed(lines, own)
+    write_native(framed if more is None else framed.unionByName(more), own, path)
 
 
 def text_of(json: str = "content_json"):
@@ -174,6 +175,64 @@ def _(spark, d):
     return store.sessions().select("source_type", "session_id", "cursor_offset", F.lit(small).alias("small"))
 
 
+@query("s13_refused", f"SELECT {MKEY}, true AS refused FROM messages_v")
+def _(spark, d):
+    """Messages of another schema are refused, and what is stored stays."""
+    from .job_queries import published
+
+    store = published(spark, d)
+    try:
+        P.assert_schema(store.messages().withColumn("sequence_no", F.col("sequence_no").cast("string")), P.MESSAGES)
+        refused = False
+    except ValueError:
+        refused = True
+    return store.messages().select(*M, F.lit(refused).alias("refused"))
+
+
+@query("st3_cursors", "SELECT source_type, session_id, true AS at_end FROM sessions_v")
+def _(spark, d):
+    """Every cursor stands where its file ends, after a commit that was stopped and done again."""
+    store = resumed(spark, d, "intent")
+    ends = store.positions().select(F.col("path").alias("source_path"), F.col("high").alias("size"))
+    return store.sessions().join(ends, "source_path").select("source_type", "session_id", (F.col("cursor_offset") == F.col("size")).alias("at_end"))
+
+
+@query("st4_rewritten", f"{TOLD} UNION ALL SELECT source_type, session_id, 'user', 'added' FROM sessions_v")
+def _(spark, d):
+    """Every file is replaced by one with a line more in front and one behind: only the last is new."""
+    path, extra = work_dir(spark), sessions(spark, d).select("source_type", "session_id")
+    codex = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), F.lit("user").alias("role"), F.array(F.struct(F.lit("input_text").alias("type"), F.lit("added").alias("text"))).alias("content")).alias("payload")))
+    claude = F.to_json(F.struct(F.lit("user").alias("type"), F.concat("session_id", F.lit("-added")).alias("uuid"), F.struct(F.lit("user").alias("role"), F.lit("added").alias("content")).alias("message")))
+    line = lambda at, json: extra.select("source_type", "session_id", F.lit(at).cast("long").alias("position"), F.lit(1).alias("ord"), json.alias("json"))
+    store, paths = Store(spark, f"{path}/store", "bench"), folders(f"{path}/native")
+    native(spark, d, f"{path}/native")
+    drain(spark, store, paths)
+    more = line((1 << 63) - 1, F.when(F.col("source_type") == "codex", codex).otherwise(claude))
+    native(spark, d, f"{path}/native", line(-2, F.lit('{"type":"summary"}')).unionByName(more))
+    drain(spark, store, paths)
+    return told(store)
+
+
+@query("st11_progress", "SELECT CAST(0 AS BIGINT) AS commit_id, count(DISTINCT source_type || session_id) AS sessions, count(*) AS messages, 'done' AS state FROM messages_v")
+def _(spark, d):
+    path = work_dir(spark)
+    native(spark, d, f"{path}/native")
+    store = Store(spark, f"{path}/store", "bench")
+    drain(spark, store, folders(f"{path}/native"))
+    return store.progress()
+
+
+@query("q4_whole_detail", f"SELECT {MKEY}, message_id, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size, 'stored' AS status, false AS cut FROM messages_v WHERE source_type = 'codex' AND session_id = '4' AND sequence_no = 1")
+def _(spark, d):
+    """A message with its text attached: what the detail's manifest says."""
+    from convlake.operators import catalog as C
+
+    source = F.struct(F.lit("base64").alias("type"), F.lit("text/plain").alias("media_type"), base64(F.col("text")).alias("data"))
+    json = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("document").alias("type"), source.alias("source"))).alias("content")).alias("message")))
+    found = C.message_detail(A.taken_out(C.matching(messages(spark, d).withColumn("content_json", json), source_type="codex", session_id="4", sequence_no=1)))
+    return found.select(*M, "message_id", "cut", F.explode("manifest").alias("e")).select(*M, "message_id", "e.sha256", "e.size", "e.status", "cut")
+
+
 # ---- attachments by position ---------------------------------------------------------------------
 
 def documents(spark: SparkSession, d: str, content) -> DataFrame:

@@ -177,6 +177,14 @@ class Store:
             return rows
         return rows.join(self.sessions().select(*KEY, "last_commit_id"), KEY).where("commit_id <= last_commit_id").drop("last_commit_id")
 
+    def progress(self) -> DataFrame:
+        """commit_id, sessions, messages and state ("done" or "pending") of every commit that wrote messages."""
+        from convlake.operators.sessions import commit_counts
+
+        pending = self.pending_commit()
+        state = F.when(F.col("commit_id") == F.lit(-1 if pending is None else pending), "pending").otherwise("done")
+        return commit_counts(self.messages(pending=True)).withColumn("state", state)
+
     # ---- commits ----
 
     def last_part(self, name: str) -> int:
@@ -204,20 +212,22 @@ class Store:
         return self.spark.read.schema(INTENTS).parquet(f"{self.path}/intents/part={commit_id}").select(*INTENTS.names) if there else self.spark.createDataFrame([], INTENTS)
 
     def publish(self, sessions: DataFrame, messages: DataFrame, commit_id: int, stop_after: str = "") -> None:
-        """Write one commit: sessions as pending, messages, sessions as done. Running it again is safe.
+        """Write one commit: sessions as pending, messages, sessions as done. Running it again is safe; what it
+        marked as pending stays.
 
         ``stop_after`` ("pending" or "messages") leaves it unfinished, as a lost driver would.
         """
-        sessions = sessions.drop(*COMMIT)
-        sessions = sessions.withColumns({c: F.lit(None).cast(t) for c, t in (("cursor_offset", "long"), ("cursor_anchor", "string")) if c not in sessions.columns})
         messages = assert_schema(messages.drop("commit_id").dropDuplicates(["message_id"]).withColumn("commit_id", F.lit(commit_id).cast("long")), MESSAGES)
-        old = self.sessions().select(*KEY, F.col("last_commit_id").alias("_last"), F.col("cursor_offset").alias("_offset"), F.col("cursor_anchor").alias("_anchor"))
-        state = sessions.withColumn("pending_cursor", F.struct(F.col("cursor_offset").cast("long").alias("offset"), F.col("cursor_anchor").alias("anchor"))).join(old, KEY, "left")
-        pending = state.withColumns({
-            "last_commit_id": F.coalesce("_last", F.lit(-1).cast("long")), "cursor_offset": F.col("_offset"), "cursor_anchor": F.col("_anchor"),
-            "pending_commit_id": F.lit(commit_id).cast("long"), "version": F.lit(2 * commit_id).cast("long"),
-        })
-        self._append("sessions", assert_schema(pending.drop("_last", "_offset", "_anchor"), SESSIONS), 2 * commit_id)
+        if not self.has_pending(commit_id):  # else they are marked already, and what is written may be read from there
+            sessions = sessions.drop(*COMMIT)
+            sessions = sessions.withColumns({c: F.lit(None).cast(t) for c, t in (("cursor_offset", "long"), ("cursor_anchor", "string")) if c not in sessions.columns})
+            old = self.sessions().select(*KEY, F.col("last_commit_id").alias("_last"), F.col("cursor_offset").alias("_offset"), F.col("cursor_anchor").alias("_anchor"))
+            state = sessions.withColumn("pending_cursor", F.struct(F.col("cursor_offset").cast("long").alias("offset"), F.col("cursor_anchor").alias("anchor"))).join(old, KEY, "left")
+            pending = state.withColumns({
+                "last_commit_id": F.coalesce("_last", F.lit(-1).cast("long")), "cursor_offset": F.col("_offset"), "cursor_anchor": F.col("_anchor"),
+                "pending_commit_id": F.lit(commit_id).cast("long"), "version": F.lit(2 * commit_id).cast("long"),
+            })
+            self._append("sessions", assert_schema(pending.drop("_last", "_offset", "_anchor"), SESSIONS), 2 * commit_id)
         if stop_after == "pending":
             return
         self._append("messages", messages, commit_id)

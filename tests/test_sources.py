@@ -12,7 +12,7 @@ from convlake.operators import sessions as N
 from convlake.operators.turns import turns
 from convlake.sources.dialects import claude_messages, codex_messages, codex_sessions, cursors
 from convlake.sources.jsonl import register
-from convlake.streaming.incremental import Progress, recovery
+from convlake.streaming.incremental import StatusTable, recovery
 from convlake.streaming.publish import MESSAGES, Store, assert_schema
 from convlake.streaming.tail import collect
 
@@ -130,7 +130,7 @@ def test_stream_and_replay(spark, tmp_path):
     src.mkdir()
     path = src / "r.jsonl"
     path.write_text(lines_of(META, said("user", "one")) + '{"part', encoding="utf-8")
-    progress = Progress()
+    progress = StatusTable(spark, str(tmp_path / "status"))
     spark.streams.addListener(progress)
     run = lambda: collect(spark, store, str(src), "codex", str(tmp_path / "cp")).awaitTermination(120)
     assert run()
@@ -145,6 +145,11 @@ def test_stream_and_replay(spark, tmp_path):
     assert (s.title, s.cwd, s.cursor_offset, s.last_commit_id) == ("one", "/w", len(path.read_bytes()), 1)
     assert run() and store.messages().count() == 2
     spark.streams.removeListener(progress)
+    told = progress.table().collect()
+    assert {r.state for r in told} >= {"started", "running"} and len({r.query for r in told}) == 1 and {r.batch_id for r in told if r.state == "running"} >= {0, 1}
+    assert sorted((r.commit_id, r.messages, r.state) for r in store.progress().collect()) == [(0, 1, "done"), (1, 1, "done")]
+    plan = store.messages().select("message_id", "role")._jdf.queryExecution().executedPlan().toString()
+    assert "attachments" not in plan and "content_json" not in plan  # a narrow list reads narrow columns
     with pytest.raises(PermissionError):
         Store(spark, str(tmp_path / "store"), "you").claim()
 
