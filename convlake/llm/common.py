@@ -36,16 +36,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
         spark.conf.set(name, before)
 
 
-def staged(df: DataFrame, path: str, rows: int = BATCH_ROWS, row_group: int | None = None) -> DataFrame:
+def staged(df: DataFrame, path: str, rows: int = BATCH_ROWS, row_group: int | None = None, codec: str | None = None) -> DataFrame:
     """``df`` written to ``path`` once, in batches of ``rows``, and read back, which cuts its lineage.
 
     Writer and reader hold one row group at once; ``row_group`` bounds it in bytes where rows are large (its
-    size is then looked at after every row, where the writer by itself waits for a hundred).
+    size is then looked at after every row, where the writer by itself waits for a hundred). ``codec`` is Parquet's.
     """
     with small_batches(df.sparkSession, rows):
         writer = df.write.mode("overwrite")
         if row_group is not None:
             writer = writer.options(**{"parquet.block.size": row_group, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+        if codec is not None:
+            writer = writer.option("compression", codec)
         writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

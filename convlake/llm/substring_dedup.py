@@ -225,9 +225,9 @@ def matches(parts: DataFrame, width: int, path: str) -> DataFrame:
     hot = staged(parts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), f"{path}/hot")
     if hot.isEmpty():
         return searched(parts, width)
-    windows = staged(_windows(keep_keys(parts, hot, "key"), width).withColumn("window", mark()), f"{path}/windows", ROWS, ROW_GROUP)
+    windows = staged(_windows(keep_keys(parts, hot, "key"), width).withColumn("window", mark()), f"{path}/windows", ROWS, ROW_GROUP, "zstd")
     alone = windows.groupBy("window", "segment").agg(F.min("least").alias("least"))
-    alone = staged(alone.select(F.xxhash64("window").alias("key"), F.col("window").alias("mark"), "segment", "least"), f"{path}/alone", ROWS, ROW_GROUP)
+    alone = staged(alone.select(F.xxhash64("window").alias("key"), F.col("window").alias("mark"), "segment", "least"), f"{path}/alone", ROWS, ROW_GROUP, "zstd")
     found = searched(alone, width).select(F.col("mark").alias("window"), "least")
     apart = windows.select("mark", "place", "window").join(found, "window").select("mark", F.col("place").alias("low"), (F.col("place") + 1).alias("high"), "least")
     return searched(drop_keys(parts, hot, "key"), width).unionByName(apart)
@@ -279,9 +279,9 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     own = listed.select("rid", F.explode(F.arrays_zip("firsts", "numbers", "anchors")).alias("s")).select("rid", F.col("s.firsts").alias("first"), F.col("s.numbers").alias("number"), F.col("s.anchors").alias("key"))
     chosen = own.join(shared, "key").groupBy("rid").agg(F.collect_list(F.struct("first", "number", "key")).alias("chosen")).join(texts.select("rid", "lo"), "rid")
     cut = _cut(rows.select("rid", "text").join(chosen, "rid"), width)
-    cut = staged(cut.withColumn("mark", mark()), f"{path}/segments", ROWS, ROW_GROUP)
+    cut = staged(cut.withColumn("mark", mark()), f"{path}/segments", ROWS, ROW_GROUP, "zstd")
     # Spark compares the words themselves, first within each task
-    parts = staged(cut.groupBy("key", "mark", "segment").agg(F.min("lo").alias("least")), f"{path}/parts", ROWS, ROW_GROUP)
+    parts = staged(cut.groupBy("key", "mark", "segment").agg(F.min("lo").alias("least")), f"{path}/parts", ROWS, ROW_GROUP, "zstd")
     found = staged(matches(parts, width, path), f"{path}/found")
     spans = cut.select("rid", "lo", "first", "mark").join(found, "mark").where(F.col("least") < F.col("lo"))
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("spans"))
