@@ -336,7 +336,7 @@ def _(spark, d):
 @query("a8_batch_merge", "SELECT source_type, session_id, arg_max(text, sequence_no) AS state, min(sequence_no) * 10 AS starting_cursor, CAST(sum(sequence_no + 1) AS BIGINT) AS read_count, count(*) AS chunks FROM messages_v GROUP BY ALL")
 def _(spark, d):
     n = F.col("sequence_no")
-    return N.merged_batches(messages(spark, d).select("source_type", "session_id", n.alias("chunk"), F.col("role").alias("state"), (n * 10).alias("starting_cursor"), (n + 1).alias("read_count")))
+    return N.merged_batches(messages(spark, d).select("source_type", "session_id", n.alias("chunk"), F.col("text").alias("state"), (n * 10).alias("starting_cursor"), (n + 1).alias("read_count")))
 
 
 @query("a9_commit_counts", "SELECT commit_id, count(DISTINCT (source_type, session_id)) AS sessions, count(*) AS messages FROM messages_v GROUP BY commit_id")
