@@ -38,7 +38,7 @@ BLOCK = 1 << 16
 #: What a file costs besides its bytes: small ones share a task.
 OPEN_BYTES = 256 << 10
 #: The least that a file gets of a bounded batch, unless the batch is smaller.
-LEAST_SHARE = 64 << 10
+LEAST_SHARE = 1 << 10
 
 
 class Range(NamedTuple):
