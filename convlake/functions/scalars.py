@@ -54,6 +54,11 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(INSTANT), F.try_to_timestamp(text))
 
 
+def latest(*times: Column) -> Column:
+    """The latest of ``times``; nulls don't count."""
+    return F.greatest(*times)
+
+
 def client_time(text: Column) -> Column:
     """Numbers below 1e10 are seconds, others milliseconds; texts are ISO instants."""
     number = F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.cast("double"))

@@ -52,7 +52,7 @@ def id_list(documents: DataFrame, column: str = "json", path: str = "$.projectle
 def named(threads: DataFrame, names: DataFrame) -> DataFrame:
     """Threads with the index's titles, where it has one, and the later of both times."""
     other = names.select("session_id", F.col("title").alias("_title"), F.col("updated_at").alias("_updated"))
-    return threads.join(other, "session_id", "left").withColumn("title", S.first_non_blank(F.col("_title"), F.col("title"))).withColumn("updated_at", F.greatest("updated_at", "_updated")).drop("_title", "_updated")
+    return threads.join(other, "session_id", "left").withColumn("title", S.first_non_blank(F.col("_title"), F.col("title"))).withColumn("updated_at", S.latest(F.col("updated_at"), F.col("_updated"))).drop("_title", "_updated")
 
 
 def with_unindexed(indexed: DataFrame, found: DataFrame) -> DataFrame:

@@ -172,7 +172,10 @@ def _(spark, d):
 
 @query("p15_narrow_projection", "SELECT source_type, count(*) AS messages FROM messages_v GROUP BY source_type")
 def _(spark, d):
-    return messages(spark, d).select("source_type").groupBy("source_type").agg(F.count("*").alias("messages"))
+    """Published messages; only the columns that tell what is published are read."""
+    from .job_queries import published
+
+    return published(spark, d).messages().groupBy("source_type").agg(F.count("*").alias("messages"))
 
 
 @query("p16_changed", "SELECT source_type, session_id FROM sessions_v WHERE conv_id % 3 = 0 OR conv_id % 4 = 1 AND title IS NOT NULL")
@@ -231,13 +234,14 @@ def _(spark, d):
 
 
 @query("j7_remapped_anchors", """
-lines AS (SELECT session_id AS path, (sequence_no + 1) * 100 AS end_offset, sha256(role) AS anchor FROM messages_v),
-wanted AS (SELECT session_id AS path, CASE WHEN conv_id % 5 = 0 THEN 'none' ELSE sha256('user') END AS anchor, CAST(250 AS BIGINT) AS old FROM sessions_v),
+lines AS (SELECT session_id AS path, (sequence_no + 1) * 100 AS end_offset, sha256(text) AS anchor FROM messages_v),
+wanted AS (SELECT session_id AS path, CASE WHEN any_value(conv_id) % 5 = 0 THEN 'none' ELSE sha256(arg_max(text, sequence_no) FILTER (WHERE sequence_no % 2 = 0)) END AS anchor, CAST(250 AS BIGINT) AS old FROM messages_v GROUP BY session_id),
 best AS (SELECT path, arg_min(end_offset, abs(end_offset - old) * 1000000 + end_offset) AS end_offset FROM lines JOIN wanted USING (path, anchor) GROUP BY path)
 SELECT path, end_offset, end_offset IS NULL AS paused FROM wanted LEFT JOIN best USING (path)""")
 def _(spark, d):
-    lines = messages(spark, d).select(F.col("session_id").alias("path"), ((F.col("sequence_no") + 1) * 100).alias("end_offset"), S.line_anchor(F.concat("role", F.lit("\r"))).alias("anchor"))
-    wanted = sessions(spark, d).select(F.col("session_id").alias("path"), F.when(F.col("conv_id") % 5 == 0, "none").otherwise(F.sha2(F.lit("user"), 256)).alias("anchor"), F.lit(250).cast("long").alias("offset"))
+    lines = messages(spark, d).select(F.col("session_id").alias("path"), ((F.col("sequence_no") + 1) * 100).alias("end_offset"), S.line_anchor(F.concat("text", F.lit("\r"))).alias("anchor"))
+    last = messages(spark, d).groupBy("session_id").agg(F.any_value("conv_id").alias("conv_id"), F.max_by("text", F.when(F.col("sequence_no") % 2 == 0, F.col("sequence_no"))).alias("text"))
+    wanted = last.select(F.col("session_id").alias("path"), F.when(F.col("conv_id") % 5 == 0, "none").otherwise(S.line_anchor(F.col("text"))).alias("anchor"), F.lit(250).cast("long").alias("offset"))
     return N.remapped_anchors(lines, wanted)
 
 

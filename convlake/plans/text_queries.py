@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlake.functions import scalars as S
+from convlake.operators import attachments as A
 from convlake.operators import catalog as C
 from convlake.operators import export as X
 from convlake.operators import lineage as G
@@ -63,7 +64,7 @@ def _(spark, d):
 
 @query("f8_latest", "SELECT source_type, session_id, CAST(epoch(greatest(CASE WHEN archived THEN NULL ELSE updated_at END, created_at)) AS BIGINT) AS latest FROM sessions_v")
 def _(spark, d):
-    return sessions(spark, d).select("source_type", "session_id", F.unix_timestamp(F.greatest(F.when(~F.col("archived"), F.col("updated_at")), "created_at")).alias("latest"))
+    return sessions(spark, d).select("source_type", "session_id", F.unix_timestamp(S.latest(F.when(~F.col("archived"), F.col("updated_at")), F.col("created_at"))).alias("latest"))
 
 
 @query("f9_json_text", "SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.nothing') AS nothing FROM events", views=False)
@@ -98,8 +99,9 @@ def _(spark, d):
 
 @query("f14_payload", "SELECT page_id, sha256(html) AS sha256, strlen(html) AS size FROM pages", views=False)
 def _(spark, d):
-    data = F.col("html").cast("binary")
-    return read(spark, d, "pages").select("page_id", F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size"))
+    from .more_queries import base64
+
+    return A.resolved_inline(read(spark, d, "pages").select("page_id", F.when(F.col("html").isNotNull(), base64(F.col("html"))).alias("data")), "data").select("page_id", "sha256", "size")
 
 
 @query("f16_redacted_url", "SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '://[^/]*@', '://') AS url FROM pages", views=False)

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,25 @@ def test_snapshots_bound_what_is_read(spark, tmp_path, monkeypatch):
     assert planned.count() == before and store.next_commit() == 10
 
 
+def test_lists_read_narrow_columns(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "me")
+    rows = spark.createDataFrame([("m", "codex", "s", 0, "user", "message", "{}", [bytearray(b"x")])], "message_id string, source_type string, session_id string, sequence_no long, role string, event_type string, content_json string, attachments array<binary>")
+    store.publish(rows.select("source_type", "session_id"), rows, 0)
+
+    def scanned(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [x for x in re.findall(r"ReadSchema: struct<([^\n]*)>", plan) if "message_id" in x or "commit_id:bigint" in x and "last_commit_id" not in x]
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    try:
+        counted = scanned(store.messages().groupBy("source_type").count())
+        shown = scanned(store.messages().select("message_id", "role", "content_json"))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert len(counted) == len(shown) == 1
+    assert "content_json" not in counted[0] and "attachments" not in counted[0] + shown[0] and "content_json" in shown[0]
+
+
 def test_half_written_folders_do_not_count(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), "me")
     state = spark.createDataFrame([("codex", "a", "t", 5)], "source_type string, session_id string, title string, cursor_offset long")
