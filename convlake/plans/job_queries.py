@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convlake.functions import scalars as S
 from convlake.operators import attachments as A
 from convlake.operators import catalog as C
 from convlake.operators import export as X
@@ -111,7 +112,7 @@ def _(spark, d):
 
 def with_attachments(spark: SparkSession, d: str, most: int = A.MOST) -> DataFrame:
     """Every document as a message with its text inline in base64, and a remote image; at most ``most`` bytes are stored."""
-    data = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
+    data = S.base64_text(F.col("text").cast("binary"))
     source = F.struct(F.lit("base64").alias("type"), F.lit("text/plain").alias("media_type"), data.alias("data"))
     none = F.lit(None).cast("struct<type:string,media_type:string,data:string>")
     content = F.array(F.struct(F.lit("document").alias("type"), F.lit(None).cast("string").alias("image_url"), source.alias("source")), F.struct(F.lit("input_image").alias("type"), F.lit("https://me:pw@h.org/i.png?k=1").alias("image_url"), none.alias("source")))

@@ -32,7 +32,7 @@ def as_lines(rows: DataFrame, line, place=None) -> DataFrame:
 
 
 def base64(text):
-    return F.regexp_replace(F.base64(F.coalesce(text, F.lit("")).cast("binary")), r"\s", "")
+    return S.base64_text(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 @query("p2_claude_events", "SELECT session_id, sequence_no, role, role AS event_type, text FROM messages_v WHERE role IN ('user', 'assistant', 'system') AND sequence_no % 3 <> 2")
