@@ -257,7 +257,9 @@ def range_lines(table: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     cut = table.withColumn("at", F.explode(F.expr(f"sequence(low, high - 1, {size}L)")))
     cut = cut.select("path", F.col("at").alias("low"), F.least(F.col("at") + size, "high").alias("high"), F.col("high").alias("end"), "file_key")
     own, others = cut.where(is_open_to_tasks(F.col("path"))), table.where(~is_open_to_tasks(F.col("path")))
-    many, cost = own.agg(F.count("*"), F.coalesce(F.sum(F.col("high") - F.col("low") + OPEN_BYTES), F.lit(0))).first()
+    many, size_, cost = own.agg(F.count("*"), *(F.coalesce(F.sum(F.col("high") - F.col("low") + n), F.lit(0)) for n in (0, OPEN_BYTES))).first()
+    # small files are spread over all cores, but their number alone doesn't make more tasks
+    tasks = min(-(-cost // size), max(-(-size_ // size), 4 * spark.sparkContext.defaultParallelism))
 
     def read(batches_):
         for batch in batches_:
@@ -265,7 +267,7 @@ def range_lines(table: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
                 if (size_of(r["path"]) or 0) >= r["end"] and r["file_key"] in (None, file_key(r["path"])):
                     yield from batches(Share([Range(r["path"], r["low"], r["high"], r["end"])]), ended)
 
-    found = own.repartition(max(1, min(many, -(-cost // size))), "path", "low").mapInArrow(read, SCHEMA)
+    found = own.repartition(max(1, min(many, tasks)), "path", "low").mapInArrow(read, SCHEMA)
     if not (paths := [r["path"] for r in others.select("path").distinct().toLocalIterator()]):  # of stores that only Spark opens
         return found
     slow = spark_lines(spark, paths).join(others.select("path", "low", "high"), "path").where("line_terminated and end_offset > low and end_offset <= high").drop("low", "high")
