@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import scalars as S
+from convlake.sources.files import ARROW, scheme
+from convlake.sources.transcripts import write_files
+from convlake.work import discard
 
 KEY = ["source_type", "session_id"]
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
@@ -94,7 +97,13 @@ def restore_boundaries(lines: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def write_transcripts(lines: DataFrame, path: str, partitions: int | None = None) -> None:
     """One folder per session with its lines in order, in one file; names are safe for any store."""
-    named = lines.select(F.col("source_type").alias("client"), S.safe_directory(F.col("session_id")).alias("session"), "position", "ord", "json")
+    client, session = F.col("source_type"), S.safe_directory(F.col("session_id"))
+    if scheme(path) in ARROW:
+        discard(lines.sparkSession, path)
+        file = F.concat(F.lit("client="), client, F.lit("/session="), session, F.lit("/part-00000.txt"))
+        write_files(lines.select(file.alias("file"), "position", "ord", "json"), path, partitions)
+        return
+    named = lines.select(client.alias("client"), session.alias("session"), "position", "ord", "json")  # a store that only Spark opens
     dealt = named.repartition(partitions, "client", "session") if partitions else named.repartition("client", "session")
     dealt.sortWithinPartitions("client", "session", "position", "ord").select("client", "session", F.col("json").alias("value")).write.mode("overwrite").partitionBy("client", "session").text(path)
 

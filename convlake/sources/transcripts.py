@@ -1,7 +1,7 @@
-"""The ``transcripts`` sink: one native JSON lines file for each session, whole or not at all.
+"""The ``transcripts`` sink: one JSON lines file for each session, whole or not at all.
 
 ``df.write.format("transcripts").mode("append").save(path)`` takes rows of file (below ``path``), position, ord
-and json, the rows of a file together and in order. A task writes each file under a name of its own and gives
+and json, the rows of a file together and in order. A null line is an empty one. A task writes each file under a name of its own and gives
 it its real one when all its rows are there; a task that fails takes its unfinished files away, and one that
 runs again writes the same files again.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from convlake.functions import scalars as S
 from convlake.sources.files import plain, scheme
@@ -52,20 +52,21 @@ class Target:
             os.remove(where) if self.store is None else self.store.delete_file(where)
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator) -> WriterCommitMessage:  # of Arrow batches
         target, own, out = Target(self.path), "", None
         try:
-            for row in iterator:
-                if row["file"] != own:
-                    self._done(target, own, out)
-                    own, out = row["file"], None
-                    self.hidden = posixpath.join(posixpath.dirname(own), f".{posixpath.basename(own)}.{uuid.uuid4().hex}")
-                    out = target.create(self.hidden)
-                out.write(row["json"].encode() + b"\n")
+            for batch in iterator:
+                for file, json in zip(batch.column("file").to_pylist(), batch.column("json").to_pylist(), strict=True):
+                    if file != own:
+                        self._done(target, own, out)
+                        own, out = file, None
+                        self.hidden = posixpath.join(posixpath.dirname(own), f".{posixpath.basename(own)}.{uuid.uuid4().hex}")
+                        out = target.create(self.hidden)
+                    out.write((json or "").encode() + b"\n")
             self._done(target, own, out)
         except BaseException:
             if out is not None:
@@ -113,7 +114,13 @@ def native_paths(sessions: DataFrame) -> DataFrame:
 
 def write_native(lines: DataFrame, sessions: DataFrame, path: str) -> None:
     """Write ``lines`` (KEY, position, ord, json) as the clients' own transcripts below ``path``."""
+    write_files(lines.join(native_paths(sessions), ["source_type", "session_id"]), path)
+
+
+def write_files(lines: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write ``lines`` (file, position, ord, json) as files below ``path``; tasks put each where it belongs, the driver moves none."""
     spark: SparkSession = lines.sparkSession
     spark.dataSource.register(Transcripts)
-    rows = lines.join(native_paths(sessions), ["source_type", "session_id"]).select("file", F.col("position").cast("long").alias("position"), F.col("ord").cast("int").alias("ord"), "json")
-    rows.repartition("file").sortWithinPartitions("file", "position", "ord").write.format("transcripts").option("path", path).mode("append").save()
+    rows = lines.select("file", F.col("position").cast("long").alias("position"), F.col("ord").cast("int").alias("ord"), "json")
+    dealt = rows.repartition(partitions, "file") if partitions else rows.repartition("file")
+    dealt.sortWithinPartitions("file", "position", "ord").write.format("transcripts").option("path", path).mode("append").save()
