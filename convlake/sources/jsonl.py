@@ -20,7 +20,7 @@ from __future__ import annotations
 import glob
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -53,7 +53,7 @@ class Range(NamedTuple):
 class Share(InputPartition):
     """The ranges that one task reads."""
 
-    def __init__(self, ranges: list[Range]):
+    def __init__(self, ranges: Iterable[Range]):
         super().__init__(ranges)
         self.ranges = ranges
 
@@ -262,10 +262,8 @@ def range_lines(table: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     tasks = min(-(-cost // size), max(-(-size_ // size), 4 * spark.sparkContext.defaultParallelism))
 
     def read(batches_):
-        for batch in batches_:
-            for r in batch.to_pylist():
-                if (size_of(r["path"]) or 0) >= r["end"] and r["file_key"] in (None, file_key(r["path"])):
-                    yield from batches(Share([Range(r["path"], r["low"], r["high"], r["end"])]), ended)
+        for batch in batches_:  # each file is looked at just before it is read; small ones share what is given back
+            yield from batches(Share(Range(r["path"], r["low"], r["high"], r["end"]) for r in batch.to_pylist() if (size_of(r["path"]) or 0) >= r["end"] and r["file_key"] in (None, file_key(r["path"]))), ended)
 
     found = own.repartition(max(1, min(many, tasks)), "path", "low").mapInArrow(read, SCHEMA)
     if not (paths := [r["path"] for r in others.select("path").distinct().toLocalIterator()]):  # of stores that only Spark opens

@@ -278,10 +278,9 @@ def session_states(store: Store, lines: DataFrame, messages: DataFrame, source:
     one = files.groupBy("session_id").agg(F.max_by(F.struct(*rest), "path").alias("f")).select("session_id", "f.*").join(said, "session_id", "left")
     now = one.select(
         F.lit(source).alias("source_type"), "session_id", "title", F.coalesce("cwd", "_cwd").alias("cwd"), "archived", F.col("path").alias("source_path"), "file_key", "cursor_offset", "cursor_anchor",
-        F.coalesce("_created", "created_at").alias("created_at"), "updated_at",
+        F.coalesce("_created", "created_at").alias("created_at"), "updated_at", F.nullif(F.col("_title"), F.lit("")).alias("last_title"),
     )
     before = store.sessions().where(F.col("source_type") == source)
-    titles = one.select("session_id", F.nullif(F.col("_title"), F.lit("")).alias("_title"))
-    own = T.StructType([f for f in SESSIONS if f.name not in COMMIT])
+    own = T.StructType([*(f for f in SESSIONS if f.name not in COMMIT), T.StructField("last_title", T.StringType())])
     state = merged(before.drop(*COMMIT), assert_schema(now.withColumn("subagent_source_json", F.lit(None).cast("string")), own))
-    return state.join(titles, "session_id").withColumn("title", F.coalesce("_title", "title")).drop("_title")
+    return state.withColumn("title", F.coalesce("last_title", "title")).drop("last_title")

@@ -112,7 +112,10 @@ def share(left: DataFrame, served: DataFrame, most_bytes: int) -> DataFrame:
     every file gets on within one round over all. So many files take part that each gets LEAST_SHARE bytes, or
     one file alone where the bound is less.
     """
-    many = max(1, min(left.count(), most_bytes // LEAST_SHARE))
+    there = left.count()
+    many = max(1, min(there, most_bytes // LEAST_SHARE))
+    if many >= there:  # all take part, in any order
+        return left.withColumn("high", F.least("high", F.col("low") + most_bytes // many))
     turn = left.join(served.select("source_type", "path", "version"), ["source_type", "path"], "left")
     order = Window.partitionBy("source_type").orderBy(F.asc_nulls_first("version"), "path")
     # no source has more than ``many`` in it, which each task sees for itself
@@ -142,7 +145,8 @@ def finish(store: Store, commit: int, options: dict, stop_after: str = "") -> bo
         names = store.sessions().where(F.col("source_type") == source).select(F.col("source_path").alias("path"), "session_id").where("path is not null")
         told = own.where("session_id is not null").select("path", "session_id")
         names = names.join(told, "path", "left_anti").unionByName(told)
-        rows = D.DIALECTS[source](lines, names).dropDuplicates(["message_id"])
+        rows = D.DIALECTS[source](lines, names).dropDuplicates(["message_id"]).persist()  # states and messages are both made of them
+        held.append(rows)
         state = session_states(store, lines, rows, source, names, own.select("path", "file_key"), options.get("roll_up"))
         base = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
         rows = taken_out(rows, options.get("files"), base=base, **options.get("attachments", {})).drop("path", "end_offset")
@@ -155,8 +159,8 @@ def finish(store: Store, commit: int, options: dict, stop_after: str = "") -> bo
             return False
         store.publish(states, messages, commit, stop_after)
     finally:
-        for lines in held:
-            lines.unpersist()
+        for kept in held:
+            kept.unpersist()
     return True
 
 
