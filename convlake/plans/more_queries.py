@@ -179,11 +179,11 @@ def collected(spark: SparkSession, d: str, sources: int = 1) -> Store:
     event = F.to_json(F.struct(F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.lit("response_item").alias("type"), payload.alias("payload")))
     store = Store(spark, f"{path}/store", "bench")
     for k in range(sources):
-        own = F.col("conv_id") % sources == k
+        own = F.pmod("conv_id", F.lit(sources)) == k
         lines = messages(spark, d).where(own).select(F.lit("codex").alias("source_type"), "session_id", F.col("sequence_no").alias("position"), F.lit(0).alias("ord"), event.alias("json"))
         X.write_transcripts(X.framed(lines, sessions(spark, d).where(own).withColumn("source_type", F.lit("codex"))), f"{path}/transcripts{k}")
         files = f"{path}/transcripts{k}/*/*/*.txt"
-        most = listed(spark, files).agg(F.sum("size")).first()[0] // 3
+        most = (listed(spark, files).agg(F.sum("size")).first()[0] or 0) // 3
         collect(spark, store, files, "codex", f"{path}/checkpoint{k}", most_bytes=most)
     return store
 

@@ -272,6 +272,38 @@ def range_lines(table: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     return found.unionByName(slow)
 
 
+def head_lines(files: DataFrame, kind: str) -> DataFrame:
+    """Complete lines of ``files`` (path, size) that have ``kind`` in them, up to the first event of that type; read by tasks.
+
+    Of a file in a store that only Spark opens these are all its lines.
+    """
+    spark = files.sparkSession
+
+    def is_kind(line: str) -> bool:
+        try:
+            event = json.loads(line)
+        except (ValueError, RecursionError):
+            return False
+        return isinstance(event, dict) and event.get("type") == kind
+
+    def head(part: Range) -> Iterator[tuple]:
+        for row in ended(part):
+            if kind in row[3]:
+                yield row
+                if is_kind(row[3]):
+                    return
+
+    def read(batches_):
+        for batch in batches_:
+            yield from batches(Share(Range(r["path"], 0, r["size"], r["size"]) for r in batch.to_pylist() if (size_of(r["path"]) or 0) >= r["size"]), head)
+
+    own, others = files.where(is_open_to_tasks(F.col("path"))), files.where(~is_open_to_tasks(F.col("path")))
+    found = own.select("path", "size").repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(read, SCHEMA)
+    if others.isEmpty():
+        return found
+    return found.unionByName(range_lines(others.select("path", F.lit(0).cast("long").alias("low"), F.col("size").alias("high"))))
+
+
 def spark_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The lines of ``paths`` by Spark's text reader, which opens any of Spark's file systems.
 

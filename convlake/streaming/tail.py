@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from convlake.sources.files import file_key, is_open_to_tasks, listed
-from convlake.sources.jsonl import LEAST_SHARE, line_before, range_lines
+from convlake.sources.jsonl import LEAST_SHARE, head_lines, line_before, range_lines
 from convlake.work import discard, staged, work_dir
 
 from .incremental import recovery
@@ -59,10 +59,26 @@ def _checked(pairs: DataFrame) -> DataFrame:
     return rows.mapInPandas(check, "path string, size long, file_key string, session_id string, known_key string, cursor long, anchor string, open boolean, same boolean")
 
 
+def _by_name(files: DataFrame, known: DataFrame, source: str) -> DataFrame:
+    """path and ``called`` (name and session) of the ``files`` that may be moved ones: no session is known at their
+    path, but one whose file had their name. Many files can have one name, so what session a file is of is what it
+    would be called if it were new.
+    """
+    from convlake.sources import dialects as D
+
+    names = known.select(F.regexp_extract("source_path", "([^/]+)$", 1).alias("name")).distinct()
+    found = files.join(known.select(F.col("source_path").alias("path")), "path", "left_anti").join(names, "name", "left_semi")
+    session = D.file_stem(F.col("path"))
+    if source == "codex" and not found.isEmpty():
+        found = found.join(D.codex_sessions(head_lines(found, "session_meta")).select("path", F.col("session_id").alias("_meta")), "path", "left")
+        session = F.coalesce("_meta", session)
+    return found.select("path", F.concat_ws("/", "name", session).alias("called"))
+
+
 def backlog(store: Store, source: str, files: DataFrame, folder: str) -> DataFrame:
     """The bytes of ``files`` (path, size) that no commit took, up to the sizes given: ranges as an intent has them.
 
-    A session's file is the one at its path, else the file it was, else one of that name. It goes on at the
+    A session's file is the one at its path, else the file it was, else one of that name and session. It goes on at the
     cursor, or behind bytes without a line end that were looked at already. A file that was replaced,
     shortened, rewritten or moved goes on behind the last restore marker of its session, else behind the
     nearest line with the cursor's anchor; without either it is left alone, as reading it from the start
@@ -75,9 +91,10 @@ def backlog(store: Store, source: str, files: DataFrame, folder: str) -> DataFra
     files = staged(_looked_at(files), f"{folder}/files-{source}")
     sessions = store.sessions().where((F.col("source_type") == source) & F.col("source_path").isNotNull() & F.col("cursor_offset").isNotNull())
     known = sessions.select("session_id", "source_path", F.col("file_key").alias("known_key"), F.col("cursor_offset").alias("cursor"), F.col("cursor_anchor").alias("anchor"))
-    # by path, as the same file, by name: of each session and of each file the first way that leads anywhere counts
+    # by path, as the same file, by name and session: of each session and of each file the first way that leads anywhere counts
     ways = lambda rows, *values: rows.select("*", F.posexplode(F.array(*values)).alias("way", "value")).where("value is not null")
-    sides = ways(files, F.col("path"), F.col("file_key"), F.col("name")), ways(known, F.col("source_path"), F.col("known_key"), F.regexp_extract("source_path", "([^/]+)$", 1))
+    called = F.concat_ws("/", F.regexp_extract("source_path", "([^/]+)$", 1), "session_id")
+    sides = ways(files.join(_by_name(files, known, source), "path", "left"), F.col("path"), F.col("file_key"), F.col("called")), ways(known, F.col("source_path"), F.col("known_key"), called)
     pairs = sides[0].join(sides[1], ["way", "value"]).drop("value")
     rest = [c for c in pairs.columns if c != "session_id"]
     pairs = pairs.groupBy("session_id").agg(F.min_by(F.struct(*rest), F.struct("way", "path")).alias("s")).select("session_id", "s.*")
